@@ -16,8 +16,9 @@ def refs(line: Column) -> Column:
 
 
 def mentions(line: Column, number: Column) -> Column:
-    """True when `#number` occurs and is not the start of a longer number."""
-    return F.regexp_like(line, F.concat(F.lit("#"), number.cast("string"), F.lit("(?![0-9])")))
+    """True when `#number` occurs as a whole number, whatever stands before the mark."""
+    found = F.regexp_extract_all(line, F.lit("#([1-9][0-9]*)"), F.lit(1))
+    return F.array_contains(found, number.cast("string"))
 
 
 def relation_of(line: Column) -> Column:
