@@ -8,6 +8,7 @@ common table expression; the operator itself is expressed twice, independently.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 from pathlib import Path
@@ -58,14 +59,22 @@ class Tables:
     def __call__(self, name: str) -> DataFrame:
         if name not in self._built:
             if name in ADAPTERS:
-                sql = ADAPTERS[name]
-                inputs = {n: self(n) for n in sorted(set(_REFERENCE.findall(sql)))}
-                self._built[name] = self.spark.sql(sql, **inputs)
+                self._built[name] = self._select(ADAPTERS[name])
             else:
                 self._built[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         return self._built[name]
 
 
+    def _select(self, sql: str) -> DataFrame:
+        views = {n: f"sw_{uuid.uuid4().hex}_{n}" for n in set(_REFERENCE.findall(sql))}
+        for name, view in views.items():
+            self(name).createOrReplaceTempView(view)
+        df = self.spark.sql(_REFERENCE.sub(lambda m: views[m.group(1)], sql))
+        for view in views.values():  # the plan is analysed; the names are no longer needed
+            self.spark.catalog.dropTempView(view)
+        return df
+
+
 def _needed(sql: str, seen: list[str]) -> list[str]:
     for name in _REFERENCE.findall(sql):
         if name in ADAPTERS and name not in seen:

@@ -23,24 +23,31 @@ def decisions_for(decisions: DataFrame, targets: DataFrame) -> DataFrame:
 def file_lineage(renames: DataFrame, targets: DataFrame) -> DataFrame:
     """All earlier paths of each target, along ``renames(repository, old_path, new_path)``.
 
-    Follows chains of any length: each round appends the known chains to each other, so the
-    reach doubles, and the loop ends with the round that adds nothing.  Rounds are cut to the
-    checkpoint folder; the plan does not grow.
+    Chains of any length are followed by pointer jumping: a round joins the paths reached so far
+    with jumps of length 2^k, then doubles the jumps.  Only targets are carried, the number of rounds is
+    logarithmic, and the loop ends with the round that reaches nothing new.  Each round is cut
+    to the checkpoint folder, so the plan does not grow and a lost executor costs one round.
     """
-    step = renames.select(
-        "repository", F.col("new_path").alias("path"), F.col("old_path").alias("earlier")
-    ).where(F.col("path") != F.col("earlier")).distinct()
-    reach, known = cut(step), -1
-    while (size := reach.count()) != known:
+    jump = renames.select(
+        "repository", F.col("new_path").alias("path"), F.col("old_path").alias("_next")
+    ).where(F.col("path") != F.col("_next")).distinct()
+    start = targets.select("repository", "target", F.col("target").alias("path")).distinct()
+    reach, known = start, start.count()
+    while True:
+        further = reach.join(jump, ["repository", "path"]).select(
+            "repository", "target", F.col("_next").alias("path")
+        )
+        reach = cut(reach.unionByName(further).distinct())
+        size = reach.count()
+        if size == known:
+            break
         known = size
-        onward = reach.select("repository", F.col("path").alias("earlier"), F.col("earlier").alias("_next"))
-        longer = reach.join(onward, ["repository", "earlier"]).select(
-            "repository", "path", F.col("_next").alias("earlier")
-        ).where(F.col("path") != F.col("earlier"))
-        reach = cut(reach.unionByName(longer).distinct())
-    wanted = targets.select("repository", F.col("target").alias("path")).distinct()
-    return reach.join(wanted, ["repository", "path"], "left_semi").select(
-        "repository", F.col("path").alias("target"), F.col("earlier").alias("historical_path")
+        onward = jump.select("repository", F.col("path").alias("_next"), F.col("_next").alias("_after"))
+        jump = cut(
+            jump.join(onward, ["repository", "_next"]).select("repository", "path", F.col("_after").alias("_next")).distinct()
+        )
+    return reach.where(F.col("path") != F.col("target")).select(
+        "repository", "target", F.col("path").alias("historical_path")
     )
 
 
