@@ -51,20 +51,29 @@ def query(name: str, sql: str | None = None):
 class Tables:
     """Given tables and adapters of one data folder, built at most once per query."""
 
-    def __init__(self, spark: SparkSession, folder: str):
+    def __init__(self, spark: SparkSession, folder: str, streamed: tuple[str, ...] = ()):
         self.spark = spark
         self.folder = Path(folder)
+        self.streamed = streamed
         self._built: dict[str, DataFrame] = {}
 
     def __call__(self, name: str) -> DataFrame:
         if name not in self._built:
             if name in ADAPTERS:
                 self._built[name] = self._select(ADAPTERS[name])
+            elif name in self.streamed:
+                schema = self.spark.read.parquet(f"{self.folder}/{name}.parquet").schema
+                reader = self.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet*")
+                self._built[name] = reader.parquet(str(self.folder))
             else:
                 self._built[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         return self._built[name]
 
 
+    def streaming(self, *names: str) -> "Tables":
+        """The same tables with some of them read as streams."""
+        return Tables(self.spark, str(self.folder), names)
+
     def _select(self, sql: str) -> DataFrame:
         views = {n: f"sw_{uuid.uuid4().hex}_{n}" for n in set(_REFERENCE.findall(sql))}
         for name, view in views.items():

@@ -1 +1,68 @@
-"""To come."""
+"""Streaming queries: the whole table arrives as a stream and is drained."""
+
+from pyspark.sql import functions as F
+
+from ..operators import justification as just
+from ..streaming import overlap, transitions
+from ..streaming.sinks import drain
+from .core import adapter, query
+
+adapter("moving_contexts", """
+SELECT CAST(user_id AS STRING) AS context_set, CAST(ts AS TIMESTAMP) AS observed_at, event_id AS sequence,
+       CASE WHEN event_id % 7 = 0 THEN NULL ELSE concat('r', CAST(event_id % 2 AS STRING)) END AS repository,
+       concat('v', CAST(event_id % 3 AS STRING)) AS revision, CAST(NULL AS STRING) AS work, CAST(NULL AS STRING) AS path
+FROM {events}
+""")
+adapter("standing_evidence", """
+SELECT concat('e', CAST(c_custkey AS STRING)) AS evidence_id, CAST(c_custkey AS STRING) AS context_set,
+       CASE WHEN c_nationkey % 3 = 0 THEN NULL ELSE 'r1' END AS repository, CASE WHEN c_nationkey % 3 = 1 THEN NULL ELSE 'v1' END AS revision,
+       CAST(NULL AS STRING) AS work, CAST(NULL AS STRING) AS scope_mode, CAST(NULL AS STRING) AS scope_path
+FROM {customer}
+""")
+adapter("standing_edges", """
+SELECT context_set, evidence_id, 'claim' AS target_kind, concat('c', context_set) AS target_id, 'support' AS relation FROM {standing_evidence}
+""")
+TRANSITIONS = """
+SELECT context_set, evidence_id, sequence, "before", status AS "after" FROM (
+  SELECT *, lag(status) OVER (PARTITION BY context_set, evidence_id ORDER BY observed_at, sequence) AS "before" FROM (
+    SELECT c.context_set, e.evidence_id, c.observed_at, c.sequence,
+           CASE WHEN c.repository <> e.repository OR c.revision <> e.revision THEN 'invalid' WHEN e.repository IS NOT NULL AND c.repository IS NULL THEN 'unknown' ELSE 'applies' END AS status
+    FROM {moving_contexts} c JOIN {standing_evidence} e ON e.context_set = c.context_set) s) w
+WHERE "before" IS NOT NULL AND "before" <> status
+"""
+
+
+def _transitions(t):
+    stream = t.streaming("events")
+    rows = transitions.status_transitions(stream("moving_contexts"), t("standing_evidence"))
+    return drain(rows, "transitions")
+
+
+@query("str_1_status_transitions", f"SELECT context_set, evidence_id, \"before\", \"after\" FROM ({TRANSITIONS}) x")
+def _(t):
+    return _transitions(t).select("context_set", "evidence_id", "before", "after")
+
+
+@query("str_1_affected_targets", f"""
+SELECT DISTINCT e.context_set, e.target_kind, e.target_id FROM {{standing_edges}} e JOIN ({TRANSITIONS}) x ON x.context_set = e.context_set AND x.evidence_id = e.evidence_id
+""")
+def _(t):
+    return just.affected_targets(t("standing_edges"), _transitions(t))
+
+
+adapter("arriving_paths", """
+SELECT CAST(l_orderkey - l_orderkey % 50 AS STRING) AS snapshot_id, concat('#', CAST(l_orderkey AS STRING)) AS id, l_orderkey % 50 = 7 AS is_current, path,
+       CAST(l_shipdate AS TIMESTAMP) AS seen_at
+FROM {lineitem} JOIN {part_path} ON l_partkey = p_partkey
+""")
+
+
+@query("str_2_overlap_stream", """
+SELECT DISTINCT a.snapshot_id, a.id AS current_id, b.id AS other_id, a.path FROM {arriving_paths} a
+JOIN {arriving_paths} b ON b.snapshot_id = a.snapshot_id AND b.path = a.path AND NOT b.is_current
+  AND b.seen_at BETWEEN a.seen_at - INTERVAL 300 DAY AND a.seen_at + INTERVAL 300 DAY
+WHERE a.is_current
+""")
+def _(t):
+    stream = t.streaming("lineitem")
+    return drain(overlap.overlap_stream(stream("arriving_paths"), window="300 days"), "overlap")

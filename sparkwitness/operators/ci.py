@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.binding import let, present
+
 # Flags a filtered test command may carry, with and without a value.  Any other
 # flag makes the line unsupported.
 PLAIN_FLAGS = [
@@ -20,13 +22,20 @@ def _strip(text: Column) -> Column:
 
 def shell_line(line: Column) -> Column:
     """The command of a workflow line, or null."""
-    text = _strip(line)
-    step = F.when(text.startswith("- "), _strip(F.substr(text, F.lit(3)))).otherwise(text)
-    command = F.when(step.startswith("run:"), _strip(F.substr(step, F.lit(5)))).otherwise(step)
-    return F.when(
-        (text != "") & ~text.startswith("#") & ~text.endswith("\\")
-        & (command.startswith("cargo test ") | command.startswith("cargo +")),
-        command,
+
+    def command_of(text: Column) -> Column:
+        step = F.when(text.startswith("- "), _strip(F.substr(text, F.lit(3)))).otherwise(text)
+        return let(
+            step,
+            lambda s: let(
+                F.when(s.startswith("run:"), _strip(F.substr(s, F.lit(5)))).otherwise(s),
+                lambda c: F.when(c.startswith("cargo test ") | c.startswith("cargo +"), c),
+            ),
+        )
+
+    return let(
+        _strip(line),
+        lambda text: F.when((text != "") & ~text.startswith("#") & ~text.endswith("\\"), command_of(text)),
     )
 
 
@@ -35,7 +44,10 @@ def lib_test_filter(command: Column) -> Column:
 
     A fold over the tokens: a flag with a value skips the next token, ``--`` ends the command.
     """
-    tokens = F.split(command, r"\s+")
+    return let(F.split(command, r"\s+"), _filter_of)
+
+
+def _filter_of(tokens: Column) -> Column:
     toolchain = F.get(tokens, F.lit(1)).startswith("+")
     good_toolchain = F.get(tokens, F.lit(1)).rlike(r"^\+[A-Za-z0-9._-]+$")
     at = F.when(toolchain, F.lit(2)).otherwise(F.lit(1))
@@ -74,10 +86,8 @@ def lib_test_filter(command: Column) -> Column:
 def ci_commands(workflow_lines: DataFrame) -> DataFrame:
     """``workflow_lines(repository, path, line, text)`` with a supported filtered command."""
     return (
-        workflow_lines.withColumn("command", shell_line(F.col("text")))
-        .where(F.col("command").isNotNull())
-        .withColumn("filter", lib_test_filter(F.col("command")))
-        .where(F.col("filter").isNotNull())
+        workflow_lines.withColumn("command", present(shell_line(F.col("text"))))
+        .withColumn("filter", present(lib_test_filter(F.col("command"))))
         .select("repository", "path", "line", "command", "filter")
     )
 
