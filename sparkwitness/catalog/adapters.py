@@ -7,7 +7,7 @@ to order commits, so it is computed from the date and key and needs no window.
 from .core import adapter
 
 adapter("commits", """
-SELECT concat('r', CAST(o_custkey % 7 AS STRING)) AS repository,
+SELECT concat('r', CAST(o_orderkey % 7 AS STRING)) AS repository,
        CAST(o_orderkey AS STRING) AS sha,
        CAST(30000000 - (year(o_orderdate) * 10000 + month(o_orderdate) * 100 + day(o_orderdate)) AS BIGINT)
            * 100000000000 - o_orderkey AS log_pos,
@@ -22,9 +22,9 @@ SELECT p_partkey, concat(lower(p_type), '/', replace(p_brand, '#', ''), '.rs') A
 """)
 
 adapter("commit_paths", """
-SELECT DISTINCT concat('r', CAST(o_custkey % 7 AS STRING)) AS repository,
+SELECT DISTINCT concat('r', CAST(l_orderkey % 7 AS STRING)) AS repository,
        CAST(l_orderkey AS STRING) AS sha, path
-FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {part_path} ON l_partkey = p_partkey
+FROM {lineitem} JOIN {part_path} ON l_partkey = p_partkey
 """)
 
 # Newest 100 per anchor before exclusions; a tight broad threshold gives both reasons.
@@ -59,16 +59,16 @@ SELECT repository, sha, concat('p', sha) AS parent_sha, path FROM {commit_paths}
 
 adapter("file_versions", """
 SELECT repository, sha, path, concat('f', CAST(min(l_linenumber) AS STRING)) AS fingerprint
-FROM (SELECT concat('r', CAST(o_custkey % 7 AS STRING)) AS repository, CAST(l_orderkey AS STRING) AS sha,
+FROM (SELECT concat('r', CAST(l_orderkey % 7 AS STRING)) AS repository, CAST(l_orderkey AS STRING) AS sha,
              path, l_linenumber
-      FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {part_path} ON l_partkey = p_partkey
+      FROM {lineitem} JOIN {part_path} ON l_partkey = p_partkey
       WHERE l_linenumber < 7) a
 GROUP BY repository, sha, path
 UNION ALL
 SELECT repository, concat('p', sha) AS sha, path, concat('f', CAST(min(before) AS STRING)) AS fingerprint
-FROM (SELECT concat('r', CAST(o_custkey % 7 AS STRING)) AS repository, CAST(l_orderkey AS STRING) AS sha,
+FROM (SELECT concat('r', CAST(l_orderkey % 7 AS STRING)) AS repository, CAST(l_orderkey AS STRING) AS sha,
              path, CASE WHEN l_returnflag = 'R' THEN l_linenumber ELSE 0 END AS before
-      FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {part_path} ON l_partkey = p_partkey
+      FROM {lineitem} JOIN {part_path} ON l_partkey = p_partkey
       WHERE l_quantity > 2) b
 GROUP BY repository, sha, path
 """)

@@ -118,12 +118,10 @@ SELECT CAST(user_id AS STRING) AS context_set, CAST(event_id AS STRING) AS evide
 FROM {event_keys} WHERE k % 12 <> 0 AND k % 3 = 0
 """)
 adapter("claims", """
-SELECT CAST(u.user_id AS STRING) AS context_set, concat('c', CAST(n.n_nationkey AS STRING)) AS claim_id
-FROM (SELECT DISTINCT user_id FROM {events}) u JOIN {nation} n ON n.n_nationkey < 12
+SELECT DISTINCT CAST(user_id AS STRING) AS context_set, concat('c', CAST(event_id % 12 AS STRING)) AS claim_id FROM {events}
 """)
 adapter("graph_obligations", """
-SELECT CAST(u.user_id AS STRING) AS context_set, concat('o', CAST(n.n_nationkey AS STRING)) AS obligation_id
-FROM (SELECT DISTINCT user_id FROM {events}) u JOIN {nation} n ON n.n_nationkey >= 0
+SELECT DISTINCT CAST(user_id AS STRING) AS context_set, concat('o', CAST(event_id % 25 AS STRING)) AS obligation_id FROM {events}
 """)
 
 

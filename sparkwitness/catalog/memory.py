@@ -227,30 +227,40 @@ def _(t):
     return dec.decisions_for(t("decision_rows"), t("decision_targets"))
 
 
-# Rename chains: each target came from old/<n>/..., which itself moved several times.
+# Rename chains of up to 32 steps: each order is one step of the file that 32 orders share.
 adapter("renames", """
-SELECT repository, concat('old/1/1/', target) AS old_path, target AS new_path FROM {decision_targets}
-UNION ALL
-SELECT t.repository, concat('old/', CAST((n.n_nationkey + 2) % 12 AS STRING), '/', CAST(n.n_nationkey + 2 AS STRING), '/', t.target),
-       concat('old/', CAST((n.n_nationkey + 1) % 12 AS STRING), '/', CAST(n.n_nationkey + 1 AS STRING), '/', t.target)
-FROM {decision_targets} t JOIN {nation} n ON n.n_nationkey < length(t.target) % 4 * 8
+SELECT concat('r', CAST(o_orderkey - o_orderkey % 512 AS STRING)) AS repository,
+       concat('old/', CAST((o_orderkey % 32 + 1) % 12 AS STRING), '/f', CAST(o_orderkey - o_orderkey % 32 AS STRING), '-', CAST(o_orderkey % 32 + 1 AS STRING), '.rs') AS old_path,
+       CASE WHEN o_orderkey % 32 = 0 THEN concat('src/f', CAST(o_orderkey AS STRING), '.rs')
+            ELSE concat('old/', CAST(o_orderkey % 32 % 12 AS STRING), '/f', CAST(o_orderkey - o_orderkey % 32 AS STRING), '-', CAST(o_orderkey % 32 AS STRING), '.rs') END AS new_path
+FROM {orders} WHERE o_orderkey % 101 <> 100
+""")
+adapter("moved_targets", """
+SELECT concat('r', CAST(o_orderkey - o_orderkey % 512 AS STRING)) AS repository, concat('src/f', CAST(o_orderkey AS STRING), '.rs') AS target
+FROM {orders} WHERE o_orderkey % 32 = 0
+""")
+adapter("moved_decisions", """
+SELECT concat('r', CAST(p_partkey * 7 - p_partkey * 7 % 512 AS STRING)) AS repository, concat('d', CAST(p_partkey AS STRING)) AS decision_id,
+       CASE p_size % 5 WHEN 0 THEN 'src' WHEN 1 THEN concat('old/', CAST(p_size % 12 AS STRING)) WHEN 2 THEN 'old' WHEN 3 THEN concat('src/f', CAST(p_partkey * 7 - p_partkey * 7 % 32 AS STRING), '.rs') ELSE 'none' END AS path_prefix
+FROM {part}
 """)
 
 
 @query("dec_2_decisions_via_lineage", f"""
 WITH RECURSIVE walk AS (
-  SELECT t.repository, t.target, r.old_path AS path FROM {{decision_targets}} t JOIN {{renames}} r ON r.repository = t.repository AND r.new_path = t.target
+  SELECT t.repository, t.target, r.old_path AS path FROM {{moved_targets}} t JOIN {{renames}} r ON r.repository = t.repository AND r.new_path = t.target
   UNION SELECT w.repository, w.target, r.old_path FROM walk w JOIN {{renames}} r ON r.repository = w.repository AND r.new_path = w.path),
-direct AS ({DIRECT})
+direct AS (SELECT t.repository, t.target, d.decision_id, d.path_prefix, 'direct' AS matched_via, t.target AS matched_path
+  FROM {{moved_targets}} t JOIN {{moved_decisions}} d ON d.repository = t.repository AND {COVERS.replace('{p}', 't.target')})
 SELECT * FROM direct
 UNION ALL
 SELECT w.repository, w.target, d.decision_id, d.path_prefix, 'git_file_lineage', min(w.path)
-FROM walk w JOIN {{decision_rows}} d ON d.repository = w.repository AND {COVERS.replace('{p}', 'w.path')}
+FROM walk w JOIN {{moved_decisions}} d ON d.repository = w.repository AND {COVERS.replace('{p}', 'w.path')}
 WHERE NOT EXISTS (SELECT 1 FROM direct x WHERE x.repository = w.repository AND x.target = w.target AND x.decision_id = d.decision_id)
 GROUP BY w.repository, w.target, d.decision_id, d.path_prefix
 """)
 def _(t):
-    return dec.decisions_via_lineage(t("decision_rows"), t("decision_targets"), t("renames"))
+    return dec.decisions_via_lineage(t("moved_decisions"), t("moved_targets"), t("renames"))
 
 
 adapter("guidance_files", """

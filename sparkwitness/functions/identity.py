@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-FINGERPRINT_WORDS = 8
+FINGERPRINT_WORDS = 10
 
 
 def is_canonical_atom(value: Column, max_bytes: int = 512) -> Column:
@@ -54,12 +54,12 @@ def bag_digest(row_digest: Column, version: str) -> Column:
 
     The sums are associative, so members are combined map-side and a group of any size never
     has to be gathered and sorted in one task.  Order of rows cannot matter; a repeated member
-    does, so callers de-duplicate first when they want set semantics.
+    does, so callers de-duplicate first when they want set semantics.  Words have 24 bits, which
+    leaves room for 2^39 members in a long.
     """
     words = [
-        F.sum(F.conv(F.substring(row_digest, 1 + 8 * i, 8), 16, 10).cast("decimal(38,0)"))
-        for i in range(FINGERPRINT_WORDS)
+        F.sum(F.conv(F.substring(row_digest, 1 + 6 * i, 6), 16, 10).cast("long")) for i in range(FINGERPRINT_WORDS)
     ]
     parts = [F.lit(version), F.count(row_digest).cast("string")]
-    parts += [F.coalesce(w, F.lit(0).cast("decimal(38,0)")).cast("string") for w in words]
+    parts += [F.coalesce(w, F.lit(0).cast("long")).cast("string") for w in words]
     return F.sha2(F.concat_ws("|", *parts), 256)

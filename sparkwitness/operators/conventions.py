@@ -66,7 +66,7 @@ def precedent_findings(facts: DataFrame, changed: DataFrame) -> DataFrame:
         counts.withColumn("_rank", F.row_number().over(order))
         .where(F.col("_rank") <= 3)
         .groupBy("repository")
-        .agg(F.array_sort(F.collect_list(F.struct("_rank", "name", "n"))).alias("_leaders"))
+        .agg(F.sort_array(F.collect_list(F.struct("_rank", "name", "n"))).alias("_leaders"))
     )
     per_file_name = facts.groupBy("repository", "path", "name").agg(F.count(F.lit(1)).alias("_own_in_file"))
     per_file = per_file_name.groupBy("repository", "path").agg(

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.binding import present
 from ..plans.scopes import with_ancestors
 
 EXAMPLES = 3
@@ -35,26 +36,21 @@ def anchor_cohort(
 ) -> DataFrame:
     """Newest ``max_commits`` non-merge commits per anchor; the limit applies before exclusions.
 
-    The rank filter becomes a group limit before the shuffle, so a path touched by most commits
-    sends at most ``max_commits`` rows per map task.  Path counts join afterwards, when the
-    cohort is already small.
+    Paths, log and path counts meet on the commit, so the paths are shuffled once.  The rank filter
+    then becomes a group limit in front of the second shuffle: a path touched by most commits sends
+    at most ``max_commits`` rows per task.
     """
     touched = commit_paths.withColumnRenamed("path", "anchor")
     if anchors is not None:
         touched = touched.join(anchors.select("repository", "anchor").distinct(), ["repository", "anchor"])
     log = commits.where(~F.col("is_merge")).select("repository", "sha", "log_pos", "subject")
     newest = Window.partitionBy("repository", "anchor").orderBy("log_pos")
-    window = (
+    reason = F.when(is_revert(F.col("subject")), "revert").when(F.col("changed_paths") > max_paths, "broad")
+    return (
         touched.join(log, ["repository", "sha"])
+        .join(path_counts(commit_paths), ["repository", "sha"])
         .withColumn("_rank", F.row_number().over(newest))
         .where(F.col("_rank") <= max_commits)
-        .drop("_rank")
-    )
-    reason = F.when(is_revert(F.col("subject")), "revert").when(
-        F.col("changed_paths") > max_paths, "broad"
-    )
-    return (
-        window.join(path_counts(commit_paths), ["repository", "sha"])
         .withColumn("reason", reason)
         .withColumn("considered", F.col("reason").isNull())
         .select(
@@ -70,34 +66,37 @@ def _percent(support: Column, opportunities: Column) -> Column:
 def companions(cohort: DataFrame, commit_paths: DataFrame, examples: int = EXAMPLES) -> DataFrame:
     """Paths that changed together with an anchor, with both kinds of example.
 
-    Arrays hold at most ``max_commits`` cohort entries and are cut to ``examples`` at the end.
-    A commit in the cohort has at most ``max_paths`` paths, which bounds the join.
+    A considered commit is known by its place in the anchor's cohort, so the arrays hold small
+    integers, at most ``max_commits`` of them; a commit has at most ``max_paths`` paths, which bounds
+    the join.
     """
-    kept = cohort.where("considered").select("repository", "anchor", "sha", "log_pos")
-    entry = F.struct("log_pos", "sha")
+    newest = Window.partitionBy("repository", "anchor").orderBy("log_pos")
+    kept = (
+        cohort.where("considered").select("repository", "anchor", "sha", "log_pos")
+        .withColumn("_place", F.row_number().over(newest))
+    )
     anchors = kept.groupBy("repository", "anchor").agg(
         F.count(F.lit(1)).alias("opportunities"),
-        F.array_sort(F.collect_list(entry)).alias("_cohort"),
+        F.sort_array(F.collect_list(F.struct("_place", "sha")))["sha"].alias("_shas"),
     )
     pairs = (
         kept.join(commit_paths, ["repository", "sha"])
         .where(F.col("path") != F.col("anchor"))
         .groupBy("repository", "anchor", "path")
-        .agg(
-            F.count(F.lit(1)).alias("support"),
-            F.array_sort(F.collect_list(entry)).alias("_present"),
-        )
+        .agg(F.sort_array(F.collect_list("_place")).alias("_present"))
     )
-    absent = F.array_except("_cohort", "_present")
+    named = lambda places: F.transform(F.slice(places, 1, examples), lambda i: F.get("_shas", i - 1))
+    absent = F.array_except(F.sequence(F.lit(1), F.col("opportunities").cast("int")), "_present")
+    support = F.size("_present").cast("long")
     return pairs.join(anchors, ["repository", "anchor"]).select(
         "repository",
         "anchor",
         "path",
-        "support",
+        support.alias("support"),
         "opportunities",
-        _percent(F.col("support"), F.col("opportunities")).alias("support_percent"),
-        F.slice("_present", 1, examples)["sha"].alias("examples"),
-        F.slice(absent, 1, examples)["sha"].alias("counterexamples"),
+        _percent(support, F.col("opportunities")).alias("support_percent"),
+        named(F.col("_present")).alias("examples"),
+        named(absent).alias("counterexamples"),
     )
 
 
@@ -128,8 +127,7 @@ def generated_markers(files: DataFrame) -> DataFrame:
     )
     first = F.get(hits, 0)
     return (
-        files.select("repository", "path", first.alias("hit"))
-        .where("hit IS NOT NULL")
+        files.select("repository", "path", present(first).alias("hit"))
         .select("repository", "path", F.col("hit.line").cast("long").alias("line"), F.regexp_replace("hit.marker", r"^\s+|\s+$", "").alias("marker"))
     )
 
@@ -188,7 +186,7 @@ def class_cohort(
         .groupBy("repository", "source", "output")
         .agg(
             F.count(F.lit(1)).alias("_sup"),
-            F.slice(F.array_sort(F.collect_list(F.struct("log_pos", "sha"))), 1, EXAMPLES)["sha"].alias("_ex"),
+            F.slice(F.sort_array(F.collect_list(F.struct("log_pos", "sha"))), 1, EXAMPLES)["sha"].alias("_ex"),
         )
     )
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long"))

@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.binding import present
 from ..functions.references import mentions, refs, relation_of
 
 ISSUE_URL = r"(?i)^https://(?:redirect\.)?github\.com/([^/]+/[^/]+)/issues/([1-9][0-9]*)(?:[/?#].*)?$"
@@ -38,8 +39,8 @@ def artifact_edges(artifacts: DataFrame) -> DataFrame:
             F.explode(F.array_distinct(lines(F.col("evidence_text")))).alias("_line"),
         )
         .withColumn("line", _strip(F.col("_line")))
-        .withColumn("relation", relation_of(F.col("line")))
-        .where(F.col("relation").isNotNull())
+        .where(F.col("line").contains("#"))
+        .withColumn("relation", present(relation_of(F.col("line"))))
         .withColumn("to_number", F.explode(refs(F.col("line"))))
         .select("repository", "from_kind", "from_number", "relation", "to_number", "line")
         .distinct()

@@ -95,7 +95,7 @@ def held_pairs(events: DataFrame, block: int = BLOCK) -> DataFrame:
             .otherwise(F.struct(taken.alias("held"), F.array_append(acc["pairs"], pair).alias("pairs")))
         )
 
-    ordered = F.array_sort(F.collect_list(F.struct("_phase", "seq", "action", "guard", "resource")))
+    ordered = F.sort_array(F.collect_list(F.struct("_phase", "seq", "action", "guard", "resource")))
     return (
         rows.groupBy("session", "block").agg(ordered.alias("_events"))
         .select("session", F.inline(F.aggregate("_events", start, step, lambda acc: acc["pairs"])))

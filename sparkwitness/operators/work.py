@@ -104,7 +104,7 @@ def heads_up(
     me = heads.join(currents, ["snapshot_id", "id"]).select(
         "snapshot_id", F.col("id").alias("current_id"), F.col("head_sha").alias("_my_head")
     )
-    listed = lambda flag, name: F.array_sort(
+    listed = lambda flag, name: F.sort_array(
         F.collect_list(F.when(F.col(flag), F.col("path")) if flag else F.col("path"))
     ).alias(name)
     found = (

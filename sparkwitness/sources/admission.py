@@ -2,44 +2,37 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, StructType
 
+from ..functions.binding import let
 from ..functions.identity import digest
 from ..functions.paths import is_canonical_path
 
 
-def _any(tests: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, tests, F.lit(False))
-
-
-def _unknown_key(json: Column, kind: DataType) -> Column:
-    """Does the JSON text carry, at any level, a key the schema does not name?"""
+def _problem(json: Column, kind: DataType) -> Column:
+    """2 if the text carries, at any level, a key the schema does not name, else 1 if a field
+    that may not be null is absent, else 0.  Each level is parsed once, into a map of texts."""
     if isinstance(kind, StructType):
-        names = F.array(*[F.lit(f.name) for f in kind.fields])
-        own = F.coalesce(F.size(F.array_except(F.json_object_keys(json), names)) > 0, F.lit(False))
-        below = [_unknown_key(F.get_json_object(json, f"$.{f.name}"), f.dataType) for f in kind.fields if _nested(f.dataType)]
-        return _any([own, *below])
-    if isinstance(kind, ArrayType) and _nested(kind.elementType):
-        items = F.from_json(json, "array<string>")
-        return F.coalesce(F.exists(items, lambda x: _unknown_key(x, kind.elementType)), F.lit(False))
-    return F.lit(False)
-
 
-def _missing_key(json: Column, kind: DataType) -> Column:
-    """Is a field that the schema declares as not nullable absent?"""
-    if isinstance(kind, StructType):
-        keys = F.json_object_keys(json)
-        own = [F.coalesce(~F.array_contains(keys, f.name), F.lit(False)) for f in kind.fields if not f.nullable]
-        below = [_missing_key(F.get_json_object(json, f"$.{f.name}"), f.dataType) for f in kind.fields if _nested(f.dataType)]
-        return _any([*own, *below])
+        def level(entries: Column) -> Column:
+            keys = F.map_keys(entries)
+            names = F.array(*[F.lit(f.name) for f in kind.fields])
+            required = F.array(*[F.lit(f.name) for f in kind.fields if not f.nullable]).cast("array<string>")
+            own = (
+                F.when(F.size(F.array_except(keys, names)) > 0, 2)
+                .when(F.size(F.array_except(required, keys)) > 0, 1)
+                .otherwise(0)
+            )
+            below = [_problem(F.try_element_at(entries, F.lit(f.name)), f.dataType) for f in kind.fields if _nested(f.dataType)]
+            return F.greatest(own, *below) if below else own
+
+        return F.coalesce(let(F.from_json(json, "map<string,string>"), level), F.lit(0))
     if isinstance(kind, ArrayType) and _nested(kind.elementType):
-        items = F.from_json(json, "array<string>")
-        return F.coalesce(F.exists(items, lambda x: _missing_key(x, kind.elementType)), F.lit(False))
-    return F.lit(False)
+        worst = F.array_max(F.transform(F.from_json(json, "array<string>"), lambda x: _problem(x, kind.elementType)))
+        return F.coalesce(worst, F.lit(0))
+    return F.lit(0)
 
 
 def _nested(kind: DataType) -> bool:
@@ -49,11 +42,11 @@ def _nested(kind: DataType) -> bool:
 def admit(documents: DataFrame, column: str, schema: StructType, version: int) -> DataFrame:
     """Documents with ``packet`` parsed, or the ``reason`` for which they are rejected."""
     json = F.col(column)
-    reason = (
-        F.when(F.json_object_keys(json).isNull(), "malformed")
-        .when(~F.get_json_object(json, "$.schema_version").eqNullSafe(F.lit(str(version))), "unsupported_schema_version")
-        .when(_unknown_key(json, schema), "unknown_field")
-        .when(_missing_key(json, schema), "missing_field")
+    reason = let(
+        F.get_json_object(json, "$.schema_version"),
+        lambda stated: F.when(F.json_object_keys(json).isNull(), "malformed")
+        .when(~stated.eqNullSafe(F.lit(str(version))), "unsupported_schema_version")
+        .otherwise(F.element_at(F.array(F.lit(None).cast("string"), F.lit("missing_field"), F.lit("unknown_field")), _problem(json, schema) + 1)),
     )
     return documents.withColumn("reason", reason).withColumn(
         "packet", F.when(F.col("reason").isNull(), F.from_json(json, schema))

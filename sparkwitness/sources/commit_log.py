@@ -45,41 +45,39 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _parsed(records: DataFrame, with_parents: bool) -> DataFrame:
-    body = F.regexp_replace("record", "^[\n\r]+", "")
-    lines = F.split(body, "\r?\n", -1)
-    fields = F.transform(
-        F.split(F.regexp_replace(F.get(lines, F.lit(0)), TRIM, ""), FIELD, 3), lambda f: F.regexp_replace(f, TRIM, "")
-    )
-    paths = F.array_distinct(
-        F.filter(
-            F.transform(F.slice(lines, 2, F.size(lines)), lambda p: F.regexp_replace(p, TRIM, "")), lambda p: p != ""
-        )
-    )
-    middle = F.get(fields, F.lit(1))
+    lines = F.split(F.regexp_replace("record", "^[\n\r]+", ""), "\r?\n", -1)
+    head = F.regexp_replace(F.get("_lines", F.lit(0)), TRIM, "")
+    fields = F.transform(F.split(head, FIELD, 3), lambda f: F.regexp_replace(f, TRIM, ""))
+    middle = F.get("_fields", F.lit(1))
     extra = (
         F.when(middle != "", F.get(F.split(middle, r"\s+"), F.lit(0))).alias("parent_sha")
         if with_parents
         else F.to_timestamp(middle).alias("committed_at")
     )
-    return records.select(
-        "repository", "log_pos", F.size(fields).alias("_fields"), F.get(fields, F.lit(0)).alias("sha"),
-        extra, F.get(fields, F.lit(2)).alias("subject"), paths.alias("_paths"),
+    return (
+        records.select("repository", "log_pos", lines.alias("_lines"))
+        .select("repository", "log_pos", "_lines", fields.alias("_fields"))
+        .select(
+            "repository", "log_pos", F.size("_fields").alias("_width"), F.get("_fields", F.lit(0)).alias("sha"),
+            extra, F.get("_fields", F.lit(2)).alias("subject"), "_lines",
+        )
     )
 
 
 def parse_commits(records: DataFrame, with_parents: bool = False) -> DataFrame:
     """``records(repository, log_pos, record)`` to commits; merges are absent by export."""
-    rows = _parsed(records, with_parents).where(F.col("_fields") == 3)
-    return rows.drop("_fields", "_paths").withColumn("is_merge", F.lit(False))
+    rows = _parsed(records, with_parents).where(F.col("_width") == 3)
+    return rows.drop("_width", "_lines").withColumn("is_merge", F.lit(False))
 
 
 def parse_commit_paths(records: DataFrame) -> DataFrame:
-    rows = _parsed(records, True).where(F.col("_fields") == 3)
-    return rows.select("repository", "sha", F.explode("_paths").alias("path"))
+    rows = _parsed(records, True).where(F.col("_width") == 3)
+    paths = F.transform(F.slice("_lines", F.lit(2), F.size("_lines")), lambda p: F.regexp_replace(p, TRIM, ""))
+    return rows.select("repository", "sha", F.explode(F.array_distinct(paths)).alias("path")).where(F.col("path") != "")
 
 
 def malformed_records(records: DataFrame) -> DataFrame:
-    return _parsed(records, True).where(F.col("_fields") != 3).select("repository", "log_pos")
+    return _parsed(records, True).where(F.col("_width") != 3).select("repository", "log_pos")
 
 
 def read_commit_log(spark: SparkSession, path: str, with_parents: bool = False) -> tuple[DataFrame, DataFrame]:

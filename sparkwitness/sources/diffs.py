@@ -43,17 +43,30 @@ def changed_ranges(diffs: DataFrame) -> DataFrame:
         "change_id", F.posexplode(F.split("diff", r"(?md)^(?=@@|\+\+\+ )", -1)).alias("pos", "piece")
     ).where(F.col("piece").startswith("@@") | F.col("piece").startswith("+++ "))
     head = F.regexp_replace(F.substring_index("piece", "\n", 1), "\r+$", "")
-    named = F.when(F.col("piece").startswith("+++ "), F.substr(head, F.lit(5)))
-    first = F.substring_index(F.regexp_extract(head, r"\s\++(\S*)", 1), ",", 1)
-    first = F.when(first.rlike("^[0-9]+$"), first.cast("long"))
-    body = F.split(F.col("piece"), "\r?\n", -1)
-    inner = F.slice(body, F.lit(2), F.size(body))
+    is_hunk = F.col("piece").startswith("@@")
+    first = F.substring_index(F.regexp_extract("_head", r"\s\++(\S*)", 1), ",", 1)
+    body = F.slice("_body", F.lit(2), F.size("_body"))
+    # Without a context line in front of the last addition, the usual export, the added lines of a
+    # hunk are one run and need no fold.
+    is_added = lambda s: s.startswith("+") & ~s.startswith("+++")
+    keeps_place = lambda s: (s.startswith("-") & ~s.startswith("---")) | s.startswith("\\")
+    first_other = F.array_position(F.transform(body, lambda s: ~is_added(s) & ~keeps_place(s)), True)
+    after_last = F.array_position(F.reverse(F.transform(body, is_added)), True)
+    plain = (after_last == 0) | (first_other == 0) | (first_other > F.size(body) - after_last + 1)
+    added = F.size(F.filter(body, is_added))
+    one_run = F.filter(
+        F.array(F.struct(F.lit(0).cast("long").alias("start"), (added - 1).cast("long").alias("end"))), lambda r: r["end"] >= 0
+    )
     earlier = Window.partitionBy("change_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     hunks = (
         pieces.select(
-            "change_id", "pos", named.alias("_named"),
-            F.when(F.col("piece").startswith("@@"), first).alias("_first"),
-            F.when(F.col("piece").startswith("@@"), _runs(inner)).alias("_runs"),
+            "change_id", "pos", "piece", head.alias("_head"), F.when(is_hunk, F.split("piece", "\r?\n", -1)).alias("_body")
+        )
+        .select(
+            "change_id", "pos",
+            F.when(~is_hunk, F.substr("_head", F.lit(5))).alias("_named"),
+            F.when(is_hunk & first.rlike("^[0-9]+$"), first.cast("long")).alias("_first"),
+            F.when(is_hunk, F.when(plain, one_run).otherwise(_runs(body))).alias("_runs"),
         )
         .withColumn("path", F.last("_named", ignorenulls=True).over(earlier))
         .where((F.col("path") != "/dev/null") & F.col("_first").isNotNull())
