@@ -88,7 +88,7 @@ SELECT DISTINCT repository, path AS target, split_part(path, '/', 1) AS scope FR
 """)
 
 adapter("work_items", """
-SELECT CAST(o_custkey % 50 AS STRING) AS snapshot_id, concat('#', CAST(o_orderkey AS STRING)) AS id,
+SELECT CAST(o_orderkey % 50 AS STRING) AS snapshot_id, concat('#', CAST(o_orderkey AS STRING)) AS id,
        'pull_request' AS kind, concat('Change ', CAST(o_orderkey AS STRING)) AS title,
        CAST(o_orderkey % 200 AS STRING) AS head_sha,
        CASE o_orderstatus WHEN 'F' THEN 'confirmed_active' WHEN 'O' THEN 'preparation' ELSE 'unresolved' END AS activity
@@ -96,9 +96,9 @@ FROM {orders} WHERE o_orderkey > 0
 """)
 
 adapter("work_paths", """
-SELECT DISTINCT CAST(o_custkey % 50 AS STRING) AS snapshot_id, concat('#', CAST(o_orderkey AS STRING)) AS id, path
-FROM {orders} JOIN {lineitem} ON l_orderkey = o_orderkey JOIN {part_path} ON l_partkey = p_partkey
-WHERE o_orderkey > 0
+SELECT DISTINCT CAST(l_orderkey % 50 AS STRING) AS snapshot_id, concat('#', CAST(l_orderkey AS STRING)) AS id, path
+FROM {lineitem} JOIN {part_path} ON l_partkey = p_partkey
+WHERE l_orderkey > 0
 """)
 
 # The reference model: one current item per snapshot.

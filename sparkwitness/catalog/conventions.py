@@ -86,6 +86,14 @@ def _(t):
     return op.precedent_findings(t("facts"), _changed(t))
 
 
+@query("conv_4_local_names", f"""
+SELECT DISTINCT ch.repository, ch.path, ch.line, ch.name, o.name AS local_name FROM ({CHANGED}) ch
+JOIN {{facts}} o ON o.repository = ch.repository AND o.path = ch.path AND o.name <> ch.name
+""")
+def _(t):
+    return op.precedent_local_names(t("facts"), op.precedent_findings(t("facts"), _changed(t)))
+
+
 # Small files, so that a file often has exactly one other name: the tension cases.
 adapter("small_file_facts", """
 SELECT concat('r', CAST(p_partkey % 5 AS STRING)) AS repository, concat('f', CAST(p_partkey - p_partkey % 15 AS STRING), '.rs') AS path,

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 BASE_TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -22,6 +23,7 @@ BASE_TABLES = [
 
 ADAPTERS: dict[str, str] = {}
 QUERIES: dict[str, "Query"] = {}
+_SCHEMAS: dict[str, StructType] = {}
 _REFERENCE = re.compile(r"\{([a-z]\w*)\}")
 
 
@@ -62,14 +64,20 @@ class Tables:
             if name in ADAPTERS:
                 self._built[name] = self._select(ADAPTERS[name])
             elif name in self.streamed:
-                schema = self.spark.read.parquet(f"{self.folder}/{name}.parquet").schema
-                reader = self.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet*")
+                reader = self.spark.readStream.schema(self._schema(name)).option("pathGlobFilter", f"{name}.parquet*")
                 self._built[name] = reader.parquet(str(self.folder))
             else:
-                self._built[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+                self._built[name] = self.spark.read.schema(self._schema(name)).parquet(f"{self.folder}/{name}.parquet")
         return self._built[name]
 
 
+    def _schema(self, name: str):
+        """A table's footer is read once per process, not once per query."""
+        path = f"{self.folder}/{name}.parquet"
+        if path not in _SCHEMAS:
+            _SCHEMAS[path] = self.spark.read.parquet(path).schema
+        return _SCHEMAS[path]
+
     def streaming(self, *names: str) -> "Tables":
         """The same tables with some of them read as streams."""
         return Tables(self.spark, str(self.folder), names)

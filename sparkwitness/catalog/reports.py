@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from ..operators import reports as op
 from ..operators import work as wk
+from ..plans.durable import fresh_folder
+from ..sources import packets
 from . import sqlparts as sq
 from .core import query
 
@@ -69,3 +71,13 @@ def _(t):
 @query("rep_3_claim_kind_counts", f"SELECT snapshot_id, kind, claim_kind, count(*) AS claims FROM ({BASE}) b GROUP BY snapshot_id, kind, claim_kind")
 def _(t):
     return op.claim_kind_counts(_findings(_overlaps(t)), KEYS)
+
+
+@query("src_6_report_sink", BASE)
+def _(t):
+    # Written as nested JSON into the shared folder, and read back with the declared schema.
+    nested = _findings(_overlaps(t))
+    folder = fresh_folder(t.spark, "report")
+    packets.write_report(nested, folder, partition_by="snapshot_id")
+    flat = op.flatten(packets.read_packets(t.spark, folder, nested.schema, multiline=False), KEYS)
+    return flat.select("snapshot_id", "kind", "title", "path", "question", "claim_index", "claim_kind", "claim", "evidence", "evidence_path")

@@ -112,3 +112,13 @@ def precedent_findings(facts: DataFrame, changed: DataFrame) -> DataFrame:
             F.when(F.col("_tension"), alignment).alias("alignment"),
         )
     )
+
+
+def precedent_local_names(facts: DataFrame, findings: DataFrame) -> DataFrame:
+    """The other names of a finding's file, one row each."""
+    names = facts.select("repository", "path", F.col("name").alias("local_name")).distinct()
+    return (
+        findings.select("repository", "path", "line", "name")
+        .join(names, ["repository", "path"])
+        .where(F.col("local_name") != F.col("name"))
+    )

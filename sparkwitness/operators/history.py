@@ -246,14 +246,14 @@ def cohort_compare(
 
 
 def _limited(rows: DataFrame, keys: list[str], limit: int) -> DataFrame:
-    """Newest ``limit`` rows per key; the totals tell whether the window was cut."""
+    """Newest ``limit`` rows per key.  One row more is ranked, to tell whether the window was cut."""
     newest = Window.partitionBy(*keys).orderBy("log_pos")
-    totals = rows.groupBy(*keys).agg((F.count(F.lit(1)) > limit).alias("truncated"))
+    ranked = rows.withColumn("_rank", F.row_number().over(newest)).where(F.col("_rank") <= limit + 1)
+    whole = Window.partitionBy(*keys)
     return (
-        rows.withColumn("_rank", F.row_number().over(newest))
+        ranked.withColumn("truncated", F.max("_rank").over(whole) > limit)
         .where(F.col("_rank") <= limit)
         .drop("_rank")
-        .join(totals, keys)
     )
 
 

@@ -56,15 +56,19 @@ def trial_pairs(fingerprints: DataFrame, observations: DataFrame) -> DataFrame:
     """
     packet = F.col("packet_fingerprint")
     arm = F.when(packet == F.col("control_packet"), "control").when(packet == F.col("treatment_packet"), "treatment")
-    of = lambda a: F.count_if(F.col("_arm") == a)
-    action = lambda a: F.max(F.when(F.col("_arm") == a, F.col("first_action")))
+    # Equal observations are counted before the join, so a repeated packet stays one row.
+    seen = observations.groupBy("trial_id", "packet_fingerprint").agg(
+        F.count(F.lit(1)).alias("_n"), F.max("first_action").alias("_action")
+    )
+    of = lambda test: F.coalesce(F.sum(F.when(test, F.col("_n"))), F.lit(0))
+    action = lambda a: F.max(F.when(F.col("_arm") == a, F.col("_action")))
     rows = (
-        fingerprints.join(observations, "trial_id", "left")
+        fingerprints.join(seen, "trial_id", "left")
         .withColumn("_arm", arm)
         .groupBy("trial_id")
         .agg(
-            of("control").alias("_c"), of("treatment").alias("_t"),
-            F.count_if(packet.isNotNull() & F.col("_arm").isNull()).alias("_unknown"),
+            of(F.col("_arm") == "control").alias("_c"), of(F.col("_arm") == "treatment").alias("_t"),
+            of(packet.isNotNull() & F.col("_arm").isNull()).alias("_unknown"),
             action("control").alias("control_action"), action("treatment").alias("treatment_action"),
         )
     )

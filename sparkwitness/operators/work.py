@@ -8,9 +8,7 @@ row per other item and not all pairs.
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import covers
@@ -37,12 +35,13 @@ def change_overlap(paths_a: DataFrame, paths_b: DataFrame, pairs: DataFrame, sco
     size_b = right.groupBy("b").agg(F.count(F.lit(1)).alias("size_b"))
     shared = pairs.join(left, "a").join(right, ["b", "path"]).select("pair_id", "path")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
-    return (
-        pairs.join(size_a, "a", "left")
-        .join(size_b, "b", "left")
-        .join(shared, "pair_id", "left")
-        .select("pair_id", "a", "b", zero("size_a"), zero("size_b"), "path")
+    sized = (
+        pairs.join(size_a, "a", "left").join(size_b, "b", "left")
+        .select("pair_id", "a", "b", zero("size_a"), zero("size_b"))
     )
+    # Inner and anti join instead of one outer join: a pair with very many shared paths stays splittable.
+    quiet = sized.join(shared, "pair_id", "left_anti").withColumn("path", F.lit(None).cast("string"))
+    return shared.join(sized, "pair_id").select(*quiet.columns).unionByName(quiet)
 
 
 def _current_paths(work_paths: DataFrame, currents: DataFrame) -> DataFrame:
@@ -148,11 +147,3 @@ def has_overlap(work_paths: DataFrame, currents: DataFrame) -> DataFrame:
     return currents.join(hit, "snapshot_id", "left").select(
         "snapshot_id", F.col("id").alias("current_id"), F.coalesce("_hit", F.lit(False)).alias("overlaps")
     )
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
-
-
-def any_true(flag: Column) -> Column:
-    return F.coalesce(F.bool_or(flag), F.lit(False))
