@@ -103,5 +103,6 @@ WHERE l_orderkey > 0
 
 # The reference model: one current item per snapshot.
 adapter("currents", """
-SELECT snapshot_id, min(id) AS id FROM {work_items} GROUP BY snapshot_id
+SELECT CAST(o_orderkey % 50 AS STRING) AS snapshot_id, concat('#', CAST(min(o_orderkey) AS STRING)) AS id
+FROM {orders} WHERE o_orderkey > 0 GROUP BY o_orderkey % 50
 """)
