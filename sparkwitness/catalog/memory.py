@@ -8,7 +8,7 @@ from .core import adapter, query
 
 # Artifact texts with every relation form, near misses and a primary-case block.
 adapter("artifacts", """
-SELECT concat('Org/r', CAST(o_custkey % 7 AS STRING)) AS repository,
+SELECT concat('Org/r', CAST(o_orderkey - o_orderkey % 64 AS STRING)) AS repository,
        CASE WHEN o_orderkey % 4 = 0 THEN 'issue' ELSE 'pull_request' END AS kind, o_orderkey + 1 AS number,
        o_orderkey % 5 <> 0 AS merged, o_orderkey % 6 <> 0 AS evidence_complete,
        concat('Summary of ', o_orderpriority, chr(10),
@@ -19,7 +19,7 @@ SELECT concat('Org/r', CAST(o_custkey % 7 AS STRING)) AS repository,
          CASE WHEN o_orderkey % 11 = 0 THEN concat('Deployment continuation #', CAST(o_orderkey + 22 AS STRING), chr(10)) ELSE '' END,
          CASE WHEN o_orderkey % 13 = 0 THEN concat('closes: #', CAST(o_orderkey + 1 AS STRING), chr(10), 'fixes', chr(10)) ELSE '' END,
          CASE WHEN o_orderkey % 9 = 0 THEN concat('Primary case:', chr(10), chr(10), '  https://github.com/',
-              CASE o_orderkey % 4 WHEN 0 THEN concat('org/R', CAST(o_custkey % 7 AS STRING)) WHEN 1 THEN concat('Org/r', CAST(o_custkey % 7 AS STRING)) ELSE 'Org/r9' END,
+              CASE o_orderkey % 4 WHEN 0 THEN concat('org/R', CAST(o_orderkey - o_orderkey % 64 AS STRING)) WHEN 1 THEN concat('Org/r', CAST(o_orderkey - o_orderkey % 64 AS STRING)) ELSE 'Org/r9' END,
               '/issues/', CAST(o_orderkey + CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 7 END AS STRING), CASE WHEN o_orderkey % 2 = 0 THEN '#top' ELSE '' END, chr(10)) ELSE '' END,
          CASE WHEN o_orderkey % 17 = 0 THEN concat('PRIMARY CASE:', chr(10), 'see the list', chr(10)) ELSE '' END,
          CASE WHEN o_orderkey % 19 = 0 THEN 'primary case:' ELSE 'end' END) AS evidence_text
@@ -28,6 +28,8 @@ FROM {orders}
 adapter("artifact_paths", """
 SELECT DISTINCT a.repository, a.kind, a.number, p.path FROM {artifacts} a JOIN {lineitem} l ON l.l_orderkey + 1 = a.number
 JOIN {part_path} p ON l.l_partkey = p.p_partkey
+UNION ALL
+SELECT repository, kind, number, 'src/shared.rs' AS path FROM {artifacts} WHERE number % 10 <> 3
 """)
 
 LINES = """
@@ -77,7 +79,7 @@ SELECT repository, kind AS from_kind, number AS from_number,
             ELSE concat('Follow-up to #', CAST(number + 2 AS STRING), ', see x#4 and #05') END AS evidence
 FROM {artifacts} WHERE (number - 1) % 3 = 0
 UNION ALL
-SELECT repository, kind, number, CASE WHEN number % 4 = 0 THEN 'parent' ELSE 'related' END, 'pull_request', number + CASE WHEN number % 8 = 2 THEN 5 ELSE 6 END,
+SELECT repository, kind, number, CASE WHEN number % 5 = 0 THEN 'parent' ELSE 'related' END, 'pull_request', number + CASE WHEN number % 8 = 2 THEN 5 ELSE 6 END,
        concat('Primary case:', chr(10), chr(10), '  https://github.com/', CASE (number - 1) % 4 WHEN 1 THEN repository ELSE 'Org/r9' END, '/issues/',
               CAST(number + 6 AS STRING), CASE WHEN (number - 1) % 2 = 0 THEN '#top' ELSE '' END)
 FROM {artifacts} WHERE (number - 1) % 9 = 0

@@ -78,7 +78,7 @@ def _(t):
 
 
 adapter("observations", """
-SELECT CAST(event_id AS STRING) AS observation_id, concat(event_type, CAST(user_id % 20 AS STRING)) AS discriminator_id,
+SELECT CAST(event_id AS STRING) AS observation_id, concat(event_type, CAST(user_id % 20 AS STRING), '-', CAST(event_id % 9 AS STRING)) AS discriminator_id,
        CAST(user_id AS STRING) AS subject_ref,
        CASE WHEN k % 3 <> 0 THEN concat('v', CAST(k % 3 AS STRING)) END AS value_ref,
        CASE WHEN k % 5 = 0 THEN 'invalid' WHEN k % 5 = 1 THEN 'unknown' ELSE 'applies' END AS applicability
@@ -111,7 +111,7 @@ def _(t):
 
 
 adapter("frontier_requirements", """
-SELECT DISTINCT concat(event_type, CAST(user_id % 20 AS STRING)) AS discriminator_id,
+SELECT DISTINCT concat(event_type, CAST(user_id % 20 AS STRING), '-', CAST(event_id % 9 AS STRING)) AS discriminator_id,
        CAST(user_id + CASE WHEN user_id % 10 = 0 THEN 1 ELSE 0 END AS STRING) AS subject_ref
 FROM {events} WHERE event_type <> 'view'
 """)
@@ -165,7 +165,7 @@ SELECT b.bridge_id, concat('p', CAST(e.event_id AS STRING)) AS probe_id, b.kind,
        CASE e.k % 3 WHEN 0 THEN 'effectful' WHEN 1 THEN 'read_only' ELSE 'external_read' END AS effect,
        e.k % 4 AS git_subprocesses, e.k % 7 AS files_parsed, e.k % 2 AS remote_requests, e.k % 5 AS effectful_executions
 FROM {event_keys} e JOIN {bridges} b
-  ON b.discriminator_id = concat(e.event_type, CAST(e.user_id % 20 AS STRING)) AND b.subject_ref = CAST(e.user_id AS STRING)
+  ON b.discriminator_id = concat(e.event_type, CAST(e.user_id % 20 AS STRING), '-', CAST(e.event_id % 9 AS STRING)) AND b.subject_ref = CAST(e.user_id AS STRING)
 """)
 
 

@@ -95,7 +95,7 @@ def _(t):
 
 
 adapter("issues", """
-SELECT concat('Org/r', CAST(o_custkey % 7 AS STRING)) AS repository, o_orderkey + 1 AS number,
+SELECT concat('Org/r', CAST(o_orderkey - o_orderkey % 64 AS STRING)) AS repository, o_orderkey + 1 AS number,
        CASE WHEN o_orderstatus = 'O' THEN 'open' ELSE 'closed' END AS state, concat('user', CAST(o_custkey AS STRING)) AS reporter,
        concat('Body', chr(10), CASE WHEN o_orderkey % 3 = 0 THEN concat('  **Re-reporting** the bug from #', CAST(o_orderkey - 6 + o_orderkey % 2 * 14 AS STRING),
                 CASE o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN ' (still there)' WHEN 2 THEN '.' ELSE 'x' END, chr(10)) ELSE '' END,
@@ -104,10 +104,10 @@ SELECT concat('Org/r', CAST(o_custkey % 7 AS STRING)) AS repository, o_orderkey
 FROM {orders} WHERE o_orderkey > 20
 """)
 adapter("issue_comments", """
-SELECT concat('Org/r', CAST(o_custkey % 7 AS STRING)) AS repository, o_orderkey + 1 AS number, l_linenumber + l_suppkey * 10 AS comment_id,
+SELECT concat('Org/r', CAST(o_orderkey - o_orderkey % 64 AS STRING)) AS repository, o_orderkey + 1 AS number, l_linenumber + l_suppkey * 10 AS comment_id,
        CASE WHEN l_linenumber = 4 THEN concat('user', CAST(o_custkey AS STRING)) WHEN l_linenumber = 5 THEN 'someone' ELSE 'github-actions[bot]' END AS actor,
        CASE WHEN l_linenumber < 3 OR l_linenumber = 5 THEN concat('Closing for now — inactive for too long. Please [open a new issue](https://github.com/Org/r',
-                CAST(CASE WHEN l_quantity < 5 THEN 8 ELSE o_custkey % 7 END AS STRING), '/issues/new/choose) if this is still relevant.')
+                CAST(CASE WHEN l_quantity < 5 THEN 8 ELSE o_orderkey - o_orderkey % 64 END AS STRING), '/issues/new/choose) if this is still relevant.')
             WHEN l_linenumber = 3 THEN concat('Found 2 possible duplicate issues:', chr(10), 'This issue will be automatically closed as a duplicate in 3 days.')
             WHEN l_linenumber = 4 THEN CASE WHEN l_quantity > 10 THEN 'Not a duplicate of the suggested issues. Mine differs.' ELSE 'Thanks' END
             ELSE 'possible duplicate issues: none' END AS body
@@ -178,7 +178,7 @@ def _(t):
 
 # Lessons: an order is a claim; its line items are repairs, adjacent work or coverage.
 adapter("lesson_claims", """
-SELECT concat('c', CAST(o_orderkey AS STRING)) AS claim_id, concat('Org/r', CAST(o_custkey % 7 AS STRING)) AS repository,
+SELECT concat('c', CAST(o_orderkey AS STRING)) AS claim_id, concat('Org/r', CAST(o_orderkey - o_orderkey % 64 AS STRING)) AS repository,
        'd1' AS discriminator, 'v1' AS value_ref, o_orderkey + 1 AS guard, 'd1' AS guard_discriminator,
        CASE WHEN o_orderkey % 10 = 0 THEN 'v2' ELSE 'v1' END AS guard_value_ref, 'Summary' AS repair_marker, 'of' AS guard_marker,
        CASE WHEN o_orderkey % 12 = 0 THEN 'absent text' WHEN o_orderkey % 13 = 0 THEN 'Summary' ELSE 'Summary of' END AS guard_evidence,
@@ -269,13 +269,13 @@ def _(t):
 
 # Revisions: an artifact that closes a later number replaced the rule of that pull request.
 adapter("proxy_claims", """
-SELECT concat('p', CAST(a.number AS STRING), '-', path) AS claim_id, a.repository, a.number + CASE WHEN a.number % 8 = 0 THEN 14 ELSE 7 END AS predecessor, a.number AS successor, path AS shared_path,
-       CASE WHEN a.number % 12 = 1 THEN 'Summary' ELSE 'Summary of' END AS predecessor_evidence,
-       CASE WHEN a.number % 16 = 3 THEN 'and' ELSE concat('Closes #', CAST(a.number + 7 AS STRING)) END AS counterexample_evidence,
-       CASE WHEN a.number % 10 = 1 THEN 'Summary' WHEN a.number % 38 = 1 THEN 'not there' ELSE 'Summary of' END AS replacement_evidence,
-       'of' AS proxy_marker, CASE WHEN a.number % 14 = 1 THEN 'Fixes' ELSE 'Closes' END AS counterexample_marker, 'of' AS replacement_marker
-FROM {artifacts} a JOIN (SELECT DISTINCT l_orderkey, path FROM {lineitem} JOIN {part_path} ON l_partkey = p_partkey) x ON x.l_orderkey + 8 = a.number
-WHERE a.number % 2 = 1
+SELECT concat('p', CAST(number AS STRING)) AS claim_id, repository, number + CASE WHEN number % 16 = 5 THEN 15 ELSE 7 END AS predecessor, number AS successor,
+       CASE WHEN number % 18 = 1 THEN 'nowhere.rs' ELSE 'src/shared.rs' END AS shared_path,
+       CASE WHEN number % 22 = 1 THEN 'Summary' ELSE 'Summary of' END AS predecessor_evidence,
+       CASE WHEN number % 16 = 3 THEN 'and' ELSE concat('Closes #', CAST(number + 7 AS STRING)) END AS counterexample_evidence,
+       CASE WHEN number % 26 = 1 THEN 'Summary' WHEN number % 38 = 1 THEN 'not there' ELSE 'Summary of' END AS replacement_evidence,
+       'of' AS proxy_marker, CASE WHEN number % 14 = 1 THEN 'Fixes' ELSE 'Closes' END AS counterexample_marker, 'of' AS replacement_marker
+FROM {artifacts} WHERE number % 2 = 1
 """)
 PROXIES = """
 WITH p AS (SELECT * FROM {artifacts} WHERE kind = 'pull_request'), q AS (SELECT * FROM {artifact_paths} WHERE kind = 'pull_request')
@@ -303,9 +303,9 @@ def _(t):
 
 adapter("reconciliation_claims", """
 SELECT concat('q', CAST(a.number AS STRING), '-', p1) AS claim_id, a.repository, a.number + 7 AS predecessor, a.number AS reconciler,
-       CASE WHEN a.number % 20 = 1 THEN 'Closes' ELSE concat('Closes #', CAST(a.number + 7 AS STRING)) END AS predecessor_evidence,
+       CASE WHEN a.number % 46 = 1 THEN 'Closes' ELSE concat('Closes #', CAST(a.number + 7 AS STRING)) END AS predecessor_evidence,
        CASE WHEN a.number % 22 = 1 THEN 'of' ELSE 'Summary of' END AS authority_evidence, CASE WHEN a.number % 26 = 1 THEN 'nowhere' ELSE 'Summary of' END AS observation_evidence,
-       CASE WHEN a.number % 28 = 1 THEN 'of' ELSE 'Summary' END AS convergence_evidence, CASE WHEN a.number % 30 = 1 THEN 'Summary' ELSE 'Summary of' END AS exhaustion_evidence,
+       CASE WHEN a.number % 14 = 1 THEN 'of' ELSE 'Summary' END AS convergence_evidence, CASE WHEN a.number % 18 = 1 THEN 'Summary' ELSE 'Summary of' END AS exhaustion_evidence,
        'Summary' AS authority_marker, 'Summary' AS authoritative_marker, CASE WHEN a.number % 34 = 1 THEN 'lag' ELSE 'of' END AS lagging_marker,
        'Summary' AS convergence_marker, 'of' AS exhaustion_marker,
        CASE WHEN a.number % 9 = 1 THEN 'nowhere.rs' ELSE p1 END AS implementation_path, CASE WHEN a.number % 15 = 2 THEN 'nowhere.rs' ELSE p1 END AS test_path

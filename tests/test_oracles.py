@@ -22,6 +22,10 @@ LADDERS = {
     "plan_1_probe_candidates": ("status", 6),
     "plan_2_probe_plans": ("status", 4),
     "plan_4_observation_probes": ("status", 3),
+    "close_2_re_reports": ("re_report", 3),
+    "close_3_duplicate_challenges": ("challenge", 3),
+    "ci_2_filter_outcomes": ("outcome", 4),
+    "front_1_episode_front": ("next", 10),
     "proof_1_surfaces": ("status", 7),
     "prom_2_receipts": ("disposition", 3),
     "prom_4_base_relation": ("relation", 5),
