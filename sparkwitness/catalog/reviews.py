@@ -308,7 +308,7 @@ SELECT concat('q', CAST(a.number AS STRING), '-', p1) AS claim_id, a.repository,
        CASE WHEN a.number % 14 = 1 THEN 'of' ELSE 'Summary' END AS convergence_evidence, CASE WHEN a.number % 18 = 1 THEN 'Summary' ELSE 'Summary of' END AS exhaustion_evidence,
        'Summary' AS authority_marker, 'Summary' AS authoritative_marker, CASE WHEN a.number % 34 = 1 THEN 'lag' ELSE 'of' END AS lagging_marker,
        'Summary' AS convergence_marker, 'of' AS exhaustion_marker,
-       CASE WHEN a.number % 9 = 1 THEN 'nowhere.rs' ELSE p1 END AS implementation_path, CASE WHEN a.number % 15 = 2 THEN 'nowhere.rs' ELSE p1 END AS test_path
+       CASE WHEN a.number % 58 = 1 THEN 'nowhere.rs' ELSE p1 END AS implementation_path, CASE WHEN a.number % 15 = 2 THEN 'nowhere.rs' ELSE p1 END AS test_path
 FROM {artifacts} a JOIN (SELECT l_orderkey, min(path) AS p1 FROM {lineitem} JOIN {part_path} ON l_partkey = p_partkey GROUP BY l_orderkey) x ON x.l_orderkey + 1 = a.number
 WHERE (a.number - 1) % 2 = 0
 """)

@@ -28,11 +28,11 @@ def promotion_overlaps(intervening_paths: DataFrame, declared_paths: DataFrame)
     ``intervening_paths(promotion_id, commit_sha, changed_path)``,
     ``declared_paths(promotion_id, kind, declared_path)``.
     """
-    left = intervening_paths.select("promotion_id", "commit_sha", "changed_path").distinct()
-    right = declared_paths.select("promotion_id", "kind", "declared_path").distinct()
+    left = intervening_paths.select("promotion_id", "commit_sha", "changed_path")
+    right = declared_paths.select("promotion_id", "kind", "declared_path")
     return overlap_join(left, right, ["promotion_id"], "changed_path", "declared_path").select(
         "promotion_id", "commit_sha", "changed_path", "declared_path", "kind"
-    )
+    ).distinct()
 
 
 def _decide(relevant: Column, overlap_reasons: Column) -> tuple[Column, Column]:
@@ -89,12 +89,10 @@ def change_set_fingerprint(entries: DataFrame) -> DataFrame:
     Equal sets agree, any changed, added or removed entry differs; a change set with a repeated
     path is rejected.  Members are combined map-side, so a huge change set is never gathered.
     """
-    paths = entries.groupBy("change_set_id", "path").agg(
-        F.count(F.lit(1)).alias("_n"), F.min(digest(F.col("path"), F.col("blob_sha"))).alias("_d")
-    )
-    return paths.groupBy("change_set_id").agg(
-        F.count(F.lit(1)).alias("entries"),
-        F.when(F.max("_n") == 1, F.concat(F.lit("sha256:"), bag_digest(F.col("_d"), CHANGE_SET_VERSION))).alias("fingerprint"),
+    n, paths = F.count(F.lit(1)), F.count_distinct("path")
+    members = bag_digest(digest(F.col("path"), F.col("blob_sha")), CHANGE_SET_VERSION)
+    return entries.groupBy("change_set_id").agg(
+        paths.alias("entries"), F.when(n == paths, F.concat(F.lit("sha256:"), members)).alias("fingerprint")
     )
 
 
@@ -138,10 +136,10 @@ def base_relation(promotions: DataFrame, ranges: DataFrame) -> DataFrame:
 
 def base_overlaps(range_paths: DataFrame, declared_paths: DataFrame) -> DataFrame:
     """Branch paths touched on either side; ``range_paths(promotion_id, side, changed_path)``."""
-    branch = declared_paths.where(F.col("kind") == "branch_path").select("promotion_id", "declared_path").distinct()
+    branch = declared_paths.where(F.col("kind") == "branch_path").select("promotion_id", "declared_path")
     return overlap_join(
-        range_paths.distinct(), branch, ["promotion_id"], "changed_path", "declared_path"
-    ).select("promotion_id", "side", "changed_path", "declared_path")
+        range_paths.select("promotion_id", "side", "changed_path"), branch, ["promotion_id"], "changed_path", "declared_path"
+    ).select("promotion_id", "side", "changed_path", "declared_path").distinct()
 
 
 def changed_objects(objects: DataFrame) -> DataFrame:

@@ -60,7 +60,7 @@ def changed_ranges(diffs: DataFrame) -> DataFrame:
     earlier = Window.partitionBy("change_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     hunks = (
         pieces.select(
-            "change_id", "pos", "piece", head.alias("_head"), F.when(is_hunk, F.split("piece", "\r?\n", -1)).alias("_body")
+            "change_id", "pos", "piece", head.alias("_head"), F.when(is_hunk, F.split("piece", "\n", -1)).alias("_body")
         )
         .select(
             "change_id", "pos",
