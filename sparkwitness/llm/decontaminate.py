@@ -116,54 +116,66 @@ class Items:
         known = WordHashes()
         self.share = share
         self.items = [(i, w) for i, w in ((i, words(t or "", known)) for i, t in rows) if len(w) >= least]
-        self.run = min((run_length(len(w), share) for _, w in self.items), default=1)
-        grams = [runs(w, self.run) for _, w in self.items]
-        gram = np.concatenate(grams) if grams else np.zeros(0, dtype=np.uint64)
-        owner = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
-        offset = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.zeros(0, dtype=int)
-        sort = np.argsort(gram, kind="stable")
-        self.gram, self.owner, self.offset = gram[sort], owner[sort], offset[sort]
-        self.seen = np.zeros(1 << 16, dtype=bool)
-        self.seen[(self.gram >> np.uint64(48)).astype(np.int64)] = True
         self.length = np.array([len(w) for _, w in self.items], dtype=np.int64)
+        self.index = {}
+        for run in sorted({run_length(len(w), share) for _, w in self.items}):
+            own = [j for j, (_, w) in enumerate(self.items) if run_length(len(w), share) == run]
+            grams = [runs(self.items[j][1], run) for j in own]
+            gram = np.concatenate(grams)
+            sort = np.argsort(gram, kind="stable")
+            seen = np.zeros(1 << 16, dtype=bool)
+            seen[(gram >> np.uint64(48)).astype(np.int64)] = True
+            self.index[run] = (
+                gram[sort], np.repeat(np.array(own), [len(g) for g in grams])[sort], np.concatenate([np.arange(len(g)) for g in grams])[sort], seen)
         self.tables = [samples(walk(w[None, :], STRETCH * len(w), 7), len(w))[0] for _, w in self.items]
 
-    def windows(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(item, start) of every item-sized window that shares a run with its item, aligned by the run."""
-        g = runs(h, self.run)
-        hit = np.flatnonzero(self.seen[(g >> np.uint64(48)).astype(np.int64)]) if len(self.gram) else np.zeros(0, dtype=int)
-        if not len(hit):
-            return hit, hit
-        low, high = np.searchsorted(self.gram, g[hit], "left"), np.searchsorted(self.gram, g[hit], "right")
-        many = high - low
-        if not many.any():
-            return many[:0], many[:0]
-        entry = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        start = np.repeat(hit, many) - self.offset[entry]
-        pair = np.unique(np.stack([self.owner[entry], np.maximum(start, 0)], axis=1), axis=0)
-        return pair[:, 0], pair[:, 1]
-
-    def hits(self, h: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(item id, first word, words, edits): the best place of every item found in a document."""
-        item, start = self.windows(h)
-        best: dict[int, tuple[int, int, int]] = {}
-        for i in np.unique(item):
-            w, m = self.items[i][1], int(self.length[i])
-            k = int(self.share * m)
-            starts = start[item == i]
-            at = starts[:, None] + np.arange(m)[None, :]
-            rows = np.where(at < len(h), h[np.minimum(at, len(h) - 1)], np.uint64(0))
-            alike = (samples(walk(rows, STRETCH * m, 7), m) == self.tables[i][None, :]).any(axis=1)
-            done = -1
-            for s in starts[alike]:
-                if s + m <= done:
-                    continue  # inside a stretch that was verified
-                lo, hi = max(0, int(s) - k), min(len(h), int(s) + m + k)
-                edits, end = closest(w, h[lo:hi])
-                if edits <= k and (i not in best or edits < best[i][0]):
-                    best[i] = (edits, max(lo, lo + end - m), lo + end)
-                    done = hi if edits == 0 else done
-        return [(self.items[i][0], first, last - first, edits) for i, (edits, first, last) in sorted(best.items())]
+    def windows(self, h: np.ndarray) -> np.ndarray:
+        """Rows (item, start) of every item-sized window that shares a run with its item, aligned by the run."""
+        out = [np.zeros((0, 2), dtype=np.int64)]
+        for run, (gram, owner, offset, seen) in self.index.items():
+            g = runs(h, run)
+            hit = np.flatnonzero(seen[(g >> np.uint64(48)).astype(np.int64)])
+            if not len(hit):
+                continue
+            low, high = np.searchsorted(gram, g[hit], "left"), np.searchsorted(gram, g[hit], "right")
+            many = high - low
+            if many.any():
+                entry = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                start = np.maximum(np.repeat(hit, many) - offset[entry], 0)
+                out.append(np.unique(np.stack([owner[entry], start], axis=1), axis=0))
+        return np.concatenate(out)
+
+    def hits(self, texts: list[np.ndarray]) -> list[list[tuple[int, int, int, int]]]:
+        """Per document (item id, first word, words, edits): the best place of every item found in it.
+
+        Windows of all given documents are walked together, by their length.
+        """
+        found = [self.windows(h) for h in texts]
+        doc = np.repeat(np.arange(len(texts)), [len(f) for f in found])
+        pairs = np.concatenate(found) if found else np.zeros((0, 2), dtype=np.int64)
+        best: list[dict[int, tuple[int, int, int]]] = [{} for _ in texts]
+        lengths = self.length[pairs[:, 0]] if len(pairs) else np.zeros(0, dtype=np.int64)
+        for m in np.unique(lengths):
+            chosen = np.flatnonzero(lengths == m)
+            for lo in range(0, len(chosen), 8192):
+                self._check(texts, doc, pairs, chosen[lo:lo + 8192], int(m), best)
+        return [[(self.items[i][0], first, last - first, edits) for i, (edits, first, last) in sorted(b.items())] for b in best]
+
+    def _check(self, texts, doc, pairs, chosen, m: int, best) -> None:
+        rows = np.zeros((len(chosen), m), dtype=np.uint64)
+        for r, c in enumerate(chosen):
+            part = texts[doc[c]][pairs[c, 1]:pairs[c, 1] + m]
+            rows[r, :len(part)] = part
+        alike = (samples(walk(rows, STRETCH * m, 7), m) == np.stack([self.tables[i] for i in pairs[chosen, 0]])).any(axis=1)
+        k = int(self.share * m)
+        for c in chosen[alike]:
+            (i, start), h, own = pairs[c], texts[doc[c]], best[doc[c]]
+            if i in own and own[i][0] == 0:
+                continue  # found unedited already
+            lo, hi = max(0, int(start) - k), min(len(h), int(start) + m + k)
+            edits, end = closest(self.items[i][1], h[lo:hi])
+            if edits <= k and (i not in own or edits < own[i][0]):
+                own[i] = (edits, max(lo, lo + end - m), lo + end)
 
 
 def blocks_of(benchmark: DataFrame, item: str, text: str, share: float, least: int, bound: int):
@@ -200,8 +212,9 @@ def find(
             known, items = WordHashes(), held.value
             for batch in batches:
                 found = []
-                for doc, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    for i, first, n, edits in items.hits(words(body, known)):
+                texts = [words(t, known) for t in batch.column(1).to_pylist()]
+                for doc, hits in zip(batch.column(0).to_pylist(), items.hits(texts), strict=True):
+                    for i, first, n, edits in hits:
                         found.append({key: doc, item: i, "first_word": first, "n_words": n, "edits": edits})
                 if found:
                     yield pa.RecordBatch.from_pylist(found, schema=schema)
@@ -225,7 +238,8 @@ def clean(documents: DataFrame, benchmark: DataFrame, text: str = "text", **opti
 
             known, items = WordHashes(), held.value
             for batch in batches:
-                yield batch.filter(pa.array([not items.hits(words(t or "", known)) for t in batch.column(at).to_pylist()], type=pa.bool_()))
+                texts = [words(t or "", known) for t in batch.column(at).to_pylist()]
+                yield batch.filter(pa.array([not hits for hits in items.hits(texts)], type=pa.bool_()))
 
         out = out.mapInArrow(run, documents.schema)
     return out

@@ -32,21 +32,25 @@ NEGATIONS = frozenset("not never no isn't isnt aren't arent don't dont nicht kei
 REPORTS = frozenset("said says say called calls quoted wrote claimed reported sagte schrieb dit écrit dijo escribió".split())
 
 CLAUSE = re.compile(r"[.!?;:\n]+(?:\s|$)|\n")
+STEMS = (4, 5, 6, 7)
 EDGE = " \t\r\n\v\f.,;:!?\"'()[]{}<>|*#%&$~`“”„«»–—-_/\\"
 PATTERNS = ("insult", "targeted", "negated", "reported", "threat", "distinct", "density")
 
 
-def classes_of(word: str, roots: frozenset, sizes: tuple[int, ...]) -> str:
-    """One letter: Insult, Hurt, Modal, Target, Negation, Report, or empty."""
+def class_of(word: str, roots: dict[str, float]) -> tuple[str, float]:
+    """A letter (Insult, Hurt, Modal, Target, Negation, Report, or empty) and the weight of an insult."""
     w = word.strip(EDGE)
     if not w:
-        return ""
-    if w in INSULTS or w in roots or any(len(w) > n and w[:n] + "~" in roots for n in sizes):
-        return "I"
+        return "", 0.0
+    if w in INSULTS:
+        return "I", 1.0
+    weight = max([roots.get(w, 0.0), *[roots.get(w[:n] + "~", 0.0) for n in STEMS if len(w) > n]])
+    if weight:
+        return "I", weight
     for letter, words in (("H", THREATS), ("M", MODALS), ("T", TARGETS), ("N", NEGATIONS), ("R", REPORTS)):
         if w in words:
-            return letter
-    return ""
+            return letter, 0.0
+    return "", 0.0
 
 
 # Transducers: state -> letter -> (next state, output).  A missing letter keeps the state and writes nothing.
@@ -59,10 +63,10 @@ INSULT = {0: {"I": (0, "i")}}
 CHAIN = (INSULT, NEGATION, REPORTED, TARGETED, THREAT)
 
 
-def clause_counts(letters: list[str]) -> dict[str, int]:
-    """Run the composed transducers over one clause; each insult counts as one pattern."""
-    state, out = [0] * len(CHAIN), {"insult": 0, "targeted": 0, "negated": 0, "reported": 0, "threat": 0}
-    for letter in letters:
+def clause_counts(classes: list[tuple[str, float]]) -> dict[str, float]:
+    """Run the composed transducers over one clause; each insult gives its weight to one pattern."""
+    state, out = [0] * len(CHAIN), {"insult": 0.0, "targeted": 0.0, "negated": 0.0, "reported": 0.0, "threat": 0.0}
+    for letter, weight in classes:
         written = ""
         for i, machine in enumerate(CHAIN):
             arcs = machine[state[i]]
@@ -72,83 +76,101 @@ def clause_counts(letters: list[str]) -> dict[str, int]:
                 written += arc[1]
         if "i" in written:
             name = "negated" if "-" in written else "reported" if "r" in written else "targeted" if "t" in written else "insult"
-            out[name] += 1
+            out[name] += weight
         if "x" in written:
-            out["threat"] += 1
+            out["threat"] += 1.0
     return out
 
 
 @dataclass
 class Grammar:
-    """Learned roots (whole words, or prefixes marked ``~``) and weights of ``PATTERNS`` with an intercept."""
+    """Learned roots (whole words, or stems marked ``~``) with weights, and weights of ``PATTERNS`` with an intercept."""
 
-    roots: frozenset = frozenset()
-    weights: tuple[float, ...] = (2.2, 2.8, 0.3, 0.6, 3.0, 0.5, 0.0)
-    intercept: float = -2.0
+    roots: dict[str, float] = field(default_factory=dict)
+    weights: tuple[float, ...] = (4.5, 5.0, 1.0, 1.5, 3.0, 1.0, 0.0)
+    intercept: float = -2.5
     cache: dict = field(default_factory=dict, repr=False)
 
     def features(self, text: str) -> list[float]:
-        """Pattern counts of the whole text; counts enter as log(1 + n)."""
-        sizes = tuple(sorted({len(r) - 1 for r in self.roots if r.endswith("~")}))
+        """Pattern weights of the whole text, as log(1 + sum)."""
         if len(self.cache) > 500_000:
             self.cache.clear()
-        low = text.lower()
+        low, cache = text.lower(), self.cache
         words = low.split()
-        cache = self.cache
+        found = False
         for w in set(words):
-            if w not in cache:
-                cache[w] = classes_of(w, self.roots, sizes)
-        if not any(cache[w] in "IH" and cache[w] for w in words):
+            known = cache.get(w)
+            if known is None:
+                known = cache[w] = class_of(w, self.roots)
+            found = found or known[0] in ("I", "H")
+        if not found:
             return [0.0] * len(PATTERNS)
-        total = dict.fromkeys(PATTERNS[:5], 0)
-        kinds = set()
+        total = dict.fromkeys(PATTERNS[:5], 0.0)
+        kinds: dict[str, float] = {}
         for clause in CLAUSE.split(low):
-            letters = []
+            classes = []
             for w in clause.split():
-                letter = cache.get(w)
-                if letter is None:
-                    letter = cache[w] = classes_of(w, self.roots, sizes)
-                if letter == "I":
-                    kinds.add(w.strip(EDGE))
-                letters.append(letter)
-            if "I" in letters or "H" in letters:
-                for k, n in clause_counts(letters).items():
+                known = cache.get(w)
+                if known is None:
+                    known = cache[w] = class_of(w, self.roots)
+                if known[0] == "I":
+                    kinds[w.strip(EDGE)] = known[1]
+                classes.append(known)
+            if any(letter in ("I", "H") for letter, _ in classes):
+                for k, n in clause_counts(classes).items():
                     total[k] += n
-        found = sum(total.values())
-        return [float(np.log1p(total[k])) for k in PATTERNS[:5]] + [float(np.log1p(len(kinds))), min(1.0, 20.0 * found / max(len(words), 1))]
+        matched = sum(total.values())
+        return [float(np.log1p(total[k])) for k in PATTERNS[:5]] + [float(np.log1p(sum(kinds.values()))), min(1.0, 20.0 * matched / max(len(words), 1))]
 
     def score(self, features: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(features @ np.array(self.weights) + self.intercept, -30, 30)))
 
 
-def learn_roots(sample: DataFrame, least: int = 4, evidence: float = 20.0, purity: float = 0.9, most: int = 4096) -> frozenset:
-    """Words and prefixes that stand in toxic rows of the sample almost only.
+def learn_roots(sample: DataFrame, least: int = 3, evidence: float = 24.0, purity: float = 0.6, most: int = 4096) -> dict[str, float]:
+    """Words and stems that stand in toxic rows of (text, label) much more than in others, with weights up to 1.
 
-    Document counts are aggregated in Spark over the bounded sample; ``most`` bounds the lexicon, best evidence first.
+    Different words of one stem in a row are evidence of their own, up to three.  Counts are added up per task, then
+    in Spark; ``most`` bounds the lexicon, best evidence first.
     """
-    # white space at both ends keeps a leading or trailing piece from being empty
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}']+"), F.lit(0)))
-    long = lambda n: F.transform(F.filter(words, lambda w: F.char_length(w) > n), lambda w: F.concat(F.substring(w, 1, n), F.lit("~")))
-    terms = sample.select("label", F.explode(F.array_distinct(F.concat(words, *[long(n) for n in (4, 5, 6, 7)]))).alias("term"))
-    counts = terms.groupBy("term").agg(F.sum("label").alias("a"), F.count("*").alias("n")).where(F.col("a") >= least)
+
+    def tally(batches):
+        import pyarrow as pa
+
+        counts: dict[str, list[int]] = {}
+        for batch in batches:
+            for text, label in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                words = {w for w in (x.strip(EDGE) for x in text.lower().split()) if w}
+                own: dict[str, int] = dict.fromkeys(words, 1)
+                for w in words:
+                    for n in STEMS:
+                        if len(w) > n:
+                            stem = w[:n] + "~"
+                            own[stem] = min(3, own.get(stem, 0) + 1)
+                for term, n in own.items():
+                    c = counts.setdefault(term, [0, 0, 0])
+                    c[0] += n * label
+                    c[1] += n
+                    c[2] += label
+        terms = list(counts)
+        for i in range(0, len(terms), 50_000):
+            part = terms[i:i + 50_000]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(part), *[pa.array([counts[t][k] for t in part], type=pa.int64()) for k in range(3)]], names=["term", "a", "n", "rows"])
+
     size = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("a")).first()
     if not size["a"] or size["a"] == size["n"]:
-        return frozenset()
+        return {}
     base = size["a"] / size["n"]
+    counts = (
+        sample.select("text", F.col("label").cast("long")).mapInArrow(tally, "term string, a bigint, n bigint, rows bigint")
+        .groupBy("term").agg(F.sum("a").alias("a"), F.sum("n").alias("n"), F.sum("rows").alias("rows")).where(F.col("rows") >= least)
+    )
     share = F.col("a") / F.col("n")
     part = lambda x, p, q: F.when(x > 0, x * F.log(p / q)).otherwise(0.0)
     gain = 2 * (part(F.col("a"), share, F.lit(base)) + part(F.col("n") - F.col("a"), 1 - share, F.lit(1 - base)))
-    best = (
-        counts.where((share >= purity) & (gain >= evidence))
-        .orderBy(gain.desc(), F.char_length("term"), "term").limit(most).select("term").collect()
-    )
-    terms_found = [r[0] for r in best]
-    kept: set[str] = set()
-    for term in sorted(terms_found, key=len):
-        bare = term.rstrip("~")
-        if not any(len(bare) > n and bare[:n] + "~" in kept for n in (4, 5, 6, 7)):
-            kept.add(term)
-    return frozenset(kept)
+    best = counts.where((share >= purity) & (gain >= evidence)).orderBy(gain.desc(), "term").limit(most).collect()
+    odds = lambda a, n: float(np.log((a + 0.5) / (n - a + 0.5)))
+    return {r["term"]: min(1.0, max(0.1, (odds(r["a"], r["n"]) - odds(size["a"], size["n"])) / 6)) for r in best}
 
 
 def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE) -> Grammar:
@@ -159,17 +181,17 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", sample:
     x, y = found[list(PATTERNS)].to_numpy(dtype=float), found["label"].to_numpy(dtype=float)
     if len(y) == 0 or y.min() == y.max():
         return grammar
-    # Ridge-penalised logistic fit by Newton steps; a pattern can only speak for toxicity.
-    w, b = np.array(grammar.weights), grammar.intercept
+    # Logistic fit by projected gradient steps, drawn towards the given weights; a pattern can only speak for toxicity.
     design = np.hstack([x, np.ones((len(y), 1))])
-    beta = np.append(w, b)
-    ridge = np.append(np.full(len(w), 0.5), 1e-6)
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
-        slope = design.T @ (p - y) + ridge * beta
-        curve = (design * (p * (1 - p))[:, None]).T @ design + np.diag(ridge + 1e-6)
-        beta = beta - np.linalg.solve(curve, slope)
-        beta[:-1] = np.maximum(beta[:-1], 0.0)
+    given = np.append(np.array(grammar.weights), grammar.intercept)
+    ridge, beta, ahead, t = 0.05 / len(y), given.copy(), given.copy(), 1.0
+    lipschitz = 0.25 * np.linalg.norm(design, 2) ** 2 / len(y) + ridge
+    for _ in range(5000):
+        p = 1 / (1 + np.exp(-np.clip(design @ ahead, -30, 30)))
+        new = ahead - (design.T @ (p - y) / len(y) + ridge * (ahead - given)) / lipschitz
+        new[:-1] = np.maximum(new[:-1], 0.0)
+        nt = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        ahead, beta, t = new + (t - 1) / nt * (new - beta), new, nt
     return Grammar(grammar.roots, tuple(float(v) for v in beta[:-1]), float(beta[-1]))
 
 
