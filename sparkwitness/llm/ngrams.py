@@ -1,28 +1,33 @@
 """Exact Jaccard join of word n-gram sets, by set-relation skipping.
 
 Documents with equal sets are one class; only a class's smallest id goes on.  Sets are ordered by one
-global order of their n-grams, and only a prefix of each set is indexed, long enough that two
-linked sets share ``SHARED`` indexed n-grams.  N-grams that many prefixes hold move to the end of the order; as the order is
-the same for all sets, this changes cost and never results.
+global order of their n-grams (by hash), and only a prefix of each set is indexed, long enough that two linked sets share
+``SHARED`` indexed n-grams or more.  A list is *short* up to ``LONG`` entries.
 
-*Skipping by position.*  Index lists are cut into blocks of close sizes and positions; a block pair is
-dropped as a whole when the positions left behind the shared n-gram, or the sizes, cannot reach the overlap
-that is needed.
+*Short lists.*  A set with h long-list n-grams in its prefix shares at least ``SHARED - h`` short-list n-grams with any set it
+is linked to.  So every link with an end of ``h < SHARED`` is found in short lists, whose pairs are few.
 
-*Answers from a similar set.*  In each list, sets are first compared with the smallest and the largest id of their
-size class, the leaders.  Sets linked to a common leader are in one component, so no pair among them is needed.  For sets of
-different components that share a list, the leader's known overlaps bound theirs:
+*Long lists.*  Links between two sets that are both full of frequent n-grams (large groups of near copies, documents
+made of common passages) are found in an index of those sets only, under an order that puts the frequent n-grams last:
+
+- Skipping by position: lists are cut into blocks of close sizes and positions; a block pair is dropped as a whole
+  when the positions left behind the shared n-gram, or the sizes, cannot reach the overlap that is needed.
+- Answers from a similar set: sets are first compared with the smallest and the largest id of their size class in a list, the
+  leaders.  Sets linked to a common leader are in one component, so no pair among them is needed.  For sets of
+  different components, the overlaps with a common leader c bound theirs:
 
     |x & y| <= min(|y & c| + |x - c|, |x & c| + |y - c|)      |x & y| >= |x & c| + |y & c| - |c|
 
-so most pairs are decided without reading the sets, and only the rest are verified.
+  so most pairs are decided without reading the sets, and only the rest are verified.
+
+Every order of n-grams gives the same links; order and limits change cost only.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import by_value, map_texts, stored
@@ -30,12 +35,13 @@ from .graph import components
 
 by_value(__name__)
 
-#: No more than this many frequent n-grams are moved to the end of the order (8 bytes each are broadcast),
-#: by construction: a list is long from ``max(LONG, entries / FREQUENT)`` on.
-FREQUENT = 1 << 21
+#: Entries of a short list: at least this many, and so many that no more than ``FREQUENT`` lists can be longer.
 LONG = 16
-#: Indexed n-grams that linked sets have in common at least (all they need, for small sets).
-SHARED = 3
+FREQUENT = 1 << 21
+#: Indexed n-grams that linked sets have in common at least (or all they need), in the main index and in that of long lists.
+SHARED, SHARED_LATE = 12, 3
+#: Bits of the sieve that lets tasks pass over texts that are not wanted; a fixed size, and only ever too permissive.
+SIEVE = 1 << 20
 
 
 class WordHashes(dict):
@@ -67,10 +73,10 @@ def shingle_set(text: str, width: int, known: WordHashes) -> np.ndarray:
     return np.unique(out)
 
 
-def prefix_length(n: int, num: int, den: int) -> int:
-    """Linked sets share ``SHARED`` n-grams (or all they need to) among the first so many of either."""
+def prefix_length(n: int, num: int, den: int, shared: int) -> int:
+    """Linked sets share ``shared`` n-grams (or all they need to) among the first so many of either."""
     need = (n * num + den - 1) // den
-    return n - need + min(SHARED, need) if n else 0
+    return n - need + min(shared, need) if n else 0
 
 
 def _sketches(documents: DataFrame, width: int, num: int, den: int) -> DataFrame:
@@ -83,31 +89,55 @@ def _sketches(documents: DataFrame, width: int, num: int, den: int) -> DataFrame
             s = shingle_set(t, width, known)
             sizes.append(len(s))
             keys.append(xxhash.xxh3_128_digest(s.tobytes()))
-            prefixes.append(s[:prefix_length(len(s), num, den)].view(np.int64))
+            prefixes.append(s[:prefix_length(len(s), num, den, SHARED)].view(np.int64))
         return sizes, keys, prefixes
 
     return map_texts(documents, "body", ["id"], compute, "n bigint, set_key binary, prefix array<bigint>")
 
 
-def _late_prefixes(documents: DataFrame, width: int, num: int, den: int, frequent: np.ndarray) -> DataFrame:
-    """(id, set_key, prefix) under the order: infrequent n-grams by hash, then frequent ones by hash.
+def _sieve(ids: DataFrame) -> np.ndarray:
+    """A bitmap of ``SIEVE`` bits over hashes of the ids, whatever their number."""
+    bit = F.pmod(F.xxhash64("id"), F.lit(SIEVE))
+    words = ids.select(F.floor(bit / 64).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int")).alias("b"))
+    out = np.zeros(SIEVE // 64, dtype=np.int64)
+    for row in words.groupBy("w").agg(F.bit_or("b").alias("b")).collect():  # 16,384 rows at most
+        out[row["w"]] = row["b"]
+    return out
 
-    The prefix is null where it is the one in hash order.
-    """
+
+def _chosen(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of (id, body) that may be among the ids: all that are, and few others."""
+    held = documents.sparkSession.sparkContext.broadcast(_sieve(ids))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            bits = np.array(batch.column(2).to_pylist(), dtype=np.int64)
+            yes = (held.value[bits >> 6] >> (bits & 63)) & 1
+            yield batch.filter(pa.array(yes.astype(bool))).select(["id", "body"])
+
+    rows = documents.where("id IS NOT NULL").withColumn("bit", F.pmod(F.xxhash64("id"), F.lit(SIEVE)))
+    return rows.mapInArrow(run, documents.schema)
+
+
+def _late_prefixes(documents: DataFrame, width: int, num: int, den: int, frequent: np.ndarray) -> DataFrame:
+    """(id, n, set_key, prefix) under the order: infrequent n-grams by hash, then frequent ones by hash."""
     held = documents.sparkSession.sparkContext.broadcast(frequent)
 
     def compute(texts):
         known, late = WordHashes(), held.value
-        keys, prefixes = [], []
+        sizes, keys, prefixes = [], [], []
         for t in texts:
             s = shingle_set(t, width, known)
-            p = prefix_length(len(s), num, den)
-            is_late = late[np.minimum(np.searchsorted(late, s), len(late) - 1)] == s
+            sizes.append(len(s))
             keys.append(xxhash.xxh3_128_digest(s.tobytes()))
-            prefixes.append(np.concatenate([s[~is_late][:p], s[is_late]])[:p].view(np.int64) if is_late[:p].any() else None)
-        return keys, prefixes
+            is_late = late[np.minimum(np.searchsorted(late, s), len(late) - 1)] == s if len(late) else np.zeros(len(s), dtype=bool)
+            p = prefix_length(len(s), num, den, SHARED_LATE)
+            prefixes.append(np.concatenate([s[~is_late][:p], s[is_late]])[:p].view(np.int64))
+        return sizes, keys, prefixes
 
-    return map_texts(documents, "body", ["id"], compute, "set_key binary, prefix array<bigint>")
+    return map_texts(documents, "body", ["id"], compute, "n bigint, set_key binary, prefix array<bigint>")
 
 
 def _sets(documents: DataFrame, width: int) -> DataFrame:
@@ -144,16 +174,39 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     )
 
 
-def _index(leaders: DataFrame, num: int, den: int) -> DataFrame:
-    """Entries (gram, id, n, pos, sizes) of lists and sets that can still give a link."""
+def _least(n: Column, num: int, den: int, shared: int) -> Column:
+    """Shared entries of a set of this size with any it is linked to."""
+    return F.least(F.lit(shared), F.floor((n * num + (den - 1)) / F.lit(den)).cast("int"))
+
+
+def _lists(leaders: DataFrame) -> DataFrame:
+    """Entries (gram, id, n, pos, m) of lists with m > 1 entries, in one shuffle."""
     entries = leaders.select(F.posexplode("prefix").alias("pos", "gram"), "id", "n").select(
-        "gram", "id", "n", (F.col("pos") + 1).cast("long").alias("pos"),
-        F.floor(F.log(F.col("n")) / F.lit(float(np.log(den / num)))).cast("int").alias("sizes") if num < den else F.col("n").cast("int").alias("sizes"),
-    )
-    lists = entries.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1").select("gram")
-    shared = stored(entries.join(lists, "gram", "left_semi"), "ngram-entries")
-    enough = F.least(F.lit(SHARED), F.floor((F.col("n") * num + (den - 1)) / F.lit(den)))
-    able = shared.groupBy("id", "n").agg(F.count("*").alias("m")).where(F.col("m") >= enough).select("id")
+        "gram", "id", (F.shiftleft((F.col("pos") + 1).cast("long"), 32) + F.col("n")).alias("at"))
+    counted = entries.withColumn("m", F.count("*").over(Window.partitionBy("gram"))).where("m > 1")
+    return counted.select("gram", "id", F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).alias("n"), F.shiftright("at", 32).alias("pos"), "m")
+
+
+def _in_short_lists(entries: DataFrame, limit: int, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) that share as many entries of short lists as links with an end of few long ones do."""
+    long = entries.groupBy("id", "n").agg(F.count_if(F.col("m") > limit).alias("h"), F.count("*").alias("all"))
+    least = _least(F.col("n"), num, den, SHARED)
+    able = stored(long.where(F.col("all") >= least).select("id", F.least("h", least).cast("long").alias("h")), "ngram-able")
+    short = stored(entries.where(F.col("m") <= limit).join(able, "id"), "ngram-short")
+    x, y = (short.select("gram", F.struct("id", "n", "pos", "h").alias(t)) for t in "xy")
+    met = x.join(y, "gram").where((F.col("x.id") < F.col("y.id")) & _reaches("x", "y", num, den))
+    h = F.least("x.h", "y.h").alias("h")
+    counted = met.groupBy("x.id", "y.id", "x.n", "y.n", h).agg(F.count("*").alias("m")).toDF("a", "b", "na", "nb", "h", "m")
+    need = F.least(F.lit(SHARED), _needed(F.col("na"), F.col("nb"), num, den)) - F.col("h")
+    return counted.where(F.col("m") >= F.greatest(need, F.lit(1))).select("a", "b")
+
+
+def _index(leaders: DataFrame, num: int, den: int) -> DataFrame:
+    """Entries (gram, id, n, pos, sizes) of the lists of (id, n, prefix) that can still give a link."""
+    shared = _lists(leaders).withColumn(
+        "sizes", F.floor(F.log(F.col("n")) / F.lit(float(np.log(den / num)))).cast("int") if num < den else F.col("n").cast("int"))
+    shared = stored(shared, "ngram-entries")
+    able = shared.groupBy("id", "n").agg(F.count("*").alias("m")).where(F.col("m") >= _least(F.col("n"), num, den, SHARED_LATE)).select("id")
     return stored(shared.join(able, "id", "left_semi"), "ngram-index")
 
 
@@ -176,7 +229,7 @@ def _enough(met: DataFrame, num: int, den: int) -> DataFrame:
         F.when(x, F.col("x.n")).otherwise(F.col("y.n")).alias("na"), F.when(x, F.col("y.n")).otherwise(F.col("x.n")).alias("nb"),
     )
     counted = pairs.groupBy("a", "b", "na", "nb").agg(F.count_distinct("gram").alias("m"))
-    return counted.where(F.col("m") >= F.least(F.lit(SHARED), _needed(F.col("na"), F.col("nb"), num, den))).select("a", "b")
+    return counted.where(F.col("m") >= F.least(F.lit(SHARED_LATE), _needed(F.col("na"), F.col("nb"), num, den))).select("a", "b")
 
 
 def _across(index: DataFrame, labels: DataFrame, known: DataFrame, num: int, den: int) -> DataFrame:
@@ -238,33 +291,34 @@ def jaccard_join(
 
     # Equal sets are one class, known by its smallest id.
     classes = sketches.where("n > 0 AND id IS NOT NULL").groupBy("set_key").agg(F.min("id").alias("id"))
-    leaders = stored(sketches.join(classes, ["id", "set_key"]).dropDuplicates(["id", "set_key"]), "ngram-leaders")
-
-    # N-grams in too many prefixes; their number is bounded by construction, whatever the data.
-    entries = leaders.select(F.sum(F.size("prefix").cast("long"))).first()[0] or 0
-    limit = max(LONG, -(-entries // FREQUENT))
-    frequent = np.zeros(0, dtype=np.uint64)
-    prefixes = leaders
-    for _ in range(2):  # the second look finds those that moved up; what it leaves costs time only
-        counts = prefixes.select(F.explode("prefix").alias("gram")).groupBy("gram").agg(F.count("*").alias("m")).where(F.col("m") > limit)
-        more = counts.select("gram").toPandas()["gram"].to_numpy(dtype=np.int64).view(np.uint64)
-        fresh = np.setdiff1d(more, frequent)
-        if not len(fresh):
-            break
-        frequent = np.union1d(frequent, fresh)
-        late = _late_prefixes(given, width, num, den, frequent).where("prefix IS NOT NULL AND id IS NOT NULL")
-        late = late.dropDuplicates(["id", "set_key"]).withColumnRenamed("prefix", "late")
-        prefixes = stored(
-            leaders.join(late, ["id", "set_key"], "left").select("id", "set_key", "n", F.coalesce("late", "prefix").alias("prefix")), "ngram-prefixes",
-        )
-    index = _index(prefixes, num, den)
-    members = index.select("id").distinct()
-    sets = stored(_sets(given.join(members, "id", "left_semi"), width).dropDuplicates(["id"]), "ngram-sets")
+    leaders = sketches.select("id", "set_key", "n", "prefix").join(classes, ["id", "set_key"])
+    if documents.select(key).where(F.col(f"`{key}`").isNotNull()).groupBy(key).count().where("count > 1").limit(1).count():
+        leaders = leaders.dropDuplicates(["id", "set_key"])  # rows that repeat
+    entries = stored(_lists(leaders), "ngram-lists")
+
+    # Grams of long lists; their number is bounded by construction, whatever the data.
+    total = sketches.select(F.sum(F.size("prefix").cast("long"))).first()[0] or 0
+    limit = max(LONG, -(-total // FREQUENT))
+    pairs = _in_short_lists(entries, limit, num, den)
+
+    # Sets with so many long-list n-grams that a link between two of them may show in no short list.
+    full = entries.where(F.col("m") > limit).groupBy("id", "n").agg(F.count("*").alias("h"))
+    full = stored(full.where(F.col("h") >= _least(F.col("n"), num, den, SHARED)).select("id"), "ngram-full")
+    grams = entries.where(F.col("m") > limit).select("gram").distinct().toPandas()["gram"].to_numpy(dtype=np.int64)
+    frequent = np.sort(grams.view(np.uint64))
+    late = _late_prefixes(_chosen(given, full), width, num, den, frequent)
+    late = late.join(classes.join(full, "id", "left_semi"), ["id", "set_key"]).dropDuplicates(["id", "set_key"])
+    index = _index(late, num, den)
+
+    pairs = stored(pairs, "ngram-pairs")
+    led_pairs = stored(_with_leaders(index, num, den), "ngram-led-pairs")
+    members = pairs.select(F.explode(F.array("a", "b")).alias("id")).union(index.select("id")).distinct()
+    sets = stored(_sets(_chosen(given, members), width), "ngram-sets")
 
     need = _needed(F.col("na"), F.col("nb"), num, den)
-    known = stored(_verify(_with_leaders(index, num, den), sets), "ngram-led")
-    links = known.where(F.col("overlap") >= need).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    labels = components(links)
+    known = stored(_verify(led_pairs, sets), "ngram-led")
+    found = _verify(pairs, sets).where(F.col("overlap") >= need).unionByName(known.where(F.col("overlap") >= need))
+    labels = stored(components(found.select(F.col("a").alias("u"), F.col("b").alias("v"))), "ngram-labels")
     across = stored(_across(index, labels, known, num, den), "ngram-across")
     checked = _verify(across.where("NOT sure").select("a", "b"), sets).where(F.col("overlap") >= need)
     more = checked.select(F.col("a").alias("u"), F.col("b").alias("v")).union(across.where("sure").select("a", "b"))
