@@ -34,13 +34,13 @@ def components(links: DataFrame) -> DataFrame:
     Null ends and self links are left out; repeated links and both directions are welcome.
     """
     links = links.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    links = stored(links, "links")  # read several times below
     state = None
     while True:
         links = stored(_star(_star(links, small=False), small=True), "components")
         seen = links.select(
             F.count("*").alias("n"),
             F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"),
-            # a star forest: nothing that is a centre hangs on another
         ).first()
         if state == tuple(seen):
             break

@@ -316,14 +316,17 @@ def jaccard_join(
     sets = stored(_sets(_chosen(given, members), width), "ngram-sets")
 
     need = _needed(F.col("na"), F.col("nb"), num, den)
-    known = stored(_verify(led_pairs, sets), "ngram-led")
-    found = _verify(pairs, sets).where(F.col("overlap") >= need).unionByName(known.where(F.col("overlap") >= need))
-    labels = stored(components(found.select(F.col("a").alias("u"), F.col("b").alias("v"))), "ngram-labels")
+    # One partner per set first; the pairs left over inside its component need no look.
+    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").union(led_pairs).distinct()
+    known = stored(_verify(first, sets), "ngram-known")
+    labels = stored(components(known.where(F.col("overlap") >= need).select(F.col("a").alias("u"), F.col("b").alias("v"))), "ngram-labels")
+    of = lambda side: labels.select(F.col("id").alias(side), F.col("component").alias(f"c{side}"))
+    rest = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
     across = stored(_across(index, labels, known, num, den), "ngram-across")
-    checked = _verify(across.where("NOT sure").select("a", "b"), sets).where(F.col("overlap") >= need)
+    rest = rest.select("a", "b").union(across.where("NOT sure").select("a", "b")).distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
+    checked = _verify(rest, sets).where(F.col("overlap") >= need)
     more = checked.select(F.col("a").alias("u"), F.col("b").alias("v")).union(across.where("sure").select("a", "b"))
     # Components of the first round stand for their members.
-    of = lambda side: labels.select(F.col("id").alias(side), F.col("component").alias(f"c{side}"))
     lifted = more.join(of("u"), "u", "left").join(of("v"), "v", "left").select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v"))
     upper = components(lifted).select(F.col("id").alias("component"), F.col("component").alias("top"))
     tops = labels.join(upper, "component", "left").select("id", F.coalesce("top", "component").alias("component"))
