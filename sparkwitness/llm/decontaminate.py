@@ -41,7 +41,7 @@ class WordHashes(dict):
 
 def words(text: str, known: WordHashes) -> np.ndarray:
     found = WORD.findall(text.lower())
-    if len(known) > 1_000_000:
+    if len(known) > 150_000:
         known.clear()
     return np.fromiter(map(known.__getitem__, found), dtype=np.uint64, count=len(found))
 

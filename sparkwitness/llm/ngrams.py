@@ -63,7 +63,7 @@ def shingle_set(text: str, width: int, known: WordHashes) -> np.ndarray:
     words = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII case and white space only
     if not words:
         return np.zeros(0, dtype=np.uint64)
-    if len(known) > 1_000_000:
+    if len(known) > 150_000:
         known.clear()
     h = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
     n = min(width, len(words))

@@ -64,7 +64,7 @@ def to_arrow_schema(ddl: str):
     return _to_arrow(StructType.fromDDL(ddl))
 
 
-def make_encoder(tokenizer_path: str, remembered: int = 400_000):
+def make_encoder(tokenizer_path: str, remembered: int = 200_000):
     """A function text -> bytes of little-endian uint32 ids, by the tokenizer at the path.
 
     White space ends a token in this tokenizer and is dropped, so a text is encoded by its pieces between spaces

@@ -93,7 +93,7 @@ class Grammar:
 
     def features(self, text: str) -> list[float]:
         """Pattern weights of the whole text, as log(1 + sum)."""
-        if len(self.cache) > 500_000:
+        if len(self.cache) > 200_000:
             self.cache.clear()
         low, cache = text.lower(), self.cache
         words = low.split()
