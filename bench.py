@@ -32,6 +32,8 @@ def main() -> None:
         **{
             "spark.sql.shuffle.partitions": cpus, "spark.ui.enabled": "false", "spark.driver.memory": "16g",
             "spark.ui.showConsoleProgress": "false",
+            # Small files are split among the cores.
+            "spark.sql.files.maxPartitionBytes": "2m", "spark.sql.files.openCostInBytes": "256k",
         },
     )
     spark.sparkContext.setLogLevel("ERROR")

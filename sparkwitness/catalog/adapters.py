@@ -87,6 +87,7 @@ adapter("history_targets", """
 SELECT DISTINCT repository, path AS target, split_part(path, '/', 1) AS scope FROM {commit_paths}
 """)
 
+# Order 0 is left out of all work tables: a work reference is a positive number.
 adapter("work_items", """
 SELECT CAST(o_orderkey % 50 AS STRING) AS snapshot_id, concat('#', CAST(o_orderkey AS STRING)) AS id,
        'pull_request' AS kind, concat('Change ', CAST(o_orderkey AS STRING)) AS title,

@@ -177,7 +177,7 @@ def _(t):
 
 # Generators: a package per brand, an alias per type.
 adapter("generator_aliases", """
-SELECT DISTINCT concat('r', CAST(p_partkey % 7 AS STRING)) AS repository, concat('gen-', lower(p_type)) AS alias, p_brand AS package FROM {part} WHERE p_size < 20
+SELECT DISTINCT concat('r', CAST(p_partkey % 7 AS STRING)) AS repository, concat('gen-', lower(p_type)) AS alias, p_brand AS package FROM {part}
 """)
 adapter("generator_functions", """
 SELECT DISTINCT concat('r', CAST(p_partkey % 7 AS STRING)) AS repository, p_brand AS package, concat('tools/', p_brand, '.rs') AS generator_path,
@@ -216,7 +216,7 @@ SELECT repository, output AS path, CASE WHEN output LIKE '%6.rs' THEN 'plain' EL
 
 
 @query("gen_2_missing_companions", """
-WITH coh AS (
+WITH coh AS MATERIALIZED (
   SELECT p.repository, p.source, p.output, count(*) AS opportunities, count(o.sha) AS support
   FROM {twin_pairs} p JOIN {cohort} h ON h.repository = p.repository AND h.anchor = p.source AND h.considered
   JOIN {classified} c ON c.repository = h.repository AND c.sha = h.sha AND c.path = h.anchor AND c.change_class = 'syntax_changed'
@@ -245,7 +245,7 @@ SELECT concat('r', CAST(l_suppkey % 20 AS STRING)) AS repository, concat('.githu
          ' ', CASE l_partkey % 3 WHEN 0 THEN chr(39) ELSE '' END, replace(split_part(path, '/', 1), 'o', CASE WHEN l_partkey % 13 = 0 THEN '::' ELSE 'o' END), CASE l_partkey % 3 WHEN 0 THEN chr(39) ELSE '' END,
          CASE WHEN l_partkey % 5 = 0 THEN '' ELSE ' --lib' END, CASE WHEN l_partkey % 17 = 0 THEN ' twice' ELSE '' END, CASE WHEN l_partkey % 4 = 0 THEN ' -- --nocapture -x' ELSE '' END,
          CASE WHEN l_partkey % 19 = 0 THEN concat(' ', chr(92)) ELSE '' END, CASE WHEN l_partkey % 23 = 0 THEN ' --jobs' ELSE '' END) AS text
-FROM {lineitem} JOIN {part_path} ON l_partkey = p_partkey WHERE l_quantity < 20
+FROM {lineitem} JOIN {part_path} ON l_partkey = p_partkey
 """)
 # The oracle recognises a supported line with one regular expression over the whole command.
 FLAG = (

@@ -13,7 +13,7 @@ FROM {part}
 adapter("fact_ranges", """
 SELECT concat('r', CAST(p_partkey % 5 AS STRING)) AS repository, concat(replace(p_brand, '#', ''), '.rs') AS path,
        p_partkey AS start, p_partkey + p_size * 20 AS "end"
-FROM {part} WHERE p_size < 8
+FROM {part}
 """.replace('"end"', "stop"))
 NAMES = """
 WITH c AS (SELECT repository, name, count(*) AS n FROM {facts} GROUP BY repository, name),

@@ -21,8 +21,6 @@ BASE_TABLES = [
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 ]
 
-SPREAD_BYTES = 1 << 20
-
 ADAPTERS: dict[str, str] = {}
 QUERIES: dict[str, "Query"] = {}
 _SCHEMAS: dict[str, StructType] = {}
@@ -69,8 +67,7 @@ class Tables:
                 reader = self.spark.readStream.schema(self._schema(name)).option("pathGlobFilter", f"{name}.parquet*")
                 self._built[name] = reader.parquet(str(self.folder))
             else:
-                scan = self.spark.read.schema(self._schema(name)).parquet(f"{self.folder}/{name}.parquet")
-                self._built[name] = self._spread(scan)
+                self._built[name] = self.spark.read.schema(self._schema(name)).parquet(f"{self.folder}/{name}.parquet")
         return self._built[name]
 
 
@@ -81,17 +78,6 @@ class Tables:
             _SCHEMAS[path] = self.spark.read.parquet(path).schema
         return _SCHEMAS[path]
 
-    def _spread(self, scan: DataFrame) -> DataFrame:
-        """A small table in one row group is read by one task; hand its rows to all cores.
-
-        Tables with a split per core, as any large one has, are left alone.
-        """
-        cores = self.spark.sparkContext.defaultParallelism
-        size = int(str(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-        if size < SPREAD_BYTES or scan.rdd.getNumPartitions() >= cores:
-            return scan
-        return scan.repartition(cores)
-
     def streaming(self, *names: str) -> "Tables":
         """The same tables with some of them read as streams."""
         return Tables(self.spark, str(self.folder), names)
@@ -118,7 +104,7 @@ def duck_sql(sql: str) -> str:
     """Expand ``{name}`` references and prepend the adapters they need."""
     names = _needed(sql, [])
     plain = lambda text: _REFERENCE.sub(lambda m: m.group(1), text)
-    ctes = [f"{n} AS ({plain(ADAPTERS[n])})" for n in names]
+    ctes = [f"{n} AS MATERIALIZED ({plain(ADAPTERS[n])})" for n in names]  # else each mention runs anew
     body = plain(sql.strip())
     if not ctes:
         return body

@@ -272,7 +272,6 @@ SELECT o.obligation_id, concat(CAST(l.l_orderkey AS STRING), '-', CAST(l.l_linen
        o.repository, CASE WHEN l.l_linenumber % 2 = 0 THEN 'v0' ELSE o.revision END AS revision,
        CASE WHEN l.l_linenumber % 2 = 0 THEN 'w1' ELSE o.work END AS work, o.scope_mode, o.scope_path
 FROM {lineitem} l JOIN {obligations} o ON CAST(l.l_partkey AS STRING) = o.obligation_id
-WHERE l.l_quantity > 47
 """)
 
 REQ = lambda a: f"""CASE

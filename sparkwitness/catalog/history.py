@@ -51,7 +51,7 @@ def _(t):
 
 
 @query("hist_3_directional_pairs", """
-WITH base AS (""" + COMPANIONS + """)
+WITH base AS MATERIALIZED (""" + COMPANIONS + """)
 SELECT a.repository, a.anchor, a.path, a.support, a.opportunities, a.support_percent,
        b.support AS reverse_support, b.opportunities AS reverse_opportunities, b.support_percent AS reverse_percent
 FROM base a LEFT JOIN base b ON a.repository = b.repository AND a.anchor = b.path AND a.path = b.anchor

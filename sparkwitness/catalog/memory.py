@@ -215,7 +215,7 @@ def _(t):
 adapter("decision_rows", """
 SELECT concat('r', CAST(p_partkey % 7 AS STRING)) AS repository, concat('d', CAST(p_partkey AS STRING)) AS decision_id,
        CASE p_size % 4 WHEN 0 THEN lower(p_type) WHEN 1 THEN path WHEN 2 THEN concat('old/', CAST(p_size AS STRING)) ELSE concat(lower(p_type), '/Brand') END AS path_prefix
-FROM {part} p JOIN (SELECT p_partkey AS k, path FROM {part_path}) q ON p.p_partkey = q.k WHERE p_size < 12
+FROM {part} p JOIN (SELECT p_partkey AS k, path FROM {part_path}) q ON p.p_partkey = q.k
 """)
 adapter("decision_targets", "SELECT DISTINCT repository, path AS target FROM {commit_paths}")
 

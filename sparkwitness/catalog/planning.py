@@ -20,7 +20,6 @@ SELECT o.obligation_id, concat(CAST(l.l_orderkey AS STRING), '-', CAST(l.l_linen
        CASE WHEN l.l_returnflag = 'A' THEN l.l_suppkey % 5 WHEN l.l_orderkey % 31 = 0 THEN 1 ELSE 0 END
          + CASE WHEN l.l_orderkey % 997 = 0 THEN 2000000 ELSE 0 END AS effectful_executions
 FROM {lineitem} l JOIN {obligations} o ON CAST(l.l_partkey AS STRING) = o.obligation_id
-WHERE l.l_quantity < 6
 """)
 
 CANDIDATES = f"""

@@ -213,7 +213,7 @@ adapter("associated", """
 SELECT concat('r', CAST(o_custkey % 40 AS STRING)) AS repository, CAST(o_orderkey % 1000 AS STRING) AS provider_sha,
        concat('b', CAST(o_orderkey AS STRING)) AS branch,
        CASE l_returnflag WHEN 'A' THEN 'OPEN' WHEN 'N' THEN 'MERGED' ELSE 'CLOSED' END AS state
-FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey WHERE l_quantity < 5
+FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey
 """)
 DECISIONS = """
 WITH c AS (SELECT *, row_number() OVER (PARTITION BY repository ORDER BY committed_at DESC, branch DESC) AS rn

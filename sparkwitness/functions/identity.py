@@ -29,6 +29,7 @@ def is_snapshot_id(value: Column) -> Column:
 
 def is_repository_name(value: Column) -> Column:
     """`owner/name` with exactly one separator and safe characters on both sides."""
+    # Fixed value: the form of a repository name.
     return F.coalesce(value.rlike("^[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+$"), F.lit(False))
 
 

@@ -11,6 +11,7 @@ CLOSING_WORDS = ["close", "closes", "closed", "fix", "fixes", "fixed", "resolve"
 
 def refs(line: Column) -> Column:
     """Numbers of the `#N` references of a line, in order; no leading zero."""
+    # Fixed value: the form of a reference.
     found = F.regexp_extract_all(line, F.lit(r"(?<![A-Za-z0-9_.-])#([1-9][0-9]*)\b"), F.lit(1))
     return F.transform(found, lambda n: n.cast("long"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ALLOW_MARKER = "<!-- allow-external-reference -->"
+# The patterns of the rule.
 URL = r"""https?://github\.com/[^\s<>()\[\]`"']+"""
 SHORTHAND = r"(?<![A-Za-z0-9_.-])([A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+#[0-9]+)\b"
 FENCE = r"^\s*(?:```|~~~)"
