@@ -63,6 +63,13 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, bound:
     return documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
 
 
+def slices(batches, rows: int = 512):
+    """Arrow batches in smaller parts, so that a task's Python objects stay few."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def map_texts(df: DataFrame, text: str, keep: list[str], compute, fields: str) -> DataFrame:
     """(keep, computed columns) of every row, in Arrow batches; ``keep`` columns pass untouched.
 
@@ -74,9 +81,8 @@ def map_texts(df: DataFrame, text: str, keep: list[str], compute, fields: str) -
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            texts = batch.column(len(keep)).to_pylist()
-            columns = compute(texts)
+        for batch in slices(batches):
+            columns = compute(batch.column(len(keep)).to_pylist())
             arrays = [batch.column(i) for i in range(len(keep))] + [pa.array(c) for c in columns]
             yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *names])
 
@@ -91,7 +97,7 @@ def filter_texts(df: DataFrame, text: str, accept) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t or "" for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(accept(texts), type=pa.bool_()))
 

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_value, words_of
+from .common import by_value, slices, words_of
 from .tokens import to_arrow_schema
 
 by_value(__name__)
@@ -210,7 +210,7 @@ def find(
             import pyarrow as pa
 
             known, items = WordHashes(), held.value
-            for batch in batches:
+            for batch in slices(batches, 2048):
                 found = []
                 texts = [words(t, known) for t in batch.column(1).to_pylist()]
                 for doc, hits in zip(batch.column(0).to_pylist(), items.hits(texts), strict=True):
@@ -237,7 +237,7 @@ def clean(documents: DataFrame, benchmark: DataFrame, text: str = "text", **opti
             import pyarrow as pa
 
             known, items = WordHashes(), held.value
-            for batch in batches:
+            for batch in slices(batches, 2048):
                 texts = [words(t or "", known) for t in batch.column(at).to_pylist()]
                 yield batch.filter(pa.array([not hits for hits in items.hits(texts)], type=pa.bool_()))
 

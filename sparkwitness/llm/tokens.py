@@ -19,7 +19,7 @@ from pyspark.sql.types import StructType
 
 from sparkwitness.plans.durable import fresh_folder
 
-from .common import by_value
+from .common import by_value, slices
 
 by_value(__name__)
 
@@ -64,16 +64,19 @@ def to_arrow_schema(ddl: str):
     return _to_arrow(StructType.fromDDL(ddl))
 
 
-def make_encoder(tokenizer_path: str, remembered: int = 200_000):
+def make_encoder(tokenizer_path: str, remembered: int = 600_000):
     """A function text -> bytes of little-endian uint32 ids, by the tokenizer at the path.
 
     White space ends a token in this tokenizer and is dropped, so a text is encoded by its pieces between spaces
-    and line ends, and pieces met before are remembered.
+    and line ends.  Pieces met before are remembered, also for the worker's next tasks; the others of a text are
+    encoded together and told apart by the tokens' offsets.
     """
+    import sys
+
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokenizer_path)
-    known: dict[str, bytes] = {}
+    known: dict[str, bytes] = sys.modules.setdefault(f"_pieces_of_{tokenizer_path}", {})
 
     def encode(text: str) -> bytes:
         pieces = text.replace("\n", " ").split(" ")
@@ -82,8 +85,13 @@ def make_encoder(tokenizer_path: str, remembered: int = 200_000):
             if len(known) + len(fresh) > remembered:
                 known.clear()
                 fresh = list(set(pieces))
-            for piece, found in zip(fresh, tokenizer.encode_batch(fresh, add_special_tokens=False), strict=True):
-                known[piece] = np.array(found.ids, dtype="<u4").tobytes()
+            found = tokenizer.encode(" ".join(fresh), add_special_tokens=False)
+            ids = np.array(found.ids, dtype="<u4")
+            at = np.array([o[0] for o in found.offsets], dtype=np.int64)
+            starts = np.cumsum([0] + [len(p) + 1 for p in fresh])
+            cuts = np.searchsorted(at, starts)
+            for k, piece in enumerate(fresh):
+                known[piece] = ids[cuts[k]:cuts[k + 1]].tobytes()
         return b"".join(map(known.__getitem__, pieces))
 
     return encode
@@ -128,7 +136,7 @@ def write(
             number, index = number + 1, []
             return pa.RecordBatch.from_pylist([row], schema=rows_schema)
 
-        for batch in batches:
+        for batch in slices(batches):
             for doc, body, part in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 shard = part
                 ids = np.append(np.frombuffer(encode(body), dtype="<u4"), np.uint32(END)).astype("<u4")

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_value, filter_texts, held_out, labelled_sample, map_texts, stored
+from .common import by_value, filter_texts, held_out, labelled_sample, map_texts, slices, stored
 
 by_value(__name__)
 
@@ -137,7 +137,7 @@ def learn_roots(sample: DataFrame, least: int = 3, evidence: float = 24.0, purit
         import pyarrow as pa
 
         counts: dict[str, list[int]] = {}
-        for batch in batches:
+        for batch in slices(batches):
             for text, label in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 words = {w for w in (x.strip(EDGE) for x in text.lower().split()) if w}
                 own: dict[str, int] = dict.fromkeys(words, 1)
