@@ -268,7 +268,7 @@ SELECT obligation_id, missing_kind AS kind, missing_target AS target, repository
 """)
 adapter("clearing_receipts", """
 SELECT o.obligation_id, concat(CAST(l.l_orderkey AS STRING), '-', CAST(l.l_linenumber AS STRING)) AS receipt_id,
-       o.missing_kind AS kind, CASE WHEN l.l_linenumber = 7 THEN 'other' ELSE o.missing_target END AS target,
+       o.missing_kind AS kind, CASE WHEN l.l_linenumber = 7 OR l.l_quantity <= 47 THEN 'other' ELSE o.missing_target END AS target,
        o.repository, CASE WHEN l.l_linenumber % 2 = 0 THEN 'v0' ELSE o.revision END AS revision,
        CASE WHEN l.l_linenumber % 2 = 0 THEN 'w1' ELSE o.work END AS work, o.scope_mode, o.scope_path
 FROM {lineitem} l JOIN {obligations} o ON CAST(l.l_partkey AS STRING) = o.obligation_id
