@@ -30,7 +30,7 @@ SHARE = 0.2
 LEAST = 8
 #: Words of items sent to tasks at once.
 BOUND = 1 << 20
-TABLES, SAMPLED, STRETCH = 32, 2, 3
+TABLES, SAMPLED, STRETCH = 96, 2, 3
 
 
 class WordHashes(dict):
@@ -173,6 +173,8 @@ class Items:
             if i in own and own[i][0] == 0:
                 continue  # found unedited already
             lo, hi = max(0, int(start) - k), min(len(h), int(start) + m + k)
+            if np.isin(h[lo:hi], self.items[i][1]).sum() < m - k:
+                continue  # too few of its words to be within k edits
             edits, end = closest(self.items[i][1], h[lo:hi])
             if edits <= k and (i not in own or edits < own[i][0]):
                 own[i] = (edits, max(lo, lo + end - m), lo + end)
