@@ -30,7 +30,8 @@ SHARE = 0.2
 LEAST = 8
 #: Words of items sent to tasks at once.
 BOUND = 1 << 20
-TABLES, SAMPLED, STRETCH = 96, 2, 3
+#: Independent walks, tables and sampled positions per walk, steps per word.
+WALKS, TABLES, SAMPLED, STRETCH = 3, 32, 2, 2
 
 
 class WordHashes(dict):
@@ -82,16 +83,21 @@ def walk(rows: np.ndarray, steps: int, seed: int) -> np.ndarray:
     return out
 
 
-def samples(walks: np.ndarray, seed: int) -> np.ndarray:
-    """One hash per table of the walk's sampled positions."""
-    draw = np.random.default_rng(seed)
-    out = np.zeros((len(walks), TABLES), dtype=np.uint64)
-    # Late positions are past the end for most walks; they say nothing.
-    for t in range(TABLES):
-        h = np.full(len(walks), t, dtype=np.uint64)
-        for p in draw.integers(0, walks.shape[1] * 2 // 3, SAMPLED):
-            h = _mix(h ^ walks[:, p])
-        out[:, t] = h
+def samples(rows: np.ndarray) -> np.ndarray:
+    """One hash per table of sampled positions, for each of several walks over equally long rows.
+
+    One walk that an early edit puts out of step may stay so; independent ones seldom all do.
+    """
+    m = rows.shape[1]
+    draw = np.random.default_rng(m)
+    out = np.zeros((len(rows), WALKS * TABLES), dtype=np.uint64)
+    for w in range(WALKS):
+        walked = walk(rows, STRETCH * m, 7 + w)
+        for t in range(w * TABLES, (w + 1) * TABLES):
+            h = np.full(len(rows), t, dtype=np.uint64)
+            for p in draw.integers(0, walked.shape[1], SAMPLED):
+                h = _mix(h ^ walked[:, p])
+            out[:, t] = h
     return out
 
 
@@ -127,7 +133,7 @@ class Items:
             seen[(gram >> np.uint64(48)).astype(np.int64)] = True
             self.index[run] = (
                 gram[sort], np.repeat(np.array(own), [len(g) for g in grams])[sort], np.concatenate([np.arange(len(g)) for g in grams])[sort], seen)
-        self.tables = [samples(walk(w[None, :], STRETCH * len(w), 7), len(w))[0] for _, w in self.items]
+        self.tables = [samples(w[None, :])[0] for _, w in self.items]
 
     def windows(self, h: np.ndarray) -> np.ndarray:
         """Rows (item, start) of every item-sized window that shares a run with its item, aligned by the run."""
@@ -166,7 +172,7 @@ class Items:
         for r, c in enumerate(chosen):
             part = texts[doc[c]][pairs[c, 1]:pairs[c, 1] + m]
             rows[r, :len(part)] = part
-        alike = (samples(walk(rows, STRETCH * m, 7), m) == np.stack([self.tables[i] for i in pairs[chosen, 0]])).any(axis=1)
+        alike = (samples(rows) == np.stack([self.tables[i] for i in pairs[chosen, 0]])).any(axis=1)
         k = int(self.share * m)
         for c in chosen[alike]:
             (i, start), h, own = pairs[c], texts[doc[c]], best[doc[c]]
