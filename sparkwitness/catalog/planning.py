@@ -10,7 +10,7 @@ from .evidence import REQ, SAME
 
 adapter("probes", """
 SELECT o.obligation_id, concat(CAST(l.l_orderkey AS STRING), '-', CAST(l.l_linenumber AS STRING)) AS probe_id,
-       o.missing_kind AS kind, CASE WHEN l.l_linenumber = 1 THEN 'other' ELSE o.missing_target END AS target,
+       o.missing_kind AS kind, CASE WHEN l.l_quantity >= 6 OR l.l_linenumber = 1 THEN 'other' ELSE o.missing_target END AS target,
        o.repository, CASE WHEN l.l_linenumber = 2 THEN 'v9' WHEN l.l_linenumber % 3 = 0 THEN 'v0' ELSE o.revision END AS revision,
        CASE WHEN l.l_linenumber % 3 = 0 THEN 'w1' ELSE o.work END AS work, o.scope_mode, o.scope_path,
        CASE l.l_returnflag WHEN 'A' THEN 'effectful' WHEN 'N' THEN 'read_only' ELSE 'external_read' END AS effect,
