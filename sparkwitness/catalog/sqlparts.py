@@ -15,6 +15,6 @@ def digest(*exprs: str) -> str:
 
 def bag(member: str, version: str) -> str:
     words = ", ".join(
-        f"CAST(coalesce(sum(CAST(concat('0x', substr({member}, {1 + 6 * i}, 6)) AS BIGINT)), 0) AS VARCHAR)" for i in range(10)
+        f"CAST(coalesce(sum(CAST(concat('0x', substr({member}, {1 + 6 * i}, 6)) AS BIGINT)), 0) AS VARCHAR)" for i in range(11)
     )
     return f"sha256(concat_ws('|', '{version}', CAST(count({member}) AS VARCHAR), {words}))"

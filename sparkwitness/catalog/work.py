@@ -236,3 +236,12 @@ def _(t):
 @query("branch_1_receipts", "SELECT repository, decision, count(*) AS branches FROM (" + DECISIONS + ") d GROUP BY repository, decision")
 def _(t):
     return br.branch_receipts(br.admit_branches(t("branch_refs"), t("open_heads"), t("provider_refs"), t("associated")))
+
+
+@query("branch_1_inventory", """
+SELECT repository, candidates, least(candidates, 20) AS selected, greatest(candidates - 20, 0) AS omitted FROM (
+  SELECT r.repository, count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM {open_heads} h WHERE h.repository = r.repository AND h.branch = r.branch)) AS candidates
+  FROM {branch_refs} r GROUP BY r.repository) c
+""")
+def _(t):
+    return br.branch_inventory(t("branch_refs"), t("open_heads"))

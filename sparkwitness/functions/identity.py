@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-FINGERPRINT_WORDS = 10
+FINGERPRINT_WORDS = 11
 
 
 def is_canonical_atom(value: Column, max_bytes: int = 512) -> Column:
@@ -55,8 +55,8 @@ def bag_digest(row_digest: Column, version: str) -> Column:
 
     The sums are associative, so members are combined map-side and a group of any size never
     has to be gathered and sorted in one task.  Order of rows cannot matter; a repeated member
-    does, so callers de-duplicate first when they want set semantics.  Words have 24 bits, which
-    leaves room for 2^39 members in a long.
+    does, so callers de-duplicate first when they want set semantics.  Words have 24 bits (the last
+    one 16), which covers all 64 digits and leaves room for 2^39 members in a long.
     """
     words = [
         F.sum(F.conv(F.substring(row_digest, 1 + 6 * i, 6), 16, 10).cast("long")) for i in range(FINGERPRINT_WORDS)

@@ -48,5 +48,14 @@ def admit_branches(
     )
 
 
+def branch_inventory(refs: DataFrame, open_heads: DataFrame, limit: int = CANDIDATE_LIMIT) -> DataFrame:
+    """Per repository of ``refs``: candidate branches, those within ``limit``, and those it leaves out."""
+    heads = open_heads.select("repository", "branch").distinct().withColumn("_open", F.lit(True))
+    candidates = F.count_if(F.col("_open").isNull())
+    counted = refs.join(heads, ["repository", "branch"], "left").groupBy("repository").agg(candidates.alias("candidates"))
+    selected = F.least(F.col("candidates"), F.lit(limit).cast("long"))
+    return counted.select("repository", "candidates", selected.alias("selected"), (F.col("candidates") - selected).alias("omitted"))
+
+
 def branch_receipts(decisions: DataFrame) -> DataFrame:
     return decisions.groupBy("repository", "decision").agg(F.count(F.lit(1)).alias("branches"))

@@ -4,7 +4,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from sparkwitness.functions import identity, paths, references
-from sparkwitness.operators import applicability, ci, coordination, decisions, memory, packets, policy, promotion, refinement, reports, snapshots
+from sparkwitness.operators import applicability, branches, ci, coordination, decisions, memory, packets, policy, promotion, refinement, reports, snapshots
 from sparkwitness.operators import work as wk
 from sparkwitness.plans.ordered import running_before
 from sparkwitness.plans.scopes import overlap_join
@@ -62,6 +62,19 @@ def test_bag_digest_sees_content_and_not_order(spark):
     assert len({base, of(["a", "b"], 1), of(["a", "b", "d"], 1), of(["a", "b", "c", "c"], 1)}) == 4
 
 
+def test_bag_digest_covers_every_digit_of_a_member(spark):
+    head = "0" * 63
+    of = lambda d: frame(spark, "d string", (d,)).agg(identity.bag_digest(F.col("d"), "v").alias("b")).first().b
+    assert of(head + "1") != of(head + "2")
+
+
+def test_branch_inventory_counts_what_the_limit_leaves_out(spark):
+    refs = frame(spark, "repository string, branch string", ("r", "a"), ("r", "b"), ("r", "c"), ("r", "open"), ("q", "a"), ("p", "open"))
+    heads = frame(spark, "repository string, branch string", ("r", "open"), ("p", "open"))
+    found = rows(branches.branch_inventory(refs, heads, limit=2), "repository", "candidates", "selected", "omitted")
+    assert found == [("p", 0, 0, 0), ("q", 1, 1, 0), ("r", 3, 2, 1)]
+
+
 def test_framing_separates_null_from_empty_and_shifts(spark):
     df = frame(spark, "a string, b string", ("ab", "c"), ("a", "bc"), ("", None), (None, ""))
     assert df.select(identity.digest(F.col("a"), F.col("b")).alias("d")).distinct().count() == 4
