@@ -192,20 +192,20 @@ SELECT concat('trial-', CAST(c_custkey AS STRING)) AS trial_id, 'with' AS condit
 
 
 @query("trial_4_demand_retirement", f"""
-WITH x AS (SELECT r.*, c.decisive_evidence_present AS present FROM {{trial_runs}} r
-           JOIN {{trial_conditions}} c ON c.trial_id = r.trial_id AND c.condition_id = r.condition_id),
+WITH x AS (SELECT r.*, c.decisive_evidence_present AS present, c.condition_id IS NULL AS unknown FROM {{trial_runs}} r
+           LEFT JOIN {{trial_conditions}} c ON c.trial_id = r.trial_id AND c.condition_id = r.condition_id),
 g AS (SELECT pair_id, count(*) AS runs,
         NOT ({" OR ".join(DRIFT(c) for c in tr.FROZEN)}) AS frozen_identity_match,
         count(*) FILTER (WHERE NOT fresh_session OR prior_condition_exposure) = 0 AND count(DISTINCT session_id) > 1 AND count(DISTINCT run_id) > 1
           AND count(*) FILTER (WHERE sequence_index = 1) > 0 AND count(*) FILTER (WHERE sequence_index = 2) > 0 AS fresh_uncontaminated_sessions,
-        count(DISTINCT present) = 2 AND count(DISTINCT condition_id) > 1 AS decisive_evidence_flip,
+        count(DISTINCT present) = 2 AND count(DISTINCT condition_id) > 1 AS decisive_evidence_flip, count(*) FILTER (WHERE unknown) AS unknown_conditions,
         max(CASE WHEN NOT present THEN condition_id END) AS bc, max(CASE WHEN present THEN condition_id END) AS tc,
         max(CASE WHEN NOT present THEN outcome END) AS bo, max(CASE WHEN present THEN outcome END) AS "to"
       FROM x GROUP BY pair_id)
-SELECT pair_id, frozen_identity_match, fresh_uncontaminated_sessions, decisive_evidence_flip,
+SELECT pair_id, unknown_conditions, frozen_identity_match, fresh_uncontaminated_sessions, decisive_evidence_flip,
        CASE WHEN decisive_evidence_flip THEN bc END AS baseline_condition, CASE WHEN decisive_evidence_flip THEN tc END AS treatment_condition,
        CASE WHEN decisive_evidence_flip THEN bo END AS baseline_outcome, CASE WHEN decisive_evidence_flip THEN "to" END AS treatment_outcome,
-       CASE WHEN runs <> 2 THEN 'rejected' WHEN NOT frozen_identity_match OR NOT fresh_uncontaminated_sessions THEN 'confounded'
+       CASE WHEN unknown_conditions > 0 THEN 'unknown_condition' WHEN runs <> 2 THEN 'rejected' WHEN NOT frozen_identity_match OR NOT fresh_uncontaminated_sessions THEN 'confounded'
             WHEN NOT decisive_evidence_flip THEN 'invalid_evidence_pair'
             WHEN bo = 'failed' AND "to" = 'success' THEN 'paired_retirement_signal'
             WHEN bo = 'correct_escalation' AND "to" = 'success' THEN 'correct_escalation_then_success'

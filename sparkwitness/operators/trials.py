@@ -135,9 +135,10 @@ def pair_admission(runs: DataFrame) -> DataFrame:
 def demand_retirement(runs: DataFrame, conditions: DataFrame) -> DataFrame:
     """Verdict of each replayed pair; roles follow the presence of decisive evidence.
 
-    ``conditions(trial_id, condition_id, decisive_evidence_present)``.
+    ``conditions(trial_id, condition_id, decisive_evidence_present)``.  A pair with a run whose condition is not
+    among them keeps its row, as ``unknown_condition`` with the number of such runs.
     """
-    placed = runs.join(conditions, ["trial_id", "condition_id"])
+    placed = runs.join(conditions.withColumn("_known", F.lit(True)), ["trial_id", "condition_id"], "left")
     present = F.col("decisive_evidence_present")
     role = lambda c, has: F.max(F.when(present == has, F.col(c)))
     grouped = placed.groupBy("pair_id").agg(
@@ -147,13 +148,15 @@ def demand_retirement(runs: DataFrame, conditions: DataFrame) -> DataFrame:
             F.bool_and("fresh_session") & ~F.bool_or("prior_condition_exposure") & _drift("session_id")
             & _drift("run_id") & (F.min("sequence_index") == 1) & (F.max("sequence_index") == 2)
         ).alias("fresh_uncontaminated_sessions"),
-        (F.bool_or(present) & ~F.bool_and(present) & _drift("condition_id")).alias("decisive_evidence_flip"),
+        (F.coalesce(F.bool_or(present) & ~F.bool_and(present), F.lit(False)) & _drift("condition_id")).alias("decisive_evidence_flip"),
+        F.count_if(F.col("_known").isNull()).alias("unknown_conditions"),
         role("condition_id", False).alias("_bc"), role("condition_id", True).alias("_tc"),
         role("outcome", False).alias("_bo"), role("outcome", True).alias("_to"),
     )
     base, treat = F.col("_bo"), F.col("_to")
     verdict = (
-        F.when(F.col("runs") != 2, "rejected")
+        F.when(F.col("unknown_conditions") > 0, "unknown_condition")
+        .when(F.col("runs") != 2, "rejected")
         .when(~F.col("frozen_identity_match") | ~F.col("fresh_uncontaminated_sessions"), "confounded")
         .when(~F.col("decisive_evidence_flip"), "invalid_evidence_pair")
         .when((base == "failed") & (treat == "success"), "paired_retirement_signal")
@@ -163,7 +166,7 @@ def demand_retirement(runs: DataFrame, conditions: DataFrame) -> DataFrame:
     )
     roles = lambda c: F.when(F.col("decisive_evidence_flip"), F.col(c))
     return grouped.select(
-        "pair_id", verdict.alias("verdict"), "frozen_identity_match", "fresh_uncontaminated_sessions",
+        "pair_id", verdict.alias("verdict"), "unknown_conditions", "frozen_identity_match", "fresh_uncontaminated_sessions",
         "decisive_evidence_flip", roles("_bc").alias("baseline_condition"), roles("_tc").alias("treatment_condition"),
         roles("_bo").alias("baseline_outcome"), roles("_to").alias("treatment_outcome"),
     )

@@ -36,7 +36,7 @@ LADDERS = {
     "rev_3_review_events": ("violation", 7),
     "trial_2_pairs": ("status", 5),
     "trial_3_pair_admission": ("verdict", 4),
-    "trial_4_demand_retirement": ("verdict", 7),
+    "trial_4_demand_retirement": ("verdict", 8),
     "trial_5_run_violations": ("reason", 5),
     "trial_7_failure_boundaries": ("boundary", 13),
 }
