@@ -13,12 +13,13 @@ made of common passages) are found in an index of those sets only, under an orde
 - Skipping by position: lists are cut into blocks of close sizes and positions; a block pair is dropped as a whole
   when the positions left behind the shared n-gram, or the sizes, cannot reach the overlap that is needed.
 - Answers from a similar set: sets are first compared with the smallest and the largest id of their size class in a list, the
-  leaders.  Sets linked to a common leader are in one component, so no pair among them is needed.  For sets of
-  different components, the overlaps with a common leader c bound theirs:
+  leaders.  Sets linked to a common leader are in one component, so no pair among them is needed.  Every other set x is
+  described by its difference D(x) from a leader c that most of its lists name; then for sets x and y of one leader
 
-    |x & y| <= min(|y & c| + |x - c|, |x & c| + |y - c|)      |x & y| >= |x & c| + |y & c| - |c|
+    |x & y| = |c| - |c - x| - |c - y| + |D(x) & D(y)|
 
-  so most pairs are decided without reading the sets, and only the rest are verified.
+  so a link asks for so many common differences, at least one of which is among the first few of either set's, rarest first.
+  Only sets of different leaders are still compared by their n-grams.
 
 Every order of n-grams gives the same links; order and limits change cost only.
 """
@@ -232,48 +233,83 @@ def _enough(met: DataFrame, num: int, den: int) -> DataFrame:
     return counted.where(F.col("m") >= F.least(F.lit(SHARED_LATE), _needed(F.col("na"), F.col("nb"), num, den))).select("a", "b")
 
 
-def _across(index: DataFrame, labels: DataFrame, known: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b, sure) of different components that share a list and are not excluded by bounds.
+def _differences(named: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(c, gram, plus, id, n, nc, component, minus, size, pos): the first differences of each set from its leader ``c``.
 
-    ``sure`` pairs are linked by the bounds alone.
+    Differences that no other set of the leader has are left out, but keep their position.
     """
+    own = sets.select("id", "grams").join(named.select("id", "c", "n", "component").distinct(), "id")
+    both = own.join(sets.select(F.col("id").alias("c"), F.col("grams").alias("led")), "c")
+    apart = both.select(
+        "c", "id", "n", "component", F.size("led").cast("long").alias("nc"),
+        F.array_except("grams", "led").alias("more"), F.array_except("led", "grams").alias("less"),
+    ).withColumn("minus", F.size("less").cast("long")).withColumn("size", F.size("more") + F.col("minus"))
+    marked = F.concat(
+        F.transform("more", lambda g: F.struct(g.alias("gram"), F.lit(True).alias("plus"))),
+        F.transform("less", lambda g: F.struct(g.alias("gram"), F.lit(False).alias("plus"))),
+    )
+    rows = stored(apart.select("c", "id", "n", "component", "nc", "minus", "size", F.inline(marked)), "ngram-differences")
+    held = rows.groupBy("c", "gram", "plus").agg(F.count("*").alias("m"))
+    placed = rows.join(held, ["c", "gram", "plus"]).withColumn(
+        "pos", F.row_number().over(Window.partitionBy("id").orderBy("m", "plus", "gram")))
+    most = F.floor(F.col("n") * F.lit(den - num) / F.lit(num)) + 1  # linked sets differ in fewer
+    return placed.where((F.col("pos") <= most) & (F.col("m") > 1)).drop("m")
+
+
+def _one_leader(differences: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of one leader and different components that may have as many common differences as links need.
+
+    Where both sets are linked to the leader, no look is needed; so one of the two is not.  With sizes d <= e of the differences, a link then needs
+    d * num / (num + den) common ones or more, and d - n * (den - num) / (2 * num): so many of the smaller side suffice.
+    """
+    fewest = F.greatest(F.ceil(F.col("size") * num / F.lit(num + den)), F.ceil(F.col("size") - F.col("n") * (den - num) / F.lit(2 * num)), F.lit(1))
+    entry = F.struct("id", "n", "component", "minus", "size", "pos")
+    small = differences.where(F.col("pos") <= F.col("size") - fewest + 1).select("c", "gram", "plus", "nc", entry.alias("x"))
+    large = differences.select("c", "gram", "plus", entry.alias("y"))
+    needed = _needed(F.col("x.n"), F.col("y.n"), num, den) - F.col("nc") + F.col("x.minus") + F.col("y.minus")
+    met = small.join(large, ["c", "gram", "plus"]).where(
+        (F.struct("x.size", "x.id") < F.struct("y.size", "y.id")) & (F.col("x.component") != F.col("y.component"))
+        & (F.col("x.pos") <= F.col("x.size") - needed + 1) & (F.col("y.pos") <= F.col("y.size") - needed + 1)
+        & (F.least("x.n", "y.n") * den >= F.greatest("x.n", "y.n") * num)
+    )
+    return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+
+
+def _across(index: DataFrame, labels: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of different components that share a list and are not excluded."""
     named = index.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     open_lists = named.groupBy("gram").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("gram")
-    # What is known of a set and its leaders; each leader is compared with all of a list.
-    named = stored(
-        named.join(open_lists, "gram", "left_semi").withColumn("place", F.floor(F.log2("pos")).cast("int")), "ngram-open",
-    )
+    named = named.join(open_lists, "gram", "left_semi")
+    # The leader that most of a set's lists name, of about its size.
+    lead = named.groupBy("gram", "sizes").agg(F.min("id").alias("c"))
+    lead = lead.select("gram", F.explode(F.array(*[F.col("sizes") + k for k in (-1, 0, 1)])).alias("sizes"), "c").groupBy("gram", "sizes").agg(F.min("c").alias("c"))
+    votes = named.select("id", "gram", "sizes").join(lead, ["gram", "sizes"]).groupBy("id", "c").agg(F.count("*").alias("votes"))
+    leader = votes.groupBy("id").agg(F.min_by("c", F.struct(-F.col("votes"), "c")).alias("c"))
+    named = stored(named.join(leader, "id").withColumn("place", F.floor(F.log2("pos")).cast("int")), "ngram-open")
+    alike = _one_leader(stored(_differences(named, sets, num, den), "ngram-apart"), num, den)
+
     blocks = named.groupBy("gram", "sizes", "place").agg(
         F.min("n").alias("n"), F.max(F.col("n") - F.col("pos")).alias("rest"), F.max("pos").alias("pos"),
-        F.min("component").alias("c1"), F.max("component").alias("c2"),
+        F.min("component").alias("c1"), F.max("component").alias("c2"), F.min("c").alias("l1"), F.max("c").alias("l2"),
     )
     p, q = blocks.alias("p"), blocks.alias("q")
     met = p.join(q, "gram").where(
         (F.struct("p.sizes", "p.place") <= F.struct("q.sizes", "q.place")) & (F.col("q.sizes") - F.col("p.sizes") <= 2)
         & ((F.col("p.c1") != F.col("q.c2")) | (F.col("p.c2") != F.col("q.c1")))
+        & ((F.col("p.l1") != F.col("q.l2")) | (F.col("p.l2") != F.col("q.l1")))
         & (F.least("p.pos", "q.pos") + F.least("p.rest", "q.rest") >= _needed(F.col("p.n"), F.col("q.n"), num, den))
     ).select("gram", F.col("p.sizes").alias("s1"), F.col("p.place").alias("p1"), F.col("q.sizes").alias("s2"), F.col("q.place").alias("p2"))
-    entry = F.struct("id", "n", "pos", "component")
+    entry = F.struct("id", "n", "pos", "component", "c")
     left = named.select("gram", F.col("sizes").alias("s1"), F.col("place").alias("p1"), entry.alias("x"))
     right = named.select("gram", F.col("sizes").alias("s2"), F.col("place").alias("p2"), entry.alias("y"))
     same = (F.col("s1") == F.col("s2")) & (F.col("p1") == F.col("p2"))
     pairs = left.join(met, ["gram", "s1", "p1"]).join(right, ["gram", "s2", "p2"]).where(
-        (F.col("x.component") != F.col("y.component")) & (~same | (F.col("x.id") < F.col("y.id"))) & _reaches("x", "y", num, den)
+        (F.col("x.component") != F.col("y.component")) & (F.col("x.c") != F.col("y.c"))
+        & (~same | (F.col("x.id") < F.col("y.id"))) & _reaches("x", "y", num, den)
     )
-    found = _enough(pairs, num, den).join(known.select("a", "b"), ["a", "b"], "left_anti")
-    # Overlaps with one common leader c: per set, the known leaders are few (its lists' ends).
-    about = known.select(F.col("a").alias("id"), F.col("b").alias("c"), F.col("na").alias("n"), F.col("nb").alias("nc"), "overlap").union(
-        known.select(F.col("b").alias("id"), F.col("a").alias("c"), F.col("nb").alias("n"), F.col("na").alias("nc"), "overlap"))
-    nearest = about.groupBy("id").agg(F.max(F.struct("overlap", "c", "n", "nc")).alias("near"))
-    xs = nearest.select(F.col("id").alias("a"), F.col("near").alias("x"))
-    via = found.join(xs, "a", "left")  # a's most similar leader c ...
-    ys = about.select(F.col("id").alias("b"), F.col("c").alias("_c"), F.col("overlap").alias("ob"), F.col("n").alias("nb"))
-    judged = via.join(ys, (via["b"] == ys["b"]) & (via["x.c"] == ys["_c"]), "left").select("a", via["b"], "x", "ob", "nb")  # ... and what b has of it
-    oa, na, nc = F.col("x.overlap"), F.col("x.n"), F.col("x.nc")
-    need = _needed(na, F.col("nb"), num, den)
-    upper = F.least(F.col("ob") + na - oa, oa + F.col("nb") - F.col("ob"))
-    lower = oa + F.col("ob") - nc
-    return judged.where(F.coalesce(upper >= need, F.lit(True))).select("a", "b", F.coalesce(lower >= need, F.lit(False)).alias("sure"))
+    # Each set with its leader, so that sets which are both linked to it need no look at each other.
+    led = named.where("id <> c").select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b"))
+    return alike.union(led).union(_enough(pairs, num, den)).distinct()
 
 
 def jaccard_join(
@@ -322,10 +358,10 @@ def jaccard_join(
     labels = stored(components(known.where(F.col("overlap") >= need).select(F.col("a").alias("u"), F.col("b").alias("v"))), "ngram-labels")
     of = lambda side: labels.select(F.col("id").alias(side), F.col("component").alias(f"c{side}"))
     rest = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
-    across = stored(_across(index, labels, known, num, den), "ngram-across")
-    rest = rest.select("a", "b").union(across.where("NOT sure").select("a", "b")).distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
+    across = stored(_across(index, labels, sets, num, den), "ngram-across")
+    rest = rest.select("a", "b").union(across).distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
     checked = _verify(rest, sets).where(F.col("overlap") >= need)
-    more = checked.select(F.col("a").alias("u"), F.col("b").alias("v")).union(across.where("sure").select("a", "b"))
+    more = checked.select(F.col("a").alias("u"), F.col("b").alias("v"))
     # Components of the first round stand for their members.
     lifted = more.join(of("u"), "u", "left").join(of("v"), "v", "left").select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v"))
     upper = components(lifted).select(F.col("id").alias("component"), F.col("component").alias("top"))

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 
@@ -77,6 +78,27 @@ def test_ngram_join_is_exact(documents, texts, width, num):
     assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got} == {(i, len(sets[i]), want[i]) for i in ids}
 
 
+def test_ngram_join_of_a_family_that_reaches_past_its_leader(spark, monkeypatch):
+    """Edited copies of one text, edits shared between some of them, many of them not linked to the smallest id."""
+    monkeypatch.setattr(ngrams, "LONG", 2)
+    pick = random.Random(5)
+    base = [f"w{k}" for k in range(150)]
+    edits = [(pick.randrange(150), f"e{k}") for k in range(40)]
+    rows = []
+    for doc in range(160):
+        words = list(base[:pick.choice([110, 130, 150])])
+        for place, word in pick.sample(edits, pick.randrange(14)) + [(pick.randrange(150), f"x{doc}") for _ in range(pick.randrange(4))]:
+            words[place % len(words)] = word
+        rows.append((doc, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for width, num in ((4, 85), (5, 80), (3, 90)):
+        got = {r["doc_id"]: r["component_id"] for r in ngrams.jaccard_join(docs, width, num).collect()}
+        sets = brute_sets(dict(rows), width)
+        linked = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b])]
+        assert got == brute_components(sorted(sets), linked)
+        assert len(set(got.values())) > 5
+
+
 def test_ngram_join_with_long_lists(spark, documents, texts, monkeypatch):
     monkeypatch.setattr(ngrams, "LONG", 2)  # nearly all lists are long: the second index does the work
     sets = brute_sets(texts, 4)
