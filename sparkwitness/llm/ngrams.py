@@ -192,7 +192,8 @@ def _in_short_lists(entries: DataFrame, limit: int, num: int, den: int) -> DataF
     """Pairs (a, b) that share as many entries of short lists as links with an end of few long ones do."""
     long = entries.groupBy("id", "n").agg(F.count_if(F.col("m") > limit).alias("h"), F.count("*").alias("all"))
     least = _least(F.col("n"), num, den, SHARED)
-    able = stored(long.where(F.col("all") >= least).select("id", F.least("h", least).cast("long").alias("h")), "ngram-able")
+    # h stays whole: held to its own set's least, it would ask a larger partner for hits that lie in long lists.
+    able = stored(long.where(F.col("all") >= least).select("id", F.col("h").cast("long").alias("h")), "ngram-able")
     short = stored(entries.where(F.col("m") <= limit).join(able, "id"), "ngram-short")
     x, y = (short.select("gram", F.struct("id", "n", "pos", "h").alias(t)) for t in "xy")
     met = x.join(y, "gram").where((F.col("x.id") < F.col("y.id")) & _reaches("x", "y", num, den))

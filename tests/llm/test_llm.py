@@ -99,6 +99,26 @@ def test_ngram_join_of_a_family_that_reaches_past_its_leader(spark, monkeypatch)
         assert len(set(got.values())) > 5
 
 
+@pytest.mark.parametrize("width,num", [(5, 80), (4, 85)])
+def test_ngram_join_of_short_sets_of_close_sizes(spark, monkeypatch, width, num):
+    """Texts of 14 to 19 words: the smaller set's least number of shared n-grams lies below the other's long-list ones."""
+    monkeypatch.setattr(ngrams, "LONG", 2)
+    pick = random.Random(11)
+    rows = []
+    for family in range(150):
+        base = [f"f{family}w{k}" for k in range(19)]
+        for at, end in {(0, pick.randrange(14, 18)), (pick.randrange(2), pick.randrange(17, 20))}:
+            rows.append((len(rows), " ".join(base[at:end])))
+        for part in range(pick.randrange(2, 6)):  # too short to link, they make lists long
+            at = pick.randrange(0, 9)
+            rows.append((len(rows), " ".join([*base[at:at + pick.randrange(6, 10)], *(f"x{len(rows)}y{k}" for k in range(12))])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["component_id"] for r in ngrams.jaccard_join(docs, width, num).collect()}
+    sets = brute_sets(dict(rows), width)
+    linked = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b])]
+    assert linked and got == brute_components(sorted(sets), linked)
+
+
 def test_ngram_join_with_long_lists(spark, documents, texts, monkeypatch):
     monkeypatch.setattr(ngrams, "LONG", 2)  # nearly all lists are long: the second index does the work
     sets = brute_sets(texts, 4)
