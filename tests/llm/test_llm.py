@@ -215,6 +215,23 @@ def test_url_rules(spark):
     assert {r["verdict"] for r in got.values()} <= {"allow", "block"} and got[9]["verdict"] == "allow"
 
 
+def test_url_verdicts_do_not_depend_on_the_number_of_segments(spark):
+    """A .net host with 31 and one with 40 first segments, two of them blocked by rules."""
+    names = ["es", "fr", "en", "de", *(f"{a}{b}" for a in "ghijkl" for b in "pqrstu")]
+    given = {
+        (size, f"/{name}/{k}{end}") for size in (31, 40) for name in names[:size] for k, end in ((1, ""), (2, ".html"), (3, "/x"), (4, "/x"), (5, "/x"), (6, "/x"))
+    }
+    assert len({name for name in names}) == 40
+    rows = [(k, f"http://host-{chr(size + 60)}.net{path}") for k, (size, path) in enumerate(sorted(given))]
+    verdicts = {31: {}, 40: {}}
+    for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string")).collect():
+        verdicts[ord(r["host"][5]) - 60][r["path"]] = (r["rule"], r["verdict"])
+    assert len(verdicts[31]) == 31 * 6 and len(verdicts[40]) == 40 * 6
+    assert verdicts[31].items() <= verdicts[40].items()
+    for path, (rule, verdict) in verdicts[40].items():
+        assert verdict == ("block" if path[:4] in ("/es/", "/fr/") else "allow") and (rule is None) == (verdict == "allow")
+
+
 def test_token_container(spark, documents, texts):
     from tokenizers import Tokenizer
 
