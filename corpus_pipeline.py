@@ -39,11 +39,20 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it; documents taken 0 times go."""
-    mixed = mixing.mix(docs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-    joined = docs.join(mixed.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")))
-    times = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("_time")
-    return joined.select(*docs.columns, times).select(*docs.columns)
+    """Every row as often as the mix takes it; rows taken 0 times go.
+
+    Each row is decided on its own, also under a null or repeated id; rows equal in all columns share their copies.
+    """
+    key, take, rows, time = private("key", "take", "rows", "time")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    keyed = docs.withColumn(key, F.xxhash64(*columns, *[c.isNull() for c in columns]))  # nulls alone would not be hashed
+    mixed = mixing.mix(keyed, key=key).groupBy("doc_id", key).agg(F.sum("copies").alias(take), F.count("*").alias(rows))
+    mixed = stored(mixed.where(F.col(take) > 0).withColumnRenamed("doc_id", "_id"), "mixing-taken")
+    joined = keyed.join(mixed.withColumnRenamed(key, "_key"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col(key) == F.col("_key")))
+    alone = joined.where(F.col(rows) == 1).select(*columns, take)
+    equal = joined.where(F.col(rows) > 1).select(*columns, take).distinct()  # one row stands for all of them
+    times = F.explode(F.sequence(F.lit(1).cast("long"), F.col(take))).alias(time)
+    return alone.unionByName(equal).select(*columns, times).select(*columns)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -64,13 +64,12 @@ def _uniform(*columns) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(1 << 53)) / F.lit(float(1 << 53))
 
 
-def _fold_pool(items: Column) -> Column:
+def _fold_pool(items: Column, row: str) -> Column:
     """Level 0: (p, items largest first, all at p) -> decisions, and the fraction that remains.
 
     State: the pool's fraction ``p``, the words ``rest`` in the pool, decisions, remaining item.
     """
-    decided = "array<struct<row:struct<h:bigint,size:bigint,doc_id:bigint,base:bigint,k:bigint>,one:int>>"
-    left = "struct<row:struct<h:bigint,size:bigint,doc_id:bigint,base:bigint,k:bigint>,p:double>"
+    decided, left = f"array<struct<row:{row},one:int>>", f"struct<row:{row},p:double>"
     start = F.struct(
         F.element_at(items, 1)["p"].alias("p"),
         F.aggregate(items, F.lit(0.0), lambda a, x: a + x["row"]["size"]).alias("rest"),
@@ -105,10 +104,9 @@ def _fold_pool(items: Column) -> Column:
     return F.aggregate(items, start, step, lambda s: F.struct(s["done"], s["left"]))
 
 
-def _fold_pairs(items: Column) -> Column:
+def _fold_pairs(items: Column, row: str) -> Column:
     """Upper levels: pair the carried fraction with the next, keep the words of the two together."""
-    decided = "array<struct<row:struct<h:bigint,size:bigint,doc_id:bigint,base:bigint,k:bigint>,one:int>>"
-    left = "struct<row:struct<h:bigint,size:bigint,doc_id:bigint,base:bigint,k:bigint>,p:double>"
+    decided, left = f"array<struct<row:{row},one:int>>", f"struct<row:{row},p:double>"
     start = F.struct(F.array().cast(decided).alias("done"), F.lit(None).cast(left).alias("left"))
 
     def step(s, x):
@@ -139,18 +137,22 @@ def _fold_pairs(items: Column) -> Column:
 
 def mix(
     documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 0,
+    key: str | None = None,
 ) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies) for every row of documents (doc_id, text, source).
 
     Null text has size 0; a null source is a source of its own, last.  Documents without words get no
     fraction.  Rows that repeat a doc_id are numbered and decided each on their own.  An
-    empty table gives no rows.  Other columns are ignored.
+    empty table gives no rows.  Other columns are ignored, but for ``key``: a bigint column that tells rows of
+    one id (null, say) apart and is returned too, so that decisions find back to their rows.
     """
-    sized = documents.select("doc_id", "source", words_of(F.col("text")).alias("size"))
+    own = [key] if key else []
+    row_type = "struct<" + ",".join(f"`{c}`:bigint" for c in ["h", "size", "doc_id", "base", "k", *own]) + ">"
+    sized = documents.select("doc_id", "source", words_of(F.col("text")).alias("size"), *own)
     sized = stored(sized, "mixing-sizes")  # ids and sizes only
     # Rows that agree in all of this are told apart by a number, so that each is decided on its own.
-    twins = sized.groupBy("doc_id", "source", "size").agg(F.count("*").alias("_times"))
-    items = twins.select("doc_id", "source", "size", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))).alias("k"))
+    twins = sized.groupBy("doc_id", "source", "size", *own).agg(F.count("*").alias("_times"))
+    items = twins.select("doc_id", "source", "size", *own, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))).alias("k"))
     per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     shares = stored(targets(per_source, weights, share, most), "mixing-targets")
     largest = shares.agg(F.max("n")).first()[0] or 0
@@ -163,36 +165,36 @@ def mix(
     base = F.least(F.floor(due), F.lit(int(most))).cast("long")
     joined = joined.withColumn("_due", due).withColumn("base", base).withColumn("p", F.col("_due") - F.col("base"))
     plain = (F.col("size") == 0) | (F.col("p") <= 0)
-    certain = joined.where(plain).select("doc_id", "source", "size", F.col("base").alias("copies"))
+    certain = joined.where(plain).select("doc_id", "source", "size", *own, F.col("base").alias("copies"))
 
-    h = F.xxhash64("doc_id", "k", "size", F.lit(seed))
+    h = F.xxhash64("doc_id", "k", "size", *own, F.lit(seed))
     width = F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(FAN))).cast("long")
     level = joined.where(~plain).select(
-        "source", F.pmod(F.xxhash64("doc_id", "k", F.lit(seed + 1)), width).alias("bucket"),
-        F.struct(h.alias("h"), "size", "doc_id", "base", "k").alias("row"), "p",
+        "source", F.pmod(F.xxhash64("doc_id", "k", *own, F.lit(seed + 1)), width).alias("bucket"),
+        F.struct(h.alias("h"), "size", "doc_id", "base", "k", *own).alias("row"), "p",
     )
     decided = []
     for depth in range(levels):
         u = _uniform(F.col("row.h"), F.lit(depth), F.lit(seed + 2)).alias("u")
         grouped = level.groupBy("source", "bucket").agg(
-            F.sort_array(F.collect_list(F.struct(F.struct("row.size", "row.h", "row.doc_id", "row.base", "row.k").alias("at"), "row", "p", u)), asc=False).alias("items")
+            F.sort_array(F.collect_list(F.struct(F.struct("row.size", "row.h", "row.doc_id", "row.base", "row.k", *[f"row.{c}" for c in own]).alias("at"), "row", "p", u)), asc=False).alias("items")
         )  # a bucket holds about FAN rows
         fold = _fold_pool if depth == 0 else _fold_pairs
-        done = stored(grouped.select("source", "bucket", fold(F.col("items")).alias("f")).select(
+        done = stored(grouped.select("source", "bucket", fold(F.col("items"), row_type).alias("f")).select(
             "source", "bucket", F.col("f.done").alias("done"), F.col("f.left").alias("left")
         ), f"mixing-level-{depth}")
         decided.append(done.select("source", F.explode("done").alias("d")).select(
             F.col("d.row.doc_id").alias("doc_id"), "source", F.col("d.row.size").alias("size"),
-            (F.col("d.row.base") + F.col("d.one")).alias("copies"),
+            *[F.col(f"d.row.{c}").alias(c) for c in own], (F.col("d.row.base") + F.col("d.one")).alias("copies"),
         ))
         level = done.where(F.col("left").isNotNull()).select(
             "source", F.floor(F.col("bucket") / FAN).cast("long").alias("bucket"), F.col("left.row").alias("row"), F.col("left.p").alias("p"),
         )
     final = level.select(
-        F.col("row.doc_id").alias("doc_id"), "source", F.col("row.size").alias("size"),
+        F.col("row.doc_id").alias("doc_id"), "source", F.col("row.size").alias("size"), *[F.col(f"row.{c}").alias(c) for c in own],
         (F.col("row.base") + (_uniform(F.col("row.h"), F.lit(seed + 3)) < F.col("p")).cast("long")).alias("copies"),
     )
     out = certain
     for part in [*decided, final]:
         out = out.unionByName(part)
-    return out.join(s, out["source"].eqNullSafe(s["_source"])).select("doc_id", "source", "size", "source_size", "target", "copies")
+    return out.join(s, out["source"].eqNullSafe(s["_source"])).select("doc_id", "source", "size", "source_size", "target", "copies", *own)
