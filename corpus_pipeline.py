@@ -68,7 +68,7 @@ STAGES = [
     ("token_planes", token_stage),
 ]
 
-#: SQL cannot express learned grammars, walks or tokenizers; tests hold the pipeline against a brute-force version.
+#: SQL cannot express learned grammars, walks or tokenizers; tests check the stages' columns and ids; open: brute-force rows per stage.
 ORACLE_SQL = None
 
 
