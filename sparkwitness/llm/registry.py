@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import covertree, decontaminate, extract, mixing, ngrams, quality, secrets, tokens, toxicity, urls
+from . import covertree, decontaminate, extract, merkle, mixing, ngrams, quality, secrets, tokens, topk, toxicity, urls, whitening
 from .common import table
 
 
@@ -60,15 +60,27 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.find(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.manifest(table(spark, folder, "documents"))
+
+
+def op13_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.search(table(spark, folder, "embeddings"), k=10, scale=1024, every=100)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
     found = [
         op1_secrets, op2_ngram_jaccard, op3_embedding_near_dedup, op4_source_mixing, op5_url_filters, op6_quality, op7_token_planes,
-        op8_toxicity, op9_html_extraction, op10_decontamination,
+        op8_toxicity, op9_html_extraction, op10_decontamination, op11_whitening, op12_merkle_manifest, op13_top_k,
     ]
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secrets": secrets.ORACLE}
+    return {"op1_secrets": secrets.ORACLE, "op12_merkle_manifest": merkle.ORACLE, "op13_top_k": topk.ORACLE}
