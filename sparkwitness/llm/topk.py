@@ -58,7 +58,7 @@ class Lists:
 
         def read_to(stop: int) -> np.ndarray:
             order, values = self.order[side, used, :stop], self.values[side, used, :stop]
-            return np.bincount(order.ravel(), (values * weight[:, None]).ravel(), minlength=n)
+            return np.bincount(order.ravel(), (values * weight[:, None]).ravel(), minlength=n).astype(float)
 
         if bar == -np.inf:  # no bound yet: what half the lists say names k rows, whose scores are one
             read = read_to(int(self.stops[len(self.stops) // 2]))
