@@ -57,20 +57,15 @@ adapter("source_commits", """
 SELECT repository, sha, concat('p', sha) AS parent_sha, path FROM {commit_paths}
 """)
 
+# Both versions of a line's file from one read; UNPIVOT leaves out the version that does not exist.
 adapter("file_versions", """
-SELECT repository, sha, path, concat('f', CAST(min(l_linenumber) AS STRING)) AS fingerprint
-FROM (SELECT concat('r', CAST(l_orderkey % 7 AS STRING)) AS repository, CAST(l_orderkey AS STRING) AS sha,
-             path, l_linenumber
+SELECT repository, CASE WHEN side = 'before_line' THEN concat('p', sha) ELSE sha END AS sha, path, concat('f', CAST(version AS STRING)) AS fingerprint
+FROM (SELECT concat('r', CAST(l_orderkey % 7 AS STRING)) AS repository, CAST(l_orderkey AS STRING) AS sha, path,
+             min(CASE WHEN l_linenumber < 7 THEN CAST(l_linenumber AS INT) END) AS after_line,
+             min(CASE WHEN l_quantity > 2 THEN CASE WHEN l_returnflag = 'R' THEN CAST(l_linenumber AS INT) ELSE 0 END END) AS before_line
       FROM {lineitem} JOIN {part_path} ON l_partkey = p_partkey
-      WHERE l_linenumber < 7) a
-GROUP BY repository, sha, path
-UNION ALL
-SELECT repository, concat('p', sha) AS sha, path, concat('f', CAST(min(before) AS STRING)) AS fingerprint
-FROM (SELECT concat('r', CAST(l_orderkey % 7 AS STRING)) AS repository, CAST(l_orderkey AS STRING) AS sha,
-             path, CASE WHEN l_returnflag = 'R' THEN l_linenumber ELSE 0 END AS before
-      FROM {lineitem} JOIN {part_path} ON l_partkey = p_partkey
-      WHERE l_quantity > 2) b
-GROUP BY repository, sha, path
+      GROUP BY l_orderkey, path) v
+UNPIVOT (version FOR side IN (after_line, before_line))
 """)
 
 adapter("classified", """

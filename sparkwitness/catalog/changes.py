@@ -197,16 +197,21 @@ def _(t):
 
 # Every source has a generated twin that follows it, except for every fifth brand.
 adapter("twin_history", """
-SELECT repository, sha, path FROM {commit_paths}
-UNION ALL
-SELECT repository, sha, concat('gen/', path) AS path FROM {commit_paths} WHERE NOT (path LIKE '%5.rs' AND sha LIKE '%1')
+SELECT repository, sha, path
+FROM (SELECT repository, sha, path AS own, CASE WHEN path LIKE '%5.rs' AND sha LIKE '%1' THEN NULL ELSE concat('gen/', path) END AS twin FROM {commit_paths}) h
+UNPIVOT (path FOR side IN (own, twin))
 """)
 adapter("twin_pairs", "SELECT DISTINCT repository, path AS source, concat('gen/', path) AS output FROM {commit_paths}")
+# The classes of the history, from one read of the lines.
 adapter("twin_changes", """
-SELECT c.repository, c.sha AS change_id, c.path, k.change_class FROM {commit_paths} c
-JOIN {classified} k ON k.repository = c.repository AND k.sha = c.sha AND k.path = c.path
-UNION ALL
-SELECT repository, sha, concat('gen/', path), 'unclassified' FROM {commit_paths} WHERE NOT (sha LIKE '%7')
+SELECT repository, change_id, CASE WHEN side = 'twin' THEN concat('gen/', path) ELSE path END AS path, change_class
+FROM (SELECT repository, sha AS change_id, path, CASE WHEN sha LIKE '%7' THEN NULL ELSE 'unclassified' END AS twin,
+             CASE WHEN after_line IS NULL OR before_line IS NULL THEN 'unclassified' WHEN after_line = before_line THEN 'comments_or_docs_only' ELSE 'syntax_changed' END AS own
+      FROM (SELECT concat('r', CAST(l_orderkey % 7 AS STRING)) AS repository, CAST(l_orderkey AS STRING) AS sha, path,
+                   min(CASE WHEN l_linenumber < 7 THEN l_linenumber END) AS after_line,
+                   min(CASE WHEN l_quantity > 2 THEN CASE WHEN l_returnflag = 'R' THEN l_linenumber ELSE 0 END END) AS before_line
+            FROM {lineitem} JOIN {part_path} ON l_partkey = p_partkey GROUP BY l_orderkey, path) v) c
+UNPIVOT (change_class FOR side IN (own, twin))
 """)
 adapter("twin_files", "SELECT repository, output AS path FROM {twin_pairs} WHERE length(output) % 9 <> 0")
 adapter("twin_attributed", "SELECT repository, output AS path FROM {twin_pairs} WHERE NOT (output LIKE '%8.rs')")
@@ -229,8 +234,8 @@ WHERE c.change_class = 'syntax_changed' AND coh.opportunities >= 3 AND coh.suppo
 """)
 def _(t):
     cohort = hist.anchor_cohort(t("commits"), t("commit_paths"), max_commits=100, max_paths=6)
-    classified = hist.classify_changes(t("source_commits"), t("file_versions"))
-    cohorts = hist.class_cohort(cohort, classified, t("twin_history"), t("twin_pairs"))
+    tagged = hist.tagged_cohort(cohort, t("source_commits"), t("file_versions"))
+    cohorts = hist.class_cohort(tagged, t("twin_history"), t("twin_pairs"))
     relations = t("twin_pairs").withColumnRenamed("source", "input")
     markers = hist.generated_markers(t("twin_heads"))
     return gen.missing_companions(t("twin_changes"), relations, t("twin_files"), t("twin_attributed"), markers, cohorts)

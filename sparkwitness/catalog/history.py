@@ -17,6 +17,10 @@ def _cohort(t):
     return op.anchor_cohort(t("commits"), t("commit_paths"), max_commits=100, max_paths=6)
 
 
+def _tagged(t):
+    return op.tagged_cohort(_cohort(t), t("source_commits"), t("file_versions"))
+
+
 COMPANIONS = """
 SELECT s.repository, s.anchor, s.path, s.support, o.opportunities,
        round(1000.0 * s.support / o.opportunities) / 10.0 AS support_percent
@@ -125,8 +129,7 @@ FROM {class_cohort} k LEFT JOIN (
   ON k.repository = e.repository AND k.source = e.source AND k.output = e.output
 """)
 def _(t):
-    classified = op.classify_changes(t("source_commits"), t("file_versions"))
-    rows = op.class_cohort(_cohort(t), classified, t("commit_paths"), t("change_pairs"))
+    rows = op.class_cohort(_tagged(t), t("commit_paths"), t("change_pairs"))
     return rows.withColumn("examples", F.array_join("examples", ","))
 
 
@@ -140,14 +143,27 @@ totals AS (SELECT repository, source, count(*) AS all_opportunities, count(*) FI
 counts AS (SELECT t.repository, t.source, p.path, count(*) AS all_support, count(*) FILTER (WHERE syntax) AS class_support
            FROM tagged t JOIN {commit_paths} p ON t.repository = p.repository AND t.sha = p.sha
            WHERE p.path <> t.source GROUP BY t.repository, t.source, p.path),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY repository, source ORDER BY class_support DESC, all_support DESC, path) AS rank
+ranked AS (SELECT *, row_number() OVER (PARTITION BY repository, source ORDER BY class_support DESC, all_support DESC, path) AS rank,
+                  count(*) OVER (PARTITION BY repository, source) AS n
            FROM counts WHERE class_support > 0)
-SELECT r.repository, r.source, r.path, r.rank, r.class_support, o.class_opportunities, r.all_support, o.all_opportunities
+SELECT r.repository, r.source, r.path, r.rank, r.class_support, o.class_opportunities, r.all_support, o.all_opportunities, greatest(r.n - 15, 0) AS omitted
 FROM ranked r JOIN totals o ON r.repository = o.repository AND r.source = o.source WHERE r.rank <= 15
 """)
 def _(t):
-    classified = op.classify_changes(t("source_commits"), t("file_versions"))
-    return op.cohort_compare(_cohort(t), classified, t("commit_paths"))
+    return op.cohort_compare(_tagged(t), t("commit_paths"))
+
+
+@query("hist_7_cohort_counts", """
+SELECT h.repository, h.anchor AS source, count(*) AS discovered, count(*) FILTER (h.considered) AS focused,
+       count(*) FILTER (h.considered AND c.change_class = 'syntax_changed') AS syntax_changed,
+       count(*) FILTER (h.considered AND c.change_class = 'comments_or_docs_only') AS comments_or_docs_only,
+       count(*) FILTER (h.considered AND c.change_class = 'unclassified') AS unclassified,
+       count(*) FILTER (h.reason = 'revert') AS excluded_reverts, count(*) FILTER (h.reason = 'broad') AS excluded_broad
+FROM {cohort} h LEFT JOIN {classified} c ON h.repository = c.repository AND h.sha = c.sha AND h.anchor = c.path
+GROUP BY h.repository, h.anchor
+""")
+def _(t):
+    return op.cohort_counts(_cohort(t), _tagged(t))
 
 
 adapter("recent_window", """

@@ -13,6 +13,7 @@ from ..functions.binding import present
 from ..plans.scopes import with_ancestors
 
 EXAMPLES = 3
+WORD = 50  # bits of a cohort bitmap in one long, clear of its sign
 HEADER_LINES = 40
 HEADER_BYTES = 8192
 # Texts by which a file says that it is generated.
@@ -63,40 +64,68 @@ def _percent(support: Column, opportunities: Column) -> Column:
     return F.round(F.lit(1000.0) * support / opportunities) / 10.0
 
 
-def companions(cohort: DataFrame, commit_paths: DataFrame, examples: int = EXAMPLES) -> DataFrame:
+def _bits(place: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), place.cast("int"))
+
+
+def _lowest(words: list[Column]) -> tuple[Column, list[Column]]:
+    """Number of the lowest bit set in the words (null if none), and the words without it."""
+    first, cleared, above = F.lit(None).cast("int"), [], F.lit(False)
+    for k, word in enumerate(words):
+        mine = ~above & (word != 0)
+        first = F.when(mine, F.bit_count(word.bitwiseAND(-word) - 1) + k * WORD).otherwise(first)
+        cleared.append(F.when(mine, word.bitwiseAND(word - 1)).otherwise(word))
+        above = above | (word != 0)
+    return first, cleared
+
+
+def companions(cohort: DataFrame, commit_paths: DataFrame, examples: int = EXAMPLES, max_commits: int = 100) -> DataFrame:
     """Paths that changed together with an anchor, with both kinds of example.
 
-    A considered commit is known by its place in the anchor's cohort, so the arrays hold small
-    integers, at most ``max_commits`` of them; a commit has at most ``max_paths`` paths, which bounds
-    the join.
+    A considered commit is known by its place in the anchor's cohort, so a companion is a bitmap of
+    ``max_commits`` bits in longs: support is a bit count, the absent commits are the other bits, and the
+    newest of both are the lowest ones.  The bitmaps combine before the shuffle; a commit has at most ``max_paths``
+    paths, which bounds the join.  A cohort of more than ``max_commits`` commits is an error.
     """
     newest = Window.partitionBy("repository", "anchor").orderBy("log_pos")
     kept = (
         cohort.where("considered").select("repository", "anchor", "sha", "log_pos")
-        .withColumn("_place", F.row_number().over(newest))
+        .withColumn("_place", F.row_number().over(newest) - 1)
     )
     anchors = kept.groupBy("repository", "anchor").agg(
         F.count(F.lit(1)).alias("opportunities"),
         F.sort_array(F.collect_list(F.struct("_place", "sha")))["sha"].alias("_shas"),
     )
-    pairs = (
+    n_words = -(-max_commits // WORD)
+    bit = F.when(F.col("_place") < max_commits, _bits(F.col("_place") % WORD)).otherwise(
+        F.raise_error(F.lit(f"a cohort holds more than max_commits={max_commits} commits")).cast("long"))
+    words = [F.bit_or(F.when(F.floor(F.col("_place") / WORD) == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"_w{k}") for k in range(n_words)]
+    whole = lambda k: _bits(F.least(F.greatest(F.col("opportunities") - k * WORD, F.lit(0)), F.lit(WORD))) - 1
+    found = (
         kept.join(commit_paths, ["repository", "sha"])
         .where(F.col("path") != F.col("anchor"))
-        .groupBy("repository", "anchor", "path")
-        .agg(F.sort_array(F.collect_list("_place")).alias("_present"))
+        .groupBy("repository", "anchor", "path").agg(*words)
+        .join(anchors, ["repository", "anchor"])
+        .withColumn("support", sum((F.bit_count(f"_w{k}") for k in range(1, n_words)), F.bit_count("_w0")).cast("long"))
     )
-    named = lambda places: F.transform(F.slice(places, 1, examples), lambda i: F.get("_shas", i - 1))
-    absent = F.array_except(F.sequence(F.lit(1), F.col("opportunities").cast("int")), "_present")
-    support = F.size("_present").cast("long")
-    return pairs.join(anchors, ["repository", "anchor"]).select(
+    present, absent = [F.col(f"_w{k}") for k in range(n_words)], [whole(k).bitwiseXOR(F.col(f"_w{k}")) for k in range(n_words)]
+    for i in range(examples):  # the next place of each kind, step by step
+        steps = {}
+        for kind, bits in (("p", present), ("a", absent)):
+            first, cleared = _lowest(bits)
+            steps |= {f"_{kind}{i}": first} | {f"_{kind}{i}_w{k}": c for k, c in enumerate(cleared)}
+        found = found.withColumns(steps)
+        present, absent = ([F.col(f"_{kind}{i}_w{k}") for k in range(n_words)] for kind in "pa")
+    named = lambda kind: F.transform(F.array_compact(F.array(*[F.col(f"_{kind}{i}") for i in range(examples)])), lambda i: F.get("_shas", i))
+    return found.select(
         "repository",
         "anchor",
         "path",
-        support.alias("support"),
+        "support",
         "opportunities",
-        _percent(support, F.col("opportunities")).alias("support_percent"),
-        named(F.col("_present")).alias("examples"),
-        named(absent).alias("counterexamples"),
+        _percent(F.col("support"), F.col("opportunities")).alias("support_percent"),
+        named("p").alias("examples"),
+        named("a").alias("counterexamples"),
     )
 
 
@@ -157,94 +186,99 @@ def classify_changes(source_commits: DataFrame, file_versions: DataFrame) -> Dat
     )
 
 
-def class_cohort(
-    cohort: DataFrame, classified: DataFrame, commit_paths: DataFrame, pairs: DataFrame
-) -> DataFrame:
-    """Support of each (source, output) pair among the syntax-changing commits of the source.
+def tagged_cohort(cohort: DataFrame, source_commits: DataFrame, file_versions: DataFrame) -> DataFrame:
+    """Considered commits of every cohort with the ``change_class`` of the anchor in them.
 
-    ``pairs(repository, source, output)``; every pair keeps a row, even without history.
+    (repository, source, sha, log_pos, change_class); null where ``source_commits`` has no row, which holds distinct rows as
+    ``classify_changes`` states them.  Only versions that a cohort asks for are compared, and both of a commit are looked
+    up in one join.
     """
-    history = (
-        cohort.where("considered")
-        .select("repository", F.col("anchor").alias("source"), "sha", "log_pos")
-        .join(
-            classified.select("repository", "sha", F.col("path").alias("source"), "change_class"),
-            ["repository", "sha", "source"],
-        )
+    asked = (
+        cohort.where("considered").select("repository", F.col("anchor").alias("source"), "sha", "log_pos")
+        .join(source_commits.select("repository", "sha", F.col("path").alias("source"), "parent_sha", F.lit(True).alias("_known")), ["repository", "sha", "source"], "left")
     )
-    per_source = history.groupBy("repository", "source").agg(
-        F.count_if(F.col("change_class") == "syntax_changed").alias("_opp"),
-        F.count_if(F.col("change_class") == "comments_or_docs_only").alias("_docs"),
-        F.count_if(F.col("change_class") == "unclassified").alias("_unc"),
+    sides = F.explode(F.array(F.struct(F.lit(True).alias("after"), F.col("sha").alias("at")), F.struct(F.lit(False).alias("after"), F.col("parent_sha").alias("at"))))
+    versions = file_versions.select("repository", F.col("sha").alias("_at"), F.col("path").alias("source"), "fingerprint")
+    change_class = (
+        F.when(F.col("_known").isNull(), None).when(F.col("_before").isNull() | F.col("_after").isNull(), "unclassified")
+        .when(F.col("_before") == F.col("_after"), "comments_or_docs_only").otherwise("syntax_changed")
     )
-    hits = (
-        history.where(F.col("change_class") == "syntax_changed")
-        .join(
-            commit_paths.withColumnRenamed("path", "output"), ["repository", "sha"]
-        )
-        .join(pairs, ["repository", "source", "output"], "left_semi")
-        .groupBy("repository", "source", "output")
-        .agg(
-            F.count(F.lit(1)).alias("_sup"),
-            F.slice(F.sort_array(F.collect_list(F.struct("log_pos", "sha"))), 1, EXAMPLES)["sha"].alias("_ex"),
+    return (
+        asked.withColumn("_side", sides).withColumn("_at", F.col("_side.at"))
+        .join(versions, ["repository", "source", "_at"], "left")
+        .groupBy("repository", "source", "sha", "log_pos").agg(
+            F.max("_known").alias("_known"), F.max(F.when(F.col("_side.after"), F.col("fingerprint"))).alias("_after"),
+            F.max(F.when(~F.col("_side.after"), F.col("fingerprint"))).alias("_before"),
         )
+        .select("repository", "source", "sha", "log_pos", change_class.alias("change_class"))
     )
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long"))
+
+
+def class_cohort(tagged: DataFrame, commit_paths: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Support of each (source, output) pair among the syntax-changing commits of the source.
+
+    ``tagged`` as of ``tagged_cohort``; distinct ``pairs(repository, source, output)``, of which every one keeps a row, even without
+    history.  A pair asks for its output in the commits of its source, at most ``max_commits`` of them, so other companions are
+    never built.
+    """
+    history = tagged.where(F.col("change_class").isNotNull())
+    present = commit_paths.select("repository", "sha", F.col("path").alias("output"), F.lit(True).alias("_present"))
+    is_class = lambda name: F.col("change_class") == name
+    hit = is_class("syntax_changed") & F.col("_present")
     return (
-        pairs.join(per_source, ["repository", "source"], "left")
-        .join(hits, ["repository", "source", "output"], "left")
-        .select(
-            "repository",
-            "source",
-            "output",
-            zero("_opp").alias("opportunities"),
-            zero("_sup").alias("support"),
-            zero("_docs").alias("comments_or_docs_only"),
-            zero("_unc").alias("unclassified"),
-            F.coalesce("_ex", F.array().cast("array<string>")).alias("examples"),
+        pairs.select("repository", "source", "output").join(history, ["repository", "source"], "left")
+        .join(present, ["repository", "sha", "output"], "left")
+        .groupBy("repository", "source", "output")
+        .agg(
+            F.count_if(is_class("syntax_changed")).alias("opportunities"),
+            F.count_if(hit).alias("support"),
+            F.count_if(is_class("comments_or_docs_only")).alias("comments_or_docs_only"),
+            F.count_if(is_class("unclassified")).alias("unclassified"),
+            F.slice(F.sort_array(F.collect_list(F.when(hit, F.struct("log_pos", "sha")))), 1, EXAMPLES)["sha"].alias("examples"),
         )
     )
 
 
-def cohort_compare(
-    cohort: DataFrame, classified: DataFrame, commit_paths: DataFrame, top: int = 15
-) -> DataFrame:
-    """Class-filtered support beside support over all considered commits, ``top`` per source."""
-    kept = cohort.where("considered").select(
-        "repository", F.col("anchor").alias("source"), "sha"
-    )
-    syntax = classified.where(F.col("change_class") == "syntax_changed").select(
-        "repository", "sha", F.col("path").alias("source"), F.lit(True).alias("_syntax")
-    )
-    tagged = kept.join(syntax, ["repository", "sha", "source"], "left").withColumn(
-        "_syntax", F.coalesce("_syntax", F.lit(False))
-    )
-    totals = tagged.groupBy("repository", "source").agg(
-        F.count(F.lit(1)).alias("all_opportunities"),
-        F.count_if("_syntax").alias("class_opportunities"),
-    )
-    ranked = Window.partitionBy("repository", "source").orderBy(
-        F.desc("class_support"), F.desc("all_support"), "path"
-    )
+def cohort_compare(tagged: DataFrame, commit_paths: DataFrame, top: int = 15) -> DataFrame:
+    """Class-filtered support beside support over all considered commits, ``top`` per source.
+
+    ``omitted`` is the number of companions of the source that the limit leaves out.  A source's own row gives its totals; a
+    source has at most max_commits * max_paths companions, which bounds the windows.
+    """
+    source = Window.partitionBy("repository", "source")
+    ranked = source.orderBy(F.col("path") == F.col("source"), F.desc("class_support"), F.desc("all_support"), "path")
+    own = F.col("path") == F.col("source")
     return (
-        tagged.join(commit_paths, ["repository", "sha"])
-        .where(F.col("path") != F.col("source"))
+        tagged.withColumn("_syntax", F.coalesce(F.col("change_class") == "syntax_changed", F.lit(False)))
+        .join(commit_paths, ["repository", "sha"])
         .groupBy("repository", "source", "path")
-        .agg(
-            F.count(F.lit(1)).alias("all_support"),
-            F.count_if("_syntax").alias("class_support"),
-        )
+        .agg(F.count(F.lit(1)).alias("all_support"), F.count_if("_syntax").alias("class_support"))
         .where(F.col("class_support") > 0)
-        .withColumn("rank", F.row_number().over(ranked))
-        .where(F.col("rank") <= top)
-        .join(totals, ["repository", "source"])
+        .withColumn("rank", F.row_number().over(ranked).cast("long"))
+        .withColumn("all_opportunities", F.max(F.when(own, F.col("all_support"))).over(source))
+        .withColumn("class_opportunities", F.max(F.when(own, F.col("class_support"))).over(source))
+        .withColumn("omitted", F.greatest(F.count(F.lit(1)).over(source) - 1 - top, F.lit(0).cast("long")))
+        .where(~own & (F.col("rank") <= top))
         .select(
-            "repository", "source", "path", F.col("rank").cast("long").alias("rank"),
-            "class_support", "class_opportunities", "all_support", "all_opportunities",
+            "repository", "source", "path", "rank",
+            "class_support", "class_opportunities", "all_support", "all_opportunities", "omitted",
         )
     )
 
 
+def cohort_counts(cohort: DataFrame, tagged: DataFrame) -> DataFrame:
+    """What a comparison rests on, per source: commits found, those set aside and why, and the classes of the rest."""
+    found = cohort.select(
+        "repository", F.col("anchor").alias("source"), F.coalesce("reason", F.lit("focused")).alias("_what"), F.lit(1).alias("_found"))
+    rows = found.unionByName(tagged.select("repository", "source", F.coalesce("change_class", F.lit("no_version")).alias("_what"), F.lit(0).alias("_found")))
+    of = lambda what: F.count_if(F.col("_what") == what)
+    return rows.groupBy("repository", "source").agg(
+        F.sum("_found").alias("discovered"), of("focused").alias("focused"), of("syntax_changed").alias("syntax_changed"),
+        of("comments_or_docs_only").alias("comments_or_docs_only"), (of("unclassified") + of("no_version")).alias("unclassified"),
+        of("revert").alias("excluded_reverts"), of("broad").alias("excluded_broad"),
+    )
+
+
 def _limited(rows: DataFrame, keys: list[str], limit: int) -> DataFrame:
     """Newest ``limit`` rows per key.  One row more is ranked, to tell whether the window was cut."""
     newest = Window.partitionBy(*keys).orderBy("log_pos")
