@@ -1,12 +1,14 @@
-"""Streaming queries: the whole table arrives as a stream and is drained."""
+"""Streaming queries: the whole table arrives as a stream of several triggers and is drained."""
 
 from pyspark.sql import functions as F
 
 from ..operators import justification as just
 from ..streaming import overlap, transitions
-from ..streaming.sinks import drain
+from ..streaming.sinks import drain, land_in_order, stateful_session
 from .core import adapter, query
 
+FILES = 4  # triggers that a table is cut into
+
 adapter("moving_contexts", """
 SELECT CAST(user_id AS STRING) AS context_set, CAST(ts AS TIMESTAMP) AS observed_at, event_id AS sequence,
        CASE WHEN event_id % 7 = 0 THEN NULL ELSE concat('r', CAST(event_id % 2 AS STRING)) END AS repository,
@@ -22,25 +24,31 @@ FROM {customer}
 adapter("standing_edges", """
 SELECT context_set, evidence_id, 'claim' AS target_kind, concat('c', context_set) AS target_id, 'support' AS relation FROM {standing_evidence}
 """)
+# Decided are rows that the last watermark has passed, in whole milliseconds: an hour before the newest context of all.
 TRANSITIONS = """
-SELECT context_set, evidence_id, sequence, "before", status AS "after" FROM (
-  SELECT *, lag(status) OVER (PARTITION BY context_set, evidence_id ORDER BY observed_at, sequence) AS "before" FROM (
+SELECT context_set, evidence_id, observed_at, sequence, "before", status AS "after" FROM (
+  SELECT *, lag(status) OVER (PARTITION BY context_set, evidence_id ORDER BY observed_at, sequence) AS "before",
+         lag(observed_at) OVER (PARTITION BY context_set, evidence_id ORDER BY observed_at, sequence) AS before_at FROM (
     SELECT c.context_set, e.evidence_id, c.observed_at, c.sequence,
            CASE WHEN c.repository <> e.repository OR c.revision <> e.revision THEN 'invalid' WHEN e.repository IS NOT NULL AND c.repository IS NULL THEN 'unknown' ELSE 'applies' END AS status
     FROM {moving_contexts} c JOIN {standing_evidence} e ON e.context_set = c.context_set) s) w
-WHERE "before" IS NOT NULL AND "before" <> status
+WHERE "before" IS NOT NULL AND "before" <> status AND observed_at <= before_at + INTERVAL 30 DAY
+  AND observed_at <= (SELECT date_trunc('millisecond', max(observed_at)) - INTERVAL 1 HOUR FROM {moving_contexts})
 """
 
 
 def _transitions(t):
-    stream = t.streaming("events")
-    rows = transitions.status_transitions(stream("moving_contexts"), t("standing_evidence"))
-    return drain(rows, "transitions")
+    landed = land_in_order(t("events"), "ts", FILES)
+    stream = t.arriving(stateful_session(t.spark), events=landed)
+    rows = transitions.status_transitions(stream("moving_contexts"), stream("standing_evidence"))
+    return drain(rows, "transitions", into=t.spark)
 
 
-@query("str_1_status_transitions", f"SELECT context_set, evidence_id, \"before\", \"after\" FROM ({TRANSITIONS}) x")
+@query("str_1_status_transitions", f"""
+SELECT context_set, evidence_id, strftime(observed_at, '%Y-%m-%d %H:%M:%S.%f') AS observed_at, "before", "after" FROM ({TRANSITIONS}) x
+""")
 def _(t):
-    return _transitions(t).select("context_set", "evidence_id", "before", "after")
+    return _transitions(t).withColumn("observed_at", F.date_format("observed_at", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
 
 
 @query("str_1_affected_targets", f"""
@@ -64,5 +72,7 @@ JOIN {arriving_paths} b ON b.snapshot_id = a.snapshot_id AND b.path = a.path AND
 WHERE a.is_current
 """)
 def _(t):
-    stream = t.streaming("lineitem")
+    # Null dates come first: they meet nothing and hold no watermark back.
+    landed = land_in_order(t("lineitem"), "l_shipdate", FILES)
+    stream = t.arriving(t.spark, lineitem=landed)
     return drain(overlap.overlap_stream(stream("arriving_paths"), window="300 days"), "overlap")

@@ -2,13 +2,51 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.durable import fresh_folder
 
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PROGRESS = "trigger long, rows_in long, state_rows long, state_rows_removed long, late_rows long, watermark string"
 
-def drain(stream: DataFrame, name: str, output_mode: str = "append") -> DataFrame:
+
+def stateful_session(spark: SparkSession) -> SparkSession:
+    """A session beside the given one, with its settings, whose state is kept in RocksDB; the given one is not altered."""
+    beside = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if spark.conf.isModifiable(key):
+            beside.conf.set(key, value)
+    beside.conf.set(PROVIDER, ROCKS)
+    return beside
+
+
+def land_in_order(rows: DataFrame, time: str, files: int) -> str:
+    """Writes ``rows`` as ``files`` files that follow each other in event time and arrival; returns their folder.
+
+    One range partitioning cuts the table; each range is then landed on its own, as a source would, since a stream takes
+    files by their time of arrival.
+    """
+    spark = rows.sparkSession
+    cut, landed = fresh_folder(spark, "ranges"), fresh_folder(spark, "landed")
+    rows.repartitionByRange(files, F.col(time).asc_nulls_first()).withColumn("_range", F.spark_partition_id()).write.partitionBy("_range").parquet(cut)
+    whole = spark.read.schema(T.StructType([*rows.schema.fields, T.StructField("_range", T.IntegerType())])).parquet(cut)
+    for k in range(files):
+        whole.where(F.col("_range") == k).drop("_range").coalesce(1).write.mode("append").parquet(landed)
+    return landed
+
+
+def drain(stream: DataFrame, name: str, output_mode: str = "append", into: SparkSession | None = None) -> DataFrame:
     """Process all available input into parquet and return the result as a table."""
+    return drain_and_report(stream, name, output_mode, into)[0]
+
+
+def drain_and_report(
+    stream: DataFrame, name: str, output_mode: str = "append", into: SparkSession | None = None
+) -> tuple[DataFrame, list[tuple]]:
+    """The drained table, and what each trigger read and kept, as PROGRESS states it."""
     spark = stream.sparkSession
     folder = fresh_folder(spark, name)
     run = (
@@ -18,4 +56,11 @@ def drain(stream: DataFrame, name: str, output_mode: str = "append") -> DataFram
         .start()
     )
     run.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
+    report = []
+    for p in run.recentProgress:
+        states = p.stateOperators
+        report.append((
+            p.batchId, sum(s.numInputRows for s in p.sources), sum(s.numRowsTotal for s in states), sum(s.numRowsRemoved for s in states),
+            sum(s.numRowsDroppedByWatermark for s in states), p.eventTime.get("watermark"),
+        ))
+    return (into or spark).read.schema(stream.schema).parquet(f"{folder}/rows"), report

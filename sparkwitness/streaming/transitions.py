@@ -2,50 +2,87 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.coordinates import CONTEXT_FIELDS, fields, overall_status
 
 OUTPUT = "context_set string, evidence_id string, observed_at timestamp, before string, after string"
-STATE = "observed_at timestamp, status string"
-
-
-def _advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Keeps the newest status of one evidence.  Rows older than it are late and dropped."""
-    rows = pd.concat(list(frames), ignore_index=True).sort_values(["observed_at", "sequence"], kind="stable")
-    if state.exists:
-        seen, status = state.get
-        rows = rows[rows["observed_at"] >= pd.Timestamp(seen)]
-        before = pd.concat([pd.Series([status]), rows["status"]], ignore_index=True)[: len(rows)]
-    else:
-        before = rows["status"].shift(1)
-    if rows.empty:
-        return
-    before = before.set_axis(rows.index)
-    moved = before.notna() & (before != rows["status"])
-    last = rows.iloc[-1]
-    state.update((last["observed_at"].to_pydatetime(), last["status"]))
-    out = rows[moved]
-    yield pd.DataFrame(
-        {
-            "context_set": key[0], "evidence_id": key[1], "observed_at": out["observed_at"],
-            "before": before[moved], "after": out["status"],
-        }
-    )
 
 
-def status_transitions(contexts: DataFrame, evidence: DataFrame, delay: str = "1 hour") -> DataFrame:
+def _processor(expire_ms: int):
+    """The stateful step.  It is made here, so that workers get it by value and need no copy of this package."""
+    from pyspark.sql.streaming import StatefulProcessor
+
+    class InOrder(StatefulProcessor):
+        """Holds the rows of one evidence until the watermark has passed them, then compares neighbours in event time.
+
+        A timer fires once the watermark has reached it; a timer that has fired is gone, so the next is always later.
+        """
+
+        def init(self, handle):
+            self.handle = handle
+            self.waiting = handle.getListState("waiting", "at long, sequence long, status string")
+            self.last = handle.getValueState("last", "at long, status string")
+
+        def handleInputRows(self, key, rows, timerValues):
+            import pandas as pd
+
+            passed, first = timerValues.getCurrentWatermarkInMs(), None
+            for frame in rows:
+                micros = frame["observed_at"].astype("datetime64[us]").astype("int64")
+                kept = [(int(a), int(s), t) for a, s, t in zip(micros, frame["sequence"], frame["status"], strict=True) if -(-int(a) // 1000) > passed]
+                if kept:
+                    self.waiting.appendList(kept)
+                    first = min([a for a, _, _ in kept] + ([] if first is None else [first]))
+            if first is not None:
+                self.handle.registerTimer(-(-first // 1000))
+            yield pd.DataFrame()
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            import pandas as pd
+
+            passed = timerValues.getCurrentWatermarkInMs()
+            ready, rest = [], []
+            for row in self.waiting.get() if self.waiting.exists() else ():
+                (ready if -(-row[0] // 1000) <= passed else rest).append(tuple(row))
+            last = tuple(self.last.get()) if self.last.exists() else None
+            out = []
+            for at, _, status in sorted(ready):
+                if last is not None and last[1] != status and at - last[0] <= expire_ms * 1000:
+                    out.append((key[0], key[1], pd.Timestamp(at, unit="us"), last[1], status))
+                last = (at, status)
+            if ready:
+                self.last.update(last)
+                if rest:
+                    self.waiting.put(rest)
+                else:
+                    self.waiting.clear()
+            if rest:
+                self.handle.registerTimer(-(-min(rest)[0] // 1000))
+            elif last is not None:
+                gone = -(-last[0] // 1000) + expire_ms + 1
+                if gone <= passed:  # no row that may still come is near enough to compare
+                    self.last.clear()
+                else:
+                    self.handle.registerTimer(gone)
+            yield pd.DataFrame(out, columns=["context_set", "evidence_id", "observed_at", "before", "after"])
+
+        def close(self):
+            pass
+
+    return InOrder()
+
+
+def status_transitions(contexts: DataFrame, evidence: DataFrame, delay: str = "1 hour", expire_days: int = 30) -> DataFrame:
     """Stream of ``contexts(context_set, observed_at, sequence, repository, revision, work, path)``
     against static evidence; one row whenever the status of an evidence changes.
 
-    Status is computed by built-in expressions before the stateful step, which then only
-    compares neighbours.  State is one status per evidence; the rows a key meets at once are
-    bounded by the trigger.
+    Status is computed by built-in expressions before the stateful step, which only compares neighbours.  Rows are
+    compared in the order of (observed_at, sequence), once the watermark has passed them: the answer does not depend on triggers
+    or on the order of files, as long as no row is later than ``delay``, and rows within ``delay`` of the newest are not
+    decided yet.  A status more than ``expire_days`` older than the next one is forgotten.  State is the rows within the delay
+    and one status per evidence; it needs a session of ``sinks.stateful_session``.
     """
     moving = contexts.withWatermark("observed_at", delay).select(
         "context_set", "observed_at", "sequence", *[F.col(f).alias(f"_ctx_{f}") for f in CONTEXT_FIELDS]
@@ -54,6 +91,6 @@ def status_transitions(contexts: DataFrame, evidence: DataFrame, delay: str = "1
         "context_set", "evidence_id", "observed_at", "sequence",
         overall_status(fields(""), fields("_ctx_")).alias("status"),
     )
-    return statuses.groupBy("context_set", "evidence_id").applyInPandasWithState(
-        _advance, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout
+    return statuses.groupBy("context_set", "evidence_id").transformWithStateInPandas(
+        _processor(expire_days * 86_400_000), OUTPUT, "append", "EventTime"
     )
