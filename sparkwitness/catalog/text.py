@@ -49,8 +49,11 @@ FROM {event_keys}
 """)
 adapter("plain_events", "SELECT * FROM {policy_events} WHERE action <> 'call'")
 adapter("rank_rules", """
-SELECT DISTINCT event_type AS resource, CASE event_type WHEN 'click' THEN 'low' WHEN 'view' THEN 'mid' WHEN 'purchase' THEN 'high' WHEN 'signup' THEN 'low' ELSE 'top' END AS rank FROM {events}
-UNION ALL SELECT DISTINCT event_type AS resource, 'mid' AS rank FROM {events} WHERE event_type = 'signup'
+SELECT resource, rank
+FROM (SELECT DISTINCT event_type AS resource,
+             CASE event_type WHEN 'click' THEN 'low' WHEN 'view' THEN 'mid' WHEN 'purchase' THEN 'high' WHEN 'signup' THEN 'low' ELSE 'top' END AS one,
+             CASE WHEN event_type = 'signup' THEN 'mid' END AS other FROM {events}) r
+UNPIVOT (rank FOR side IN (one, other))
 """)
 adapter("rank_followers", """
 SELECT DISTINCT CASE WHEN event_id % 5 < 3 THEN 'low' ELSE 'mid' END AS rank,
@@ -68,15 +71,15 @@ def _successor(events: str) -> str:
 WITH k AS ({UNIQUE}), e AS (SELECT * FROM {events}),
 a AS (SELECT e.*, k.rank FROM e JOIN k ON k.resource = e.resource WHERE e.action = 'acquire'),
 open AS (SELECT t.session, t.seq, t.resource AS acquired, t.rank AS acquired_rank, p.resource AS held, p.rank AS held_rank,
-                row_number() OVER (PARTITION BY t.session, t.seq ORDER BY p.seq DESC) AS rn
-         FROM a t JOIN a p ON p.session = t.session AND p.seq < t.seq
+                t.position, row_number() OVER (PARTITION BY t.session, t.seq, t.position, t.resource ORDER BY p.seq DESC, p.position DESC) AS rn
+         FROM a t JOIN a p ON p.session = t.session AND (p.seq < t.seq OR (p.seq = t.seq AND p.position < t.position))
          WHERE NOT EXISTS (SELECT 1 FROM e r WHERE r.action = 'release' AND r.session = p.session AND r.guard = p.guard AND r.seq > p.seq AND r.seq < t.seq))
-SELECT session, seq, held, acquired, held_rank, acquired_rank FROM open
+SELECT session, seq, position, held, acquired, held_rank, acquired_rank FROM open
 WHERE rn = 1 AND NOT EXISTS (SELECT 1 FROM {{rank_followers}} f WHERE f.rank = held_rank AND f.follower = acquired_rank)
 """
 
 
-@query("pol_1_successor_violations", _successor("{plain_events}"))
+@query("pol_1_successor_violations", _successor("(SELECT *, CAST(0 AS BIGINT) AS position FROM {plain_events}) z"))
 def _(t):
     return pol.successor_violations(t("plain_events"), t("rank_rules"), t("rank_followers"))
 
@@ -112,8 +115,8 @@ SELECT concat('helper', CAST(r.r_regionkey % 2 AS STRING)) AS helper, r.r_region
 FROM {region} r JOIN (SELECT DISTINCT event_type AS resource, length(event_type) AS n FROM {events}) t ON t.n = r.r_regionkey + 4
 """)
 EXPANDED = """
-SELECT session, seq * 65536 AS seq, action, guard, resource, 'direct' AS origin FROM {policy_events} WHERE action <> 'call'
-UNION ALL SELECT e.session, e.seq * 65536 + h.position, 'acquire', e.guard, h.resource, 'helper' FROM {policy_events} e JOIN {helper_effects} h ON h.helper = e.resource WHERE e.action = 'call'
+SELECT session, seq, CAST(0 AS BIGINT) AS position, action, guard, resource, 'direct' AS origin FROM {policy_events} WHERE action <> 'call'
+UNION ALL SELECT e.session, e.seq, h.position, 'acquire', e.guard, h.resource, 'helper' FROM {policy_events} e JOIN {helper_effects} h ON h.helper = e.resource WHERE e.action = 'call'
 """
 
 
@@ -125,4 +128,4 @@ def _(t):
 @query("pol_4_effect_violations", _successor(f"({EXPANDED}) w"))
 def _(t):
     events = pol.expand_effects(t("policy_events"), t("helper_effects")).drop("origin")
-    return pol.successor_violations(events, t("rank_rules"), t("rank_followers"), block=pol.BLOCK * pol.STRIDE)
+    return pol.successor_violations(events, t("rank_rules"), t("rank_followers"))

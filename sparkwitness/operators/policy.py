@@ -1,19 +1,19 @@
 """Order policies over acquire and release events.
 
 ``events(session, seq, action, guard, resource)``: ``seq`` counts up within a session, a guard names
-what is released later, a resource is what the policy ranks.
+what is released later, a resource is what the policy ranks.  Events of one ``seq`` may have a ``position``, which orders them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.ordered import running_before
 
-BLOCK = 256
-# Room that an expanded call leaves for the positions of its effects.
-STRIDE = 1 << 16
+# Steps of a session that are folded together, and blocks of a part: a part is BLOCK * FAN steps.
+BLOCK = 1024
+FAN = 1024
 
 
 def unique_ranks(ranks: DataFrame) -> DataFrame:
@@ -23,100 +23,97 @@ def unique_ranks(ranks: DataFrame) -> DataFrame:
     ).drop("_max")
 
 
-def held_pairs(events: DataFrame, block: int = BLOCK) -> DataFrame:
+def _place(events: DataFrame) -> list[Column]:
+    return [F.col("seq"), (F.col("position") if "position" in events.columns else F.lit(0)).cast("long").alias("position")]
+
+
+def _dropped(held: Column, pops: Column, pushed: Column) -> Column:
+    """Entries of ``held`` whose guard is neither popped nor pushed anew."""
+    again = F.transform(pushed, lambda p: p["guard"])
+    return F.filter(held, lambda h: ~F.array_contains(pops, h["guard"]) & ~F.array_contains(again, h["guard"]))
+
+
+def _then(one: Column, two: Column) -> Column:
+    """What two stretches of events do, one after the other.  Associative."""
+    return F.struct(
+        F.array_union(one["pops"], two["pops"]).alias("pops"),
+        F.concat(_dropped(one["held"], two["pops"], two["held"]), two["held"]).alias("held"),
+    )
+
+
+def held_pairs(events: DataFrame, block: int = BLOCK, fan: int = FAN, carry: tuple[str, ...] = ()) -> DataFrame:
     """For each acquisition, the most recently acquired resource that is still held.
 
-    A session of any length is folded in blocks of ``block`` events.  What is held when a block
-    starts follows without folding: an acquisition is carried from its block to the block of the
-    next release of its guard, or of the next acquisition of the same guard and resource, which
-    supersedes it.  So the carried rows of a block are bounded by the guards held at that time.
+    (session, seq, position, held, acquired), and ``held_c`` / ``acquired_c`` for each column c of ``carry``.
+
+    A session is cut into blocks.  What a block does to the held stack is a small summary, the guards it releases and the last
+    entry of each guard it leaves held, and summaries combine: blocks into parts, parts over the session.  The stack before
+    each block follows from those, and every block then runs on its own.  A guard's older entries never show above its newest and
+    go with it, so a summary has one entry per guard.  Events are read twice, whatever the length of a session.
     """
-    slot = events.select(
-        "session", "seq", "action", "guard", "resource", F.floor(F.col("seq") / block).alias("block")
-    )
-    per_guard = ["session", "guard"]
-    releases = slot.where(F.col("action") == "release").groupBy(*per_guard, "block").agg(F.max("seq").alias("_released"))
-    last = slot.where(F.col("action") == "acquire").groupBy(*per_guard, "resource", "block").agg(F.max("seq").alias("seq"))
-
-    # The next block that releases the guard, for every block in which it is acquired or released.
-    touched = last.select(*per_guard, "block").unionByName(releases.select(*per_guard, "block")).distinct()
-    after = Window.partitionBy(*per_guard).orderBy("block").rowsBetween(1, Window.unboundedFollowing)
-    next_release = touched.join(releases, [*per_guard, "block"], "left").select(
-        *per_guard, "block", "_released",
-        F.min(F.when(F.col("_released").isNotNull(), F.col("block"))).over(after).alias("_next_release"),
+    entry = F.struct("resource", *carry)
+    slot = events.select("session", *_place(events), "action", "guard", entry.alias("what"), F.floor(F.col("seq") / block).alias("block"))
+    what = slot.schema["what"].dataType.simpleString()
+    blocks = slot.groupBy("session", "block").agg(F.sort_array(F.collect_list(F.struct("seq", "position", "action", "guard", "what"))).alias("_events"))
+
+    held_type = f"array<struct<guard:string,what:{what}>>"
+    none = F.array().cast(held_type)
+    nothing = F.struct(F.array().cast("array<string>").alias("pops"), none.alias("held"))
+    without = lambda held, e: F.filter(held, lambda h: h["guard"] != e["guard"])
+    taken = lambda held, e: F.array_append(without(held, e), F.struct(e["guard"].alias("guard"), e["what"].alias("what")))
+
+    def summarise(acc, e):
+        released = F.struct(F.array_union(acc["pops"], F.array(e["guard"])).alias("pops"), without(acc["held"], e).alias("held"))
+        return F.when(e["action"] == "release", released).otherwise(F.struct(acc["pops"].alias("pops"), taken(acc["held"], e).alias("held")))
+
+    parts = (
+        blocks.select("session", "block", F.aggregate("_events", nothing, summarise).alias("does"))
+        .groupBy("session", F.floor(F.col("block") / fan).alias("part"))
+        .agg(F.sort_array(F.collect_list(F.struct("block", "does"))).alias("_blocks"))
+        .withColumn("_does", F.aggregate("_blocks", nothing, lambda acc, b: _then(acc, b["does"])))
     )
-    again = Window.partitionBy(*per_guard, "resource").orderBy("block")
-    surviving = (
-        last.withColumn("_again", F.lead("block").over(again))
-        .join(next_release, [*per_guard, "block"])
-        .where(F.col("_released").isNull() | (F.col("seq") > F.col("_released")))
-        .select(
-            "session", "guard", "resource", "seq", "block",
-            F.least("_again", "_next_release").alias("_until"),
-        )
-    )
-    # Only blocks that acquire something need what was held before.
-    walk = Window.partitionBy("session").orderBy("block")
-    blocks = (
-        slot.groupBy("session", "block").agg(F.bool_or(F.col("action") == "acquire").alias("_acquires"))
-        .withColumn("_index", F.row_number().over(walk))
-    )
-    index = blocks.select("session", "block", "_index")
-    end = blocks.groupBy("session").agg(F.max("_index").alias("_end"))
-    carried = (
-        surviving.join(index, ["session", "block"])
-        .join(index.select("session", F.col("block").alias("_until"), F.col("_index").alias("_until_index")), ["session", "_until"], "left")
-        .join(end, "session")
-        .withColumn("_to", F.coalesce("_until_index", "_end"))
-        .where(F.col("_to") > F.col("_index"))
-        .select("session", "guard", "resource", "seq", F.explode(F.sequence(F.col("_index") + 1, F.col("_to"))).alias("_index"))
-        .join(blocks.where("_acquires").select("session", "block", "_index"), ["session", "_index"])
-        .select("session", "block", F.lit(0).alias("_phase"), "seq", F.lit("carry").alias("action"), "guard", "resource")
-    )
-    rows = carried.unionByName(slot.select("session", "block", F.lit(1).alias("_phase"), "seq", "action", "guard", "resource"))
-    entry = "struct<guard:string,resource:string>"
-    start = F.struct(
-        F.array().cast(f"array<{entry}>").alias("held"),
-        F.array().cast("array<struct<seq:bigint,held:string,acquired:string>>").alias("pairs"),
+    before = Window.partitionBy("session").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.aggregate(F.collect_list("_does").over(before), nothing, _then)
+    step = lambda acc, b: F.struct(
+        _then(acc["does"], b["does"]).alias("does"),
+        F.array_append(acc["out"], F.struct(b["block"].alias("block"), acc["does"]["held"].alias("_held"))).alias("out"),
     )
+    no_starts = F.array().cast(f"array<struct<block:bigint,_held:{held_type}>>")
+    starts = parts.withColumn("_start", start).select(
+        "session", F.inline(F.aggregate("_blocks", F.struct(F.col("_start").alias("does"), no_starts.alias("out")), step, lambda acc: acc["out"])))
 
-    def step(acc, e):
+    def walk(acc, e):
         top = F.try_element_at(acc["held"], F.lit(-1))
-        item = F.struct(e["guard"].alias("guard"), e["resource"].alias("resource"))
-        kept = F.filter(acc["held"], lambda h: (h["guard"] != e["guard"]) | (h["resource"] != e["resource"]))
-        taken = F.array_append(kept, item)
-        pair = F.struct(e["seq"].alias("seq"), top["resource"].alias("held"), e["resource"].alias("acquired"))
-        return (
-            F.when(
-                e["action"] == "release",
-                F.struct(F.filter(acc["held"], lambda h: h["guard"] != e["guard"]).alias("held"), acc["pairs"].alias("pairs")),
-            )
-            .when((e["action"] == "carry") | top.isNull(), F.struct(taken.alias("held"), acc["pairs"].alias("pairs")))
-            .otherwise(F.struct(taken.alias("held"), F.array_append(acc["pairs"], pair).alias("pairs")))
-        )
-
-    ordered = F.sort_array(F.collect_list(F.struct("_phase", "seq", "action", "guard", "resource")))
-    return (
-        rows.groupBy("session", "block").agg(ordered.alias("_events"))
-        .select("session", F.inline(F.aggregate("_events", start, step, lambda acc: acc["pairs"])))
+        pair = F.struct(e["seq"].alias("seq"), e["position"].alias("position"), top["what"].alias("held"), e["what"].alias("acquired"))
+        return F.when(
+            e["action"] == "release", F.struct(without(acc["held"], e).alias("held"), acc["pairs"].alias("pairs"))
+        ).otherwise(F.struct(
+            taken(acc["held"], e).alias("held"),
+            F.when(top.isNull(), acc["pairs"]).otherwise(F.array_append(acc["pairs"], pair)).alias("pairs"),
+        ))
+
+    no_pairs = F.array().cast(f"array<struct<seq:bigint,position:bigint,held:{what},acquired:{what}>>")
+    found = blocks.join(starts, ["session", "block"]).select(
+        "session", F.inline(F.aggregate("_events", F.struct(F.col("_held").alias("held"), no_pairs.alias("pairs")), walk, lambda acc: acc["pairs"])))
+    return found.select(
+        "session", "seq", "position", F.col("held.resource").alias("held"), F.col("acquired.resource").alias("acquired"),
+        *[F.col(f"{role}.{c}").alias(f"{role}_{c}") for c in carry for role in ("held", "acquired")],
     )
 
 
 def successor_violations(events: DataFrame, ranks: DataFrame, followers: DataFrame, block: int = BLOCK) -> DataFrame:
     """Acquisitions whose rank may not follow the rank held on top.
 
-    ``followers(rank, follower)``.  Resources without a unique rank are no acquisitions here.
+    ``followers(rank, follower)``.  Resources without a unique rank are no acquisitions here.  An event carries its rank,
+    so the ranks are looked up once.
     """
-    known = unique_ranks(ranks)
-    releases = events.where(F.col("action") == "release")
-    acquisitions = events.where(F.col("action") == "acquire").join(known.select("resource"), "resource", "left_semi")
-    pairs = held_pairs(acquisitions.unionByName(releases), block)
-    named = lambda role: known.select(F.col("resource").alias(role), F.col("rank").alias(f"{role}_rank"))
+    ranked = events.join(unique_ranks(ranks), "resource", "left")
+    counted = ranked.where((F.col("action") == "release") | ((F.col("action") == "acquire") & F.col("rank").isNotNull()))
     allowed = followers.select(F.col("rank").alias("held_rank"), F.col("follower").alias("acquired_rank")).distinct()
     return (
-        pairs.join(named("held"), "held").join(named("acquired"), "acquired")
+        held_pairs(counted, block, carry=("rank",))
         .join(allowed, ["held_rank", "acquired_rank"], "left_anti")
-        .select("session", "seq", "held", "acquired", "held_rank", "acquired_rank")
+        .select("session", "seq", "position", "held", "acquired", "held_rank", "acquired_rank")
     )
 
 
@@ -161,18 +158,13 @@ def expand_effects(events: DataFrame, helper_effects: DataFrame) -> DataFrame:
     """Calls replaced by the acquisitions the helper hands back, under the call's binding.
 
     A call is an event with ``action = 'call'`` whose resource names the helper;
-    ``helper_effects(helper, position, resource)``, positions below ``STRIDE``.  ``seq`` is spread
-    by ``STRIDE`` to make room, so later block sizes count in the same unit.
+    ``helper_effects(helper, position, resource)``.  Effects keep the call's ``seq`` and stand there in the order of their
+    ``position``, of which there may be any number; other events have position 0.  Every event is read once.
     """
-    calls = (
-        events.where(F.col("action") == "call")
-        .join(helper_effects.select(F.col("helper").alias("resource"), "position", F.col("resource").alias("_effect")), "resource")
-        .select(
-            "session", (F.col("seq") * STRIDE + F.col("position")).alias("seq"), F.lit("acquire").alias("action"), "guard",
-            F.col("_effect").alias("resource"), F.lit("helper").alias("origin"),
-        )
-    )
-    direct = events.where(F.col("action") != "call").select(
-        "session", (F.col("seq") * STRIDE).alias("seq"), "action", "guard", "resource", F.lit("direct").alias("origin")
+    effects = helper_effects.select(F.col("helper").alias("_helper"), F.col("position").cast("long").alias("_position"), F.col("resource").alias("_effect"))
+    call = F.col("action") == "call"
+    joined = events.withColumn("_called", F.when(call, F.col("resource"))).join(effects, F.col("_called") == F.col("_helper"), "left")
+    return joined.where(~call | F.col("_helper").isNotNull()).select(
+        "session", "seq", F.coalesce("_position", F.lit(0).cast("long")).alias("position"), F.when(call, "acquire").otherwise(F.col("action")).alias("action"), "guard",
+        F.when(call, F.col("_effect")).otherwise(F.col("resource")).alias("resource"), F.when(call, "helper").otherwise("direct").alias("origin"),
     )
-    return direct.unionByName(calls)

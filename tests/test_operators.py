@@ -238,8 +238,26 @@ def test_held_pairs_equal_a_walk_for_any_block_size(spark):
             events.append((session, seq, action, f"g{choice.randint(0, 4)}", f"r{choice.randint(0, 3)}"))
     df = frame(spark, "session string, seq long, action string, guard string, resource string", *events)
     expected = sorted((p for s in ("hot", "cold") for p in _brute_pairs([e for e in events if e[0] == s])), key=repr)
-    for block in (1, 8, 1000):
-        assert rows(policy.held_pairs(df, block), "session", "seq", "held", "acquired") == expected
+    for block, fan in ((1, 4), (8, 3), (1000, 1000)):
+        assert rows(policy.held_pairs(df, block, fan), "session", "seq", "held", "acquired") == expected
+
+
+def test_effects_at_any_position_stand_between_their_neighbours(spark):
+    """A call hands back more effects than any fixed stride has room for."""
+    deep = 70_000
+    effects = spark.range(deep).select(F.lit("h").alias("helper"), F.col("id").alias("position"), F.concat(F.lit("e"), F.col("id") % 3).alias("resource"))
+    effects = effects.union(frame(spark, "helper string, position long, resource string", ("h", deep, "last")))
+    events = frame(
+        spark, "session string, seq long, action string, guard string, resource string",
+        ("s", 1, "acquire", "a", "r1"), ("s", 2, "call", "b", "h"), ("s", 3, "acquire", "c", "r2"), ("s", 4, "release", "b", None),
+        ("s", 5, "acquire", "d", "r3"), ("s", 6, "call", "x", "unknown"), ("s", 7, "acquire", "e", "r1"),
+    )
+    expanded = policy.expand_effects(events, effects)
+    assert expanded.count() == 5 + deep + 1
+    # Only the effects at both ends, so that the block stays small: their order is what counts.
+    few = expanded.where("origin = 'direct' OR position < 2 OR position >= 70000 - 1")
+    found = rows(policy.held_pairs(few, block=2, fan=2), "seq", "position", "held", "acquired")
+    assert found == [(2, 0, "r1", "e0"), (2, 1, "e0", "e1"), (2, 69_999, "e1", "e0"), (2, 70_000, "e0", "last"), (3, 0, "last", "r2"), (5, 0, "r2", "r3"), (7, 0, "r3", "r1")]
 
 
 # Lineage
