@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.durable import cut
+from ..plans.durable import discard, fresh_folder
 from ..plans.scopes import with_ancestors
 
 # Names of guidance files.
@@ -20,32 +20,51 @@ def decisions_for(decisions: DataFrame, targets: DataFrame) -> DataFrame:
     ).select("repository", "target", "decision_id", "path_prefix", F.lit("direct").alias("matched_via"), F.col("target").alias("matched_path"))
 
 
-def file_lineage(renames: DataFrame, targets: DataFrame) -> DataFrame:
+def file_lineage(renames: DataFrame, targets: DataFrame, on_round=None) -> DataFrame:
     """All earlier paths of each target, along ``renames(repository, old_path, new_path)``.
 
     Chains of any length are followed by pointer jumping: a round joins the paths reached so far
-    with jumps of length 2^k, then doubles the jumps.  Only targets are carried, the number of rounds is
-    logarithmic, and the loop ends with the round that reaches nothing new.  Each round is cut
-    to the checkpoint folder, so the plan does not grow and a lost executor costs one round.
+    with jumps of length 2^k, then doubles the jumps.  Only renames of repositories with targets take part, and a jump is
+    kept only from a path that a target has reached or that another jump lands on, so stretches in front of all targets
+    fall away.  The number of rounds is logarithmic in the longest chain; the loop ends when no jump is left, or on cycles when a
+    round reaches nothing new.  Each round is written to the shared folder and the one before it deleted, so the plan
+    does not grow and a lost executor costs one round.  ``on_round`` is told (round, paths reached, jumps kept).
     """
-    jump = renames.select(
+    spark = targets.sparkSession
+    wanted = targets.select("repository", "target").distinct()
+    reach = wanted.withColumn("path", F.col("target"))
+    jump = renames.join(wanted.select("repository").distinct(), "repository", "left_semi").select(
         "repository", F.col("new_path").alias("path"), F.col("old_path").alias("_next")
     ).where(F.col("path") != F.col("_next")).distinct()
-    start = targets.select("repository", "target", F.col("target").alias("path")).distinct()
-    reach, known = start, start.count()
+    folders: list[str] = []
+
+    def put(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+        folder = fresh_folder(spark, name)
+        df.write.parquet(folder)
+        return spark.read.schema(df.schema).parquet(folder), folder
+
+    known, number = None, 0
     while True:
-        further = reach.join(jump, ["repository", "path"]).select(
-            "repository", "target", F.col("_next").alias("path")
-        )
-        reach = cut(reach.unionByName(further).distinct())
+        number += 1
+        further = reach.join(jump, ["repository", "path"]).select("repository", "target", F.col("_next").alias("path"))
+        reach, at = put(reach.unionByName(further).distinct(), "lineage-reach")
         size = reach.count()
-        if size == known:
-            break
-        known = size
+        useful = reach.select("repository", "path").unionByName(jump.select("repository", F.col("_next").alias("path"))).distinct()
         onward = jump.select("repository", F.col("path").alias("_next"), F.col("_next").alias("_after"))
-        jump = cut(
-            jump.join(onward, ["repository", "_next"]).select("repository", "path", F.col("_after").alias("_next")).distinct()
+        jump, jumps_at = put(
+            jump.join(useful, ["repository", "path"], "left_semi").join(onward, ["repository", "_next"])
+            .select("repository", "path", F.col("_after").alias("_next")).distinct(), "lineage-jumps",
         )
+        left = jump.count()
+        for folder in folders:
+            discard(spark, folder)
+        folders = [at, jumps_at]
+        if on_round:
+            on_round(number, size, left)
+        if not left or size == known:
+            discard(spark, jumps_at)
+            break
+        known = size
     return reach.where(F.col("path") != F.col("target")).select(
         "repository", "target", F.col("path").alias("historical_path")
     )

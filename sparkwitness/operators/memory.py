@@ -151,24 +151,25 @@ def memory_summary(artifacts: DataFrame, artifact_paths: DataFrame, edges: DataF
 def lineage(edges: DataFrame, anchors: DataFrame, max_depth: int) -> DataFrame:
     """Artifacts within ``max_depth`` explicit links of each anchor, with the smallest depth.
 
-    ``edges(repository, from_number, to_number)``.  Depth is small by definition of the
-    question, so this is a fixed number of joins; each step keeps distinct pairs.
+    ``edges(repository, from_number, to_number)``.  A level expands only the artifacts first reached by the level before: the
+    join takes rows of that depth, each reached row passes through beside its targets, and the smallest depth is kept
+    in one aggregation, so what is reached is never computed twice.  The links of all levels are one exchange, which is
+    reused; those of a hub stand on the side of the join that AQE may split.
     """
     links = edges.select("repository", F.col("from_number").alias("number"), "to_number").distinct()
-    level = anchors.select("repository", F.col("number").alias("anchor"), "number").distinct()
-    levels = [level.withColumn("depth", F.lit(0))]
+    key = ["repository", "anchor", "number"]
+    reached = anchors.select("repository", F.col("number").alias("anchor"), "number").distinct().withColumn("depth", F.lit(0).cast("long"))
     for depth in range(1, max_depth + 1):
-        level = (
-            level.join(links, ["repository", "number"])
-            .select("repository", "anchor", F.col("to_number").alias("number"))
-            .distinct()
+        frontier = F.when(F.col("depth") == depth - 1, F.col("number"))
+        met = reached.withColumn("_from", frontier).join(
+            links.select(F.col("repository").alias("_repository"), F.col("number").alias("_number"), "to_number"),
+            (F.col("repository") == F.col("_repository")) & (F.col("_from") == F.col("_number")), "left",
         )
-        levels.append(level.withColumn("depth", F.lit(depth)))
-    return (
-        reduce(DataFrame.unionByName, levels)
-        .groupBy("repository", "anchor", "number")
-        .agg(F.min("depth").cast("long").alias("depth"))
-    )
+        own = F.struct(F.col("number").alias("number"), F.col("depth").alias("depth"))
+        target = F.struct(F.col("to_number").alias("number"), F.lit(depth).cast("long").alias("depth"))
+        both = F.when(F.col("to_number").isNull(), F.array(own)).otherwise(F.array(own, target))
+        reached = met.select("repository", "anchor", F.inline(both)).groupBy(*key).agg(F.min("depth").alias("depth"))
+    return reached
 
 
 def lineage_receipts(reached: DataFrame, artifacts: DataFrame, max_depth: int) -> DataFrame:

@@ -272,6 +272,37 @@ def test_file_lineage_is_whole_and_survives_cycles(spark):
     assert rows(found, "repository", "target", "historical_path") == sorted(expected, key=repr)
 
 
+def test_a_thousand_steps_take_ten_rounds_and_leave_nothing_behind(spark):
+    from pathlib import Path
+
+    from sparkwitness.plans.durable import shared_folder
+
+    steps = [("r", f"p{i + 1}", f"p{i}") for i in range(1000)]
+    dead = [("r", f"p{0}", f"front{k}") for k in range(3)] + [("r", f"front{k}", f"far{k}") for k in range(3)]
+    other = [("q", f"p{i + 1}", f"p{i}") for i in range(300)]
+    renames = frame(spark, "repository string, old_path string, new_path string", *steps, *dead, *other)
+    told = []
+    before = set(Path(shared_folder(spark)).glob("lineage-*"))
+    found = decisions.file_lineage(renames, frame(spark, "repository string, target string", ("r", "p0")), lambda *a: told.append(a))
+    assert sorted(r.historical_path for r in found.collect()) == sorted(f"p{i}" for i in range(1, 1001))
+    assert len(told) == 10 and told[-1][1:] == (1001, 0)
+    assert told[0][2] <= 1003  # nothing of the other repository is ever joined
+    left = set(Path(shared_folder(spark)).glob("lineage-*")) - before
+    assert len(left) == 1  # the result; no round before it
+
+
+def test_a_hub_expands_once(spark):
+    """Anchor 1 reaches the hub directly and again through 2; the hub links to 10,000 artifacts and back."""
+    links = [("r", 1, 5), ("r", 1, 2), ("r", 2, 5), ("r", 5, 1)] + [("r", 5, n) for n in range(10, 10_010)] + [("r", n, 5) for n in range(10, 40)]
+    edges = frame(spark, "repository string, from_number long, to_number long", *links)
+    anchors = frame(spark, "repository string, number long", ("r", 1), ("r", None))
+    found = memory.lineage(edges, anchors.where("number IS NOT NULL"), 3)
+    depths = {r.number: r.depth for r in found.collect()}
+    assert depths == {1: 0, 2: 1, 5: 1} | {n: 2 for n in range(10, 10_010)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter") == 3 and plan.count("LogicalRDD") == 4  # links once per level, anchors once
+
+
 def test_lineage_keeps_the_smallest_depth(spark):
     edges = frame(spark, "repository string, from_number long, to_number long", ("r", 1, 2), ("r", 2, 3), ("r", 1, 3), ("r", 3, 4), ("r", 4, 5), ("r", 3, 1))
     anchors = frame(spark, "repository string, number long", ("r", 1))
