@@ -101,7 +101,7 @@ SELECT concat('Org/r', CAST(o_orderkey - o_orderkey % 64 AS STRING)) AS reposito
                 CASE o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN ' (still there)' WHEN 2 THEN '.' ELSE 'x' END, chr(10)) ELSE '' END,
               CASE WHEN o_orderkey % 15 = 0 THEN concat('**Re-reporting** the bug from #9', chr(10)) ELSE '' END,
               'see **Re-reporting** the bug from #1') AS body
-FROM {orders} WHERE o_orderkey > 20
+FROM {orders}
 """)
 adapter("issue_comments", """
 SELECT concat('Org/r', CAST(o_orderkey - o_orderkey % 64 AS STRING)) AS repository, o_orderkey + 1 AS number, l_linenumber + l_suppkey * 10 AS comment_id,
@@ -111,7 +111,7 @@ SELECT concat('Org/r', CAST(o_orderkey - o_orderkey % 64 AS STRING)) AS reposito
             WHEN l_linenumber = 3 THEN concat('Found 2 possible duplicate issues:', chr(10), 'This issue will be automatically closed as a duplicate in 3 days.')
             WHEN l_linenumber = 4 THEN CASE WHEN l_quantity > 10 THEN 'Not a duplicate of the suggested issues. Mine differs.' ELSE 'Thanks' END
             ELSE 'possible duplicate issues: none' END AS body
-FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey WHERE o_orderkey > 20
+FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey
 """)
 CLOSURES = """
 SELECT i.repository, i.number, CASE WHEN coalesce(c.n, 0) = 0 THEN 'none' WHEN c.n = 1 THEN 'selected' ELSE 'ambiguous' END AS closure,
@@ -155,20 +155,20 @@ def _(t):
 
 
 EPISODES = f"""
-SELECT p.repository, p.number AS prior_issue, r.number AS later_issue, l.state AS later_state, c.comment_id AS closure_comment_id,
-       d.challenge, 'unknown' AS clearance, 'inspect_prior_failure' AS disposition
+SELECT p.repository, p.number AS prior_issue, r.number AS later_issue, l.state AS later_state, c.comment_id AS closure_comment_id, d.challenge,
+       CASE WHEN c.closure = 'ambiguous' THEN 'ambiguous_closure' WHEN d.challenge = 'ambiguous' THEN 'ambiguous_challenge' END AS rejection,
+       CASE WHEN c.closure = 'selected' AND d.challenge <> 'ambiguous' THEN 'unknown' END AS clearance,
+       CASE WHEN c.closure = 'selected' AND d.challenge <> 'ambiguous' THEN 'inspect_prior_failure' ELSE 'rejected' END AS disposition
 FROM ({RE_REPORTS}) r JOIN {{issues}} p ON p.repository = r.repository AND p.number = r.prior_number AND p.state = 'closed' AND r.number <> p.number
-JOIN ({CLOSURES}) c ON c.repository = p.repository AND c.number = p.number AND c.closure = 'selected'
+JOIN ({CLOSURES}) c ON c.repository = p.repository AND c.number = p.number AND c.closure <> 'none'
 JOIN {{issues}} l ON l.repository = r.repository AND l.number = r.number
-JOIN ({CHALLENGES}) d ON d.repository = p.repository AND d.number = p.number AND d.challenge <> 'ambiguous'
+JOIN ({CHALLENGES}) d ON d.repository = p.repository AND d.number = p.number
 WHERE r.re_report = 'selected'
 """
 
 
 def _episodes(t):
-    closures = clo.closure_receipts(t("issues"), t("issue_comments"))
-    challenges = clo.duplicate_challenges(t("issues"), t("issue_comments"))
-    return clo.closure_episodes(t("issues"), closures, clo.re_reports(t("issues")), challenges)
+    return clo.closure_episodes(t("issues"), t("issue_comments"))
 
 
 @query("close_4_closure_episodes", EPISODES)
@@ -188,15 +188,15 @@ FROM {orders} JOIN (SELECT l_orderkey, min(path) AS path FROM {lineitem} JOIN {p
 """)
 adapter("lesson_repairs", """
 SELECT claim_id, number, min(evidence) AS source_evidence
-FROM (SELECT concat('c', CAST(o_orderkey AS STRING)) AS claim_id, o_orderkey + 1 + 7 * (l_linenumber - l_linenumber % 2) AS number,
+FROM (SELECT concat('c', CAST(l_orderkey AS STRING)) AS claim_id, l_orderkey + 1 + 7 * (l_linenumber - l_linenumber % 2) AS number,
              CASE WHEN l_quantity > 48 THEN 'Summary lost' WHEN l_quantity > 46 THEN 'of' ELSE 'Summary of' END AS evidence
-      FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey WHERE l_linenumber < 6) x GROUP BY claim_id, number
+      FROM {lineitem} WHERE l_linenumber < 6) x GROUP BY claim_id, number
 """)
 adapter("lesson_adjacent", """
 SELECT claim_id, number, 'd2' AS discriminator, 'of' AS marker, min(evidence) AS source_evidence
-FROM (SELECT concat('c', CAST(o_orderkey AS STRING)) AS claim_id, o_orderkey + 1 + 9 * l_linenumber AS number,
+FROM (SELECT concat('c', CAST(l_orderkey AS STRING)) AS claim_id, l_orderkey + 1 + 9 * l_linenumber AS number,
              CASE WHEN l_quantity > 45 THEN 'Summary' ELSE 'Summary of' END AS evidence
-      FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey WHERE l_linenumber >= 6) x GROUP BY claim_id, number
+      FROM {lineitem} WHERE l_linenumber >= 6) x GROUP BY claim_id, number
 """)
 adapter("lesson_covered", """
 SELECT claim_id, number FROM {lesson_repairs} WHERE number % 9 <> 0
@@ -226,8 +226,12 @@ def _coverage(t):
     return cl.lesson_coverage(t("lesson_repairs"), t("lesson_adjacent"), t("lesson_covered"))
 
 
+def _lesson_counts(t):
+    return cl.lesson_counts(t("lesson_repairs"), t("lesson_adjacent"), t("lesson_covered"))
+
+
 def _lessons(t):
-    return cl.lesson_promotions(t("lesson_claims"), t("lesson_repairs"), _coverage(t), t("artifacts"))
+    return cl.lesson_promotions(t("lesson_claims"), _lesson_counts(t), t("artifacts"))
 
 
 @query("lesson_1_coverage", COVERAGE)
@@ -373,22 +377,22 @@ def _(t):
 
 
 def _front(t):
-    named = lambda df: df.select(F.col("claim_id").alias("id"), "status")
+    """Every claim of every family meets the artifacts in one fold."""
     episodes = _episodes(t).select(
         F.concat_ws("/", "repository", F.col("prior_issue").cast("string"), F.col("later_issue").cast("string")).alias("id"),
-        F.col("disposition").alias("status"),
+        F.col("disposition").alias("status"), F.lit("issue_closure").alias("family"),
     )
     reviews = _dispositions(t).select(F.col("concern_id").alias("id"), F.col("disposition").alias("status"), "matches")
-    return fr.episode_front(
-        reviews,
+    claims = cl.statuses(
         {
-            "issue_closure": episodes,
-            "lesson_promotion": named(_lessons(t)),
-            "proxy_revision": named(_proxies(t)),
-            "observation_reconciliation": named(_reconciliations(t)),
-            "proof_surface": named(_proofs(t)),
+            "lesson_promotion": cl.lesson_rows(t("lesson_claims"), _lesson_counts(t)),
+            "proxy_revision": cl.proxy_rows(t("proxy_claims")),
+            "observation_reconciliation": cl.reconciliation_rows(t("reconciliation_claims")),
+            "proof_surface": cl.proof_rows(t("proof_claims")),
         },
+        t("artifacts"), t("artifact_paths"),
     )
+    return fr.episode_front(reviews, claims.select(F.col("claim_id").alias("id"), "status", "family").unionByName(episodes))
 
 
 FRONT = f"""
@@ -398,7 +402,8 @@ SELECT concern_id AS id, 'review' AS family, disposition AS status,
             WHEN disposition = 'need_context' AND matches > 0 THEN 'acquire_missing_review_coordinate'
             WHEN matches > 0 THEN 'no_current_review_lineage' ELSE 'no_prior_review_lineage' END AS next
 FROM ({DISPOSITIONS}) d
-UNION ALL SELECT concat_ws('/', repository, prior_issue, later_issue), 'issue_closure', disposition, 'item', 'inspect_prior_failure_and_rereport' FROM ({EPISODES}) e
+UNION ALL SELECT concat_ws('/', repository, prior_issue, later_issue), 'issue_closure', disposition, CASE WHEN rejection IS NULL THEN 'item' ELSE 'rejected' END,
+       CASE WHEN rejection IS NULL THEN 'inspect_prior_failure_and_rereport' END FROM ({EPISODES}) e
 UNION ALL SELECT claim_id, 'lesson_promotion', status, CASE WHEN status = 'observed_promotion' THEN 'item' ELSE 'rejected' END, CASE WHEN status = 'observed_promotion' THEN 'use_accepted_guard' END FROM ({LESSONS}) l
 UNION ALL SELECT claim_id, 'proxy_revision', status, CASE WHEN status = 'observed_proxy_revision' THEN 'item' ELSE 'rejected' END, CASE WHEN status = 'observed_proxy_revision' THEN 'use_corrected_predicate' END FROM ({PROXIES}) p
 UNION ALL SELECT claim_id, 'observation_reconciliation', status, CASE WHEN status = 'observed_reconciliation' THEN 'item' ELSE 'rejected' END, CASE WHEN status = 'observed_reconciliation' THEN 'await_bounded_convergence' END FROM ({RECONCILIATIONS}) r
@@ -417,7 +422,7 @@ SELECT c.claim_id, 'use_accepted_guard' AS next, c.discriminator, c.value_ref, c
 FROM {{lesson_claims}} c JOIN ({LESSONS}) l ON l.claim_id = c.claim_id AND l.status = 'observed_promotion' JOIN {{lesson_repairs}} r ON r.claim_id = c.claim_id
 """)
 def _(t):
-    lessons = _lessons(t).select(F.col("claim_id").alias("id"), "status")
+    lessons = _lessons(t).select(F.col("claim_id").alias("id"), "status", F.lit("lesson_promotion").alias("family"))
     empty_reviews = _dispositions(t).select(F.col("concern_id").alias("id"), F.col("disposition").alias("status"), "matches")
-    front = fr.episode_front(empty_reviews, {"lesson_promotion": lessons})
+    front = fr.episode_front(empty_reviews, lessons)
     return fr.episode_detail(front, t("lesson_claims"), t("lesson_repairs"))

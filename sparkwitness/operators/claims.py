@@ -21,67 +21,132 @@ def _pulls(artifacts: DataFrame, role: str) -> DataFrame:
     )
 
 
-def _touches(artifact_paths: DataFrame, role: str, path: str) -> DataFrame:
-    return (
-        artifact_paths.where(F.col("kind") == PULL)
-        .select("repository", F.col("number").alias(role), F.col("path").alias(path))
-        .distinct()
-        .withColumn(f"_{role}_{path}", F.lit(True))
+def _names(text: Column, number: Column) -> Column:
+    return text.contains(F.concat(F.lit("#"), number.cast("string")))
+
+
+# The fold --------------------------------------------------------------------------------------
+#
+# A claim is a few long rows: what it says itself, and one row per pull request it names, with the excerpts, the merge and
+# the path it rests on.  All rows of all families meet the artifacts in one join and their paths in another; each row yields
+# the findings against the claim, and the claim's status is the first of them.
+
+# Order of findings: the claim's own first ones, excerpts, merges, own ones in between, paths, own last ones.
+FIRST, EXACT, MERGED, BETWEEN, TOUCHED, LAST = range(6)
+FINDING = "struct<rank:int,place:int,status:string>"
+KINDS = ["required_kind", "produced_kind"]
+
+
+def _finding(rank: int, place: int, status: Column) -> Column:
+    return F.when(status.isNotNull(), F.struct(F.lit(rank).alias("rank"), F.lit(place).alias("place"), status.alias("status")))
+
+
+def _own(findings: list[tuple[int, Column]], kinds: dict[str, Column] | None = None) -> Column:
+    """The row of what a claim says itself: (rank, status or null) in order."""
+    nothing = F.lit(None).cast("string")
+    return F.struct(
+        F.col("claim_id").alias("claim_id"), nothing.alias("repository"), F.lit(None).cast("long").alias("number"), F.lit(0).alias("place"),
+        F.array().cast("array<string>").alias("excerpts"), nothing.alias("path"), nothing.alias("if_inexact"), nothing.alias("if_unmerged"),
+        nothing.alias("if_untouched"), F.array_compact(F.array(*[_finding(r, i, s) for i, (r, s) in enumerate(findings)])).alias("own"),
+        *[(kinds or {}).get(k, nothing).alias(k) for k in KINDS],
     )
 
 
-def _names(text: Column, number: Column) -> Column:
-    return text.contains(F.concat(F.lit("#"), number.cast("string")))
+def _rests_on(
+    place: int, role: str, excerpts: list[str] | None = None, if_unmerged: str | None = None,
+    path: str | None = None, if_untouched: str | None = None,
+) -> Column:
+    """The row of one pull request of a claim; ``excerpts`` None asks for no text, [] for any."""
+    text = lambda v: F.lit(v).cast("string")
+    return F.struct(
+        F.col("claim_id").alias("claim_id"), F.col("repository").alias("repository"), F.col(role).cast("long").alias("number"), F.lit(place).alias("place"),
+        F.array(*[F.col(e) for e in excerpts or []]).cast("array<string>").alias("excerpts"), (F.col(path) if path else text(None)).alias("path"),
+        text(None if excerpts is None else "rejected").alias("if_inexact"), text(if_unmerged).alias("if_unmerged"),
+        text(if_untouched).alias("if_untouched"), F.array().cast(f"array<{FINDING}>").alias("own"), *[text(None).alias(k) for k in KINDS],
+    )
 
 
-def _all(tests: list[Column]) -> Column:
-    return F.coalesce(reduce(lambda a, b: a & b, tests), F.lit(False))
+def _long(claims: DataFrame, *rows: Column) -> DataFrame:
+    """All rows of each claim, from one read of the claims."""
+    return claims.select(F.inline(F.array(*rows)))
+
+
+def statuses(families: dict[str, DataFrame], artifacts: DataFrame, artifact_paths: DataFrame | None = None) -> DataFrame:
+    """(family, claim_id, status, required_kind, produced_kind) of the long rows of any number of families."""
+    rows = reduce(DataFrame.unionByName, [rows.withColumn("family", F.lit(f)) for f, rows in families.items()])
+    met = rows.join(_pulls(artifacts, "number"), ["repository", "number"], "left")
+    if artifact_paths is None:
+        met = met.withColumn("_touched", F.lit(None).cast("boolean"))
+    else:
+        touched = artifact_paths.where(F.col("kind") == PULL).select("repository", "number", "path").distinct().withColumn("_touched", F.lit(True))
+        met = met.join(touched, ["repository", "number", "path"], "left")
+    text = F.col("_number_text")
+    exact = F.coalesce(text.isNotNull() & F.forall("excerpts", lambda e: F.coalesce(text.contains(e), F.lit(False))), F.lit(False))
+    at = lambda rank, status: F.when(status.isNotNull(), F.struct(F.lit(rank).alias("rank"), F.col("place"), status.alias("status")))
+    against = F.array_compact(F.array(
+        at(EXACT, F.when(~exact, F.col("if_inexact"))), at(MERGED, F.when(~F.coalesce("_number_merged", F.lit(False)), F.col("if_unmerged"))),
+        at(TOUCHED, F.when(F.col("_touched").isNull(), F.col("if_untouched"))),
+    ))
+    return (
+        met.select("family", "claim_id", F.array_min(F.concat("own", against)).alias("_worst"), *KINDS)
+        .groupBy("family", "claim_id").agg(F.min("_worst")["status"].alias("status"), *[F.max(k).alias(k) for k in KINDS])
+    )
 
 
 # Lessons -------------------------------------------------------------------------------------
 
 
+def _lesson_numbers(repairs: DataFrame, adjacent: DataFrame, covered: DataFrame) -> DataFrame:
+    """Per claim and pull request: is it a repair, adjacent work, covered by the guard?"""
+    part = lambda df, name: df.select("claim_id", "number", *[F.lit(n == name).alias(n) for n in ("_repair", "_adjacent", "_covered")])
+    rows = part(repairs, "_repair").unionByName(part(adjacent, "_adjacent")).unionByName(part(covered, "_covered"))
+    return rows.groupBy("claim_id", "number").agg(*[F.bool_or(c).alias(c) for c in ("_repair", "_adjacent", "_covered")])
+
+
+MISSING, DIFFERENT = "missing_repair", "different_class"
+
+
+def _coverage() -> Column:
+    return F.when(F.col("_repair") & ~F.col("_covered"), MISSING).when(F.col("_covered") & F.col("_adjacent"), DIFFERENT)
+
+
 def lesson_coverage(repairs: DataFrame, adjacent: DataFrame, covered: DataFrame) -> DataFrame:
     """Repairs the guard misses, and different-class work it covers; one row each."""
-    key = ["claim_id", "number"]
-    sets = [df.select(*key).distinct() for df in (repairs, adjacent, covered)]
-    missing = sets[0].join(sets[2], key, "left_anti").withColumn("coverage", F.lit("missing_repair"))
-    different = sets[2].join(sets[1], key, "left_semi").withColumn("coverage", F.lit("different_class"))
-    return missing.unionByName(different)
+    return _lesson_numbers(repairs, adjacent, covered).select("claim_id", "number", _coverage().alias("coverage")).where("coverage IS NOT NULL")
 
 
-def lesson_promotions(claims: DataFrame, repairs: DataFrame, coverage: DataFrame, artifacts: DataFrame) -> DataFrame:
-    """Has a lesson from repeated repairs become an enforced guard?
+def lesson_counts(repairs: DataFrame, adjacent: DataFrame, covered: DataFrame) -> DataFrame:
+    """Per claim: distinct repairs, and how many of them the guard misses or other work it covers."""
+    return _lesson_numbers(repairs, adjacent, covered).withColumn("coverage", _coverage()).groupBy("claim_id").agg(
+        F.count_if("_repair").alias("repairs"), F.count_if(F.col("coverage") == MISSING).alias("missing_coverage"),
+        F.count_if(F.col("coverage") == DIFFERENT).alias("different_class_coverage"),
+    )
+
+
+COUNTS = ["repairs", "missing_coverage", "different_class_coverage"]
+
+
+def lesson_rows(claims: DataFrame, counts: DataFrame) -> DataFrame:
+    """Has a lesson from repeated repairs become an enforced guard?  As long rows.
 
     ``claims(claim_id, repository, discriminator, value_ref, guard, guard_discriminator,
-    guard_value_ref, ...)``, ``repairs(claim_id, number, source_evidence)``.
+    guard_value_ref, ...)``, ``counts`` as of ``lesson_counts``.
     """
-    counted = repairs.select("claim_id", "number").distinct().groupBy("claim_id").agg(F.count(F.lit(1)).alias("repairs"))
-    gaps = coverage.groupBy("claim_id").agg(
-        F.count_if(F.col("coverage") == "missing_repair").alias("_missing"),
-        F.count_if(F.col("coverage") == "different_class").alias("_different"),
-    )
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long"))
-    status = (
-        F.when(zero("repairs") < 2, "insufficient_repeated_repairs")
-        .when(
-            (F.col("guard_discriminator") != F.col("discriminator")) | (F.col("guard_value_ref") != F.col("value_ref")),
-            "guard_class_mismatch",
-        )
-        .when(zero("_different") > 0, "guard_coverage_includes_different_class")
-        .when(zero("_missing") > 0, "guard_coverage_incomplete")
-        .when(~F.coalesce("_guard_merged", F.lit(False)), "proposed_guard")
-        .otherwise("observed_promotion")
-    )
-    return (
-        claims.join(counted, "claim_id", "left")
-        .join(gaps, "claim_id", "left")
-        .join(_pulls(artifacts, "guard"), ["repository", "guard"], "left")
-        .select(
-            "claim_id", status.alias("status"), zero("repairs").alias("repairs"),
-            zero("_missing").alias("missing_coverage"), zero("_different").alias("different_class_coverage"),
-        )
+    other = (F.col("guard_discriminator") != F.col("discriminator")) | (F.col("guard_value_ref") != F.col("value_ref"))
+    first = (
+        F.when(zero("repairs") < 2, "insufficient_repeated_repairs").when(other, "guard_class_mismatch")
+        .when(zero("different_class_coverage") > 0, "guard_coverage_includes_different_class")
+        .when(zero("missing_coverage") > 0, "guard_coverage_incomplete")
     )
+    counted = claims.join(counts, "claim_id", "left")
+    return _long(counted, _own([(FIRST, first), (LAST, F.lit("observed_promotion"))]), _rests_on(1, "guard", if_unmerged="proposed_guard"))
+
+
+def lesson_promotions(claims: DataFrame, counts: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """Status of each lesson claim, beside the counts it rests on."""
+    found = statuses({"lesson": lesson_rows(claims, counts)}, artifacts).select("claim_id", "status")
+    return found.join(counts, "claim_id", "left").select("claim_id", "status", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in COUNTS])
 
 
 def lesson_violations(
@@ -117,9 +182,12 @@ def lesson_violations(
         .when(~F.col("guard_evidence").contains(F.col("guard_marker")), "marker_absent")
         .when(F.col("_guard_enforcement_path").isNull(), "enforcement_path_unchanged")
     )
+    enforced = artifact_paths.where(F.col("kind") == PULL).select(
+        "repository", F.col("number").alias("guard"), F.col("path").alias("enforcement_path")
+    ).distinct().withColumn("_guard_enforcement_path", F.lit(True))
     guard = (
         claims.join(_pulls(artifacts, "guard"), ["repository", "guard"], "left")
-        .join(_touches(artifact_paths, "guard", "enforcement_path"), ["repository", "guard", "enforcement_path"], "left")
+        .join(enforced, ["repository", "guard", "enforcement_path"], "left")
         .select("claim_id", F.lit("guard").alias("role"), F.col("guard").alias("number"), guard_reason.alias("reason"))
     )
     known = repairs.select("claim_id", "number").unionByName(adjacent.select("claim_id", "number")).distinct()
@@ -134,51 +202,40 @@ def lesson_violations(
 # Revisions, reconciliations, proofs ------------------------------------------------------------
 
 
-def proxy_revisions(claims: DataFrame, artifacts: DataFrame, artifact_paths: DataFrame) -> DataFrame:
-    """Did a successor replace a proxy rule after a counterexample?  Excerpts must be exact."""
+def proxy_rows(claims: DataFrame) -> DataFrame:
+    """Did a successor replace a proxy rule after a counterexample?  Excerpts must be exact.  As long rows."""
     e = F.col
-    exact = _all([
-        e("_predecessor_text").contains(e("predecessor_evidence")),
-        e("_successor_text").contains(e("counterexample_evidence")),
-        e("_successor_text").contains(e("replacement_evidence")),
-    ])
-    status = (
-        F.when(~exact, "rejected")
-        .when(~e("_predecessor_merged"), "predecessor_unmerged")
-        .when(~e("_successor_merged"), "successor_unmerged")
-        .when(~_names(e("counterexample_evidence"), e("predecessor")), "successor_does_not_name_predecessor")
-        .when(
-            e("_predecessor_shared_path").isNull() | e("_successor_shared_path").isNull(), "no_shared_implementation_path"
-        )
-        .when(~e("predecessor_evidence").contains(e("proxy_marker")), "prior_proxy_rule_missing")
+    names = F.when(~_names(e("counterexample_evidence"), e("predecessor")), "successor_does_not_name_predecessor")
+    last = (
+        F.when(~e("predecessor_evidence").contains(e("proxy_marker")), "prior_proxy_rule_missing")
         .when(~e("counterexample_evidence").contains(e("counterexample_marker")), "counterexample_missing")
         .when(~e("replacement_evidence").contains(e("replacement_marker")), "replacement_rule_missing")
         .otherwise("observed_proxy_revision")
     )
-    return (
-        claims.join(_pulls(artifacts, "predecessor"), ["repository", "predecessor"], "left")
-        .join(_pulls(artifacts, "successor"), ["repository", "successor"], "left")
-        .join(_touches(artifact_paths, "predecessor", "shared_path"), ["repository", "predecessor", "shared_path"], "left")
-        .join(_touches(artifact_paths, "successor", "shared_path"), ["repository", "successor", "shared_path"], "left")
-        .select("claim_id", status.alias("status"))
+    shared = {"path": "shared_path", "if_untouched": "no_shared_implementation_path"}
+    return _long(
+        claims,
+        _own([(BETWEEN, names), (LAST, last)]),
+        _rests_on(1, "predecessor", ["predecessor_evidence"], "predecessor_unmerged", **shared),
+        _rests_on(2, "successor", ["counterexample_evidence", "replacement_evidence"], "successor_unmerged", **shared),
     )
 
 
+def proxy_revisions(claims: DataFrame, artifacts: DataFrame, artifact_paths: DataFrame) -> DataFrame:
+    return statuses({"proxy": proxy_rows(claims)}, artifacts, artifact_paths).select("claim_id", "status")
+
+
 RECONCILER_EXCERPTS = [
     "predecessor_evidence", "authority_evidence", "observation_evidence", "convergence_evidence", "exhaustion_evidence",
 ]
 
 
-def reconciliations(claims: DataFrame, artifacts: DataFrame, artifact_paths: DataFrame) -> DataFrame:
-    """Was a disagreement of two sources reconciled, with a bound and a hard failure after it?"""
+def reconciliation_rows(claims: DataFrame) -> DataFrame:
+    """Was a disagreement of two sources reconciled, with a bound and a hard failure after it?  As long rows."""
     e = F.col
-    exact = _all([e("_reconciler_text").contains(e(x)) for x in RECONCILER_EXCERPTS] + [e("_predecessor_text").isNotNull()])
     lacks = lambda evidence, marker: ~e(evidence).contains(e(marker))
-    status = (
-        F.when(~exact, "rejected")
-        .when(~e("_predecessor_merged"), "predecessor_unmerged")
-        .when(~e("_reconciler_merged"), "reconciler_unmerged")
-        .when(~_names(e("predecessor_evidence"), e("predecessor")), "reconciler_does_not_name_predecessor")
+    between = (
+        F.when(~_names(e("predecessor_evidence"), e("predecessor")), "reconciler_does_not_name_predecessor")
         .when(lacks("authority_evidence", "authority_marker"), "authority_rule_missing")
         .when(
             lacks("observation_evidence", "authoritative_marker") | lacks("observation_evidence", "lagging_marker"),
@@ -186,42 +243,42 @@ def reconciliations(claims: DataFrame, artifacts: DataFrame, artifact_paths: Dat
         )
         .when(lacks("convergence_evidence", "convergence_marker"), "convergence_policy_missing")
         .when(lacks("exhaustion_evidence", "exhaustion_marker"), "permanent_divergence_control_missing")
-        .when(e("_reconciler_implementation_path").isNull(), "implementation_path_missing")
-        .when(e("_reconciler_test_path").isNull(), "test_path_missing")
-        .otherwise("observed_reconciliation")
     )
-    touches = lambda path: _touches(artifact_paths, "reconciler", path)
-    return (
-        claims.join(_pulls(artifacts, "predecessor"), ["repository", "predecessor"], "left")
-        .join(_pulls(artifacts, "reconciler"), ["repository", "reconciler"], "left")
-        .join(touches("implementation_path"), ["repository", "reconciler", "implementation_path"], "left")
-        .join(touches("test_path"), ["repository", "reconciler", "test_path"], "left")
-        .select("claim_id", status.alias("status"))
+    return _long(
+        claims,
+        _own([(BETWEEN, between), (LAST, F.lit("observed_reconciliation"))]),
+        _rests_on(1, "predecessor", [], "predecessor_unmerged"),
+        _rests_on(2, "reconciler", RECONCILER_EXCERPTS, "reconciler_unmerged", "implementation_path", "implementation_path_missing"),
+        _rests_on(3, "reconciler", path="test_path", if_untouched="test_path_missing"),
     )
 
 
-def proof_surfaces(claims: DataFrame, artifacts: DataFrame) -> DataFrame:
-    """Does the event that was produced have the kind of artifact the requirement names?"""
+def reconciliations(claims: DataFrame, artifacts: DataFrame, artifact_paths: DataFrame) -> DataFrame:
+    return statuses({"reconciliation": reconciliation_rows(claims)}, artifacts, artifact_paths).select("claim_id", "status")
+
+
+def proof_rows(claims: DataFrame) -> DataFrame:
+    """Does the event that was produced have the kind of artifact the requirement names?  As long rows."""
     e = F.col
     prefix = F.concat(F.lit("https://github.com/"), e("repository"), F.lit("/pull/"), e("subject").cast("string"))
     at = lambda fragment: e("event_url") == F.concat(prefix, F.lit(fragment), e("event_id").cast("string"))
     produced = F.when(
         at("#pullrequestreview-") & e("review_state").eqNullSafe(F.lit("COMMENTED")), "pull_request_review"
     ).when(at("#issuecomment-") & e("review_state").isNull(), "issue_conversation_comment")
-    exact = _all([
-        e("_subject_text").contains(e("behavior_evidence")), e("_subject_text").contains(e("requirement_evidence")),
-    ])
     status = (
-        F.when(~exact, "rejected")
-        .when(~e("behavior_evidence").contains(e("behavior_marker")), "behavior_evidence_missing")
+        F.when(~e("behavior_evidence").contains(e("behavior_marker")), "behavior_evidence_missing")
         .when(~e("requirement_evidence").contains(e("requirement_marker")), "requirement_evidence_missing")
         .when(~e("event_body").contains(e("body_marker")), "provider_event_body_missing")
-        .when(e("produced_kind").isNull(), "produced_artifact_unclassifiable")
-        .when(e("produced_kind") == e("required_kind"), "proof_surface_matched")
+        .when(produced.isNull(), "produced_artifact_unclassifiable")
+        .when(produced == e("required_kind"), "proof_surface_matched")
         .otherwise("observed_proof_surface_mismatch")
     )
-    return (
-        claims.join(_pulls(artifacts, "subject"), ["repository", "subject"], "left")
-        .withColumn("produced_kind", produced)
-        .select("claim_id", "required_kind", "produced_kind", status.alias("status"))
+    return _long(
+        claims,
+        _own([(LAST, status)], {"required_kind": e("required_kind"), "produced_kind": produced}),
+        _rests_on(1, "subject", ["behavior_evidence", "requirement_evidence"]),
     )
+
+
+def proof_surfaces(claims: DataFrame, artifacts: DataFrame) -> DataFrame:
+    return statuses({"proof": proof_rows(claims)}, artifacts).select("claim_id", "required_kind", "produced_kind", "status")

@@ -27,9 +27,8 @@ def _chosen(count: Column) -> Column:
 
 def closure_receipts(issues: DataFrame, comments: DataFrame) -> DataFrame:
     """The one comment that closed an issue for inactivity: selected, none or ambiguous."""
-    exact = F.concat(F.lit(INACTIVE_START), F.col("repository"), F.lit(INACTIVE_END))
     found = (
-        comments.where((F.col("actor") == BOT) & (F.col("body") == exact))
+        comments.where(_is_closure(F.col("actor"), F.col("body")))
         .groupBy("repository", "number")
         .agg(F.count(F.lit(1)).alias("_n"), F.min("comment_id").alias("_id"))
     )
@@ -39,23 +38,40 @@ def closure_receipts(issues: DataFrame, comments: DataFrame) -> DataFrame:
     )
 
 
-def re_reports(issues: DataFrame) -> DataFrame:
-    """Issues that say once which issue they report again; several lines are ambiguous."""
+def _re_report(body: Column) -> tuple[Column, Column]:
+    """(selected, none or ambiguous; the number that is reported again)."""
     hits = F.filter(
-        F.transform(lines(F.col("body")), lambda s: F.regexp_extract(F.regexp_replace(s, TRIM, ""), RE_REPORT, 1)),
+        F.transform(lines(body), lambda s: F.regexp_extract(F.regexp_replace(s, TRIM, ""), RE_REPORT, 1)),
         lambda n: n != "",
     )
-    return issues.withColumn("_hits", hits).select(
-        "repository", "number", _chosen(F.size("_hits")).alias("re_report"),
-        F.when(F.size("_hits") == 1, F.get("_hits", F.lit(0)).cast("long")).alias("prior_number"),
+    return _chosen(F.size(hits)), F.when(F.size(hits) == 1, F.get(hits, F.lit(0)).cast("long"))
+
+
+def re_reports(issues: DataFrame) -> DataFrame:
+    """Issues that say once which issue they report again; several lines are ambiguous."""
+    state, number = _re_report(F.col("body"))
+    return issues.select("repository", "number", state.alias("re_report"), number.alias("prior_number"))
+
+
+def _is_closure(actor: Column, body: Column) -> Column:
+    return (actor == BOT) & (body == F.concat(F.lit(INACTIVE_START), F.col("repository"), F.lit(INACTIVE_END)))
+
+
+def _is_suggestion(actor: Column, body: Column) -> Column:
+    return (actor == BOT) & body.contains(DUPLICATE_LIST) & body.contains(DUPLICATE_NOTICE)
+
+
+def _challenge(suggested: Column, rejected: Column, suggestion: Column, rejection: Column) -> Column:
+    return (
+        F.when((suggested == 0) & (rejected == 0), "none")
+        .when((suggested == 1) & (rejected == 1) & (suggestion != rejection), "challenged")
+        .otherwise("ambiguous")
     )
 
 
 def duplicate_challenges(issues: DataFrame, comments: DataFrame) -> DataFrame:
     """One bot suggestion answered by one rejection of the reporter."""
-    suggestion = (
-        (F.col("actor") == BOT) & F.col("body").contains(DUPLICATE_LIST) & F.col("body").contains(DUPLICATE_NOTICE)
-    )
+    suggestion = _is_suggestion(F.col("actor"), F.col("body"))
     rejection = (F.col("actor") == F.col("reporter")) & F.col("body").startswith(REJECTION)
     reporters = issues.select("repository", "number", "reporter")
     found = (
@@ -68,36 +84,47 @@ def duplicate_challenges(issues: DataFrame, comments: DataFrame) -> DataFrame:
         )
     )
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    state = (
-        F.when((zero("_s") == 0) & (zero("_r") == 0), "none")
-        .when((zero("_s") == 1) & (zero("_r") == 1) & (F.col("_sid") != F.col("_rid")), "challenged")
-        .otherwise("ambiguous")
-    )
+    state = _challenge(zero("_s"), zero("_r"), F.col("_sid"), F.col("_rid"))
     challenged = lambda c: F.when(F.col("challenge") == "challenged", F.col(c))
     return issues.join(found, ["repository", "number"], "left").withColumn("challenge", state).select(
         "repository", "number", "challenge", challenged("_sid").alias("suggestion_id"), challenged("_rid").alias("rejection_id")
     )
 
 
-def closure_episodes(issues: DataFrame, closures: DataFrame, re_report_rows: DataFrame, challenges: DataFrame) -> DataFrame:
-    """A closed issue reported again: closing it did not show that the failure was gone."""
-    later = re_report_rows.where(F.col("re_report") == "selected").select(
-        "repository", F.col("number").alias("later_issue"), F.col("prior_number").alias("number")
-    )
-    prior = closures.where(F.col("closure") == "selected").join(
-        issues.where(F.col("state") == "closed").select("repository", "number"), ["repository", "number"]
+def closure_episodes(issues: DataFrame, comments: DataFrame) -> DataFrame:
+    """A closed issue reported again: closing it did not show that the failure was gone.
+
+    Every later issue that says once what it reports again has a row where that prior issue is closed and some comment
+    closed it.  An ambiguous closure or challenge of the prior issue rejects the episode, with the ``rejection``.  Comments are
+    folded once, for closures and challenges together.
+    """
+    actor, said = F.col("_actor"), F.col("_said")
+    closed, suggested = _is_closure(actor, said), _is_suggestion(actor, said)
+    rejected = (actor == F.col("reporter")) & said.startswith(REJECTION)
+    said_by = comments.select("repository", "number", "comment_id", F.col("actor").alias("_actor"), F.col("body").alias("_said"))
+    ids = lambda test: F.min(F.when(test, F.col("comment_id")))
+    prior = (
+        issues.where(F.col("state") == "closed").select("repository", "number", "reporter")
+        .join(said_by, ["repository", "number"])
+        .groupBy("repository", "number").agg(
+            F.count_if(closed).alias("_c"), F.count_if(suggested).alias("_s"), F.count_if(rejected).alias("_r"),
+            ids(closed).alias("_cid"), ids(suggested).alias("_sid"), ids(rejected).alias("_rid"),
+        )
+        .where(F.col("_c") > 0)
+        .withColumn("closure", _chosen(F.col("_c")))
+        .withColumn("challenge", _challenge(F.col("_s"), F.col("_r"), F.col("_sid"), F.col("_rid")))
     )
-    states = issues.select("repository", F.col("number").alias("later_issue"), F.col("state").alias("later_state"))
-    challenge = challenges.select("repository", "number", "challenge")
+    state, number = _re_report(F.col("body"))
+    later = issues.select(
+        "repository", F.col("number").alias("later_issue"), F.col("state").alias("later_state"), state.alias("_re_report"), number.alias("number")
+    ).where((F.col("_re_report") == "selected") & (F.col("later_issue") != F.col("number")))
+    rejection = F.when(F.col("closure") == "ambiguous", "ambiguous_closure").when(F.col("challenge") == "ambiguous", "ambiguous_challenge")
+    fine = F.col("rejection").isNull()
     return (
-        later.where(F.col("later_issue") != F.col("number"))
-        .join(prior.select("repository", "number", "comment_id"), ["repository", "number"])
-        .join(states, ["repository", "later_issue"])
-        .join(challenge, ["repository", "number"])
-        .where(F.col("challenge") != "ambiguous")
+        later.join(prior, ["repository", "number"]).withColumn("rejection", rejection)
         .select(
             "repository", F.col("number").alias("prior_issue"), "later_issue", "later_state",
-            F.col("comment_id").alias("closure_comment_id"), "challenge",
-            F.lit("unknown").alias("clearance"), F.lit("inspect_prior_failure").alias("disposition"),
+            F.when(F.col("closure") == "selected", F.col("_cid")).alias("closure_comment_id"), "challenge", "rejection",
+            F.when(fine, "unknown").alias("clearance"), F.when(fine, "inspect_prior_failure").otherwise("rejected").alias("disposition"),
         )
     )

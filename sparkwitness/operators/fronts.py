@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,10 +20,10 @@ REVIEW_ACTIONS = {
 }
 
 
-def episode_front(dispositions: DataFrame, families: dict[str, DataFrame]) -> DataFrame:
+def episode_front(dispositions: DataFrame, claims: DataFrame) -> DataFrame:
     """Every input with its lane: ``item`` (next action), ``quiet`` (reason), ``rejected``.
 
-    ``dispositions(id, status, matches)`` are review dispositions; each family is ``(id, status)``.
+    ``dispositions(id, status, matches)`` are review dispositions; ``claims(id, family, status)`` are those of the other families.
     """
     has_lineage = F.col("matches") > 0
     action = F.coalesce(*[F.when(F.col("status") == s, F.lit(a)) for s, a in REVIEW_ACTIONS.items()])
@@ -39,18 +37,10 @@ def episode_front(dispositions: DataFrame, families: dict[str, DataFrame]) -> Da
         .when(has_lineage, "no_current_review_lineage")
         .otherwise("no_prior_review_lineage").alias("next"),
     )
-    parts = [review]
-    for family, rows in families.items():
-        final, then = FINAL[family]
-        is_final = F.col("status") == final
-        parts.append(
-            rows.select(
-                "id", F.lit(family).alias("family"), "status",
-                F.when(is_final, "item").otherwise("rejected").alias("lane"),
-                F.when(is_final, then).alias("next"),
-            )
-        )
-    return reduce(DataFrame.unionByName, parts)
+    then = F.coalesce(*[F.when((F.col("family") == f) & (F.col("status") == s), F.lit(a)) for f, (s, a) in FINAL.items()])
+    rest = claims.select(
+        "id", "family", "status", F.when(then.isNotNull(), "item").otherwise("rejected").alias("lane"), then.alias("next"))
+    return review.unionByName(rest)
 
 
 def episode_detail(front: DataFrame, claims: DataFrame, repairs: DataFrame) -> DataFrame:
