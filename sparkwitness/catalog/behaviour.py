@@ -312,15 +312,13 @@ def _(t):
     return tr.boundary_counts(tr.failure_boundaries(t("episode_facts")))
 
 
+PATH_SETS = sq.bag("{work_paths}", "snapshot_id, id", "sha256(path)", "paths/1", "b")
+ITEMS = f"""(SELECT a.snapshot_id, {sq.digest('a.id', 'lower(a.head_sha)', 'a.activity', 'p.b')} AS d FROM {{work_items}} a
+             LEFT JOIN ({PATH_SETS}) p ON p.snapshot_id = a.snapshot_id AND p.id = a.id)"""
+LINKS = f"(SELECT DISTINCT snapshot_id, {sq.digest('kind', 'from_id', 'to_id')} AS d FROM {{coordination_edges}})"
 WORK_FACT = f"""
 SELECT w.snapshot_id, {sq.digest(repr(snap.WORK_FACT_VERSION), 'w.b', 'e.b')} AS work_fact_identity
-FROM (SELECT i.snapshot_id, {sq.bag('i.d', 'work/1')} AS b FROM (
-        SELECT a.snapshot_id, {sq.digest('a.id', 'lower(a.head_sha)', 'a.activity', 'p.b')} AS d FROM {{work_items}} a
-        LEFT JOIN (SELECT snapshot_id, id, {sq.bag('h', 'paths/1')} AS b FROM (SELECT snapshot_id, id, sha256(path) AS h FROM {{work_paths}}) z GROUP BY snapshot_id, id) p
-          ON p.snapshot_id = a.snapshot_id AND p.id = a.id) i GROUP BY i.snapshot_id) w
-LEFT JOIN (SELECT snapshot_id, {sq.bag('d', 'edges/1')} AS b FROM (
-        SELECT DISTINCT snapshot_id, {sq.digest('kind', 'from_id', 'to_id')} AS d FROM {{coordination_edges}}) y GROUP BY snapshot_id) e
-  ON e.snapshot_id = w.snapshot_id
+FROM ({sq.bag(ITEMS, 'snapshot_id', 'd', 'work/1', 'b')}) w LEFT JOIN ({sq.bag(LINKS, 'snapshot_id', 'd', 'edges/1', 'b')}) e ON e.snapshot_id = w.snapshot_id
 """
 
 
@@ -381,8 +379,8 @@ SELECT CAST(c_custkey AS STRING) AS snapshot_id, CASE WHEN c_nationkey % 2 = 0 T
        concat('src/', CAST(c_nationkey % 22 AS STRING), '.rs') AS target, CASE c_custkey % 3 WHEN 0 THEN NULL WHEN 1 THEN 'stale' ELSE 'current' END AS base_state
 FROM {customer}
 """)
-PRINT = f"""SELECT snapshot_id, {sq.bag('d', snap.FINDINGS_VERSION)} AS fingerprint FROM (
-  SELECT snapshot_id, {sq.digest('position', 'kind', 'target', 'message', 'CAST(resolved AS VARCHAR)')} AS d FROM {{finding_rows}}) f GROUP BY snapshot_id"""
+PRINT = f"""SELECT snapshot_id, fingerprint FROM (
+  {sq.bag("{finding_rows}", "snapshot_id", sq.digest('position', 'kind', 'target', 'message', 'CAST(resolved AS VARCHAR)'), snap.FINDINGS_VERSION, "fingerprint")}) f"""
 
 
 def _deltas(t):

@@ -85,9 +85,10 @@ FROM {lineitem} JOIN {part_path} ON l_partkey = p_partkey
 
 
 @query("prom_3_change_set_fingerprint", f"""
-WITH p AS (SELECT change_set_id, path, count(*) AS n, min({sq.digest("path", "blob_sha")}) AS d FROM {{change_entries}} GROUP BY change_set_id, path)
-SELECT change_set_id, count(*) AS entries, CASE WHEN max(n) = 1 THEN concat('sha256:', {sq.bag("d", op.CHANGE_SET_VERSION)}) END AS fingerprint
-FROM p GROUP BY change_set_id
+WITH p AS (SELECT change_set_id, count(DISTINCT path) AS entries, count(*) AS n FROM {{change_entries}} GROUP BY change_set_id),
+d AS ({sq.bag("{change_entries}", "change_set_id", sq.digest("path", "blob_sha"), op.CHANGE_SET_VERSION)})
+SELECT p.change_set_id, entries, CASE WHEN n = entries THEN concat('sha256:', d.digest) END AS fingerprint
+FROM p JOIN d ON d.change_set_id = p.change_set_id
 """)
 def _(t):
     return op.change_set_fingerprint(t("change_entries"))

@@ -1,8 +1,8 @@
 """Findings, their flat form, fingerprints and counts."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.identity import framed
 from ..operators import reports as op
 from ..operators import work as wk
 from ..plans.durable import fresh_folder
@@ -51,7 +51,7 @@ EMPTY = repr("")
 
 
 @query("rep_2_report_fingerprint", f"""
-WITH o AS (SELECT *, row_number() OVER (PARTITION BY snapshot_id ORDER BY other_id, path) AS position,
+WITH o AS (SELECT *, {sq.framed('other_id', 'path')} AS position,
        CASE WHEN activity = 'unresolved' THEN 'Resolve activity first.' ELSE 'Reconcile before continuing?' END AS question,
        concat('Both ', current_id, ' and ', other_id, ' modify ', path, '.') AS claim1, concat('Other work ', other_id, ' is ', activity, '.') AS evidence1,
        concat('It is not established that ', other_id, ' is active.') AS claim2 FROM {{overlap_rows}}),
@@ -59,13 +59,12 @@ p AS (SELECT *, {sq.digest('path', 'NULL')} AS place FROM o),
 e AS (SELECT *, {sq.digest('evidence1', 'place')} AS e1 FROM p),
 c AS (SELECT *, concat({sq.digest(repr('observed'), 'claim1', 'e1')}, ',', {sq.digest(repr('unknown'), 'claim2', EMPTY)}) AS claims FROM e),
 m AS (SELECT snapshot_id, {sq.digest('position', 'finding_kind', repr('Path overlap'), 'place', 'claims', 'question')} AS d FROM c)
-SELECT snapshot_id, concat('{op.REPORT_VERSION}:', {sq.bag('d', op.REPORT_VERSION)}) AS fingerprint, count(*) AS findings FROM m GROUP BY snapshot_id
+SELECT snapshot_id, concat('{op.REPORT_VERSION}:', digest) AS fingerprint, members AS findings FROM ({sq.bag('m', 'snapshot_id', 'd', op.REPORT_VERSION)}) r
 """)
 def _(t):
-    # A finding's place in its report: overlaps of one current item, in order of work and path.
-    place = Window.partitionBy("snapshot_id").orderBy("other_id", "path")
-    numbered = _overlaps(t).withColumn("position", F.row_number().over(place))
-    return op.report_fingerprint(_findings(numbered, "position"), KEYS, "position")
+    # A report orders the overlaps of its current item by other work and path.
+    placed = _overlaps(t).withColumn("position", framed(F.col("other_id"), F.col("path")))
+    return op.report_fingerprint(_findings(placed, "position"), KEYS, "position")
 
 
 @query("rep_3_claim_kind_counts", f"SELECT snapshot_id, kind, claim_kind, count(*) AS claims FROM ({BASE}) b GROUP BY snapshot_id, kind, claim_kind")

@@ -13,8 +13,15 @@ def digest(*exprs: str) -> str:
     return f"sha256({framed(*exprs)})"
 
 
-def bag(member: str, version: str) -> str:
-    words = ", ".join(
-        f"CAST(coalesce(sum(CAST(concat('0x', substr({member}, {1 + 6 * i}, 6)) AS BIGINT)), 0) AS VARCHAR)" for i in range(11)
+def bag(rows: str, keys: str, member: str, version: str, out: str = "digest") -> str:
+    """(keys, out, members) of the rows of a FROM item: the digest tree in one nested SELECT per level."""
+    level = f"SELECT {keys}, {member} AS item, {member} AS head, 1 AS n FROM {rows} bag_rows WHERE {member} IS NOT NULL"
+    for digits in (6, 3):
+        level = (
+            f"SELECT {keys}, substr(head, 1, {digits}) AS head, sha256(concat(substr(head, 1, {digits}), ':', string_agg(item, ',' ORDER BY item))) AS item, sum(n) AS n "
+            f"FROM ({level}) below{digits} GROUP BY {keys}, substr(head, 1, {digits})"
+        )
+    return (
+        f"SELECT {keys}, sha256(concat_ws('|', '{version}', CAST(CAST(sum(n) AS BIGINT) AS VARCHAR), string_agg(item, ',' ORDER BY item))) AS {out}, "
+        f"CAST(sum(n) AS BIGINT) AS members FROM ({level}) root_of GROUP BY {keys}"
     )
-    return f"sha256(concat_ws('|', '{version}', CAST(count({member}) AS VARCHAR), {words}))"

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-FINGERPRINT_WORDS = 11
+# Digits of a member's hash by which the levels of a digest tree group, below the root.
+TREE_DIGITS = (6, 3)
 
 
 def is_canonical_atom(value: Column, max_bytes: int = 512) -> Column:
@@ -50,17 +51,22 @@ def digest(*values: Column) -> Column:
     return F.sha2(framed(*values), 256)
 
 
-def bag_digest(row_digest: Column, version: str) -> Column:
-    """Aggregate: SHA-256 over word-wise sums of member digests.
+def bag_digest(rows: DataFrame, keys: list[str], member: Column, version: str, out: str = "digest") -> DataFrame:
+    """(keys, ``out``, members): identity of each group's bag of member digests, as the root of a digest tree.
 
-    The sums are associative, so members are combined map-side and a group of any size never
-    has to be gathered and sorted in one task.  Order of rows cannot matter; a repeated member
-    does, so callers de-duplicate first when they want set semantics.  Words have 24 bits (the last
-    one 16), which covers all 64 digits and leaves room for 2^39 members in a long.
+    Members are grouped by the leading ``TREE_DIGITS`` of their own hash, sorted and hashed there; those hashes are grouped
+    by fewer digits and hashed again, up to one per key.  Every step is a hash over whole digests, so a colliding bag would be a collision
+    of SHA-256; a group of any size is spread over 16^6 leaves, and no task holds more than a leaf's members or 16^3
+    hashes.  Order of rows cannot matter; a repeated member does, so callers de-duplicate first when they want set
+    semantics.  Null members are left out; a group without members has no row.
     """
-    words = [
-        F.sum(F.conv(F.substring(row_digest, 1 + 6 * i, 6), 16, 10).cast("long")) for i in range(FINGERPRINT_WORDS)
-    ]
-    parts = [F.lit(version), F.count(row_digest).cast("string")]
-    parts += [F.coalesce(w, F.lit(0).cast("long")).cast("string") for w in words]
-    return F.sha2(F.concat_ws("|", *parts), 256)
+    listed = lambda items: F.array_join(F.sort_array(F.collect_list(items)), ",")
+    level = rows.select(*keys, member.alias("_item")).where(F.col("_item").isNotNull()).withColumn("_n", F.lit(1).cast("long")).withColumn("_at", F.col("_item"))
+    for digits in TREE_DIGITS:
+        level = (
+            level.groupBy(*keys, F.substring("_at", 1, digits).alias("_at"))
+            .agg(listed("_item").alias("_items"), F.sum("_n").alias("_n"))
+            .select(*keys, "_at", F.sha2(F.concat("_at", F.lit(":"), "_items"), 256).alias("_item"), "_n")
+        )
+    root = level.groupBy(*keys).agg(listed("_item").alias("_items"), F.sum("_n").alias("members"))
+    return root.select(*keys, F.sha2(F.concat_ws("|", F.lit(version), F.col("members").cast("string"), "_items"), 256).alias(out), "members")

@@ -87,12 +87,13 @@ def change_set_fingerprint(entries: DataFrame) -> DataFrame:
     """Order-free identity of ``entries(change_set_id, path, blob_sha)``.
 
     Equal sets agree, any changed, added or removed entry differs; a change set with a repeated
-    path is rejected.  Members are combined map-side, so a huge change set is never gathered.
+    path is rejected.  The identity is the root of a digest tree, so a huge change set is never gathered.
     """
     n, paths = F.count(F.lit(1)), F.count_distinct("path")
-    members = bag_digest(digest(F.col("path"), F.col("blob_sha")), CHANGE_SET_VERSION)
-    return entries.groupBy("change_set_id").agg(
-        paths.alias("entries"), F.when(n == paths, F.concat(F.lit("sha256:"), members)).alias("fingerprint")
+    counts = entries.groupBy("change_set_id").agg(paths.alias("entries"), (n == paths).alias("_once"))
+    members = bag_digest(entries, ["change_set_id"], digest(F.col("path"), F.col("blob_sha")), CHANGE_SET_VERSION, "_digest")
+    return counts.join(members, "change_set_id").select(
+        "change_set_id", "entries", F.when(F.col("_once"), F.concat(F.lit("sha256:"), "_digest")).alias("fingerprint")
     )
 
 

@@ -60,8 +60,8 @@ def flatten(nested: DataFrame, keys: list[str]) -> DataFrame:
 def report_fingerprint(nested: DataFrame, keys: list[str], position: str) -> DataFrame:
     """Identity per report, sensitive to order and content, not to how JSON is laid out.
 
-    ``position`` is the place of a finding in its report.  It is part of each member, so members
-    combine in any order without being gathered.
+    ``position`` is what a report orders its findings by, any text or number that tells them apart.  It is part of each
+    member, so members combine in any order and nothing has to be numbered.
     """
     place = lambda at: digest(at["path"], at["line"])
     member = lambda e: digest(e["message"], place(e["location"]))
@@ -70,10 +70,8 @@ def report_fingerprint(nested: DataFrame, keys: list[str], position: str) -> Dat
         F.col(position), F.col("kind"), F.col("title"), place(F.col("location")),
         F.array_join(F.transform("claims", claim_), ","), F.col("question"),
     )
-    return nested.groupBy(*keys).agg(
-        F.concat(F.lit(REPORT_VERSION + ":"), bag_digest(body, REPORT_VERSION)).alias("fingerprint"),
-        F.count(F.lit(1)).alias("findings"),
-    )
+    found = bag_digest(nested, keys, body, REPORT_VERSION, "_digest")
+    return found.select(*keys, F.concat(F.lit(REPORT_VERSION + ":"), "_digest").alias("fingerprint"), F.col("members").alias("findings"))
 
 
 def claim_kind_counts(nested: DataFrame, keys: list[str]) -> DataFrame:

@@ -20,20 +20,11 @@ def work_fact_identity(work_items: DataFrame, work_paths: DataFrame, edges: Data
     edge direction do.
     """
     key = ["snapshot_id", "id"]
-    paths = work_paths.select(*key, "path").distinct().groupBy(*key).agg(
-        bag_digest(F.sha2("path", 256), "paths/1").alias("_paths")
-    )
-    work = (
-        work_items.join(paths, key, "left")
-        .groupBy("snapshot_id")
-        .agg(
-            bag_digest(digest(F.col("id"), F.lower("head_sha"), F.col("activity"), F.col("_paths")), "work/1").alias("_work")
-        )
-    )
+    paths = bag_digest(work_paths.select(*key, "path").distinct(), key, F.sha2("path", 256), "paths/1", "_paths").drop("members")
+    item = digest(F.col("id"), F.lower("head_sha"), F.col("activity"), F.col("_paths"))
+    work = bag_digest(work_items.join(paths, key, "left"), ["snapshot_id"], item, "work/1", "_work").drop("members")
     semantic = edges.select("snapshot_id", "kind", "from_id", "to_id").distinct()
-    links = semantic.groupBy("snapshot_id").agg(
-        bag_digest(digest(F.col("kind"), F.col("from_id"), F.col("to_id")), "edges/1").alias("_edges")
-    )
+    links = bag_digest(semantic, ["snapshot_id"], digest(F.col("kind"), F.col("from_id"), F.col("to_id")), "edges/1", "_edges").drop("members")
     return work.join(links, "snapshot_id", "left").select(
         "snapshot_id", digest(F.lit(WORK_FACT_VERSION), F.col("_work"), F.col("_edges")).alias("work_fact_identity")
     )
@@ -83,7 +74,7 @@ def findings_fingerprint(findings: DataFrame) -> DataFrame:
     member = digest(
         F.col("position"), F.col("kind"), F.col("target"), F.col("message"), F.col("resolved").cast("string")
     )
-    return findings.groupBy("snapshot_id").agg(bag_digest(member, FINDINGS_VERSION).alias("fingerprint"))
+    return bag_digest(findings, ["snapshot_id"], member, FINDINGS_VERSION, "fingerprint").drop("members")
 
 
 def delta_receipts(findings: DataFrame, deltas: DataFrame) -> DataFrame:

@@ -52,20 +52,44 @@ def test_references_and_mentions_treat_the_character_before_differently(spark):
     assert row.refs == [1, 4, 7] and (row.m2, row.m5, row.m7) == (True, False, True)
 
 
+def _bag(spark, members, parts=2):
+    df = frame(spark, "k string, m string", *[("k", m) for m in members]).repartition(parts)
+    return identity.bag_digest(df, ["k"], F.col("m"), "v").first()
+
+
 def test_bag_digest_sees_content_and_not_order(spark):
-    def of(members, parts):
-        df = frame(spark, "m string", *[(m,) for m in members]).repartition(parts)
-        return df.agg(identity.bag_digest(F.sha2("m", 256), "v").alias("d")).first().d
+    import hashlib
+
+    named = lambda s: [hashlib.sha256(c.encode()).hexdigest() for c in s]
+    base = _bag(spark, named("abc"), 1)
+    assert base == _bag(spark, named("cab"), 3) == _bag(spark, named("abc") + [None])
+    others = [_bag(spark, named(s)) for s in ("ab", "abd", "abcc")]
+    assert len({base.digest, *[o.digest for o in others]}) == 4 and others[2].members == 4
+    assert _bag(spark, [None]) is None
 
-    base = of(["a", "b", "c"], 1)
-    assert base == of(["c", "a", "b"], 3)
-    assert len({base, of(["a", "b"], 1), of(["a", "b", "d"], 1), of(["a", "b", "c", "c"], 1)}) == 4
 
+def test_bags_of_equal_sums_differ(spark):
+    """Members whose digits add up to the same sums, word by word."""
+    of = lambda *tails: _bag(spark, ["0" * 63 + t for t in tails]).digest
+    assert len({of("0", "3"), of("1", "2"), of("3"), of("1", "1", "1")}) == 4
+    spread = lambda *heads: _bag(spark, [h + "0" * 57 for h in heads]).digest
+    assert spread("0000010", "0000030") != spread("0000020", "0000020")
 
-def test_bag_digest_covers_every_digit_of_a_member(spark):
-    head = "0" * 63
-    of = lambda d: frame(spark, "d string", (d,)).agg(identity.bag_digest(F.col("d"), "v").alias("b")).first().b
-    assert of(head + "1") != of(head + "2")
+
+def test_bag_digest_is_the_stated_tree(spark):
+    import hashlib
+    import random
+
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    choice = random.Random(2)
+    members = ["".join(choice.choice("01") for _ in range(64)) for _ in range(300)]
+    level = [(m, m) for m in members]
+    for digits in (6, 3):
+        groups = {}
+        for head, item in level:
+            groups.setdefault(head[:digits], []).append(item)
+        level = [(head, sha(head + ":" + ",".join(sorted(items)))) for head, items in groups.items()]
+    assert _bag(spark, members).digest == sha("v|300|" + ",".join(sorted(item for _, item in level)))
 
 
 def test_branch_inventory_counts_what_the_limit_leaves_out(spark):
