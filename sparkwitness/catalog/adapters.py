@@ -82,23 +82,24 @@ adapter("history_targets", """
 SELECT DISTINCT repository, path AS target, split_part(path, '/', 1) AS scope FROM {commit_paths}
 """)
 
-# Order 0 is left out of all work tables: a work reference is a positive number.
+# Keys counted from 1: a work reference is a positive number.
+adapter("numbered_orders", "SELECT o_orderkey + 1 AS o_orderkey, o_custkey, o_orderstatus FROM {orders}")
+adapter("numbered_lines", "SELECT l_orderkey + 1 AS l_orderkey, l_partkey FROM {lineitem}")
 adapter("work_items", """
 SELECT CAST(o_orderkey % 50 AS STRING) AS snapshot_id, concat('#', CAST(o_orderkey AS STRING)) AS id,
        'pull_request' AS kind, concat('Change ', CAST(o_orderkey AS STRING)) AS title,
        CAST(o_orderkey % 200 AS STRING) AS head_sha,
        CASE o_orderstatus WHEN 'F' THEN 'confirmed_active' WHEN 'O' THEN 'preparation' ELSE 'unresolved' END AS activity
-FROM {orders} WHERE o_orderkey > 0
+FROM {numbered_orders}
 """)
 
 adapter("work_paths", """
 SELECT DISTINCT CAST(l_orderkey % 50 AS STRING) AS snapshot_id, concat('#', CAST(l_orderkey AS STRING)) AS id, path
-FROM {lineitem} JOIN {part_path} ON l_partkey = p_partkey
-WHERE l_orderkey > 0
+FROM {numbered_lines} JOIN {part_path} ON l_partkey = p_partkey
 """)
 
 # The reference model: one current item per snapshot.
 adapter("currents", """
 SELECT CAST(o_orderkey % 50 AS STRING) AS snapshot_id, concat('#', CAST(min(o_orderkey) AS STRING)) AS id
-FROM {orders} WHERE o_orderkey > 0 GROUP BY o_orderkey % 50
+FROM {numbered_orders} GROUP BY o_orderkey % 50
 """)

@@ -110,10 +110,8 @@ WITH ov AS (SELECT DISTINCT a.snapshot_id, b.id FROM {currents} c JOIN {work_pat
             WHERE a.path LIKE 'promo/%' OR a.path = 'promo')
 SELECT e.snapshot_id, c.id AS current_id, e.kind, e.from_id, e.to_id, e.source, w.id AS other_id,
        ov.id IS NULL AS no_scoped_overlap, w.activity = 'unresolved' AS activity_unresolved,
-       CASE e.kind WHEN 'depends_on' THEN 'Should the dependency be integrated or settled before these changes proceed independently?'
-         WHEN 'blocks' THEN 'Should the blocked change pause, rebase, or coordinate ownership before proceeding?'
-         WHEN 'hold_merge_while' THEN 'Should merge order be coordinated before either change advances the shared evidence baseline?'
-         ELSE 'Should the superseded change be retired or reconciled before parallel work continues?' END AS question
+       CASE e.kind WHEN 'depends_on' THEN 'Can this change go ahead before what it depends on is settled?' WHEN 'blocks' THEN 'Which of the two waits, and who owns the overlap meanwhile?'
+         WHEN 'hold_merge_while' THEN 'In which order do the two merge?' ELSE 'Is the replaced change closed, or does something of it remain to be taken over?' END AS question
 FROM {coordination_edges} e JOIN {currents} c ON c.snapshot_id = e.snapshot_id AND c.id IN (e.from_id, e.to_id)
 JOIN {work_items} w ON w.snapshot_id = e.snapshot_id AND w.id = CASE WHEN e.from_id = c.id THEN e.to_id ELSE e.from_id END
 LEFT JOIN ov ON ov.snapshot_id = w.snapshot_id AND ov.id = w.id
@@ -135,7 +133,7 @@ SELECT CAST(o_custkey % 50 AS STRING) AS snapshot_id, concat('#', CAST(o_orderke
          CASE WHEN o_orderkey % 7 = 0 THEN concat('Do not merge while #0', CAST(o_orderkey AS STRING), ' lands', chr(10)) ELSE '' END,
          CASE WHEN o_orderkey % 6 = 0 THEN concat('Do not merge while #', CAST(o_orderkey + 2 AS STRING), ' ', chr(10)) ELSE '' END,
          'End') AS body
-FROM {orders} WHERE o_orderkey > 0
+FROM {numbered_orders}
 """)
 # What the construction above implies, written without reading the text.
 adapter("clauses", """
@@ -144,14 +142,14 @@ SELECT m.snapshot_id, concat('#', CAST(m.o AS STRING)) AS from_id, concat('#', C
        CASE WHEN m.target = m.o THEN 'self' WHEN k.o_orderkey IS NULL THEN 'unresolved' ELSE 'edge' END AS endpoint
 FROM (
   SELECT CAST(o_custkey % 50 AS STRING) AS snapshot_id, o_custkey % 50 AS snap, o_orderkey AS o, o_orderkey + 50 * (o_custkey % 2) AS target
-  FROM {orders} WHERE o_orderkey > 0 AND o_orderkey % 3 = 0
+  FROM {numbered_orders} WHERE o_orderkey % 3 = 0
   UNION ALL
   SELECT CAST(o_custkey % 50 AS STRING), o_custkey % 50, o_orderkey, o_orderkey + 1
-  FROM {orders} WHERE o_orderkey > 0 AND o_orderkey % 4 = 0 AND (o_orderkey % 5 <> 0 OR o_orderkey % 2 = 0)
+  FROM {numbered_orders} WHERE o_orderkey % 4 = 0 AND (o_orderkey % 5 <> 0 OR o_orderkey % 2 = 0)
   UNION ALL
   SELECT CAST(o_custkey % 50 AS STRING), o_custkey % 50, o_orderkey, o_orderkey + 1
-  FROM {orders} WHERE o_orderkey > 0 AND o_orderkey % 8 = 0 AND (o_orderkey % 5 <> 0 OR o_orderkey % 2 = 0)
-) m LEFT JOIN {orders} k ON k.o_orderkey = m.target AND k.o_custkey % 50 = m.snap
+  FROM {numbered_orders} WHERE o_orderkey % 8 = 0 AND (o_orderkey % 5 <> 0 OR o_orderkey % 2 = 0)
+) m LEFT JOIN {numbered_orders} k ON k.o_orderkey = m.target AND k.o_custkey % 50 = m.snap
 """)
 
 

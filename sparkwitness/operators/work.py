@@ -1,7 +1,8 @@
 """Overlap of concurrent work.
 
 ``work_items(snapshot_id, id, head_sha, activity, ...)``, ``work_paths(snapshot_id, id, path)``
-with distinct rows, and ``currents(snapshot_id, id)``: the item each snapshot is asked about.
+with distinct rows, and ``currents(snapshot_id, id)``: the items each snapshot is asked about, one or
+several, each answered on its own.
 Only rows of the current item meet the others, so a path shared by very many items yields one
 row per other item and not all pairs.
 """
@@ -77,13 +78,33 @@ def inventory_counts(work_items: DataFrame, currents: DataFrame, overlaps: DataF
             F.count_if(is_self).alias("self_candidates_excluded"),
         )
     )
-    found = overlaps.groupBy("snapshot_id").agg(F.count(F.lit(1)).alias("_n"))
-    return examined.join(found, "snapshot_id", "left").select(
+    found = overlaps.groupBy("snapshot_id", "current_id").agg(F.count(F.lit(1)).alias("_n"))
+    return examined.join(found, ["snapshot_id", "current_id"], "left").select(
         "snapshot_id", "current_id", "candidates_examined", "self_candidates_excluded",
         F.coalesce("_n", F.lit(0).cast("long")).alias("direct_overlaps"),
     )
 
 
+def smallest(rows: DataFrame, keys: list[str], order: list, k: int, tie: str, shares: int = 64) -> DataFrame:
+    """The ``k`` first rows of each key in ``order``, with ``rank`` and the number of all rows of the key, ``total``.
+
+    In two steps, so that a key of any size is never in one task: rows are dealt by ``tie`` into ``shares`` of a key, each
+    keeps its own k first and counts itself, and those few are ranked again.
+    """
+    dealt = rows.withColumn("_share", F.pmod(F.xxhash64(tie), F.lit(shares)))
+    share = Window.partitionBy(*keys, "_share")
+    few = (
+        dealt.withColumn("_rank", F.row_number().over(share.orderBy(*order))).withColumn("_n", F.count(F.lit(1)).over(share))
+        .where(F.col("_rank") <= k)
+    )
+    whole = Window.partitionBy(*keys)
+    return (
+        few.withColumn("rank", F.row_number().over(whole.orderBy(*order)).cast("long"))
+        .withColumn("total", F.sum(F.when(F.col("_rank") == 1, F.col("_n")).otherwise(0)).over(whole))
+        .where(F.col("rank") <= k).drop("_share", "_rank", "_n")
+    )
+
+
 def heads_up(
     work_items: DataFrame,
     work_paths: DataFrame,
@@ -94,23 +115,26 @@ def heads_up(
     """Other work on changed or intended paths, largest overlap first, with the omitted count.
 
     Self is the same id or the same head.  ``focus_paths(snapshot_id, path)`` is the caller's
-    stated intent.  Each overlap list is bounded by the current item's own paths.
+    stated intent, for every current item of the snapshot.  Each overlap list is bounded by the current item's own paths.
     """
-    changed = _current_paths(work_paths, currents).select("snapshot_id", "path", F.lit(True).alias("_changed"))
-    focus = focus_paths.select("snapshot_id", "path").distinct().withColumn("_focus", F.lit(True))
-    effective = changed.join(focus, ["snapshot_id", "path"], "full")
     heads = work_items.select("snapshot_id", "id", "head_sha")
-    me = heads.join(currents, ["snapshot_id", "id"]).select(
-        "snapshot_id", F.col("id").alias("current_id"), F.col("head_sha").alias("_my_head")
-    )
+    me = heads.join(currents.select("snapshot_id", "id"), ["snapshot_id", "id"]).select(
+        "snapshot_id", F.col("id").alias("current_id"), F.col("head_sha").alias("_my_head"),
+        F.explode(F.array(F.struct(F.lit(True).alias("own"), F.col("id").alias("id")), F.struct(F.lit(False).alias("own"), F.lit("").alias("id")))).alias("_asks"),
+    ).select("*", F.col("_asks.own").alias("_own"), F.col("_asks.id").alias("_of")).drop("_asks")
+    # A current item takes its own changed paths and the focus of its snapshot, in one join.
+    offered = work_paths.select("snapshot_id", F.lit(True).alias("_own"), F.col("id").alias("_of"), "path").unionByName(
+        focus_paths.select("snapshot_id", F.lit(False).alias("_own"), F.lit("").alias("_of"), "path"))
+    effective = offered.join(me, ["snapshot_id", "_own", "_of"]).groupBy("snapshot_id", "current_id", "_my_head", "path").agg(
+        F.bool_or("_own").alias("_changed"), F.bool_or(~F.col("_own")).alias("_focus"))
     listed = lambda flag, name: F.sort_array(
         F.collect_list(F.when(F.col(flag), F.col("path")) if flag else F.col("path"))
     ).alias(name)
     found = (
         work_paths.join(effective, ["snapshot_id", "path"])
+        .where(F.col("id") != F.col("current_id"))
         .join(heads, ["snapshot_id", "id"])
-        .join(me, "snapshot_id")
-        .where((F.col("id") != F.col("current_id")) & (F.col("head_sha") != F.col("_my_head")))
+        .where(F.col("head_sha") != F.col("_my_head"))
         .groupBy("snapshot_id", "current_id", "id")
         .agg(
             F.count(F.lit(1)).alias("overlap_size"),
@@ -119,31 +143,25 @@ def heads_up(
             listed("_focus", "focus_overlap_paths"),
         )
     )
-    total = found.groupBy("snapshot_id").agg(
-        F.greatest(F.count(F.lit(1)) - limit, F.lit(0)).alias("omitted")
-    )
-    order = Window.partitionBy("snapshot_id").orderBy(F.desc("overlap_size"), "id")
-    return (
-        found.withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= limit)
-        .join(total, "snapshot_id")
-        .select(
-            "snapshot_id", "current_id", F.col("id").alias("other_id"), F.col("rank").cast("long").alias("rank"),
-            "overlap_size", "overlap_paths", "changed_overlap_paths", "focus_overlap_paths", "omitted",
-        )
+    best = smallest(found, ["snapshot_id", "current_id"], [F.desc("overlap_size"), F.col("id")], limit, tie="id")
+    return best.select(
+        "snapshot_id", "current_id", F.col("id").alias("other_id"), "rank",
+        "overlap_size", "overlap_paths", "changed_overlap_paths", "focus_overlap_paths",
+        F.greatest(F.col("total") - limit, F.lit(0)).alias("omitted"),
     )
 
 
 def has_overlap(work_paths: DataFrame, currents: DataFrame) -> DataFrame:
     """Cheap exact prefilter: does any other item touch a path of the current one?"""
-    others = work_paths.join(currents, ["snapshot_id", "id"], "left_anti").select("snapshot_id", "path")
+    mine = _current_paths(work_paths, currents).alias("m")
+    others = work_paths.alias("o")
+    same = (F.col("m.snapshot_id") == F.col("o.snapshot_id")) & (F.col("m.path") == F.col("o.path"))
     hit = (
-        _current_paths(work_paths, currents)
-        .join(others, ["snapshot_id", "path"], "left_semi")
-        .select("snapshot_id")
+        mine.join(others, same & (F.col("m.current_id") != F.col("o.id")), "left_semi")
+        .select("snapshot_id", F.col("current_id").alias("id"))
         .distinct()
         .withColumn("_hit", F.lit(True))
     )
-    return currents.join(hit, "snapshot_id", "left").select(
+    return currents.join(hit, ["snapshot_id", "id"], "left").select(
         "snapshot_id", F.col("id").alias("current_id"), F.coalesce("_hit", F.lit(False)).alias("overlaps")
     )

@@ -230,6 +230,20 @@ def test_self_is_by_id_in_one_rule_and_by_head_in_the_other(spark):
     assert wk.heads_up(items, touched, focus, current).count() == 0
 
 
+def test_several_currents_of_a_snapshot_are_kept_apart(spark):
+    items = frame(spark, "snapshot_id string, id string, head_sha string, activity string", *[("s", f"#{i}", f"h{i}", "preparation") for i in range(200)])
+    touched = frame(spark, "snapshot_id string, id string, path string", ("s", "#1", "a"), ("s", "#2", "b"), *[("s", f"#{i}", "a") for i in range(3, 150)], ("s", "#150", "b"))
+    current = frame(spark, "snapshot_id string, id string", ("s", "#1"), ("s", "#2"), ("s", "#199"))
+    focus = frame(spark, "snapshot_id string, path string", ("s", "b"))
+    found = wk.heads_up(items, touched, focus, current, limit=3)
+    # 1 meets 147 on a, and 2 and 150 on its focus b; 2 meets 150 on b; 199 meets 2 and 150 by its focus alone.
+    assert rows(found, "current_id", "other_id", "rank", "omitted") == sorted([
+        ("#1", "#10", 1, 146), ("#1", "#100", 2, 146), ("#1", "#101", 3, 146), ("#2", "#150", 1, 0), ("#199", "#150", 1, 0), ("#199", "#2", 2, 0)], key=repr)
+    assert rows(wk.has_overlap(touched, current), "current_id", "overlaps") == [("#1", True), ("#199", False), ("#2", True)]
+    counted = wk.inventory_counts(items, current, wk.inventory_overlap(items, touched, current))
+    assert rows(counted, "current_id", "direct_overlaps") == [("#1", 147), ("#199", 0), ("#2", 1)]
+
+
 def test_quiet_pairs_stay(spark):
     a = frame(spark, "a string, path string", ("x", "p"), ("x", "q"))
     b = frame(spark, "b string, path string", ("y", "q"), ("z", "r"))
