@@ -7,6 +7,7 @@ from ..operators import ci
 from ..operators import facts as fx
 from ..operators import generated as gen
 from ..operators import history as hist
+from ..plans.durable import fresh_folder
 from ..sources import admission as adm
 from ..sources import commit_log, diffs, packets
 from .core import adapter, query
@@ -46,6 +47,26 @@ def _(t):
     return commit_log.malformed_records(t("log_records"))
 
 
+def _written(t, rows, name: str, *folders: str) -> str:
+    """``rows`` (value, other columns) as text files in the shared folder; a file per value of ``folders``."""
+    folder = fresh_folder(t.spark, name)
+    writer = rows.write.partitionBy(*folders) if folders else rows.write
+    writer.text(folder)
+    return folder
+
+
+@query("src_1_log_files", f"""
+SELECT concat('r', CAST(o_custkey % 7 AS VARCHAR)) AS repository, log_pos, concat('sha', o_orderkey) AS sha, CASE WHEN o_orderkey % 5 <> 0 THEN concat('par', o_orderkey - 1) END AS parent_sha
+FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey % 7 ORDER BY o_orderkey) - 1 AS log_pos FROM {{orders}}) o {KEPT}
+""")
+def _(t):
+    # A file per repository, newest first, read back in splits.
+    records = t("log_records").repartition("repository").sortWithinPartitions("repository", "log_pos")
+    folder = _written(t, records.select(F.concat(F.lit(commit_log.RECORD), "record").alias("value"), "repository"), "log", "repository")
+    commits, _ = commit_log.read_commit_log(t.spark, folder, with_parents=True)
+    return commits.select(F.regexp_extract("repository", "^repository=([^/]+)/", 1).alias("repository"), "log_pos", "sha", "parent_sha")
+
+
 adapter("diff_texts", """
 SELECT CAST(o_orderkey AS STRING) AS change_id,
        concat('diff --git a b', chr(10), '--- src/a.rs', chr(10), '+++ src/a.rs', chr(10), '@@ -9,0 +10,2 @@ fn x', chr(10), '+x', chr(10), '+@@ not a header', chr(10),
@@ -68,6 +89,18 @@ def _(t):
     return diffs.changed_ranges(t("diff_texts"))
 
 
+@query("src_2_diff_files", """
+WITH k AS (SELECT CAST(o_orderkey AS VARCHAR) AS change_id, o_orderkey AS o FROM {orders})
+SELECT change_id, 'src/a.rs' AS path, CAST(10 AS BIGINT) AS start, CAST(CASE WHEN o % 5 = 0 THEN 12 ELSE 11 END AS BIGINT) AS "end" FROM k
+UNION ALL SELECT change_id, 'src/a.rs', 12 + o % 5, 12 + o % 5 FROM k WHERE o % 5 <> 0
+UNION ALL SELECT change_id, 'src/b.rs', 6, CASE WHEN o % 2 = 0 THEN 6 ELSE 8 END FROM k
+UNION ALL SELECT change_id, 'src/b.rs', 8, 8 FROM k WHERE o % 2 = 0
+""")
+def _(t):
+    texts = t("diff_texts").select(F.concat(F.lit(diffs.CHANGE), "change_id", F.lit("\n"), "diff").alias("value"))
+    return diffs.ranges_of_files(t.spark, _written(t, texts, "diffs"))
+
+
 # Nested packets: an order with its work item and two candidates.
 adapter("packet_rows", """
 SELECT CAST(o_orderkey AS STRING) AS document_id,
@@ -105,6 +138,27 @@ def _(t):
     return packets.unnest(kept, "active", "document_id")
 
 
+# Documents that span lines, many to a file: an array that opens and closes with its file.
+adapter("packet_lines", """
+SELECT p.o_orderkey % 4 AS part, p.o_orderkey AS place, concat('{"document_id":"', r.document_id, '",', chr(10), '  "packet": ', r.raw, '},') AS value
+FROM {packet_rows} r JOIN {orders} p ON CAST(p.o_orderkey AS STRING) = r.document_id WHERE r.raw <> '{ not json'
+UNION ALL SELECT o_orderkey % 4 AS part, min(-1 - o_orderkey) AS place, '[' AS value FROM {orders} GROUP BY o_orderkey % 4
+UNION ALL SELECT o_orderkey % 4 AS part, max(1 + o_orderkey) AS place, '{}]' AS value FROM {orders} GROUP BY o_orderkey % 4
+""")
+
+
+@query("src_4_packet_files", """
+SELECT CAST(o_orderkey AS VARCHAR) AS document_id, concat('s', o_custkey) AS source, unnest(['#1', concat('#', o_custkey)]) AS id, unnest([false, true]) AS draft
+FROM {orders} WHERE o_orderkey % 40 <> 3
+""")
+def _(t):
+    lines = t("packet_lines").repartition("part").sortWithinPartitions("part", "place")
+    folder = _written(t, lines.select("value", "part"), "packets", "part")
+    schema = T.StructType([T.StructField("document_id", T.StringType()), T.StructField("packet", PACKET)])
+    read = packets.read_packets(t.spark, folder, schema).where("document_id IS NOT NULL")
+    return packets.unnest(read.select("document_id", "packet.source", "packet.active"), "active", "document_id", "source")
+
+
 adapter("attribute_files", """
 SELECT concat('r', CAST(p_partkey % 7 AS STRING)) AS repository,
        concat('# gen/skip.rs linguist-generated=true', chr(10), '  ./gen/', path, '  text', chr(9), 'linguist-generated=true', chr(10),

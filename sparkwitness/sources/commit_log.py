@@ -6,9 +6,11 @@ subject``.  One file per repository.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .splits import numbered, read_delimited
+
 RECORD, FIELD = "\x1e", "\x1f"
 TRIM = r"^\s+|\s+$"
 
@@ -16,32 +18,10 @@ TRIM = r"^\s+|\s+$"
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """Records of all files with their position; position 0 is the newest of a file.
 
-    Files are split as usual.  Rows are numbered within a split and splits are offset by the
-    counts of the earlier ones, so the order is exact and no file passes through one task.
+    A file's path below ``path``, without its extension, names the repository, so files of one name in two folders are two.
     """
-    raw = (
-        spark.read.option("lineSep", RECORD).text(path)
-        .select(
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("_block"),
-            F.monotonically_increasing_id().alias("_order"),
-            F.col("value").alias("record"),
-        )
-        .where(F.col("record").rlike(r"\S"))
-    )
-    counts = raw.groupBy("file", "_block").agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("file", "_block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
-    within = Window.partitionBy("file", "_block").orderBy("_order")
-    return (
-        raw.withColumn("_row", F.row_number().over(within) - 1)
-        .join(offsets, ["file", "_block"])
-        .select(
-            F.regexp_extract("file", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("repository"),
-            (F.col("_offset") + F.col("_row")).alias("log_pos"),
-            "record",
-        )
-    )
+    raw = read_delimited(spark, path, RECORD).where(F.col("value").rlike(r"\S"))
+    return numbered(raw, "log_pos").select(F.col("name").alias("repository"), "log_pos", F.col("value").alias("record"))
 
 
 def _parsed(records: DataFrame, with_parents: bool) -> DataFrame:

@@ -78,7 +78,7 @@ def test_log_positions_are_exact_over_many_splits(spark, tmp_path):
         found = commits.select("repository", "log_pos", "sha").collect()
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
-    assert sorted(found) == sorted(
+    assert sorted(tuple(r) for r in found) == sorted(
         [("one", i, f"sha{i}") for i in range(3000)] + [("two", i, f"sha{i}") for i in range(700)]
     )
     assert paths.count() == 3700
@@ -135,6 +135,52 @@ def test_changed_ranges_follow_the_rules_line_by_line(spark):
     assert rows(found, "change_id", "path", "start", "end") == sorted(expected, key=repr)
 
 
+def test_ranges_of_files_do_not_depend_on_splits(spark, tmp_path):
+    """Random diffs of several changes to a file, in splits of 200 bytes and whole."""
+    import random
+
+    choice = random.Random(11)
+    expected = []
+    for f in range(3):
+        text, named = "", f"d{f}/x"
+        for change in [named] + [f"c{f}-{i}" for i in range(4)]:
+            lines = []
+            for name in ["a.rs", "/dev/null", "b c.rs"]:
+                lines += ["diff --git x y", "--- " + name, "+++ " + name]
+                at = 1
+                for _ in range(choice.randint(0, 6)):
+                    at += choice.randint(1, 4)
+                    lines.append(f"@@ -1 +{at},3 @@ fn" if choice.random() < 0.9 else "@@ -1 +q @@")
+                    for _ in range(choice.randint(1, 9)):
+                        kind = choice.choice(["+", "+", "+", "-", " ", "", "\\ none", "---", "+++x"])
+                        lines.append(kind + choice.choice(["x", "@@", ""]) if kind in "+- " else kind)
+                        at += kind != "-"
+            body = "\n".join(lines) + "\n"
+            expected += [(change, *r) for r in _reference_ranges(body)]
+            text += ("" if change == named else diffs.CHANGE + change + "\n") + body
+        (tmp_path / f"d{f}").mkdir()
+        (tmp_path / f"d{f}" / "x.diff").write_text(text)
+    for size in ("200", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        try:
+            found = rows(diffs.ranges_of_files(spark, str(tmp_path)), "change_id", "path", "start", "end")
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+        assert found == sorted(expected, key=repr)
+
+
+def test_logs_of_one_name_in_two_folders_are_two_repositories(spark, tmp_path):
+    for folder in ("a", "b c+d"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "log.txt").write_text("".join(f"\x1e{folder}{i}\x1f2024-01-01T00:00:00Z\x1fS\n\nx.rs\n" for i in range(3)))
+    commits, _ = commit_log.read_commit_log(spark, str(tmp_path))
+    assert rows(commits, "repository", "log_pos", "sha") == sorted([(f"{d}/log", i, f"{d}{i}") for d in ("a", "b c+d") for i in range(3)], key=repr)
+    alone, _ = commit_log.read_commit_log(spark, str(tmp_path / "a" / "log.txt"))
+    assert rows(alone, "repository", "log_pos") == [("log", 0), ("log", 1), ("log", 2)]
+
+
 def test_a_very_long_hunk_is_one_run(spark):
     text = "+++ a\n@@ -0,0 +1,200000 @@\n" + "+x\n" * 200_000
     found = diffs.changed_ranges(spark.createDataFrame([("c", text)], "change_id string, diff string"))
