@@ -130,19 +130,24 @@ def companions(cohort: DataFrame, commit_paths: DataFrame, examples: int = EXAMP
 
 
 def directional_pairs(companion_rows: DataFrame) -> DataFrame:
-    """P(path given anchor) beside P(anchor given path); a missing direction stays null."""
-    ahead = companion_rows.select(
-        "repository", "anchor", "path", "support", "opportunities", "support_percent"
-    )
-    back = ahead.select(
-        "repository",
-        F.col("anchor").alias("path"),
-        F.col("path").alias("anchor"),
-        F.col("support").alias("reverse_support"),
-        F.col("opportunities").alias("reverse_opportunities"),
-        F.col("support_percent").alias("reverse_percent"),
-    )
-    return ahead.join(back, ["repository", "anchor", "path"], "left")
+    """P(path given anchor) beside P(anchor given path); a missing direction stays null.
+
+    Both directions of two paths meet in one aggregation, so the companions are computed once.
+    """
+    figures = ["support", "opportunities", "support_percent"]
+    low, high = F.least("anchor", "path"), F.greatest("anchor", "path")
+    ahead = F.col("anchor") < F.col("path")
+    both = companion_rows.groupBy("repository", low.alias("_low"), high.alias("_high")).agg(
+        *[F.max(F.when(ahead, F.col(c))).alias(f"_ahead_{c}") for c in figures], *[F.max(F.when(~ahead, F.col(c))).alias(f"_back_{c}") for c in figures])
+
+    def direction(anchor: str, path: str, mine: str, other: str) -> Column:
+        names = ["reverse_support", "reverse_opportunities", "reverse_percent"]
+        return F.when(F.col(f"_{mine}_support").isNotNull(), F.struct(
+            F.col(anchor).alias("anchor"), F.col(path).alias("path"), *[F.col(f"_{mine}_{c}").alias(c) for c in figures],
+            *[F.col(f"_{other}_{c}").alias(n) for c, n in zip(figures, names, strict=True)]))
+
+    rows = F.array_compact(F.array(direction("_low", "_high", "ahead", "back"), direction("_high", "_low", "back", "ahead")))
+    return both.select("repository", F.inline(rows))
 
 
 def generated_markers(files: DataFrame) -> DataFrame:
