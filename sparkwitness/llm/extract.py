@@ -19,12 +19,12 @@ by_value(__name__)
 
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea iframe svg math object select title".split())
+RAW = frozenset("script style noscript template textarea iframe svg select title".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-AWAY = frozenset("nav footer aside form button dialog menu head figure figcaption".split()) | RAW
+AWAY = frozenset("nav footer aside form button dialog menu head".split()) | RAW
 # Words of class, id and role that mark what is not the article.
 NOISE = frozenset(
     "nav navbar navigation menu header masthead footer sidebar aside notice notices cookie cookies consent banner ad ads advert adverts "
@@ -32,6 +32,8 @@ NOISE = frozenset(
     "social related recommended newsletter subscribe signup popup modal overlay breadcrumb breadcrumbs pagination pager toolbar widget "
     "skip login search complementary contentinfo alert copyright byline tags".split()
 )
+# Words that also name parts of an article: inside one they mark nothing.
+INSIDE = frozenset("discussion search byline tags login social copyright alert skip header masthead".split())
 KEEP = frozenset("article main content post entry body story text page".split())
 TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[!?][^>]*>|/?(?:[a-zA-Z!][^>]*)?\Z)", re.S)
 NAMED = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -40,10 +42,14 @@ HEADS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 class Node:
-    __slots__ = ("name", "parent", "kids", "away", "points", "text", "linked", "commas")
+    __slots__ = ("name", "parent", "kids", "away", "points", "text", "linked", "commas", "inside", "block", "open")
 
     def __init__(self, name: str, parent, away: bool):
         self.name, self.parent, self.away = name, parent, away
+        self.inside = name in ("article", "main") or parent is not None and parent.inside
+        # The block an inline element stands in; a block counts the inline elements open in it, by name.
+        self.block = self if parent is None or name in BLOCK else parent.block
+        self.open: dict | None = {} if self.block is self else None
         self.kids: list = []
         self.points = 0.0
         self.text = self.linked = self.commas = 0
@@ -61,7 +67,9 @@ def _noisy(name: str, attributes: str, inside: bool) -> bool:
         if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display:\s*none", value)):
             return True
         if key in ("class", "id", "role") and name not in ("html", "body", "article", "main"):
-            parts = set(re.split(r"[^a-z]+", value))
+            if key == "id" and name in HEADS:
+                continue  # an anchor
+            parts = set(re.split(r"[^a-z]+", value)) - (INSIDE if inside else frozenset())
             if parts & NOISE and not parts & KEEP or parts & {"comment", "comments", "sidebar", "advert", "ads", "cookie"}:
                 return True
     return False
@@ -71,6 +79,16 @@ def parse(html: str) -> Node:
     """A tolerant tree: open paragraphs, items and cells end where the next block needs it."""
     root = Node("html", None, False)
     here, at = root, 0
+    blocks: dict[str, int] = {}  # blocks open now, by name
+
+    def leave(to: Node) -> None:
+        """Ends what is open below ``to``; every element is left once."""
+        nonlocal here
+        while here is not to:
+            count = blocks if here.block is here else here.block.open
+            count[here.name] -= 1
+            here = here.parent
+
     for m in iter(lambda: TAG.search(html, at), None):
         if m.start() > at:
             here.kids.append(html[at:m.start()])
@@ -79,30 +97,18 @@ def parse(html: str) -> Node:
         if not name:
             continue
         if m[1]:
-            up = here
-            while up is not root and up.name != name:
-                # an inline end tag does not reach across a block
-                if name not in BLOCK and up.name in BLOCK:
-                    up = root
-                    break
-                up = up.parent
-            if up is not root:
-                here = up.parent
+            # an inline end tag does not reach across a block
+            if (blocks if name in BLOCK else here.block.open).get(name, 0):
+                while here.name != name:
+                    leave(here.parent)
+                leave(here.parent)
             continue
         if name in BLOCK:
             # inline elements left open, and an open paragraph, end at the next block
-            up = here
-            while up is not root and up.name not in BLOCK:
-                up = up.parent
-            here = up
-            if here.name == "p" or (here.name in HEADS and name in HEADS) or (here.name in ("li", "dd", "dt", "td", "th", "tr") and name == here.name):
-                here = here.parent
-        inside = False
-        up = here
-        while up is not None and not inside:
-            inside = up.name in ("article", "main")
-            up = up.parent
-        node = Node(name, here, _noisy(name, m[3] or "", inside))
+            leave(here.block)
+            if here is not root and (here.name == "p" or (here.name in HEADS and name in HEADS) or (here.name in ("li", "dd", "dt", "td", "th", "tr") and name == here.name)):
+                leave(here.parent)
+        node = Node(name, here, _noisy(name, m[3] or "", here.inside))
         here.kids.append(node)
         if name in VOID or (m[3] or "").rstrip().endswith("/") and name not in BLOCK:
             continue
@@ -111,6 +117,8 @@ def parse(html: str) -> Node:
             at = end.end() if end else len(html)
             continue
         here = node
+        count = blocks if node.block is node else node.block.open
+        count[name] = count.get(name, 0) + 1
     if at < len(html):
         here.kids.append(html[at:])
     return root
@@ -199,7 +207,12 @@ def main_text(html: str | None) -> str:
     order = _weigh(root)
     scored = [n for n in order if n.points > 0]
     if not scored:
-        return ""
+        # No paragraph anywhere: a declared article, or else the main part, is the text all the same.
+        declared = [max((n for n in order if n.name == name and n.text), key=lambda n: n.text, default=None) for name in ("article", "main")]
+        out: list[str] = []
+        for node in [n for n in declared if n is not None][:1]:
+            _blocks(node, out)
+        return JOIN.join(out)
     value = lambda n: n.points * (1 - _density(n))
     best = max(scored, key=value)
     # A declared article that holds the best container is the article.
@@ -222,7 +235,7 @@ def main_text(html: str | None) -> str:
         kept.sort(key=lambda n: places[id(n)])
     elif best.name == "article" and best.parent is not None:
         kept = [k for k in best.parent.kids if isinstance(k, Node) and k.name == "article" and not k.away and (k is best or value(k) >= max(10.0, 0.2 * value(best)))]
-    out: list[str] = []
+    out = []
     for node in kept:
         _blocks(node, out)
     return JOIN.join(out)

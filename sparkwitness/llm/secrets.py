@@ -76,10 +76,15 @@ class Ledger:
     def __init__(self, spark: SparkSession, folder: str | None = None):
         self.spark = spark
         self.folder = folder or fresh_folder(spark, "blob-ledger")
-        self.empty = folder is None
+        # A folder that is not there yet, or holds no scan that was finished, is an empty ledger.
+        self.empty = folder is None or not self._written("seen")
+
+    def _written(self, name: str) -> bool:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}/_SUCCESS")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
 
     def _read(self, name: str, schema: str) -> DataFrame:
-        if self.empty:
+        if not self._written(name):
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}")
 
@@ -135,23 +140,28 @@ class Ledger:
         found.write.mode("append").parquet(f"{self.folder}/findings")
         seen.write.mode("append").parquet(f"{self.folder}/seen")
         self.empty = False
-        current = F.broadcast(self.spark.createDataFrame([(r.kind, r.version) for r in rules], "rule string, version int"))
-        known = self.findings().join(current, ["rule", "version"]).dropDuplicates(["blob", "rule", "version"])
-        return paths.join(known, "blob").select("path", "blob", "rule", "version", "spans")
+        return paths.join(self.current(rules), "blob").select("path", "blob", "rule", "version", "spans")
+
+    def current(self, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+        """Findings of these rules at their present versions, each once; older versions stay in the ledger and are not read."""
+        kinds = F.broadcast(self.spark.createDataFrame([(r.kind, r.version) for r in rules], "rule string, version int"))
+        return self.findings().join(kinds, ["rule", "version"]).dropDuplicates(["blob", "rule", "version"])
 
 
-def digest(versions: DataFrame, path: str = "doc_id", text: str = "text", folder: str | None = None) -> DataFrame:
+def digest(
+    versions: DataFrame, path: str = "doc_id", text: str = "text", folder: str | None = None, rules: tuple[Rule, ...] = RULES,
+) -> DataFrame:
     """One row per given row: counts per base kind, digest of the base spans, all spans as text.
 
-    Null or empty text: no spans.  Rows that repeat are all returned.
+    With a ``folder`` the ledger there is continued, or begun; only the rules' present versions count.  Null or empty text: no spans.  Rows that repeat are all returned.
     """
     ledger = Ledger(versions.sparkSession, folder)
-    ledger.scan(versions, path, text)
+    ledger.scan(versions, path, text, rules)
     per_blob = (
-        ledger.findings().dropDuplicates(["blob", "rule", "version"])
+        ledger.current(rules)
         .groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))  # one blob's own spans
     )
-    base = F.array(*[F.lit(r.kind) for r in RULES if r.base])
+    base = F.array(*[F.lit(r.kind) for r in rules if r.base])
     written = lambda spans: F.array_join(F.transform(
         spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
     ), ",")
@@ -160,7 +170,7 @@ def digest(versions: DataFrame, path: str = "doc_id", text: str = "text", folder
     rows = versions.select(F.col(path).alias("doc_id"), blob_of(F.col(text)).alias("blob"))
     return rows.join(per_blob, "blob", "left").select(
         "doc_id",
-        *[of_kind(r.kind).alias(f"n_{r.kind}") for r in RULES if r.base],
+        *[of_kind(r.kind).alias(f"n_{r.kind}") for r in rules if r.base],
         F.sha2(written(F.filter(spans, lambda s: F.array_contains(base, s["kind"]))), 256).alias("base_sha256"),
         written(spans).alias("spans"),
     )

@@ -242,3 +242,58 @@ def test_top_k_odd_rows(spark):
 def test_registered_top_k(spark):
     given = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{SMALL}/embeddings.parquet").collect()]
     assert sorted(map(tuple, queries()["op13_top_k"](spark, SMALL).collect()), key=repr) == brute_top(given)
+
+
+# Repairs of secrets and extraction.
+
+def test_a_ledger_starts_in_a_new_folder_and_counts_present_versions_only(spark, tmp_path):
+    from dataclasses import replace
+
+    from sparkwitness.llm import secrets
+
+    folder = str(tmp_path / "ledger")
+    docs = spark.createDataFrame([(1, "token = abcdefghijkl0"), (2, None), (3, "token = abcdefghijkl0"), (3, "x")], "doc_id long, text string")
+    old = tuple(replace(r, version=0) for r in secrets.RULES)
+    first = secrets.digest(docs, folder=folder, rules=old).collect()
+    again = secrets.digest(docs, folder=folder).collect()
+    fresh = secrets.digest(docs).collect()
+    assert sorted(map(tuple, first)) == sorted(map(tuple, again)) == sorted(map(tuple, fresh))
+    assert {r.doc_id: (r.n_assign, r.spans) for r in again if r.doc_id < 3} == {1: (1, "assign:0:21"), 2: (0, "")}
+    ledger = secrets.Ledger(spark, folder)
+    assert ledger.findings().count() == 2 and ledger.current().count() == 1  # one blob, two versions
+
+
+@pytest.mark.parametrize("html,text", [
+    ("<nav>menu</nav><article><h1>Short</h1><ul><li>one item</li></ul></article>", "Short\n\none item"),
+    ("<article><div>Short text here.</div><div>Another.</div></article><footer>f</footer>", "Short text here.\n\nAnother."),
+    ("<main>a &amp; b</main>", "a & b"), ("<div>no article</div>", ""),
+    ("<article><p>One.</p><figure><img src=x><figcaption>Caption.</figcaption></figure><p>E <math><mi>m</mi></math></p></article>", "One.\n\nCaption.\n\nE m"),
+    ("<article><section id=discussion><h2 id=search>On search</h2><p>Text.</p></section><p class=byline>By A</p><div class='ad'>buy</div><div id=comments>me too</div></article>",
+     "On search\n\nText.\n\nBy A"),
+    ("<div id=search>find</div><article><p>Only this.</p></article>", "Only this."),
+])
+def test_extraction_keeps_what_an_article_holds(html, text):
+    from sparkwitness.llm import extract
+
+    assert extract.main_text(html) == text
+
+
+@pytest.mark.parametrize("html", ["<div>" * 20_000 + "x", "<b>" * 15_000 + "y" + "</i>" * 15_000, "<i><div>" * 8_000 + "</i></b>" * 8_000, "<p><b>" * 15_000])
+def test_deep_pages_take_linear_time(html):
+    import time
+
+    from sparkwitness.llm import extract
+
+    start = time.perf_counter()
+    extract.main_text(html)
+    assert time.perf_counter() - start < 3
+
+
+def test_extraction_of_odd_rows(spark):
+    from sparkwitness.llm import extract
+
+    page = "<article><p>Text.</p></article>"
+    rows = [(1, "u", page), (1, "u", page), (None, None, None), (2, "v", ""), (3, "w", "<p>" + "x" * 300_000)]
+    df = spark.createDataFrame([r + (9, "t") for r in rows], "page_id long, url string, html string, n_chars int, text string")
+    got = sorted(((r.page_id, r.text[:5], r.n_chars) for r in extract.extract(df).collect()), key=repr)
+    assert got == sorted([(1, "Text.", 5), (1, "Text.", 5), (None, "", 0), (2, "", 0), (3, "xxxxx", 300_000)], key=repr)
