@@ -1,5 +1,7 @@
 """Every registered query against its independent SQL, and the shape of its plan."""
 
+import re
+
 import pytest
 from compare import compare, connect
 
@@ -69,5 +71,27 @@ def test_every_status_of_a_ladder_occurs(spark, name):
     assert len(seen) >= statuses, seen
 
 
+# Scans of the largest table and shuffles that an initial plan may hold, no exchange reused.
+LIMITS = {
+    "gen_2_missing_companions": ("lineitem", 12, 60), "hist_2_companions": ("lineitem", 5, 30), "hist_3_directional_pairs": ("lineitem", 5, 32),
+    "hist_6_class_cohort": ("lineitem", 6, 32), "hist_7_cohort_compare": ("lineitem", 5, 30), "front_1_episode_front": ("orders", 11, 42),
+    "pol_1_successor_violations": ("events", 5, 15), "pol_4_effect_violations": ("events", 7, 25), "mem_5_lineage": ("orders", 7, 20),
+    "work_3_heads_up": ("orders", 3, 22), "close_4_closure_episodes": ("orders", 2, 6), "snap_1_work_fact_identity": ("orders", 4, 40),
+}
+
+
+@pytest.mark.parametrize("name", list(LIMITS))
+def test_plan_reads_and_moves_no_more_than_this(spark, name):
+    table, scans, shuffles = LIMITS[name]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(re.findall(rf"FileScan parquet.*?/{table}\.parquet", plan)) <= scans
+    assert plan.count("Exchange hashpartitioning") <= shuffles
+
+
 def test_every_query_has_sql():
     assert set(QUERIES) == set(SQL)
