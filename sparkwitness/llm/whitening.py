@@ -269,6 +269,23 @@ def measure(grid: DataFrame, d: int, base: np.ndarray, rest: np.ndarray, basis:
     return np.frombuffer(total).reshape(basis.shape[1], basis.shape[1])
 
 
+def squares(n: int, y: np.ndarray, whole: np.ndarray) -> list[int | None]:
+    """Row sums of (n * y - whole) ** 2 in whole numbers; null where one fits no long."""
+    d, most = y.shape[1], (float(np.abs(y).max(initial=0)) + 1.0) * n  # |whole| < n
+    if most < 2 ** 31 / np.sqrt(d):
+        far = n * y - whole.astype(np.int64)
+        return (far * far).sum(axis=1).tolist()
+    if most < 2 ** 50 and d < 2 ** 12:  # in two halves of 25 bits, whose products and sums fit a long
+        far = n * y - whole.astype(np.int64)
+        high, low = far >> 25, far & (2 ** 25 - 1)
+        parts = zip(*((p * q).sum(axis=1).tolist() for p, q in ((high, high), (high, low), (low, low))), strict=True)
+        sums = [(a << 50) + (b << 26) + c for a, b, c in parts]
+    else:
+        far = n * y.astype(object) - whole
+        sums = [int(s) for s in (far * far).sum(axis=1)]
+    return [s if s < 2 ** 63 else None for s in sums]
+
+
 RESULT = "{key} {kind}, component int, n long, deviation long, whitened double, explained double, identity_error double"
 
 
@@ -315,12 +332,7 @@ def whiten(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", c
             for part in slices([batch], 2048):
                 m = part.num_rows
                 y = on_grid(part, d) - base
-                if float(np.abs(y).max(initial=0) + 1.0) * n < 2 ** 31 / np.sqrt(d):  # squares and their sum fit a long
-                    far = n * y - whole.astype(np.int64)
-                    deviation = (far * far).sum(axis=1)
-                else:
-                    far = n * y.astype(object) - whole
-                    deviation = [int(s) if s < 2 ** 63 else None for s in (far * far).sum(axis=1)]
+                deviation = squares(n, y, whole)
                 out = ((y.astype(float) - rest) @ projection) * factor
                 yield pa.RecordBatch.from_arrays([
                     part.column(0).take(pa.array(np.repeat(np.arange(m), k))), pa.array(np.tile(np.arange(1, k + 1, dtype=np.int32), m)),

@@ -176,6 +176,14 @@ def test_whitening_keeps_exact_long_deviations_of_large_entries(spark):
         assert r["deviation"] == (int(want[r["vec_id"]]) if want[r["vec_id"]] < 2 ** 63 else None)
 
 
+@pytest.mark.parametrize("n,size", [(5, 9), (51_282, 60), (120_000_000, 40), (10 ** 10, 10 ** 4), (10 ** 12, 10 ** 9)])
+def test_deviations_are_exact_at_every_size(n, size):
+    rng = np.random.default_rng(size)
+    y, whole = rng.integers(-size, size + 1, (50, 64)), np.array([int(v) for v in rng.integers(0, n, 64)], dtype=object)
+    want = [sum((n * int(a) - w) ** 2 for a, w in zip(row, whole, strict=True)) for row in y]
+    assert whitening.squares(n, y, whole) == [w if w < 2 ** 63 else None for w in want]
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_rank_one_updates_keep_the_scatter(seed):
     rng = np.random.default_rng(seed)
