@@ -305,3 +305,100 @@ def test_extraction_of_odd_rows(spark):
     df = spark.createDataFrame([r + (9, "t") for r in rows], "page_id long, url string, html string, n_chars int, text string")
     got = sorted(((r.page_id, r.text[:5], r.n_chars) for r in extract.extract(df).collect()), key=repr)
     assert got == sorted([(1, "Text.", 5), (1, "Text.", 5), (None, "", 0), (2, "", 0), (3, "xxxxx", 300_000)], key=repr)
+
+
+# Odd rows of the earlier operators: clashing columns, repeated rows, null ids, null and very long texts.
+
+LONG = "word " * 60_000
+ODD_DOCS = [(1, "plain words here"), (1, "plain words here"), (None, "plain words here"), (2, None), (3, ""), (4, LONG), (5, "you are a total idiot"), (5, "other text")]
+DOC_COLUMNS = "doc_id long, text string, label int, score double, held_out int, predicted string, source string, lang string, n_chars long, n int, place int, item_id int, words int"
+DOC_REST = (1, 0.5, 2, "p", None, "en", 3, 4, 5, 6, 7)
+
+
+def odd_documents(spark):
+    return spark.createDataFrame([r + DOC_REST for r in ODD_DOCS], DOC_COLUMNS)
+
+
+@pytest.mark.parametrize("name,label", [("quality", "quality"), ("toxicity", "toxic")])
+def test_classifiers_score_every_odd_row(spark, name, label):
+    import importlib
+
+    module = importlib.import_module(f"sparkwitness.llm.{name}")
+    docs = odd_documents(spark)
+    labels = spark.createDataFrame([(1, 1, 0), (4, 0, 1), (5, 1, 0), (5, 0, 1), (None, 1, 1), (2, None, None), (9, 1, 1)], "doc_id long, quality int, toxic int")
+    got = module.classify(docs, module.train(docs, labels, label)).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in got) == sorted((i is None, i or 0) for i, _ in ODD_DOCS)
+    assert all(0 <= r.score <= 1 and r.predicted in (0, 1) for r in got)
+    same = {r.score for r in got if r.doc_id in (None, 1)}  # equal texts score alike, whatever their id
+    assert len(same) == 1
+
+
+def test_decontamination_of_odd_rows(spark):
+    from sparkwitness.llm import decontaminate
+
+    item = " ".join(f"item{k}" for k in range(12))
+    held = "before " * 50_000 + item + " after"
+    rows = ODD_DOCS + [(7, held), (7, held), (None, held), (8, item.replace("item3", "other"))]
+    docs = spark.createDataFrame([r + DOC_REST for r in rows], DOC_COLUMNS)
+    items = spark.createDataFrame([(1, item, "x"), (1, item, "x"), (None, item, "x"), (2, None, "x"), (3, "", "x")], "item_id long, text string, doc_id string")
+    found = decontaminate.find(docs, items).collect()
+    assert sorted((str(r.doc_id), r.item_id, r.edits) for r in found) == [("7", 1, 0), ("7", 1, 0), ("8", 1, 1), ("None", 1, 0)]
+    kept = decontaminate.clean(docs, items)
+    assert kept.columns == docs.columns
+    assert sorted(map(repr, kept.select("doc_id", "text").collect())) == sorted(map(repr, docs.select("doc_id", "text").limit(len(ODD_DOCS)).collect()))
+
+
+def edits(item, text):
+    """Least edits of the item to any stretch of the text, by the plain recurrence."""
+    row = [0] * (len(text) + 1)
+    for a, x in enumerate(item, 1):
+        last, row[0] = row[0], a
+        for b, y in enumerate(text, 1):
+            last, row[b] = row[b], min(row[b] + 1, row[b - 1] + 1, last + (x != y))
+    return min(row)
+
+
+def test_decontamination_against_an_exact_scan_of_edit_distances(spark):
+    """Substitutions, insertions, deletions and all of them: no clean document is named, nearly every held item is."""
+    from sparkwitness.llm import decontaminate
+
+    choice = random.Random(3)
+    vocabulary = [f"w{k}" for k in range(900)]
+    items = [[choice.choice(vocabulary) for _ in range(choice.randint(12, 30))] for _ in range(12)]
+    docs = []
+    for n in range(160):
+        words = [choice.choice(vocabulary) for _ in range(choice.randint(0, 60))]
+        if n % 4:
+            part = list(choice.choice(items))
+            for _ in range(int(0.15 * len(part))):
+                at, kind = choice.randrange(len(part)), (choice.randrange(3) if n % 4 == 3 else n % 4 - 1)
+                part[at:at + (kind != 1)] = [] if kind == 2 else ["edited"]
+            words[len(words) // 2:len(words) // 2] = part
+        docs.append((n, " ".join(words)))
+    wanted = {(n, i) for n, t in docs for i, item in enumerate(items) if edits(item, t.split()) <= int(decontaminate.SHARE * len(item))}
+    found = decontaminate.find(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string"))
+    named = {(r.doc_id, r.item_id) for r in found.collect()}
+    assert named <= wanted and len(wanted) > 100
+    assert len(named) >= 0.95 * len(wanted), (len(named), len(wanted))
+
+
+def test_url_filter_of_odd_rows(spark):
+    from sparkwitness.llm import urls
+
+    rows = [(1, "http://a.net/es/x"), (1, "http://a.net/es/x"), (None, "http://WWW.example.com/en/?q"), (2, None), (3, ""), (4, "no scheme"), (5, "http://a.net/" + "s/" * 20_000), (6, "://b.com#f")]
+    df = spark.createDataFrame([r + ("h", "p", "r", "v", 1, "t", 2) for r in rows], "page_id long, url string, host string, path string, rule string, verdict string, n int, template string, shape int")
+    got = sorted(((r.page_id, r.host, r.path[:8], r.rule, r.verdict) for r in urls.judge(df).collect()), key=repr)
+    assert got == sorted([
+        (1, "a.net", "/es/x", "net/es/", "block"), (1, "a.net", "/es/x", "net/es/", "block"), (None, "www.example.com", "/en/", "www.example.com/en/", "allow"),
+        (2, "", "", None, "allow"), (3, "", "", None, "allow"), (4, "", "", None, "allow"), (5, "a.net", "/s/s/s/s", None, "allow"), (6, "b.com", "", None, "allow"),
+    ], key=repr)
+
+
+def test_near_duplicates_of_odd_rows(spark):
+    from sparkwitness.llm import covertree
+
+    rows = [(1, [1.0, 0.0], 1), (2, [1.0, 0.0], 1), (2, [1.0, 0.0], 1), (3, [1.0, 0.0], None), (None, [1.0, 0.0], 1), (4, None, 1), (5, [NAN, 1.0], 1), (6, [0.0, 0.0], 1), (7, [2.0, 0.1], 1), (8, [0.0, 1.0], 1)]
+    df = spark.createDataFrame([r + (1, 2, 3, 4, 5.0) for r in rows], "vec_id long, embedding array<float>, label int, id int, v int, g int, w int, component double")
+    got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in covertree.near_duplicates(df).collect()), key=repr)
+    want = [(1, 3, 1, True), (2, 3, 1, False), (2, 3, 1, False), (7, 3, 1, False), (3, 0, 3, True), (None, 0, None, True), (4, 0, 4, True), (5, 0, 5, True), (6, 0, 6, True), (8, 0, 8, True)]
+    assert got == sorted(want, key=repr)
