@@ -8,6 +8,8 @@ findings back to all paths that hold the blob.  Built-in expressions throughout.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -144,8 +146,8 @@ class Ledger:
 
     def current(self, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         """Findings of these rules at their present versions, each once; older versions stay in the ledger and are not read."""
-        kinds = F.broadcast(self.spark.createDataFrame([(r.kind, r.version) for r in rules], "rule string, version int"))
-        return self.findings().join(kinds, ["rule", "version"]).dropDuplicates(["blob", "rule", "version"])
+        present = reduce(or_, [(F.col("rule") == r.kind) & (F.col("version") == r.version) for r in rules], F.lit(False))
+        return self.findings().where(present).dropDuplicates(["blob", "rule", "version"])
 
 
 def digest(
