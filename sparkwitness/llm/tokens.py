@@ -9,9 +9,13 @@ ids, a checksum and the index of the documents in it.  The container is a folder
 
 from __future__ import annotations
 
+import json
+import re
+import sys
 import zlib
 
 import numpy as np
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema as _to_arrow
@@ -64,37 +68,142 @@ def to_arrow_schema(ddl: str):
     return _to_arrow(StructType.fromDDL(ddl))
 
 
-def make_encoder(tokenizer_path: str, remembered: int = 600_000):
-    """A function text -> bytes of little-endian uint32 ids, by the tokenizer at the path.
+#: No character of plain pieces: those up to U+024F without white space, controls and the dotted capital I, which
+#: no normal form composes and which have one lower-case letter each.
+NOT_PLAIN = re.compile("[^!-~\u00a1-\u012f\u0131-\u024f]")
 
-    White space ends a token in this tokenizer and is dropped, so a text is encoded by its pieces between spaces
-    and line ends.  Pieces met before are remembered, also for the worker's next tasks; the others of a text are
-    encoded together and told apart by the tokens' offsets.
-    """
-    import sys
 
-    from tokenizers import Tokenizer
+#: Stands between the ids of pieces; no id.
+APART = np.array(0xFFFFFFFF, dtype="<u4")
+
 
-    tokenizer = Tokenizer.from_file(tokenizer_path)
-    known: dict[str, bytes] = sys.modules.setdefault(f"_pieces_of_{tokenizer_path}", {})
+def _word_rule(tokenizer):
+    """(pattern of its words and of single spaces, whether an id ends a word, added tokens), or None.
+
+    For tokenizers that lower-case, keep the matches of one pattern and mark each match's last token by a suffix.
+    """
+    spec = json.loads(tokenizer.to_str())
+    steps = {n["type"]: n for n in (spec["normalizer"] or {}).get("normalizers", [])}
+    parts = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+    suffix = spec["model"].get("end_of_word_suffix")
+    if set(steps) != {"NFC", "Replace", "Lowercase"} or [p["type"] for p in parts] != ["Split", "ByteLevel"] or not suffix:
+        return None
+    if steps["Replace"]["pattern"] != {"Regex": r"\s+"} or steps["Replace"]["content"] != " ":
+        return None
+    if parts[0]["behavior"] != "Removed" or not parts[0]["invert"] or "Regex" not in parts[0]["pattern"]:
+        return None
+    if parts[1]["use_regex"] or parts[1]["add_prefix_space"] or spec["post_processor"]:
+        return None
+    vocabulary = tokenizer.get_vocab(with_added_tokens=True)
+    ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+    for token, number in vocabulary.items():
+        ends[number] = token.endswith(suffix)
+    return regex.compile(f"(?:{parts[0]["pattern"]["Regex"]})| "), ends, [t["content"] for t in spec["added_tokens"]]
+
+
+class Encoder:
+    """Little-endian uint32 ids of texts, by the tokenizer at the path.
+
+    White space ends a token in this tokenizer and is dropped, so texts are encoded by their distinct pieces between spaces and
+    line ends, each once per batch.  A plain piece (of such characters, without added tokens) is encoded by its words, whose ends the ids themselves
+    show; pieces of any other kind are encoded together and told apart by the tokens' offsets.  Words and pieces met before are
+    remembered, at most ``remembered`` words, and half as many pieces beside the last batch's.
+    """
 
-    def encode(text: str) -> bytes:
-        pieces = text.replace("\n", " ").split(" ")
-        fresh = [p for p in set(pieces) if p not in known]
-        if fresh:
-            if len(known) + len(fresh) > remembered:
-                known.clear()
-                fresh = list(set(pieces))
-            found = tokenizer.encode(" ".join(fresh), add_special_tokens=False)
+    def __init__(self, tokenizer_path: str, remembered: int = 400_000):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        self.rule = _word_rule(self.tokenizer)
+        self.remembered = remembered
+        self.pieces: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+    def _by_offsets(self, pieces: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode(" ".join(pieces), add_special_tokens=False)
+        ids = np.array(found.ids, dtype="<u4")
+        at = np.array([o[0] for o in found.offsets], dtype=np.int64)
+        cuts = np.searchsorted(at, np.cumsum([0] + [len(p) + 1 for p in pieces])).tolist()
+        return [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
+
+    def _by_word_ends(self, words: list[str], at_once: int = 256) -> list[bytes]:
+        groups = [words[k:k + at_once] for k in range(0, len(words), at_once)]
+        out = []
+        for group, found in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(found.ids, dtype="<u4")
-            at = np.array([o[0] for o in found.offsets], dtype=np.int64)
-            starts = np.cumsum([0] + [len(p) + 1 for p in fresh])
-            cuts = np.searchsorted(at, starts)
-            for k, piece in enumerate(fresh):
-                known[piece] = ids[cuts[k]:cuts[k + 1]].tobytes()
-        return b"".join(map(known.__getitem__, pieces))
+            cuts = (np.flatnonzero(self.rule[1][ids]) + 1).tolist()
+            if len(cuts) != len(group) or cuts[-1] != len(ids):
+                out += self._by_offsets(group)
+                continue
+            raw = ids.tobytes()
+            out += [raw[4 * a:4 * b] for a, b in zip([0, *cuts], cuts)]
+        return out
+
+    def _by_words(self, pieces: list[str]) -> list[bytes]:
+        """The ids of plain pieces.  One flat list of words and separators, as containers per piece would keep the collector busy."""
+        if not pieces:
+            return []
+        flat, words = self.rule[0].findall(" ".join(pieces).lower()), self.words
+        distinct = set(flat)
+        new = [w for w in distinct if w not in words]
+        if len(words) + len(new) > self.remembered:
+            words.clear()
+            new = list(distinct)
+        new = [w for w in new if w != " "]
+        words.update(zip(new, self._by_word_ends(new), strict=True))
+        words[" "] = APART.tobytes()
+        raw = b"".join(map(words.__getitem__, flat))
+        cuts = (4 * np.flatnonzero(np.frombuffer(raw, dtype="<u4") == APART)).tolist()
+        return [raw[a:b] for a, b in zip([0, *[c + 4 for c in cuts]], [*cuts, len(raw)])]
+
+    def _encode(self, pieces: list[str]) -> list[bytes]:
+        """The ids of distinct pieces."""
+        if not self.rule:
+            return self._by_offsets(pieces)
+        whole = " ".join(pieces)
+        added = [t for t in self.rule[2] if t in whole]
+        is_odd = NOT_PLAIN.search
+        odd = [p for p in pieces if is_odd(p) or (added and any(t in p for t in added))]
+        if not odd:
+            return self._by_words(pieces)
+        apart = dict(zip(odd, self._by_offsets(odd), strict=True))
+        plain = iter(self._by_words([p for p in pieces if p not in apart]))
+        return [apart[p] if p in apart else next(plain) for p in pieces]
+
+    def _of_pieces(self, pieces: list[str]) -> list[bytes]:
+        """The ids of distinct pieces, from what is remembered where it is."""
+        known = self.pieces
+        found = list(map(known.get, pieces))
+        fresh = [p for p, ids in zip(pieces, found) if ids is None]
+        if not fresh:
+            return found
+        new = self._encode(fresh)
+        if len(known) + len(fresh) > self.remembered // 2:
+            known.clear()
+        known.update(zip(fresh, new, strict=True))
+        rest = iter(new)
+        return [next(rest) if ids is None else ids for ids in found]
+
+    def batch(self, texts) -> list[np.ndarray]:
+        """An Arrow array of texts, none null -> the ids of each."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        pieces = lists.flatten().dictionary_encode()
+        ids = pa.array(self._of_pieces(pieces.dictionary.to_pylist()), type=pa.large_binary()).take(pieces.indices)
+        ends = np.frombuffer(ids.buffers()[1], dtype=np.int64)[ids.offset:ids.offset + len(ids) + 1]
+        flat = np.frombuffer(ids.buffers()[2], dtype="<u4") if ends[-1] else np.zeros(0, dtype="<u4")
+        cuts = ends[np.cumsum([0, *pc.list_value_length(lists).to_pylist()])] // 4
+        return [flat[a:b] for a, b in zip(cuts.tolist(), cuts[1:].tolist())]
+
 
-    return encode
+def make_encoder(tokenizer_path: str, remembered: int = 400_000):
+    """The worker's ``Encoder`` for the path: what it remembers also serves the worker's next tasks."""
+    held = sys.modules.setdefault("_token_encoders", {})
+    if tokenizer_path not in held:
+        held[tokenizer_path] = Encoder(tokenizer_path, remembered)
+    return held[tokenizer_path]
 
 
 def write(
@@ -123,7 +232,7 @@ def write(
         import zstandard
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode, press = make_encoder(tokenizer_path), zstandard.ZstdCompressor(level=level)
+        encoder, press = make_encoder(tokenizer_path), zstandard.ZstdCompressor(level=level)
         held, size, number, shard, place, at = [], 0, 0, 0, 0, 0
         index: list[dict] = []
 
@@ -136,10 +245,11 @@ def write(
             number, index = number + 1, []
             return pa.RecordBatch.from_pylist([row], schema=rows_schema)
 
-        for batch in slices(batches):
-            for doc, body, part in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+        for batch in slices(batches, 1024):
+            found = encoder.batch(batch.column(1))
+            for doc, ids, part in zip(batch.column(0).to_pylist(), found, batch.column(2).to_pylist(), strict=True):
                 shard = part
-                ids = np.append(np.frombuffer(encode(body), dtype="<u4"), np.uint32(END)).astype("<u4")
+                ids = np.append(ids, np.uint32(END))
                 done, piece = 0, 0
                 while done < len(ids):
                     take = min(block - size, len(ids) - done)
