@@ -63,6 +63,20 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, bound:
     return documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
 
 
+def kept(name: str, make):
+    """What a worker remembers beyond its task, until a task of another kind lets go of it."""
+    held = sys.modules.setdefault("_kept_by_worker", {})
+    if name not in held:
+        held.clear()
+        held[name] = make()
+    return held[name]
+
+
+def let_go() -> None:
+    """Frees what earlier tasks of this worker kept: an executor's memory serves the running stage alone."""
+    sys.modules.pop("_kept_by_worker", None)
+
+
 def slices(batches, rows: int = 512):
     """Arrow batches in smaller parts, so that a task's Python objects stay few."""
     for batch in batches:
@@ -81,6 +95,7 @@ def map_texts(df: DataFrame, text: str, keep: list[str], compute, fields: str) -
     def run(batches):
         import pyarrow as pa
 
+        let_go()
         for batch in slices(batches):
             columns = compute(batch.column(len(keep)).to_pylist())
             arrays = [batch.column(i) for i in range(len(keep))] + [pa.array(c) for c in columns]
@@ -97,6 +112,7 @@ def filter_texts(df: DataFrame, text: str, accept) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
+        let_go()
         for batch in slices(batches):
             texts = [t or "" for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(accept(texts), type=pa.bool_()))

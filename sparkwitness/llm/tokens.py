@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import json
 import re
-import sys
 import zlib
 
 import numpy as np
@@ -23,7 +22,7 @@ from pyspark.sql.types import StructType
 
 from sparkwitness.plans.durable import fresh_folder
 
-from .common import by_value, slices
+from .common import by_value, kept, slices
 
 by_value(__name__)
 
@@ -198,12 +197,9 @@ class Encoder:
         return [flat[a:b] for a, b in zip(cuts.tolist(), cuts[1:].tolist())]
 
 
-def make_encoder(tokenizer_path: str, remembered: int = 400_000):
-    """The worker's ``Encoder`` for the path: what it remembers also serves the worker's next tasks."""
-    held = sys.modules.setdefault("_token_encoders", {})
-    if tokenizer_path not in held:
-        held[tokenizer_path] = Encoder(tokenizer_path, remembered)
-    return held[tokenizer_path]
+def make_encoder(tokenizer_path: str) -> Encoder:
+    """The worker's ``Encoder`` for the path: what it remembers also serves the worker's next tasks of this kind."""
+    return kept(f"encoder of {tokenizer_path}", lambda: Encoder(tokenizer_path))
 
 
 def write(

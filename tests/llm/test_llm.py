@@ -246,6 +246,33 @@ def test_token_container(spark, documents, texts):
         assert got == want
 
 
+def test_encoder_gives_the_librarys_ids():
+    import random
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    library, path = Tokenizer.from_file(tokenizer_path()), tokenizer_path()
+    odd = [
+        "", " ", "\n\n", "It's \u03a3\u03af\u03c3\u03c5\u03c6\u03bf\u03a3 X", "e\u0301a caf\u00e9's x'Sabc --'t 'll''", "<|endoftext|> x<|startoftext|>y's <|ENDOFTEXT|>",
+        "\u0130stanbul \u00aa\u00ba \u00bd \u00b2 12,34", "\U0001F600 \u5bb6\u65cf \u200d", "a\tb\r\nc\x0bd\x1ce\x85f\xa0g h", "\u0133\u01c6 \u01c5 \u0149 \u1e9e \u017f",
+        "\x00 a\x00b", "x" * 5000 + " 's'" + "\u00e9" * 3000,
+    ]
+    draw = random.Random(5)
+    letters = "aZs'tTrevml\u00e9\u2019\u00c9\u00df.,-1\u00b2<|endoftext|> \n\t\u0141\u0301 \u03a3\u5bb6"
+    odd += ["".join(draw.choice(letters) for _ in range(draw.randint(0, 60))) for _ in range(2000)]
+    want = [library.encode(t, add_special_tokens=False).ids for t in odd]
+    plain = tokens.Encoder(path)
+    assert plain.rule
+    small, general = tokens.Encoder(path, remembered=50), tokens.Encoder(path)  # forgets all the time; knows no words
+    general.rule = None
+    for encoder in (plain, small, general):
+        for _ in range(2):
+            got = [ids.tolist() for k in range(0, len(odd), 300) for ids in encoder.batch(pa.array(odd[k:k + 300]))]
+            assert got == want
+    assert len(small.pieces) <= 25 + 3000 and plain.batch(pa.array([], type=pa.string())) == []
+
+
 @pytest.mark.parametrize("bits", [True, False])
 @pytest.mark.parametrize("n", [0, 1, 7, 8, 1000])
 def test_planes_round_trip(bits, n):
