@@ -106,10 +106,10 @@ class Encoder:
     White space ends a token in this tokenizer and is dropped, so texts are encoded by their distinct pieces between spaces and
     line ends, each once per batch.  A plain piece (of such characters, without added tokens) is encoded by its words, whose ends the ids themselves
     show; pieces of any other kind are encoded together and told apart by the tokens' offsets.  Words and pieces met before are
-    remembered, at most ``remembered`` words, and half as many pieces beside the last batch's.
+    remembered, at most ``remembered`` of either beside the last batch's.
     """
 
-    def __init__(self, tokenizer_path: str, remembered: int = 120_000):
+    def __init__(self, tokenizer_path: str, remembered: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
@@ -126,18 +126,16 @@ class Encoder:
         return [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
 
     def _by_word_ends(self, words: list[str], at_once: int = 256) -> list[bytes]:
+        groups = [words[k:k + at_once] for k in range(0, len(words), at_once)]
         out = []
-        for k in range(0, len(words), 8 * at_once):  # few at a time: what the library returns is far larger than the ids
-            groups = [words[j:j + at_once] for j in range(k, min(k + 8 * at_once, len(words)), at_once)]
-            encoded = self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)
-            for group, found in zip(groups, encoded, strict=True):
-                ids = np.array(found.ids, dtype="<u4")
-                cuts = (np.flatnonzero(self.rule[1][ids]) + 1).tolist()
-                if len(cuts) != len(group) or cuts[-1] != len(ids):
-                    out += self._by_offsets(group)
-                    continue
-                raw = ids.tobytes()
-                out += [raw[4 * a:4 * b] for a, b in zip([0, *cuts], cuts)]
+        for group, found in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, dtype="<u4")
+            cuts = (np.flatnonzero(self.rule[1][ids]) + 1).tolist()
+            if len(cuts) != len(group) or cuts[-1] != len(ids):
+                out += self._by_offsets(group)
+                continue
+            raw = ids.tobytes()
+            out += [raw[4 * a:4 * b] for a, b in zip([0, *cuts], cuts)]
         return out
 
     def _by_words(self, pieces: list[str]) -> list[bytes]:
@@ -179,7 +177,7 @@ class Encoder:
         if not fresh:
             return found
         new = self._encode(fresh)
-        if len(known) + len(fresh) > self.remembered // 2:
+        if len(known) + len(fresh) > self.remembered:
             known.clear()
         known.update(zip(fresh, new, strict=True))
         rest = iter(new)
@@ -243,7 +241,7 @@ def write(
             number, index = number + 1, []
             return pa.RecordBatch.from_pylist([row], schema=rows_schema)
 
-        for batch in slices(batches):
+        for batch in slices(batches, 2048):
             found = encoder.batch(batch.column(1))
             for doc, ids, part in zip(batch.column(0).to_pylist(), found, batch.column(2).to_pylist(), strict=True):
                 shard = part
@@ -263,7 +261,6 @@ def write(
                 place, at = place + 1, at + len(ids)
         if size:
             yield cut(np.concatenate(held))
-        pa.default_memory_pool().release_unused()
 
     laid.mapInArrow(run, SCHEMA).write.option("compression", "uncompressed").parquet(folder)
 
