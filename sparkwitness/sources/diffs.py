@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.ordered import running_before
-from .splits import read_delimited
+from .splits import file_name, read_delimited
 
 LINE_BLOCK = 1024
+# Lines of a split are walked in chunks of 2^CHUNK_BITS, so that a split is many groups and no task sorts a whole one.
+CHUNK_BITS = 13
 # Starts the line that names a change, in a text of several.
 CHANGE = "\x1e"
 
@@ -97,17 +99,20 @@ def ranges_of_files(spark: SparkSession, path: str) -> DataFrame:
     """(change_id, path, start, end): merged added-line ranges of diff texts in files of any size.
 
     A line ``CHANGE`` + id starts a change; lines before the first belong to the change named like the file.  Files
-    are read in splits, line by line, so a diff of any length is many tasks: each split finds its own headers, and what
-    holds at its first line, the change, path, hunk and line number, is carried from the splits before it, a row each.
+    are read in splits, line by line, and walked in chunks of lines, so a diff of any length is many tasks: each chunk finds its
+    own headers, and what holds at its first line, the change, path, hunk and line number, is carried from the chunks before it, a row each.
     """
-    lines = read_delimited(spark, path, "\n").withColumn("text", F.regexp_replace("value", "\r+$", "")).drop("value")
+    value = F.col("value")
+    text = F.when(value.contains("\r"), F.regexp_replace(value, "\r+$", "")).otherwise(value)
+    lines = read_delimited(spark, path, "\n", named=False).withColumn("text", text).drop("value")
     starts = lambda head: F.col("text").startswith(head)
     is_change, is_file, is_hunk = starts(CHANGE), starts("+++ "), starts("@@")
     header = is_change | is_file | is_hunk
     first = F.substring_index(F.regexp_extract("text", r"\s\++(\S*)", 1), ",", 1)
     none = F.lit(None).cast("string")
+    part = ["chunk", "split", "name"]
     kinds = lines.select(
-        "name", "split", "place",
+        "name", "split", F.shiftright("place", CHUNK_BITS).alias("chunk"), "place",
         F.when(is_change, F.substr("text", F.lit(2))).alias("change"),
         # A header replaces what stands below it: a change its path, a path its hunk.
         F.when(is_change, F.struct(none.alias("path"))).when(is_file, F.struct(F.substr("text", F.lit(5)).alias("path"))).alias("file"),
@@ -116,41 +121,40 @@ def ranges_of_files(spark: SparkSession, path: str) -> DataFrame:
         (~header & starts("+") & ~starts("+++")).alias("added"),
         (~header & ~(starts("-") & ~starts("---")) & ~starts("\\")).cast("long").alias("moves"),
     )
-    # What a split hands on: its last headers, and the lines that moved on since the last hunk.
-    here = Window.partitionBy("name", "split").orderBy("place")
+    # What a chunk hands on: its last headers, and the lines that moved on since the last hunk.
+    here = Window.partitionBy(*part).orderBy("place")
     upto = here.rowsBetween(Window.unboundedPreceding, 0)
     before = here.rowsBetween(Window.unboundedPreceding, -1)
     walked = kinds.withColumn("_moved", F.sum("moves").over(upto)).withColumn("_mark", F.when(F.col("hunk").isNotNull(), F.struct("place", "hunk", "_moved")))
-    ends = walked.groupBy("name", "split").agg(
-        F.max(F.when(F.col("change").isNotNull(), F.struct("place", "change"))).alias("c"), F.max(F.when(F.col("file").isNotNull(), F.struct("place", "file"))).alias("f"),
-        F.max("_mark").alias("h"), F.sum("moves").alias("n"),
-    )
-    earlier = Window.partitionBy("name").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
-    since = Window.partitionBy("name").orderBy("split").rowsBetween(Window.unboundedPreceding, 0)
+    last = lambda what: F.max_by(what, F.when(F.col(what).isNotNull(), F.col("place")))
+    ends = walked.groupBy(*part).agg(
+        last("change").alias("c"), last("file").alias("f"), last("_mark").alias("h"), F.sum("moves").alias("n"), F.bool_or("added").alias("_adds"))
+    order = Window.partitionBy("name").orderBy("split", "chunk")
+    earlier, since = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, 0)
     carried = ends.withColumn("_all", F.sum("n").over(since)).withColumn(
         "_at_hunk", F.when(F.col("h").isNotNull(), F.struct(F.col("h.hunk.first").alias("first"), (F.col("_all") - F.col("n") + F.col("h._moved")).alias("moved")))
     ).select(
-        "name", "split", F.last("c.change", True).over(earlier).alias("_change"), F.last("f.file", True).over(earlier).alias("_file"),
+        *part, "_adds", F.last("c", True).over(earlier).alias("_change"), F.last("f", True).over(earlier).alias("_file"),
         F.last("_at_hunk", True).over(earlier).alias("_hunk"), (F.col("_all") - F.col("n")).alias("_passed"),
-    )
+        file_name(spark, path, F.col("name")).alias("_name"),
+    ).where("_adds").drop("_adds")
     own = F.last("_mark", True).over(before)
     change, file = F.last("change", True).over(upto), F.last("file", True).over(upto)
     located = (
         walked.withColumn("_own", own).withColumn("_own_change", change).withColumn("_own_file", file).where("added")
-        .join(carried, ["name", "split"], "left")
+        .join(carried, part, "left")
         .select(
-            "name", "split", "place", F.coalesce("_own_change", "_change", "name").alias("change_id"), F.coalesce("_own_file", "_file")["path"].alias("path"),
+            *part, "place", F.coalesce("_own_change", "_change", "_name").alias("change_id"), F.coalesce("_own_file", "_file")["path"].alias("path"),
             F.when(F.col("_own").isNotNull(), F.col("_own.hunk.first") + F.col("_moved") - F.col("_own._moved") - 1)
             .otherwise(F.col("_hunk.first") + F.col("_passed") - F.col("_hunk.moved") + F.col("_moved") - 1).alias("line"),
         )
         .where(F.col("path").isNotNull() & (F.col("path") != "/dev/null") & F.col("line").isNotNull())
     )
-    # Lines to runs within a split, runs to ranges over the splits of a change.
-    step = Window.partitionBy("name", "split", "change_id", "path").orderBy("place")
-    fresh = F.coalesce(F.col("line") != F.lag("line").over(step) + 1, F.lit(True)).cast("int")
+    # Lines to runs within a chunk, runs to ranges over the chunks of a change.
+    goes_on = (F.col("change_id") == F.lag("change_id").over(here)) & (F.col("path") == F.lag("path").over(here)) & (F.col("line") == F.lag("line").over(here) + 1)
     runs = (
-        located.withColumn("_fresh", fresh).withColumn("_run", F.sum("_fresh").over(step.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy("name", "change_id", "path", "split", "_run").agg(F.min("place").alias("place"), F.min("line").alias("start"), F.max("line").alias("end"))
+        located.withColumn("_fresh", (~F.coalesce(goes_on, F.lit(False))).cast("int")).withColumn("_run", F.sum("_fresh").over(upto))
+        .groupBy(*part, "change_id", "path", "_run").agg(F.min("place").alias("place"), F.min("line").alias("start"), F.max("line").alias("end"))
     )
     keys = ["name", "change_id", "path"]
     opened = running_before(runs, keys, F.col("split"), [F.col("place")], F.col("end"), F.max, "_reach").withColumn(

@@ -171,6 +171,17 @@ def test_ranges_of_files_do_not_depend_on_splits(spark, tmp_path):
         assert found == sorted(expected, key=repr)
 
 
+def test_ranges_of_files_walk_a_split_in_chunks(spark, tmp_path, monkeypatch):
+    """A split is many groups, whatever its headers are; the ranges are those of the whole text."""
+    text = "+++ a\n@@ -1 +5,9 @@\n" + "+x\n" * 30 + " c\n-d\n" + "+x\r\n" * 30 + "+++ b\n@@ -1 +2 @@\n+y\n"
+    (tmp_path / "x.diff").write_text(text, newline="")
+    monkeypatch.setattr(diffs, "CHUNK_BITS", 2)
+    found = diffs.ranges_of_files(spark, str(tmp_path))
+    assert rows(found, "change_id", "path", "start", "end") == sorted([("x", "a", 5, 34), ("x", "a", 36, 65), ("x", "b", 2, 2)], key=repr)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(chunk" in plan
+
+
 def test_logs_of_one_name_in_two_folders_are_two_repositories(spark, tmp_path):
     for folder in ("a", "b c+d"):
         (tmp_path / folder).mkdir()
