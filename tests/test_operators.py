@@ -487,3 +487,17 @@ def test_report_sink_round_trips(spark, tmp_path):
     back = source_packets.read_packets(spark, str(tmp_path / "out"), nested.schema, multiline=False)
     flat = lambda d: rows(reports.flatten(d, ["repository"]))
     assert flat(back) == flat(nested) and len(flat(back)) == 4
+
+
+def test_rows_of_claims_that_name_nothing_are_dealt_by_claim(spark):
+    from sparkwitness.operators import claims as cl
+
+    claims = frame(spark, "claim_id string, repository string, subject long, behavior_evidence string, requirement_evidence string, behavior_marker string, "
+                   "requirement_marker string, required_kind string, event_id long, event_url string, review_state string, event_body string, body_marker string",
+                   *[(f"c{i}", "r", i, "x", "x", "x", "x", "k", i, "u", None, "b", "b") for i in range(50)])
+    own = cl._homed(cl.proof_rows(claims)).where("number IS NULL")
+    assert own.count() == own.select("_home").distinct().count() == 50
+    # A claim named like a repository meets nothing of it.
+    artifacts = frame(spark, "repository string, kind string, number long, merged boolean, evidence_text string", *[("r", "pull_request", i, True, "x") for i in range(25)], ("c1", "pull_request", None, True, ""))
+    found = {r.claim_id: r.status for r in cl.proof_surfaces(claims, artifacts).collect()}
+    assert len(found) == 50 and all(found[f"c{i}"] == ("produced_artifact_unclassifiable" if i < 25 else "rejected") for i in range(50))
