@@ -59,6 +59,14 @@ def test_common_directory_needs_two_paths(spark):
     assert rows(found, "task", "scope") == [("t", "a/b"), ("u", None), ("v", None), ("w", None)]
 
 
+def test_common_directory_explodes_no_paths_and_knows_odd_ones(spark):
+    data = [("t", "a/b/x"), ("t", "a/bc/x"), ("u", "/a/x"), ("u", "/b"), ("v", "é/x/1"), ("v", "é/x/2"), ("v", "é/x/2"), ("n", None), ("n", "a/x"), ("o", "a/b"), ("o", "a/b/c")]
+    found = op.common_directory(spark.createDataFrame(data, "task string, path string"))
+    assert rows(found, "task", "scope", "paths") == sorted([("t", "a", 2), ("u", "", 2), ("v", "é/x", 2), ("n", None, 2), ("o", "a", 2)], key=repr)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan
+
+
 def test_marker_only_counts_in_the_header(spark):
     late = "\n".join(["x"] * 40 + ["@generated"])
     wide = "é" * 5000 + "\n@generated"
