@@ -74,5 +74,5 @@ WHERE a.is_current
 def _(t):
     # Null dates come first: they meet nothing and hold no watermark back.
     landed = land_in_order(t("lineitem"), "l_shipdate", FILES)
-    stream = t.arriving(t.spark, lineitem=landed)
-    return drain(overlap.overlap_stream(stream("arriving_paths"), window="300 days"), "overlap")
+    stream = t.arriving(stateful_session(t.spark), lineitem=landed)
+    return drain(overlap.overlap_stream(stream("arriving_paths"), window="300 days"), "overlap", into=t.spark)

@@ -146,3 +146,18 @@ def test_files_land_in_event_time_order(spark):
         assert last is None or min(times) > last
         last = max(times)
     assert len(files) == 4 and spark.read.parquet(landed).count() == 100
+
+
+def test_landing_in_order_sorts_no_range(spark, monkeypatch):
+    """A task that cuts the table keeps no rows; the files still follow each other in time."""
+    from pyspark.sql import functions as F
+
+    from sparkwitness.streaming import sinks
+
+    seen = []
+    monkeypatch.setattr(sinks, "discard", lambda _, folder: seen.append(folder))
+    given = spark.range(1000).select("id", F.when(F.col("id") % 50 > 0, F.timestamp_seconds(F.col("id") * 7919 % 1000)).alias("at"))
+    landed = spark.read.parquet(land_in_order(given, "at", 2)).select("id", "at", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_modification_time").alias("m"))
+    files = landed.groupBy("f", "m").agg(F.count("*").alias("n"), F.min("at").alias("low"), F.max("at").alias("high")).orderBy("m").collect()
+    assert len(files) == 2 and sum(r.n for r in files) == 1000 and files[0].high <= files[1].low
+    assert len(spark.read.parquet(seen[0]).inputFiles()) > 2  # many tasks cut it
