@@ -501,3 +501,12 @@ def test_rows_of_claims_that_name_nothing_are_dealt_by_claim(spark):
     artifacts = frame(spark, "repository string, kind string, number long, merged boolean, evidence_text string", *[("r", "pull_request", i, True, "x") for i in range(25)], ("c1", "pull_request", None, True, ""))
     found = {r.claim_id: r.status for r in cl.proof_surfaces(claims, artifacts).collect()}
     assert len(found) == 50 and all(found[f"c{i}"] == ("produced_artifact_unclassifiable" if i < 25 else "rejected") for i in range(50))
+
+
+def test_local_names_of_one_file_are_many_keys(spark):
+    from sparkwitness.operators import conventions
+
+    facts = frame(spark, "repository string, path string, name string, line long", *[("r", "f", f"n{i % 40}", i) for i in range(200)], ("r", "g", "n0", 1))
+    found = conventions.precedent_local_names(facts, facts)
+    assert rows(found.select("line", "name", "local_name")) == sorted([(i, f"n{i % 40}", f"n{k}") for i in range(200) for k in range(40) if k != i % 40], key=repr)
+    assert "_part" in found._jdf.queryExecution().optimizedPlan().toString()
