@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import justification as just
 from ..streaming import overlap, transitions
-from ..streaming.sinks import drain, land_in_order, stateful_session
+from ..streaming.sinks import drain, land_in_order, per_range, stateful_session
 from .core import adapter, query
 
 FILES = 2  # triggers that a table is cut into here; a real source has its own files
@@ -39,7 +39,7 @@ WHERE "before" IS NOT NULL AND "before" <> status AND observed_at <= before_at +
 
 def _transitions(t):
     landed = land_in_order(t("events"), "ts", FILES)
-    stream = t.arriving(stateful_session(t.spark), events=landed)
+    stream = t.arriving(stateful_session(t.spark), events=(landed, per_range(t.spark, landed, FILES)))
     rows = transitions.status_transitions(stream("moving_contexts"), stream("standing_evidence"))
     return drain(rows, "transitions", into=t.spark)
 
@@ -74,5 +74,5 @@ WHERE a.is_current
 def _(t):
     # Null dates come first: they meet nothing and hold no watermark back.
     landed = land_in_order(t("lineitem"), "l_shipdate", FILES)
-    stream = t.arriving(stateful_session(t.spark), lineitem=landed)
+    stream = t.arriving(stateful_session(t.spark), lineitem=(landed, per_range(t.spark, landed, FILES)))
     return drain(overlap.overlap_stream(stream("arriving_paths"), window="300 days"), "overlap", into=t.spark)
