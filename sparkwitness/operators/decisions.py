@@ -43,6 +43,8 @@ def file_lineage(renames: DataFrame, targets: DataFrame, on_round=None) -> DataF
         df.write.parquet(folder)
         return spark.read.schema(df.schema).parquet(folder), folder
 
+    jump, at = put(jump, "lineage-renames")  # the first round reads it four times
+    folders.append(at)
     known, number = None, 0
     while True:
         number += 1
@@ -74,12 +76,15 @@ def decisions_via_lineage(decisions: DataFrame, targets: DataFrame, renames: Dat
     """Direct matches, and for the rest the first earlier path (in path order) a decision covers."""
     direct = decisions_for(decisions, targets)
     earlier = file_lineage(renames, targets)
-    reach = with_ancestors(earlier, "historical_path", "path_prefix")
+    # The first path is found per prefix that a decision names, before the decisions of that prefix multiply the rows.
+    asked = decisions.select("repository", "path_prefix").distinct()
+    first = (
+        with_ancestors(earlier, "historical_path", "path_prefix").join(asked, ["repository", "path_prefix"], "left_semi")
+        .groupBy("repository", "target", "path_prefix").agg(F.min("historical_path").alias("matched_path"))
+    )
     through = (
-        decisions.select("repository", "decision_id", "path_prefix")
-        .join(reach, ["repository", "path_prefix"])
-        .groupBy("repository", "target", "decision_id", "path_prefix")
-        .agg(F.min("historical_path").alias("matched_path"))
+        decisions.select("repository", "decision_id", "path_prefix").distinct()
+        .join(first, ["repository", "path_prefix"])
         .join(direct.select("repository", "target", "decision_id"), ["repository", "target", "decision_id"], "left_anti")
         .withColumn("matched_via", F.lit("git_file_lineage"))
     )
