@@ -91,7 +91,7 @@ def change_set_fingerprint(entries: DataFrame) -> DataFrame:
     """
     n, paths = F.count(F.lit(1)), F.count_distinct("path")
     counts = entries.groupBy("change_set_id").agg(paths.alias("entries"), (n == paths).alias("_once"))
-    members = bag_digest(entries, ["change_set_id"], digest(F.col("path"), F.col("blob_sha")), CHANGE_SET_VERSION, "_digest")
+    members = bag_digest(entries, ["change_set_id"], digest(F.col("path"), F.col("blob_sha")), CHANGE_SET_VERSION, "_digest", mostly_small=True)
     return counts.join(members, "change_set_id").select(
         "change_set_id", "entries", F.when(F.col("_once"), F.concat(F.lit("sha256:"), "_digest")).alias("fingerprint")
     )
