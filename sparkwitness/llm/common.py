@@ -9,7 +9,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwitness.plans.durable import fresh_folder
+from sparkwitness.plans.durable import discard, fresh_folder
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -39,6 +39,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop(*tables: DataFrame) -> None:
+    """Delete tables of ``stored`` that nothing reads any more."""
+    for df in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            discard(df.sparkSession, folder)
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the fold from which no label is learned."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
@@ -84,12 +91,15 @@ def slices(batches, rows: int = 512):
             yield batch.slice(at, rows)
 
 
-def map_texts(df: DataFrame, text: str, keep: list[str], compute, fields: str) -> DataFrame:
+def map_texts(df: DataFrame, text: str, keep: list[str], compute, fields: str, within=None) -> DataFrame:
     """(keep, computed columns) of every row, in Arrow batches; ``keep`` columns pass untouched.
 
-    ``compute`` maps a list of texts (null as empty) to one list per field.
+    ``compute`` maps a list of texts (null as empty) to one list per field.  With ``within``, a pair of a long column and a function
+    from its values to booleans, only the rows it says yes to: in the same pass, as a second one would hold a second worker per core.
     """
-    given = df.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text_in"))
+    given = df.select(
+        *[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text_in"), *([within[0].alias("_within")] if within else []))
+    accept = within and within[1]
     names = [f.split()[0] for f in fields.split(", ")]
 
     def run(batches):
@@ -97,11 +107,15 @@ def map_texts(df: DataFrame, text: str, keep: list[str], compute, fields: str) -
 
         let_go()
         for batch in slices(batches):
+            if accept:
+                batch = batch.filter(pa.array(accept(batch.column(len(keep) + 1).to_numpy()).astype(bool)))
+                if not batch.num_rows:
+                    continue
             columns = compute(batch.column(len(keep)).to_pylist())
             arrays = [batch.column(i) for i in range(len(keep))] + [pa.array(c) for c in columns]
             yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *names])
 
-    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[:-1]]
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[:len(keep)]]
     return given.mapInArrow(run, ", ".join([*kept, fields]))
 
 

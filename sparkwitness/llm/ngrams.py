@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_value, map_texts, stored
+from .common import by_value, drop, let_go, map_texts, slices, stored
 from .graph import components
 
 by_value(__name__)
@@ -59,9 +59,10 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def shingle_set(text: str, width: int, known: WordHashes) -> np.ndarray:
+def shingle_set(text: str | bytes, width: int, known: WordHashes) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's word n-grams, A-Z lower-cased; shorter texts are one n-gram."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII case and white space only
+    raw = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text
+    words = raw.lower().split()  # bytes: ASCII case and white space only
     if not words:
         return np.zeros(0, dtype=np.uint64)
     if len(known) > 150_000:
@@ -106,24 +107,14 @@ def _sieve(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def _chosen(documents: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of (id, body) that may be among the ids: all that are, and few others."""
+def _may_be(documents: DataFrame, ids: DataFrame):
+    """What ``map_texts`` takes to pass over rows that are not among the ids: few others stay."""
     held = documents.sparkSession.sparkContext.broadcast(_sieve(ids))
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            bits = np.array(batch.column(2).to_pylist(), dtype=np.int64)
-            yes = (held.value[bits >> 6] >> (bits & 63)) & 1
-            yield batch.filter(pa.array(yes.astype(bool))).select(["id", "body"])
-
-    rows = documents.where("id IS NOT NULL").withColumn("bit", F.pmod(F.xxhash64("id"), F.lit(SIEVE)))
-    return rows.mapInArrow(run, documents.schema)
+    return F.pmod(F.xxhash64("id"), F.lit(SIEVE)), lambda bits: (held.value[bits >> 6] >> (bits & 63)) & 1
 
 
-def _late_prefixes(documents: DataFrame, width: int, num: int, den: int, frequent: np.ndarray) -> DataFrame:
-    """(id, n, set_key, prefix) under the order: infrequent n-grams by hash, then frequent ones by hash."""
+def _late_prefixes(documents: DataFrame, ids: DataFrame, width: int, num: int, den: int, frequent: np.ndarray) -> DataFrame:
+    """(id, n, set_key, prefix) of rows that may be among the ids, under the order: infrequent n-grams by hash, then frequent ones by hash."""
     held = documents.sparkSession.sparkContext.broadcast(frequent)
 
     def compute(texts):
@@ -138,17 +129,49 @@ def _late_prefixes(documents: DataFrame, width: int, num: int, den: int, frequen
             prefixes.append(np.concatenate([s[~is_late][:p], s[is_late]])[:p].view(np.int64))
         return sizes, keys, prefixes
 
-    return map_texts(documents, "body", ["id"], compute, "n bigint, set_key binary, prefix array<bigint>")
+    rows = documents.where("id IS NOT NULL")
+    return map_texts(rows, "body", ["id"], compute, "n bigint, set_key binary, prefix array<bigint>", _may_be(documents, ids))
 
 
-def _sets(documents: DataFrame, width: int) -> DataFrame:
-    """(id, grams) of every row of (id, body)."""
+def _packed(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, packed): the compressed texts of rows that may be among the ids, a third of the size of their sets."""
 
     def compute(texts):
-        known = WordHashes()
-        return [[shingle_set(t, width, known).view(np.int64) for t in texts]]
+        import zstandard
+
+        press = zstandard.ZstdCompressor(level=3)
+        return [[press.compress(t.encode("utf-8", "surrogatepass")) for t in texts]]
+
+    return map_texts(documents.where("id IS NOT NULL"), "body", ["id"], compute, "packed binary", _may_be(documents, ids))
+
 
-    return map_texts(documents, "body", ["id"], compute, "grams array<bigint>")
+def _map_sets(rows: DataFrame, width: int, compute, fields: str) -> DataFrame:
+    """(columns of rows but the last two, computed fields); ``compute`` maps the sets of the last two columns, packed texts, to a tuple.
+
+    Rows that follow one another with the same text share its set, so the text that repeats should be what they are joined by.
+    """
+    n = len(rows.columns) - 2
+    names = [*rows.columns[:n], *[f.split()[0] for f in fields.split(", ")]]
+
+    def run(batches):
+        import pyarrow as pa
+        import zstandard
+
+        let_go()
+        known, press = WordHashes(), zstandard.ZstdDecompressor()
+        held = [(None, None), (None, None)]
+        for batch in slices(batches):
+            out = []
+            for both in zip(batch.column(n).to_pylist(), batch.column(n + 1).to_pylist(), strict=True):
+                for k, packed in enumerate(both):
+                    if packed != held[k][0]:
+                        held[k] = packed, shingle_set(press.decompress(packed), width, known)
+                out.append(compute(held[0][1], held[1][1]))
+            arrays = [batch.column(i) for i in range(n)] + [pa.array(c) for c in zip(*out)]
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:n]]
+    return rows.mapInArrow(run, ", ".join([*kept, fields]))
 
 
 def _needed(a: Column, b: Column, num: int, den: int) -> Column:
@@ -165,14 +188,13 @@ def _reaches(a: str, b: str, num: int, den: int) -> Column:
     return (F.least(pa, pb) + F.least(na - pa, nb - pb)) >= _needed(na, nb, num, den)
 
 
-def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _verify(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     """(a, b) -> (a, b, na, nb, overlap), by the whole sets."""
-    left = sets.select(F.col("id").alias("a"), F.col("grams").alias("ga"))
-    right = sets.select(F.col("id").alias("b"), F.col("grams").alias("gb"))
-    return pairs.join(left, "a").join(right, "b").select(
-        "a", "b", F.size("ga").cast("long").alias("na"), F.size("gb").cast("long").alias("nb"),
-        F.size(F.array_intersect("ga", "gb")).cast("long").alias("overlap"),
-    )
+    left = texts.select(F.col("id").alias("a"), F.col("packed").alias("ta"))
+    right = texts.select(F.col("id").alias("b"), F.col("packed").alias("tb"))
+    rows = pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb")  # many b have one a
+    overlap = lambda x, y: (len(x), len(y), len(np.intersect1d(x, y, assume_unique=True)))
+    return _map_sets(rows, width, overlap, "na bigint, nb bigint, overlap bigint")
 
 
 def _least(n: Column, num: int, den: int, shared: int) -> Column:
@@ -200,7 +222,9 @@ def _in_short_lists(entries: DataFrame, limit: int, num: int, den: int) -> DataF
     h = F.least("x.h", "y.h").alias("h")
     counted = met.groupBy("x.id", "y.id", "x.n", "y.n", h).agg(F.count("*").alias("m")).toDF("a", "b", "na", "nb", "h", "m")
     need = F.least(F.lit(SHARED), _needed(F.col("na"), F.col("nb"), num, den)) - F.col("h")
-    return counted.where(F.col("m") >= F.greatest(need, F.lit(1))).select("a", "b")
+    pairs = stored(counted.where(F.col("m") >= F.greatest(need, F.lit(1))).select("a", "b"), "ngram-pairs")
+    drop(able, short)
+    return pairs
 
 
 def _index(leaders: DataFrame, num: int, den: int) -> DataFrame:
@@ -209,7 +233,9 @@ def _index(leaders: DataFrame, num: int, den: int) -> DataFrame:
         "sizes", F.floor(F.log(F.col("n")) / F.lit(float(np.log(den / num)))).cast("int") if num < den else F.col("n").cast("int"))
     shared = stored(shared, "ngram-entries")
     able = shared.groupBy("id", "n").agg(F.count("*").alias("m")).where(F.col("m") >= _least(F.col("n"), num, den, SHARED_LATE)).select("id")
-    return stored(shared.join(able, "id", "left_semi"), "ngram-index")
+    index = stored(shared.join(able, "id", "left_semi"), "ngram-index")
+    drop(shared)
+    return index
 
 
 def _with_leaders(index: DataFrame, num: int, den: int) -> DataFrame:
@@ -234,17 +260,17 @@ def _enough(met: DataFrame, num: int, den: int) -> DataFrame:
     return counted.where(F.col("m") >= F.least(F.lit(SHARED_LATE), _needed(F.col("na"), F.col("nb"), num, den))).select("a", "b")
 
 
-def _differences(named: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def _differences(named: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """(c, gram, plus, id, n, nc, component, minus, size, pos): the first differences of each set from its leader ``c``.
 
     Differences that no other set of the leader has are left out, but keep their position.
     """
-    own = sets.select("id", "grams").join(named.select("id", "c", "n", "component").distinct(), "id")
-    both = own.join(sets.select(F.col("id").alias("c"), F.col("grams").alias("led")), "c")
-    apart = both.select(
-        "c", "id", "n", "component", F.size("led").cast("long").alias("nc"),
-        F.array_except("grams", "led").alias("more"), F.array_except("led", "grams").alias("less"),
-    ).withColumn("minus", F.size("less").cast("long")).withColumn("size", F.size("more") + F.col("minus"))
+    own = texts.join(named.select("id", "c", "n", "component").distinct(), "id")
+    both = own.join(texts.select(F.col("id").alias("c"), F.col("packed").alias("led")), "c").select("c", "id", "n", "component", "packed", "led")
+    apart = _map_sets(both, width, lambda x, led: (
+        len(led), np.setdiff1d(x, led, assume_unique=True).view(np.int64), np.setdiff1d(led, x, assume_unique=True).view(np.int64),
+    ), "nc bigint, more array<bigint>, less array<bigint>")
+    apart = apart.withColumn("minus", F.size("less").cast("long")).withColumn("size", F.size("more") + F.col("minus"))
     marked = F.concat(
         F.transform("more", lambda g: F.struct(g.alias("gram"), F.lit(True).alias("plus"))),
         F.transform("less", lambda g: F.struct(g.alias("gram"), F.lit(False).alias("plus"))),
@@ -254,7 +280,9 @@ def _differences(named: DataFrame, sets: DataFrame, num: int, den: int) -> DataF
     placed = rows.join(held, ["c", "gram", "plus"]).withColumn(
         "pos", F.row_number().over(Window.partitionBy("id").orderBy("m", "plus", "gram")))
     most = F.floor(F.col("n") * F.lit(den - num) / F.lit(num)) + 1  # linked sets differ in fewer
-    return placed.where((F.col("pos") <= most) & (F.col("m") > 1)).drop("m")
+    first = stored(placed.where((F.col("pos") <= most) & (F.col("m") > 1)).drop("m"), "ngram-apart")
+    drop(rows)
+    return first
 
 
 def _one_leader(differences: DataFrame, num: int, den: int) -> DataFrame:
@@ -276,7 +304,7 @@ def _one_leader(differences: DataFrame, num: int, den: int) -> DataFrame:
     return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
-def _across(index: DataFrame, labels: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def _across(index: DataFrame, labels: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """Pairs (a, b) of different components that share a list and are not excluded."""
     named = index.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     open_lists = named.groupBy("gram").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("gram")
@@ -287,7 +315,7 @@ def _across(index: DataFrame, labels: DataFrame, sets: DataFrame, num: int, den:
     votes = named.select("id", "gram", "sizes").join(lead, ["gram", "sizes"]).groupBy("id", "c").agg(F.count("*").alias("votes"))
     leader = votes.groupBy("id").agg(F.min_by("c", F.struct(-F.col("votes"), "c")).alias("c"))
     named = stored(named.join(leader, "id").withColumn("place", F.floor(F.log2("pos")).cast("int")), "ngram-open")
-    alike = _one_leader(stored(_differences(named, sets, num, den), "ngram-apart"), num, den)
+    alike = _one_leader(_differences(named, texts, width, num, den), num, den)
 
     blocks = named.groupBy("gram", "sizes", "place").agg(
         F.min("n").alias("n"), F.max(F.col("n") - F.col("pos")).alias("rest"), F.max("pos").alias("pos"),
@@ -327,14 +355,16 @@ def jaccard_join(
     sketches = stored(_sketches(given, width, num, den), "ngram-sketches")
 
     # Equal sets are one class, known by its smallest id.
-    classes = sketches.where("n > 0 AND id IS NOT NULL").groupBy("set_key").agg(F.min("id").alias("id"))
+    rows = stored(sketches.select("id", "set_key", "n"), "ngram-rows")  # what outlives the prefixes
+    classes = rows.where("n > 0 AND id IS NOT NULL").groupBy("set_key").agg(F.min("id").alias("id"))
     leaders = sketches.select("id", "set_key", "n", "prefix").join(classes, ["id", "set_key"])
     if documents.select(key).where(F.col(f"`{key}`").isNotNull()).groupBy(key).count().where("count > 1").limit(1).count():
         leaders = leaders.dropDuplicates(["id", "set_key"])  # rows that repeat
     entries = stored(_lists(leaders), "ngram-lists")
+    total = sketches.select(F.sum(F.size("prefix").cast("long"))).first()[0] or 0
+    drop(sketches)
 
     # Grams of long lists; their number is bounded by construction, whatever the data.
-    total = sketches.select(F.sum(F.size("prefix").cast("long"))).first()[0] or 0
     limit = max(LONG, -(-total // FREQUENT))
     pairs = _in_short_lists(entries, limit, num, den)
 
@@ -342,37 +372,39 @@ def jaccard_join(
     full = entries.where(F.col("m") > limit).groupBy("id", "n").agg(F.count("*").alias("h"))
     full = stored(full.where(F.col("h") >= _least(F.col("n"), num, den, SHARED)).select("id"), "ngram-full")
     grams = entries.where(F.col("m") > limit).select("gram").distinct().toPandas()["gram"].to_numpy(dtype=np.int64)
+    drop(entries)
     frequent = np.sort(grams.view(np.uint64))
-    late = _late_prefixes(_chosen(given, full), width, num, den, frequent)
+    late = _late_prefixes(given, full, width, num, den, frequent)
     late = late.join(classes.join(full, "id", "left_semi"), ["id", "set_key"]).dropDuplicates(["id", "set_key"])
     index = _index(late, num, den)
 
-    pairs = stored(pairs, "ngram-pairs")
     led_pairs = stored(_with_leaders(index, num, den), "ngram-led-pairs")
     members = pairs.select(F.explode(F.array("a", "b")).alias("id")).union(index.select("id")).distinct()
-    sets = stored(_sets(_chosen(given, members), width), "ngram-sets")
+    texts = stored(_packed(given, members), "ngram-texts")
 
     need = _needed(F.col("na"), F.col("nb"), num, den)
     # One partner per set first; the pairs left over inside its component need no look.
     first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").union(led_pairs).distinct()
-    known = stored(_verify(first, sets), "ngram-known")
+    known = stored(_verify(first, texts, width), "ngram-known")
     labels = stored(components(known.where(F.col("overlap") >= need).select(F.col("a").alias("u"), F.col("b").alias("v"))), "ngram-labels")
     of = lambda side: labels.select(F.col("id").alias(side), F.col("component").alias(f"c{side}"))
     rest = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
-    across = stored(_across(index, labels, sets, num, den), "ngram-across")
+    across = stored(_across(index, labels, texts, width, num, den), "ngram-across")
     rest = rest.select("a", "b").union(across).distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
-    checked = _verify(rest, sets).where(F.col("overlap") >= need)
+    checked = _verify(rest, texts, width).where(F.col("overlap") >= need)
     more = checked.select(F.col("a").alias("u"), F.col("b").alias("v"))
     # Components of the first round stand for their members.
     lifted = more.join(of("u"), "u", "left").join(of("v"), "v", "left").select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v"))
-    upper = components(lifted).select(F.col("id").alias("component"), F.col("component").alias("top"))
+    upper = components(lifted)
+    drop(texts)
+    upper = upper.select(F.col("id").alias("component"), F.col("component").alias("top"))
     tops = labels.join(upper, "component", "left").select("id", F.coalesce("top", "component").alias("component"))
     alone = upper.select(F.col("component").alias("id"), F.col("top").alias("component")).join(labels.select("id"), "id", "left_anti")
     final = tops.unionByName(alone)
 
     by_class = classes.join(final, "id", "left").select("set_key", F.coalesce("component", "id").alias("component"))
     # A class may be named by an id that is larger than its component's smallest one, never smaller.
-    return sketches.join(by_class, "set_key", "left").select(
+    return rows.join(by_class, "set_key", "left").select(
         F.col("id").alias(key), F.col("n").alias("n_shingles"),
         F.when(F.col("id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "id")).alias("component_id"),
     )

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -78,6 +79,26 @@ def test_ngram_join_is_exact(documents, texts, width, num):
     assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got} == {(i, len(sets[i]), want[i]) for i in ids}
 
 
+def test_ngram_join_ships_packed_texts_in_one_pass_and_deletes_its_tables(spark, documents, monkeypatch):
+    made, real = {}, ngrams.stored
+
+    def noted(df, name):
+        out = real(df, name)
+        made[name] = (out.schema, {f.removeprefix("file:").replace("//", "/") for f in out.inputFiles()})
+        return out
+
+    monkeypatch.setattr(ngrams, "stored", noted)
+    got = ngrams.jaccard_join(documents, 4, 85)
+    left = {name for name, (_, files) in made.items() if any(os.path.exists(f) for f in files)}
+    assert {"ngram-rows", "ngram-labels"} <= left
+    assert not left & {"ngram-sketches", "ngram-lists", "ngram-able", "ngram-short", "ngram-entries", "ngram-differences", "ngram-texts"}
+    assert [f.dataType.simpleString() for f in made["ngram-texts"][0]] == ["bigint", "binary"]
+    assert got.count() == documents.count()
+    given = documents.selectExpr("doc_id AS id", "text AS body")
+    late = ngrams._late_prefixes(given, given.select("id"), 4, 85, 100, np.zeros(0, dtype=np.uint64))
+    assert late._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
 def test_ngram_join_of_a_family_that_reaches_past_its_leader(spark, monkeypatch):
     """Edited copies of one text, edits shared between some of them, many of them not linked to the smallest id."""
     monkeypatch.setattr(ngrams, "LONG", 2)
