@@ -1,7 +1,7 @@
 """Token ids in a bit-plane shuffled container.
 
 Documents are laid out in ascending id order by a range partitioning; each partition is a shard.
-A shard's ids are cut into blocks of ``BLOCK`` ids; a block is transposed into its byte planes or bit
+A shard's ids are cut into blocks of at most ``BLOCK`` ids, between documents unless one is longer; a block is transposed into its byte planes or bit
 planes, each plane is compressed with zstandard, and a row per block holds the planes, the number of
 ids, a checksum and the index of the documents in it.  The container is a folder of such rows
 (Parquet, own compression off), so any store that Spark writes can hold it, and blocks are read alone.
@@ -45,7 +45,9 @@ def shuffle_planes(ids: np.ndarray, bits: bool = True) -> list[bytes]:
     if not bits:
         planes = [raw[:, k] for k in range(4)]
     else:
-        planes = [np.packbits((raw[:, k // 8] >> (k % 8)) & 1, bitorder="little") for k in range(32)]
+        highest = int(ids.max()) if len(ids) else 0
+        columns = [np.ascontiguousarray(raw[:, k]) for k in range((highest.bit_length() + 7) // 8)]
+        planes = [np.packbits(columns[k // 8] & (1 << (k % 8)), bitorder="little") for k in range(highest.bit_length())]
     while planes and not planes[-1].any():
         planes.pop()
     return [p.tobytes() for p in planes]
@@ -247,6 +249,9 @@ def write(
                 shard = part
                 ids = np.append(ids, np.uint32(END))
                 done, piece = 0, 0
+                if size and size + len(ids) > block >= len(ids):  # blocks end between documents that fit one
+                    yield cut(np.concatenate(held))
+                    held, size = [], 0
                 while done < len(ids):
                     take = min(block - size, len(ids) - done)
                     held.append(ids[done:done + take])
@@ -265,12 +270,16 @@ def write(
     laid.mapInArrow(run, SCHEMA).write.option("compression", "uncompressed").parquet(folder)
 
 
-def read_blocks(spark: SparkSession, folder: str, bits: bool = True) -> DataFrame:
+def read_blocks(spark: SparkSession, folder: str, bits: bool = True, cut: bool | None = None) -> DataFrame:
     """(shard, place, doc_id, at, piece, last, ids) a row per document and block it touches, checked by the blocks' sums.
 
-    ``ids`` are little-endian uint32 bytes; ``at`` is the document's first id within its shard.
+    ``ids`` are little-endian uint32 bytes; ``at`` is the document's first id within its shard.  With ``cut``, only the pieces of
+    documents that a block ends in, or only those of the others; blocks without any are not decoded.
     """
-    blocks = spark.read.schema(SCHEMA).parquet(folder).select("shard", "n_ids", "crc", "planes", "docs")
+    blocks = spark.read.schema(SCHEMA).parquet(folder)
+    if cut is not None:
+        blocks = blocks.withColumn("docs", F.filter("docs", lambda d: ((d["piece"] > 0) | ~d["last"]) == cut)).where(F.size("docs") > 0)
+    blocks = blocks.select("shard", "n_ids", "crc", "planes", "docs")
     pieces = to_arrow_schema(PIECES)
 
     def run(batches):
@@ -295,10 +304,9 @@ def read_blocks(spark: SparkSession, folder: str, bits: bool = True) -> DataFram
 
 def read_documents(spark: SparkSession, folder: str, bits: bool = True) -> DataFrame:
     """(shard, place, doc_id, start, ids) a row per document; only documents that a block ends in are shuffled."""
-    pieces = read_blocks(spark, folder, bits)
-    whole = pieces.where("piece = 0 AND last").select("shard", "place", "doc_id", "at", "ids")
+    whole = read_blocks(spark, folder, bits, cut=False).select("shard", "place", "doc_id", "at", "ids")
     cut = (
-        pieces.where("NOT (piece = 0 AND last)").groupBy("shard", "place", "doc_id", "at")
+        read_blocks(spark, folder, bits, cut=True).groupBy("shard", "place", "doc_id", "at")
         .agg(F.array_sort(F.collect_list(F.struct("piece", "ids"))).alias("parts"))  # one document's own pieces
         .select("shard", "place", "doc_id", "at", F.aggregate("parts", F.lit(b"").cast("binary"), lambda a, p: F.concat(a, p["ids"])).alias("ids"))
     )

@@ -391,3 +391,21 @@ def test_held_out_accuracy(spark, module, label):
     scored = module.classify(docs, module.train(docs, labels))
     rows = scored.join(labels.select("doc_id", label), "doc_id").where("held_out").collect()
     assert np.mean([r["predicted"] == r[label] for r in rows]) > 0.93
+
+
+def test_token_blocks_end_between_documents_that_fit_one(spark, tmp_path):
+    texts = {k: " ".join(f"word{k}x{j}" for j in range(9)) for k in range(40)} | {17: "long words " * 300, 18: "", 19: None}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    folder = str(tmp_path / "planes")
+    tokens.write(docs, folder, tokenizer_path(), block=256, partitions=2)
+    cut = {r["doc_id"] for r in tokens.read_blocks(spark, folder, cut=True).collect()}
+    assert cut == {17}
+    blocks = spark.read.schema(tokens.SCHEMA).parquet(folder).collect()
+    assert all(b["n_ids"] <= 256 and sum(d["length"] for d in b["docs"]) == b["n_ids"] for b in blocks)
+    encoder = tokens.Encoder(tokenizer_path())
+    want, start = {}, 0
+    for k in sorted(texts):
+        ids = [*encoder.tokenizer.encode(texts[k] or "", add_special_tokens=False).ids, 1]
+        want[k] = (start, np.array(ids, dtype="<u4").tobytes())
+        start += len(ids)
+    assert {r["doc_id"]: (r["start"], bytes(r["ids"])) for r in tokens.read_documents(spark, folder).collect()} == want
