@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -71,17 +72,16 @@ def to_arrow_schema(ddl: str):
 
 #: No character of plain pieces: those up to U+024F without white space, controls and the dotted capital I, which
 #: no normal form composes and which have one lower-case letter each.
-NOT_PLAIN = re.compile("[^!-~\u00a1-\u012f\u0131-\u024f]")
-
-
-#: Stands between the ids of pieces; no id.
-APART = np.array(0xFFFFFFFF, dtype="<u4")
+NOT_PLAIN = "[^!-~\u00a1-\u012f\u0131-\u024f]"
+#: The one pattern of words that ``Encoder`` knows how to cut by.
+WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+LETTER, NUMBER, OTHER = 1, 2, 3
 
 
 def _word_rule(tokenizer):
-    """(pattern of its words and of single spaces, whether an id ends a word, added tokens), or None.
+    """(pattern of its words, whether an id ends a word, added tokens), or None.
 
-    For tokenizers that lower-case, keep the matches of one pattern and mark each match's last token by a suffix.
+    For tokenizers that lower-case, keep the matches of ``WORD`` and mark each match's last token by a suffix.
     """
     spec = json.loads(tokenizer.to_str())
     steps = {n["type"]: n for n in (spec["normalizer"] or {}).get("normalizers", [])}
@@ -91,7 +91,7 @@ def _word_rule(tokenizer):
         return None
     if steps["Replace"]["pattern"] != {"Regex": r"\s+"} or steps["Replace"]["content"] != " ":
         return None
-    if parts[0]["behavior"] != "Removed" or not parts[0]["invert"] or "Regex" not in parts[0]["pattern"]:
+    if parts[0]["behavior"] != "Removed" or not parts[0]["invert"] or parts[0]["pattern"] != {"Regex": WORD}:
         return None
     if parts[1]["use_regex"] or parts[1]["add_prefix_space"] or spec["post_processor"]:
         return None
@@ -99,16 +99,26 @@ def _word_rule(tokenizer):
     ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
     for token, number in vocabulary.items():
         ends[number] = token.endswith(suffix)
-    return regex.compile(f"(?:{parts[0]["pattern"]["Regex"]})| "), ends, [t["content"] for t in spec["added_tokens"]]
+    return regex.compile(WORD), ends, [t["content"] for t in spec["added_tokens"]]
+
+
+def _kinds() -> np.ndarray:
+    """The kind of each plain character in lower case, 0 for all else."""
+    out = np.zeros(1 << 16, dtype=np.uint8)
+    for c in map(chr, range(0x250)):
+        if not re.match(NOT_PLAIN, c):
+            out[ord(c.lower())] = {"L": LETTER, "N": NUMBER}.get(unicodedata.category(c.lower())[0], OTHER)
+    return out
 
 
 class Encoder:
     """Little-endian uint32 ids of texts, by the tokenizer at the path.
 
     White space ends a token in this tokenizer and is dropped, so texts are encoded by their distinct pieces between spaces and
-    line ends, each once per batch.  A plain piece (of such characters, without added tokens) is encoded by its words, whose ends the ids themselves
-    show; pieces of any other kind are encoded together and told apart by the tokens' offsets.  Words and pieces met before are
-    remembered, at most ``remembered`` of either beside the last batch's.
+    line ends, each once per batch.  A plain piece (of such characters, without added tokens) is encoded by its distinct words, whose ends the ids
+    themselves show; pieces of any other kind are encoded together and told apart by the tokens' offsets.  Texts, pieces and words stay in Arrow
+    arrays; Python objects are made of distinct words alone.  Words and other pieces met before are remembered, at most ``remembered`` of either
+    beside the last batch's.
     """
 
     def __init__(self, tokenizer_path: str, remembered: int = 400_000):
@@ -116,6 +126,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.rule = _word_rule(self.tokenizer)
+        self.kinds = _kinds()
         self.remembered = remembered
         self.pieces: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
@@ -140,59 +151,68 @@ class Encoder:
             out += [raw[4 * a:4 * b] for a, b in zip([0, *cuts], cuts)]
         return out
 
-    def _by_words(self, pieces: list[str]) -> list[bytes]:
-        """The ids of plain pieces.  One flat list of words and separators, as containers per piece would keep the collector busy."""
-        if not pieces:
-            return []
-        flat, words = self.rule[0].findall(" ".join(pieces).lower()), self.words
-        distinct = set(flat)
-        new = [w for w in distinct if w not in words]
-        if len(words) + len(new) > self.remembered:
-            words.clear()
-            new = list(distinct)
-        new = [w for w in new if w != " "]
-        words.update(zip(new, self._by_word_ends(new), strict=True))
-        words[" "] = APART.tobytes()
-        raw = b"".join(map(words.__getitem__, flat))
-        cuts = (4 * np.flatnonzero(np.frombuffer(raw, dtype="<u4") == APART)).tolist()
-        return [raw[a:b] for a, b in zip([0, *[c + 4 for c in cuts]], [*cuts, len(raw)])]
-
-    def _encode(self, pieces: list[str]) -> list[bytes]:
-        """The ids of distinct pieces."""
-        if not self.rule:
-            return self._by_offsets(pieces)
-        whole = " ".join(pieces)
-        added = [t for t in self.rule[2] if t in whole]
-        is_odd = NOT_PLAIN.search
-        odd = [p for p in pieces if is_odd(p) or (added and any(t in p for t in added))]
-        if not odd:
-            return self._by_words(pieces)
-        apart = dict(zip(odd, self._by_offsets(odd), strict=True))
-        plain = iter(self._by_words([p for p in pieces if p not in apart]))
-        return [apart[p] if p in apart else next(plain) for p in pieces]
-
-    def _of_pieces(self, pieces: list[str]) -> list[bytes]:
-        """The ids of distinct pieces, from what is remembered where it is."""
-        known = self.pieces
-        found = list(map(known.get, pieces))
-        fresh = [p for p, ids in zip(pieces, found) if ids is None]
-        if not fresh:
-            return found
-        new = self._encode(fresh)
+    def _recall(self, known: dict[str, bytes], asked: list[str], encode) -> list[bytes]:
+        """The ids of distinct words or pieces, from what is known where it is."""
+        found = list(map(known.get, asked))
+        fresh = [w for w, ids in zip(asked, found) if ids is None and w]
+        new = encode(fresh) if fresh else []
         if len(known) + len(fresh) > self.remembered:
             known.clear()
         known.update(zip(fresh, new, strict=True))
         rest = iter(new)
-        return [next(rest) if ids is None else ids for ids in found]
+        return [(next(rest) if w else b"") if ids is None else ids for w, ids in zip(asked, found)]
+
+    def _spaced(self, text: str) -> str:
+        """Lower-case plain pieces without apostrophes, with a space between the words of a piece."""
+        codes = np.frombuffer(text.encode("utf-16-le"), dtype="<u2")
+        kinds = self.kinds[codes]
+        before, after = kinds[:-1], kinds[1:]
+        at = np.flatnonzero((before > 0) & (after > 0) & ((before != after) | (after == NUMBER))) + 1
+        return np.insert(codes, at, 32).tobytes().decode("utf-16-le")
+
+    def _by_words(self, pieces, spaced):
+        """The ids of an array of plain pieces.  ``spaced`` puts a space between the words of lower-case pieces, a piece a line."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(pieces)], type=pa.int32()), pieces), "\n")[0].as_py()
+        lists = pc.split_pattern(pc.split_pattern(pa.array([spaced(text.lower())]), "\n").flatten(), " ")
+        words = lists.flatten().dictionary_encode()
+        ids = pa.array(self._recall(self.words, words.dictionary.to_pylist(), self._by_word_ends), type=pa.large_binary()).take(words.indices)
+        ends = np.frombuffer(ids.buffers()[1], dtype=np.int64)[np.asarray(lists.offsets) - lists.offsets[0].as_py()]
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(pieces), [None, pa.py_buffer(ends), ids.buffers()[2]])
+
+    def _of_pieces(self, pieces):
+        """The ids of an array of distinct pieces."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        flag = lambda found: found.to_numpy(zero_copy_only=False).astype(bool)
+        apart = lambda some: pa.array(self._recall(self.pieces, some.to_pylist(), self._by_offsets), type=pa.large_binary())
+        if not self.rule:
+            return apart(pieces)
+        odd = flag(pc.match_substring_regex(pieces, NOT_PLAIN))
+        for token in self.rule[2]:
+            odd |= flag(pc.match_substring(pieces, token))
+        quoted = flag(pc.match_substring(pieces, "'")) & ~odd  # a contraction depends on what stands before it
+        with_spaces = lambda text: self.rule[0].sub(r"\g<0> ", text)
+        ways = [(~odd & ~quoted, lambda some: self._by_words(some, self._spaced)), (quoted, lambda some: self._by_words(some, with_spaces)), (odd, apart)]
+        parts = [(np.flatnonzero(mine), encode(pieces.filter(pa.array(mine)))) for mine, encode in ways if mine.any()]
+        if len(parts) == 1:
+            return parts[0][1]
+        order = np.empty(len(pieces), dtype=np.int64)
+        order[np.concatenate([at for at, _ in parts])] = np.arange(len(pieces))
+        return pa.concat_arrays([ids for _, ids in parts]).take(pa.array(order))
 
     def batch(self, texts) -> list[np.ndarray]:
         """An Arrow array of texts, none null -> the ids of each."""
-        import pyarrow as pa
         import pyarrow.compute as pc
 
+        if not len(texts):
+            return []
         lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         pieces = lists.flatten().dictionary_encode()
-        ids = pa.array(self._of_pieces(pieces.dictionary.to_pylist()), type=pa.large_binary()).take(pieces.indices)
+        ids = self._of_pieces(pieces.dictionary).take(pieces.indices)
         ends = np.frombuffer(ids.buffers()[1], dtype=np.int64)[ids.offset:ids.offset + len(ids) + 1]
         flat = np.frombuffer(ids.buffers()[2], dtype="<u4") if ends[-1] else np.zeros(0, dtype="<u4")
         cuts = ends[np.cumsum([0, *pc.list_value_length(lists).to_pylist()])] // 4
@@ -303,7 +323,7 @@ def read_blocks(spark: SparkSession, folder: str, bits: bool = True, cut: bool |
 
 
 def read_documents(spark: SparkSession, folder: str, bits: bool = True) -> DataFrame:
-    """(shard, place, doc_id, start, ids) a row per document; only documents that a block ends in are shuffled."""
+    """(shard, place, doc_id, start, ids) a row per document; only documents that a block ends in are shuffled, at any size."""
     whole = read_blocks(spark, folder, bits, cut=False).select("shard", "place", "doc_id", "at", "ids")
     cut = (
         read_blocks(spark, folder, bits, cut=True).groupBy("shard", "place", "doc_id", "at")
@@ -315,7 +335,8 @@ def read_documents(spark: SparkSession, folder: str, bits: bool = True) -> DataF
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row per shard
     starts = sizes.select(F.col("shard").alias("_shard"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
     rows = whole.unionByName(cut)
-    return rows.join(starts, rows["shard"] == starts["_shard"]).select(
+    # Broadcast, as the planner takes the starts for as large as the container they come from and would shuffle all ids to meet them.
+    return rows.join(F.broadcast(starts), rows["shard"] == starts["_shard"]).select(
         "shard", "place", "doc_id", (F.col("at") + F.col("_before")).alias("start"), "ids",
     )
 
