@@ -11,7 +11,7 @@ def plan_of(spark, name):
     return QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["hist_6_class_cohort"])
+@pytest.mark.parametrize("name", ["hist_6_class_cohort", "gen_2_missing_companions"])
 def test_large_tables_meet_the_written_cohort_before_they_are_shuffled(spark, name):
     plan = plan_of(spark, name)
     assert plan.count("lineitem.parquet") <= 2 and plan.count("Exchange hashpartitioning") <= 4
