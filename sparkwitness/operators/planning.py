@@ -39,25 +39,22 @@ def probe_candidates(
     open_ones = _placed(obligations, contexts).where(F.col("_subject") != "invalid").select(
         "obligation_id", "missing_kind", "missing_target", *[f"_ctx_{f}" for f in CONTEXT_FIELDS]
     )
-    admitted = (
-        conditions.select("obligation_id", requirement_key("kind", "target").alias("_key"))
-        .distinct()
-        .withColumn("_admitted", F.lit(True))
-    )
+    # An obligation's own conditions as one list: the probes then meet all they need on one key, in the order of one sort.
+    admitted = conditions.groupBy("obligation_id").agg(F.collect_set(requirement_key("kind", "target")).alias("_keys"))
     capable = (F.col("kind") == F.col("missing_kind")) & (F.col("target") == F.col("missing_target"))
+    is_admitted = F.coalesce(F.array_contains("_keys", requirement_key("kind", "target")), F.lit(False))
     applies = overall_status(fields(""), fields("_ctx_"))
     status = (
         F.when(~capable, "incapable")
-        .when(F.col("_admitted").isNull(), "incompatible_clearing_condition")
+        .when(~is_admitted, "incompatible_clearing_condition")
         .when(applies == "invalid", "invalid_coordinate")
         .when(applies == "unknown", "missing_context")
         .when((F.col("effect") == "effectful") & ~F.lit(allow_effectful), "effect_authority_required")
         .otherwise("eligible")
     )
     return (
-        probes.withColumn("_key", requirement_key("kind", "target"))
-        .join(open_ones, "obligation_id")
-        .join(admitted, ["obligation_id", "_key"], "left")
+        probes.join(open_ones, "obligation_id")
+        .join(admitted, "obligation_id", "left")
         .select("obligation_id", "probe_id", status.alias("status"), "effect", *COSTS)
     )
 
