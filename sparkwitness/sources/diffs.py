@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..plans.ordered import running_before
 from .splits import file_name, read_delimited
 
 LINE_BLOCK = 1024
@@ -13,6 +12,8 @@ LINE_BLOCK = 1024
 CHUNK_BITS = 13
 # Starts the line that names a change, in a text of several.
 CHANGE = "\x1e"
+# What a line is: a header of a change, file or hunk, an added line, or another that the new file has.
+_CHANGE, _FILE, _HUNK, _ADDED, _MOVES = range(5)
 
 
 def _runs(body):
@@ -101,69 +102,77 @@ def ranges_of_files(spark: SparkSession, path: str) -> DataFrame:
     A line ``CHANGE`` + id starts a change; lines before the first belong to the change named like the file.  Files
     are read in splits, line by line, and walked in chunks of lines, so a diff of any length is many tasks: each chunk finds its
     own headers, and what holds at its first line, the change, path, hunk and line number, is carried from the chunks before it, a row each.
+    From a chunk on there is a row per run of added lines; those of one path of one change are merged in one sorted group.
     """
-    value = F.col("value")
-    text = F.when(value.contains("\r"), F.regexp_replace(value, "\r+$", "")).otherwise(value)
-    lines = read_delimited(spark, path, "\n", named=False).withColumn("text", text).drop("value")
-    starts = lambda head: F.col("text").startswith(head)
-    is_change, is_file, is_hunk = starts(CHANGE), starts("+++ "), starts("@@")
-    header = is_change | is_file | is_hunk
-    first = F.substring_index(F.regexp_extract("text", r"\s\++(\S*)", 1), ",", 1)
-    none = F.lit(None).cast("string")
+    starts = lambda head: F.col("value").startswith(head)
+    rest = lambda at: F.regexp_replace(F.substr("value", F.lit(at)), "\r+$", "")
+    first = F.substring_index(F.regexp_extract("value", r"\s\++(\S*)", 1), ",", 1)
+    stays = (starts("-") & ~starts("---")) | starts("\\")
+    kind = (
+        F.when(starts(CHANGE), _CHANGE).when(starts("+++ "), _FILE).when(starts("@@"), _HUNK)
+        .when(starts("+") & ~starts("+++"), _ADDED).when(~stays, _MOVES)
+    )
+    is_ = lambda *kinds: F.col("kind").isin(*kinds)
     part = ["chunk", "split", "name"]
-    kinds = lines.select(
-        "name", "split", F.shiftright("place", CHUNK_BITS).alias("chunk"), "place",
-        F.when(is_change, F.substr("text", F.lit(2))).alias("change"),
-        # A header replaces what stands below it: a change its path, a path its hunk.
-        F.when(is_change, F.struct(none.alias("path"))).when(is_file, F.struct(F.substr("text", F.lit(5)).alias("path"))).alias("file"),
-        F.when(is_change | is_file, F.struct(F.lit(None).cast("long").alias("first")))
-        .when(is_hunk, F.struct(F.when(first.rlike("^[0-9]+$"), first.cast("long")).alias("first"))).alias("hunk"),
-        (~header & starts("+") & ~starts("+++")).alias("added"),
-        (~header & ~(starts("-") & ~starts("---")) & ~starts("\\")).cast("long").alias("moves"),
+    # Lines that neither head anything nor move the new file's line number are left out before the shuffle.
+    kinds = read_delimited(spark, path, "\n", named=False).withColumn("kind", kind.cast("byte")).where("kind IS NOT NULL").select(
+        "name", "split", F.shiftright("place", CHUNK_BITS).alias("chunk"), "place", "kind",
+        F.when(is_(_CHANGE), rest(2)).when(is_(_FILE), rest(5)).alias("note"),
+        F.when(is_(_HUNK) & first.rlike("^[0-9]+$"), first.cast("long")).alias("first"),
     )
-    # What a chunk hands on: its last headers, and the lines that moved on since the last hunk.
     here = Window.partitionBy(*part).orderBy("place")
     upto = here.rowsBetween(Window.unboundedPreceding, 0)
-    before = here.rowsBetween(Window.unboundedPreceding, -1)
-    walked = kinds.withColumn("_moved", F.sum("moves").over(upto)).withColumn("_mark", F.when(F.col("hunk").isNotNull(), F.struct("place", "hunk", "_moved")))
-    last = lambda what: F.max_by(what, F.when(F.col(what).isNotNull(), F.col("place")))
-    ends = walked.groupBy(*part).agg(
-        last("change").alias("c"), last("file").alias("f"), last("_mark").alias("h"), F.sum("moves").alias("n"), F.bool_or("added").alias("_adds"))
+    latest = lambda test, what: F.last(F.when(test, what), ignorenulls=True).over(upto)
+    head = F.struct("first", "moved")
+    walked = kinds.withColumn("moved", F.sum(is_(_ADDED, _MOVES).cast("int")).over(upto)).select(
+        *part, "place", "kind", "moved", F.lead("kind").over(here).alias("_next"),
+        # A header replaces what stands below it: a change its path, a path its hunk.
+        latest(is_(_CHANGE), F.col("note")).alias("change"),
+        latest(is_(_CHANGE, _FILE), F.struct(F.when(is_(_FILE), F.col("note")).alias("path"))).alias("file"),
+        latest(is_(_CHANGE, _FILE, _HUNK), head).alias("hunk"),
+        latest(~is_(_ADDED), F.col("moved")).alias("_other"),
+    )
+    # A chunk is one row with a run's last line each, and its own last line, where stands what it hands on.
+    closes = is_(_ADDED) & ~F.col("_next").eqNullSafe(_ADDED)
+    added = F.when(closes, F.col("moved") - F.coalesce("_other", F.lit(0)))
+    chunks = (
+        walked.where(closes | F.col("_next").isNull()).groupBy(*part)
+        .agg(F.collect_list(F.struct("place", "moved", added.alias("added"), "change", "file", "hunk", F.col("_next").isNull().alias("last"))).alias("lines"))
+        # Read twice, computed once: both readers take all of it, so they share this exchange, whose keys have an order of their
+        # own as Spark would leave out an exchange like the one before.
+        .repartition(*reversed(part))
+    )
     order = Window.partitionBy("name").orderBy("split", "chunk")
     earlier, since = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, 0)
-    carried = ends.withColumn("_all", F.sum("n").over(since)).withColumn(
-        "_at_hunk", F.when(F.col("h").isNotNull(), F.struct(F.col("h.hunk.first").alias("first"), (F.col("_all") - F.col("n") + F.col("h._moved")).alias("moved")))
-    ).select(
-        *part, "_adds", F.last("c", True).over(earlier).alias("_change"), F.last("f", True).over(earlier).alias("_file"),
-        F.last("_at_hunk", True).over(earlier).alias("_hunk"), (F.col("_all") - F.col("n")).alias("_passed"),
-        file_name(spark, path, F.col("name")).alias("_name"),
-    ).where("_adds").drop("_adds")
-    own = F.last("_mark", True).over(before)
-    change, file = F.last("change", True).over(upto), F.last("file", True).over(upto)
-    located = (
-        walked.withColumn("_own", own).withColumn("_own_change", change).withColumn("_own_file", file).where("added")
-        .join(carried, part, "left")
+    carried = (
+        chunks.select(*part, F.filter("lines", lambda line: line["last"])[0].alias("end"), F.exists("lines", lambda line: line["added"] > 0).alias("_adds"))
+        .withColumn("_passed", F.sum("end.moved").over(since) - F.col("end.moved"))
+        .withColumn("_at", F.when(F.col("end.hunk").isNotNull(), F.struct(F.col("end.hunk.first").alias("first"), (F.col("_passed") + F.col("end.hunk.moved")).alias("moved"))))
         .select(
-            *part, "place", F.coalesce("_own_change", "_change", "_name").alias("change_id"), F.coalesce("_own_file", "_file")["path"].alias("path"),
-            F.when(F.col("_own").isNotNull(), F.col("_own.hunk.first") + F.col("_moved") - F.col("_own._moved") - 1)
-            .otherwise(F.col("_hunk.first") + F.col("_passed") - F.col("_hunk.moved") + F.col("_moved") - 1).alias("line"),
+            *part, "_adds", "_passed", F.last("end.change", True).over(earlier).alias("_change"), F.last("end.file", True).over(earlier).alias("_file"),
+            F.last("_at", True).over(earlier).alias("_hunk"), file_name(spark, path, F.col("name")).alias("_name"),
         )
-        .where(F.col("path").isNotNull() & (F.col("path") != "/dev/null") & F.col("line").isNotNull())
+        .where("_adds").drop("_adds")
     )
-    # Lines to runs within a chunk, runs to ranges over the chunks of a change.
-    goes_on = (F.col("change_id") == F.lag("change_id").over(here)) & (F.col("path") == F.lag("path").over(here)) & (F.col("line") == F.lag("line").over(here) + 1)
+    run = lambda field: F.col(f"run.{field}")
+    after = F.when(run("hunk").isNotNull(), run("hunk.first") + run("moved") - run("hunk.moved")).otherwise(
+        F.col("_hunk.first") + F.col("_passed") - F.col("_hunk.moved") + run("moved"))
     runs = (
-        located.withColumn("_fresh", (~F.coalesce(goes_on, F.lit(False))).cast("int")).withColumn("_run", F.sum("_fresh").over(upto))
-        .groupBy(*part, "change_id", "path", "_run").agg(F.min("place").alias("place"), F.min("line").alias("start"), F.max("line").alias("end"))
+        chunks.join(carried, part, "left").withColumn("run", F.explode_outer("lines"))
+        .select(
+            "name", "split", run("place").alias("place"), F.coalesce(run("change"), "_change", "_name").alias("change_id"),
+            F.coalesce(run("file"), "_file")["path"].alias("path"), (after - run("added")).alias("start"), (after - 1).alias("end"),
+        )
+        .where(F.col("path").isNotNull() & (F.col("path") != "/dev/null") & F.col("start").isNotNull())
     )
+    # Runs to ranges over the chunks of a change.  Ranges open at ever later lines, so a range's first line is its number.
     keys = ["name", "change_id", "path"]
-    opened = running_before(runs, keys, F.col("split"), [F.col("place")], F.col("end"), F.max, "_reach").withColumn(
-        "_opens", F.coalesce(F.col("start") > F.col("_reach") + 1, F.lit(True)).cast("long"))
-    islands = running_before(opened, keys, F.col("split"), [F.col("place")], F.col("_opens"), F.sum, "_before")
+    along = Window.partitionBy(*keys).orderBy("split", "place")
+    reach = F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    opened = runs.withColumn("_opens", F.when(F.coalesce(F.col("start") > reach + 1, F.lit(True)), F.col("start")))
     return (
-        islands.withColumn("_island", F.coalesce("_before", F.lit(0)) + F.col("_opens"))
-        .groupBy(*keys, "_island").agg(F.min_by("start", F.struct("split", "place")).alias("start"), F.max("end").alias("end"))
-        .select("change_id", "path", "start", "end")
+        opened.withColumn("start", F.max("_opens").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+        .groupBy(*keys, "start").agg(F.max("end").alias("end")).select("change_id", "path", "start", "end")
     )
 
 
