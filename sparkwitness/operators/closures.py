@@ -98,14 +98,17 @@ def closure_episodes(issues: DataFrame, comments: DataFrame) -> DataFrame:
     closed it.  An ambiguous closure or challenge of the prior issue rejects the episode, with the ``rejection``.  Comments are
     folded once, for closures and challenges together.
     """
-    actor, said = F.col("_actor"), F.col("_said")
-    closed, suggested = _is_closure(actor, said), _is_suggestion(actor, said)
-    rejected = (actor == F.col("reporter")) & said.startswith(REJECTION)
-    said_by = comments.select("repository", "number", "comment_id", F.col("actor").alias("_actor"), F.col("body").alias("_said"))
+    # Of a comment only what it is moves on, and whose rejection it is; the others are left out before they are shuffled.
+    body = F.col("body")
+    said = comments.select(
+        "repository", "number", "comment_id", _is_closure(F.col("actor"), body).alias("_closes"), _is_suggestion(F.col("actor"), body).alias("_suggests"),
+        F.when(body.startswith(REJECTION), F.col("actor")).alias("_rejecter"),
+    ).where(F.col("_closes") | F.col("_suggests") | F.col("_rejecter").isNotNull())
+    closed, suggested, rejected = F.col("_closes"), F.col("_suggests"), F.col("_rejecter") == F.col("reporter")
     ids = lambda test: F.min(F.when(test, F.col("comment_id")))
     prior = (
         issues.where(F.col("state") == "closed").select("repository", "number", "reporter")
-        .join(said_by, ["repository", "number"])
+        .join(said, ["repository", "number"])
         .groupBy("repository", "number").agg(
             F.count_if(closed).alias("_c"), F.count_if(suggested).alias("_s"), F.count_if(rejected).alias("_r"),
             ids(closed).alias("_cid"), ids(suggested).alias("_sid"), ids(rejected).alias("_rid"),
