@@ -165,15 +165,16 @@ def ranges_of_files(spark: SparkSession, path: str) -> DataFrame:
         )
         .where(F.col("path").isNotNull() & (F.col("path") != "/dev/null") & F.col("start").isNotNull())
     )
-    # Runs to ranges over the chunks of a change.  Ranges open at ever later lines, so a range's first line is its number.
-    keys = ["name", "change_id", "path"]
-    along = Window.partitionBy(*keys).orderBy("split", "place")
+    # Runs to ranges over the chunks of a change.  Ranges open at ever later lines and reach ever further, and a range's runs follow
+    # each other, so its last run holds all of it and no group is built.
+    along = Window.partitionBy("name", "change_id", "path").orderBy("split", "place")
+    upto = along.rowsBetween(Window.unboundedPreceding, 0)
     reach = F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1))
     opened = runs.withColumn("_opens", F.when(F.coalesce(F.col("start") > reach + 1, F.lit(True)), F.col("start")))
-    return (
-        opened.withColumn("start", F.max("_opens").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy(*keys, "start").agg(F.max("end").alias("end")).select("change_id", "path", "start", "end")
-    )
+    return opened.select(
+        "change_id", "path", F.max("_opens").over(upto).alias("start"), F.max("end").over(upto).alias("end"),
+        F.lead(F.col("_opens").isNotNull(), 1, True).over(along).alias("_closes"),
+    ).where("_closes").drop("_closes")
 
 
 def facts_in_ranges(facts: DataFrame, ranges: DataFrame, keys: list[str], block: int = LINE_BLOCK) -> DataFrame:
