@@ -125,3 +125,12 @@ def test_what_is_written_in_a_releasing_session_leaves_no_shuffle_files(spark):
 def test_the_front_writes_its_parts_first(spark):
     plan = moves_of(spark, lambda: QUERIES["front_1_episode_front"](spark, FOLDER))
     assert "lineitem.parquet" not in plan and plan.count("Exchange hashpartitioning") <= 16
+
+
+def test_the_front_reads_a_store_that_only_the_session_knows(spark):
+    link = "fs.viewfs.mounttable.data.link./sf"
+    spark.conf.set(link, f"file://{FOLDER}")
+    try:
+        assert QUERIES["front_1_episode_front"](spark, "viewfs://data/sf").count() == QUERIES["front_1_episode_front"](spark, FOLDER).count()
+    finally:
+        spark.conf.unset(link)
